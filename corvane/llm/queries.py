@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets, urls
+from . import ann, bpe, decontam, html_text, langid, quality, secrets, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -23,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
@@ -34,6 +39,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,8 +58,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_quality": op2_quality,
         "op4_url_filter": op4_url_filter,
         "op5_bpe": op5_bpe,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_html_text": op8_html_text,
+        "op9_neighbours": op9_neighbours,
         "op10_secrets": op10_secrets,
     }
 
@@ -69,6 +90,27 @@ SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, 'allow') AS
 """,
 }
 
+ORACLE_SQL["op7_decontaminate"] = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+places AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS q FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[q + 1:q + 10], ' ') AS win FROM places),
+sizes AS (SELECT DISTINCT n FROM windows),
+starts AS (SELECT r, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM lowered, sizes WHERE len(w) >= n),
+grams AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS win FROM starts),
+hits AS (SELECT g.r, g.s, g.n, b.item_id FROM grams g JOIN windows b ON g.n = b.n AND g.win = b.win),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, html_text, jaccard, langid, quality, secrets, urls
+from . import ann, bpe, decontam, html_text, jaccard, langid, quality, secrets, suffixes, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -43,6 +43,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard": op3_jaccard,
         "op4_url_filter": op4_url_filter,
         "op5_bpe": op5_bpe,
+        "op6_repeats": op6_repeats,
         "op7_decontaminate": op7_decontaminate,
         "op8_html_text": op8_html_text,
         "op9_neighbours": op9_neighbours,

@@ -13,18 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+#: ASCII characters that part words become spaces, and A-Z become a-z.
+_PARTS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fixed value: words, before A-Z are lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most terms of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; none for null."""
-    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    lower = F.transform(found, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, _UPPER, _LOWER)))
-    return F.coalesce(lower, F.array().cast("array<string>"))
+    spaced = F.translate(text, _PARTS + _UPPER, " " * len(_PARTS) + _LOWER)  # a plain separator needs no pattern matching
+    return F.coalesce(F.array_remove(F.split(spaced, " ", -1), ""), F.array().cast("array<string>"))
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
@@ -44,7 +43,7 @@ def _small(df: DataFrame) -> tuple[DataFrame, bool]:
 def rarest_terms(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window its rarest term by occurrences in all of ``docs``; windows with an absent term are gone."""
     vocabulary, _ = _small(windows.select(F.explode("win").alias("term")).distinct())
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    tokens = docs.select(F.explode_outer(words_of(F.col("text"))).alias("term"))  # outer: no filter that would make the words twice
     counts = tokens.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     terms = windows.select("item_id", "q", "win", F.posexplode("win").alias("off", "term"))
     rated = terms.join(stage(counts, "term-counts"), "term", "left")
@@ -57,7 +56,7 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The index: term, document, pos, and ctx, the ``reach`` words on each side, with the term at ``at``."""
     terms, small = _small(terms)
     tokens = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), words_of(F.col("text")).alias("_w")).select(
-        "doc_id", "_k", "_w", F.posexplode("_w").alias("pos", "term"))
+        "doc_id", "_k", "_w", F.posexplode_outer("_w").alias("pos", "term"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     ctx = F.slice("_w", low + 1, F.col("pos") - low + reach + 1)
     columns = ["term", "doc_id", "_k", "pos", ctx.alias("ctx"), (F.col("pos") - low).alias("at")]

@@ -1,0 +1 @@
+"""Whole runs made of the operators: indexing and searching."""

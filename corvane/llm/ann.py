@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, stage, unstage
 
-#: Rows of a block of entries and of a block of queries: both sides of one task.
-ENTRY_BLOCK, QUERY_BLOCK = 100_000, 20_000
+#: Least and most rows of a block of entries, and most of a block of queries: both sides of one task.
+LEAST_ENTRIES, MOST_ENTRIES, QUERY_BLOCK = 8_192, 100_000, 20_000
 #: Queries scored at once within a task.
 SCORED = 256
 #: Scores nearer than this are compared again from row-wise sums.
@@ -62,16 +62,16 @@ class MultiIndex:
         h = self.left.shape[1]
         return nearest(x[:, :h], self.left) * len(self.right) + nearest(x[:, h:], self.right)
 
-    def visit(self, query: np.ndarray, budget: float) -> tuple[list[int], list[int]]:
-        """Cells in falling order of summed centroid products until ``budget`` entries, and entries so far at each."""
+    def visit(self, query: np.ndarray, budget: float) -> tuple[list[int], list[int], float]:
+        """Cells in falling order of summed centroid products until ``budget`` entries, entries so far at each, and the last sum."""
         h = self.left.shape[1]
         a, b = self.left @ query[:h], self.right @ query[h:]
         oa, ob = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         a, b = a[oa].tolist(), b[ob].tolist()
-        heap, reach, cells, seen, total = [(-a[0] - b[0], 0, 0)], [0] * len(a), [], [], 0
+        heap, reach, cells, seen, total, last = [(-a[0] - b[0], 0, 0)], [0] * len(a), [], [], 0, np.inf
         reach[0] = 1
         while heap and total < budget:
-            _, i, j = heapq.heappop(heap)
+            last, i, j = heapq.heappop(heap)
             if n := int(self.counts[oa[i], ob[j]]):
                 total += n
                 cells.append(int(oa[i]) * len(b) + int(ob[j]))
@@ -83,7 +83,12 @@ class MultiIndex:
             if i + 1 < len(a) and reach[i + 1] == j:
                 reach[i + 1] = j + 1
                 heapq.heappush(heap, (-a[i + 1] - b[j], i + 1, j))
-        return cells, seen
+        return cells, seen, -last
+
+    def sums(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Per query and cell the summed products with the cell's two centroids."""
+        h, n = self.left.shape[1], len(self.right)
+        return (queries[:, :h] @ self.left.T)[:, cells // n] + (queries[:, h:] @ self.right.T)[:, cells % n]
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
@@ -146,10 +151,23 @@ def _top(ids: list[np.ndarray], scores: np.ndarray, vectors: np.ndarray, query:
     return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
 
+def _with_reach(asked: DataFrame, model: MultiIndex) -> DataFrame:
+    """Add reach to each query: the centroid sum down to which its heap went for its budget of entries."""
+    shared = asked.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            model = shared.value
+            budget = model.share * model.counts.sum()
+            reach = [model.visit(np.frombuffer(v, np.float64), budget)[2] for v in batch.column("qvec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("qvec"), pa.array(reach, pa.float64())], names=["query_id", "qvec", "reach"])
+
+    return asked.select("query_id", "qvec").mapInArrow(run, "query_id long, qvec binary, reach double")
+
+
 def _blocks(left: DataFrame, right: DataFrame, model: MultiIndex, k: int, exact: bool, entry_blocks: int, query_blocks: int) -> DataFrame:
-    """query_id, vec_id, score, cell: per block of entries each query's k best of the cells it visits."""
+    """query_id, vec_id, score, cell: per block of entries each query's k best of the cells within its reach."""
     shared = left.sparkSession.sparkContext.broadcast(model)
-    total = int(model.counts.sum())
 
     def pair(key, queries, entries):
         model = shared.value
@@ -162,20 +180,17 @@ def _blocks(left: DataFrame, right: DataFrame, model: MultiIndex, k: int, exact:
             # equal vectors tie, and of equals only the smallest ids can be among the k best
             ids = [np.sort(all_ids[s:e])[:k + 1] for s, e in zip(first, ends, strict=True)]
             vectors, cells = _unpack([raw[i] for i in first]), entries["cell"].to_numpy()[first]
-            starts = dict(zip(*np.unique(cells, return_index=True), strict=True))
-            bounds = {c: (s, int(np.searchsorted(cells, c, side="right"))) for c, s in starts.items()}
-            names, asked = queries["query_id"].tolist(), _unpack(queries["qvec"].tolist())
+            held, starts = np.unique(cells, return_index=True)
+            bounds = [*starts.tolist(), len(cells)]
+            names, asked, reach = queries["query_id"].tolist(), _unpack(queries["qvec"].tolist()), queries["reach"].to_numpy()
             for at in range(0, len(names), SCORED):
                 part = asked[at:at + SCORED]
                 scores = np.full((len(part), len(vectors)), -np.inf)
-                visits: dict[int, list[int]] = {}
-                for q, vector in enumerate(part):
-                    for c in bounds if exact else model.visit(vector, model.share * total)[0]:
-                        if c in bounds:
-                            visits.setdefault(c, []).append(q)
-                for c, qs in visits.items():
-                    s, e = bounds[c]
-                    scores[qs, s:e] = part[qs] @ vectors[s:e].T
+                within = np.ones((len(part), len(held)), bool) if exact else model.sums(part, held) >= reach[at:at + SCORED, None] - SLACK
+                for c, (s, e) in enumerate(zip(bounds, bounds[1:])):
+                    qs = np.flatnonzero(within[:, c])
+                    if len(qs):
+                        scores[qs, s:e] = part[qs] @ vectors[s:e].T
                 where = {int(i): int(cells[d]) for d, own in enumerate(ids) for i in own} if exact else {}
                 for q, vector in enumerate(part):
                     name = names[at + q]
@@ -184,7 +199,7 @@ def _blocks(left: DataFrame, right: DataFrame, model: MultiIndex, k: int, exact:
 
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "cell"])
 
-    a = right.select(F.col("query_id"), "qvec", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
+    a = right.select("query_id", "qvec", "reach", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
                      F.explode(F.sequence(F.lit(0), F.lit(entry_blocks - 1))).alias("eb")).groupBy("eb", "qb")
     b = left.select("vec_id", "vec", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(entry_blocks)).cast("int").alias("eb"),
                     F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")).groupBy("eb", "qb")
@@ -205,22 +220,21 @@ def search(embeddings: DataFrame, queries: Column, *, k: int = 20, target: float
     which ``tuning`` queries, searched exactly against every entry, would find the share
     ``target`` of their true neighbours.
     """
-    spark = embeddings.sparkSession
     model, index = build(embeddings, **params)
     total = int(model.counts.sum())
     asked = index.filter(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("qvec"))
     asked = stage(asked, "queries")
     n_queries = asked.count()
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRY_BLOCK))
-    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(tuning)
+    width = max(1, -(-total // int(np.clip(total // 64, LEAST_ENTRIES, MOST_ENTRIES))))
+    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(tuning).withColumn("reach", F.lit(0.0))
     true = _best(_blocks(index, sample, model, k, True, width, 1), k).select("query_id", "cell").collect()
     vectors = {r["query_id"]: np.frombuffer(bytes(r["qvec"]), np.float64) for r in sample.collect()}
     needed, orders = [], {}
     for r in true:
         if r["query_id"] not in orders:
-            orders[r["query_id"]] = dict(zip(*model.visit(vectors[r["query_id"]], np.inf), strict=True))
+            orders[r["query_id"]] = dict(zip(*model.visit(vectors[r["query_id"]], np.inf)[:2], strict=True))
         needed.append(orders[r["query_id"]][r["cell"]] / total)
     share = float(np.quantile(needed, target)) if needed else 1.0
     tuned = MultiIndex(model.left, model.right, model.counts, share)
-    found = _blocks(index, asked, tuned, k, False, width, max(1, -(-n_queries // QUERY_BLOCK)))
+    found = _blocks(index, _with_reach(asked, tuned), tuned, k, False, width, max(1, -(-n_queries // QUERY_BLOCK)))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,8 +1,9 @@
 """The n-gram Jaccard join, with signature trees.
 
-Texts are sets of shingle hashes.  Two sets of the wanted similarity share one of the
-rarest fifth of their shingles, so texts that share such a shingle, and whose sizes are
-near enough, are gathered in one candidate group; texts of different groups can't link.
+Texts are sets of shingle hashes.  Two sets of the wanted similarity share several of the
+rarest quarter of their shingles.  A text that shares too few of them with all others has
+no links; the rest are gathered in candidate groups by shared shingles and near sizes, and
+texts of different groups can't link.
 Within a group a signature tree holds OR-combined bitmaps and size ranges, and a dual
 traversal compares only leaves whose bounds allow a link between texts not yet connected.
 Links are verified on the whole sets.
@@ -26,11 +27,18 @@ HEAVY = 1 << 18
 #: A chunk of shingles counted at once, and the documents of a chunk that make one heavy.
 COUNTED, HEAVY_DOCS = 4_000_000, 8
 #: Prefix entries held by a map task and dealt to one reduce group; shingles verified in one task.
-ENTRIES, PER_GROUP, PER_TASK = 1_000_000, 1_000_000, 4_000_000
+ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 1_000_000, 60_000, 1_000_000, 4_000_000
+#: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
+EXTRA = 16
 #: Rows of a side that may be broadcast.
 SMALL = 200_000
 LEAF = 8
+#: A prefix entry as dealt (48 bits of the shingle, place of the class in a table), a shared one, and a chain of sizes.
+_DEALT = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2")])
+_TABLE = np.dtype([("cls", "<i8"), ("n", "<u4")])
+_SHARED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 _ENTRY = np.dtype([("token", "<u8"), ("low", "<u4"), ("high", "<u4"), ("cls", "<i8")])
+_KNOWN = np.uint16(1 << 15)
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -100,40 +108,77 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest.stars()
 
 
-def _candidate_edges(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], groups: int) -> DataFrame:
-    """Edges a, b between classes (d1) whose groups could hold a link."""
+def needed(n: np.ndarray) -> np.ndarray:
+    """Shared prefix entries that a set of n shingles has at least if it is linked.
+
+    Sets that share o shingles share, among the first n - o + k of each in one order, at
+    least k; a partner has 4/5 of the size at least, and so has k for the smaller size.
+    """
+    return np.maximum(1, (4 * n + 4) // 5 // EXTRA)
+
+
+def _cut(part: np.ndarray, rows: np.ndarray):
+    """(part, its rows' bytes) for each part, in order."""
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for s, e in zip(first, [*first[1:], len(part)]):
+        yield int(part[s]), rows[s:e].tobytes()
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
+def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], groups: int, buckets: int) -> DataFrame:
+    """b, data: prefix entries that two classes or more hold, by bucket of the class."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = "p int, edges boolean, data binary"
 
     def prefix(tokens: np.ndarray) -> np.ndarray:
         names, counts = shared.value
         n = len(tokens)
-        k = n - (4 * n + 4) // 5 + 1
+        k = n - (4 * n + 4) // 5 + max(1, n // EXTRA)
         if len(names):
             at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
             weight = np.where(names[at] == tokens, counts[at], 0)
             return tokens[np.lexsort((tokens, weight))[:k]]
         return tokens[:k]
 
+    def bucket(cls: np.ndarray) -> np.ndarray:
+        return (mix(cls.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
     def deal(batches):
         seen: set[int] = set()
-        held, size = [], 0
+        held, owners, table = [], [], []
 
         def flush():
-            a, b, merged = _edges_of(np.concatenate(held))
-            node, root = _forest(a, b)
-            if len(node):
-                yield int(node[0]) % groups, True, np.stack([node, root]).tobytes()
-            part = (merged["token"] % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            merged, part = merged[order], part[order]
-            for s, e in zip(cuts := np.flatnonzero(np.diff(part, prepend=-1)), [*cuts[1:], len(part)], strict=True):
-                yield int(part[s]), False, merged[s:e].tobytes()
-
-        def told(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["p", "edges", "data"])
-
+            names = np.array(table, _TABLE)
+            packed = (np.concatenate(held) & np.uint64(0xFFFFFFFFFFFF0000)) | np.repeat(np.arange(len(owners), dtype=np.uint64), owners)
+            packed.sort()
+            token, doc = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
+            first = _starts(token)
+            local = np.repeat(np.diff(np.append(first, len(token))) > 1, np.diff(np.append(first, len(token))))
+            lead = np.zeros(len(token), bool)
+            lead[first] = True
+            sent = lead | ~local
+            # a shingle that two classes here share is settled here; one entry of it goes on
+            entry = np.empty(int(sent.sum()), _DEALT)
+            entry["high"], entry["low"] = token[sent] >> np.uint64(16), token[sent] & np.uint64(0xFFFF)
+            entry["doc"] = np.where(local[sent], doc[sent] | _KNOWN, doc[sent])
+            for p, blob in _cut((token[sent] % np.uint64(groups)).astype(np.int32), entry):
+                yield p, False, names.tobytes(), blob
+            done = np.empty(int(local.sum()), _SHARED)
+            done["token"], done["cls"], done["n"] = token[local], names["cls"][doc[local]], names["n"][doc[local]]
+            if len(done):
+                yield int(done["token"][0] % np.uint64(groups)), True, b"", done.tobytes()
+
+        def told():
+            rows = list(flush()) if held else []
+            for x in (held, owners, table):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["p", "settled", "classes", "data"])
+
+        size = 0
         for batch in batches:
             for tokens in shingle_sets(batch.column("text")):
                 if not len(tokens):
@@ -145,15 +190,70 @@ def _candidate_edges(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], grou
                     seen.clear()
                 seen.add(cls)
                 chosen = prefix(tokens)
-                entry = np.empty(len(chosen), _ENTRY)
-                entry["token"], entry["low"], entry["high"], entry["cls"] = chosen, len(tokens), len(tokens), cls
-                held.append(entry)
-                size += len(entry)
-                if size > ENTRIES:
-                    yield told(flush())
-                    held, size = [], 0
-        if held:
-            yield told(flush())
+                held.append(chosen)
+                owners.append(len(chosen))
+                table.append((cls, len(tokens)))
+                size += len(chosen)
+                if size > ENTRIES or len(table) >= HELD_DOCS // 2:
+                    yield told()
+                    size = 0
+        yield told()
+
+    def meet(pdf):
+        import pandas as pd
+
+        out, parts = [], []
+        for settled, names, blob in zip(pdf["settled"], pdf["classes"], pdf["data"], strict=True):
+            if settled:
+                done = np.frombuffer(blob, _SHARED)
+                out += _cut(bucket(done["cls"].copy()), done)
+                continue
+            entry, table = np.frombuffer(blob, _DEALT), np.frombuffer(names, _TABLE)
+            doc = entry["doc"] & ~_KNOWN
+            parts.append(((entry["high"].astype(np.uint64) << np.uint64(16)) | entry["low"], table["cls"][doc], table["n"][doc], (entry["doc"] & _KNOWN) > 0))
+        if parts:
+            token, cls, n, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((cls, token))
+            token, cls, n, known = token[order], cls[order], n[order], known[order]
+            first = _starts(token)
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
+            common = (np.add.reduceat(fresh, first) > 1) | (np.add.reduceat(known, first) > 0)
+            keep = np.repeat(common, np.diff(np.append(first, len(token)))) & ~known
+            done = np.empty(int(keep.sum()), _SHARED)
+            done["token"], done["cls"], done["n"] = token[keep], cls[keep], n[keep]
+            out += _cut(bucket(done["cls"].copy()), done)
+        return pd.DataFrame(out, columns=["b", "data"])
+
+    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(deal, "p int, settled boolean, classes binary, data binary")
+    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(meet, "b int, data binary")
+
+
+def _candidate_edges(shared: DataFrame, groups: int) -> DataFrame:
+    """Edges a, b between classes whose groups could hold a link.
+
+    Classes that share fewer prefix entries than a linked one must are left out first.
+    """
+    def sift(pdf):
+        import pandas as pd
+
+        entry = np.concatenate([np.frombuffer(d, _SHARED) for d in pdf["data"]])
+        entry = entry[np.lexsort((entry["token"], entry["cls"]))]
+        fresh = np.ones(len(entry), bool)  # copies of a class in other tasks tell the same entries
+        fresh[1:] = (entry["token"][1:] != entry["token"][:-1]) | (entry["cls"][1:] != entry["cls"][:-1])
+        entry = entry[fresh]
+        first = _starts(entry["cls"])
+        n = np.diff(np.append(first, len(entry)))
+        entry = entry[np.repeat(n >= needed(entry["n"][first].astype(np.int64)), n)]
+        if not len(entry):
+            return pd.DataFrame([], columns=["p", "edges", "data"])
+        chain = np.empty(len(entry), _ENTRY)
+        chain["token"], chain["low"], chain["high"], chain["cls"] = entry["token"], entry["n"], entry["n"], entry["cls"]
+        a, b, merged = _edges_of(chain)
+        node, root = _forest(a, b)
+        out = [(int(node[0]) % groups, True, np.stack([node, root]).tobytes())] if len(node) else []
+        out += [(p, False, blob) for p, blob in _cut((merged["token"] % np.uint64(groups)).astype(np.int32), merged)]
+        return pd.DataFrame(out, columns=["p", "edges", "data"])
 
     def meet(pdf):
         import pandas as pd
@@ -165,8 +265,8 @@ def _candidate_edges(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], grou
         node, root = _forest(np.concatenate([a[keep], *[o[0] for o in old]]), np.concatenate([b[keep], *[o[1] for o in old]]))
         return pd.DataFrame({"a": node, "b": root})
 
-    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(deal, schema)
-    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(meet, "a long, b long")
+    sifted = shared.groupBy("b").applyInPandas(sift, "p int, edges boolean, data binary")
+    return sifted.repartition(groups, "p").groupBy("p").applyInPandas(meet, "a long, b long")
 
 
 class SignatureTree:
@@ -274,9 +374,12 @@ def link(docs: DataFrame) -> DataFrame:
     names = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     heavy = names[order], top["n"].to_numpy(np.int64)[order]
-    entries = sketch.agg(F.coalesce(F.sum(F.floor(F.col("n") / 5) + 1), F.lit(0))).first()[0]
+    entries = sketch.agg(F.coalesce(F.sum(F.floor(F.col("n") / 5) + F.floor(F.col("n") / EXTRA) + 2), F.lit(0))).first()[0]
     groups = shuffle_width(spark, int(entries), PER_GROUP)
-    near = components(_candidate_edges(docs, heavy, groups))
+    shared = stage(_shared_entries(docs, heavy, groups, groups), "shared")
+    release(spark)
+    near = components(_candidate_edges(shared.repartition(groups, "b"), groups))
+    unstage(shared)
     release(spark)
 
     labels = near.select(F.col("node").alias("d1"), F.col("root").alias("comp"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -60,9 +61,14 @@ def unstage(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished phases whose frames are gone."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished phases whose frames are gone.
+
+    The driver's collector has to run twice: for the frames, then for what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:

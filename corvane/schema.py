@@ -29,7 +29,7 @@ CHUNKS = T.StructType([
     T.StructField("symbol_name", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
     T.StructField("last_modified", T.StringType()),
 ])
-COLLECTION = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType(), False))])
+COLLECTION = T.StructType([*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 LEDGER = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("last_modified", T.StringType())])
 CLIPS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("file_path", T.StringType()),

@@ -94,7 +94,7 @@ def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name
     """Add the embedding of ``text``; the embedder is made once in each task."""
     staged = df.withColumn("_text", text)
     kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.FloatType(), False))])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def run(batches):
         embedder = make()

@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.text import detect_language, detect_module, is_text_file
@@ -74,5 +75,5 @@ def with_content(files: DataFrame, config: Config) -> DataFrame:
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "content"])
 
-    schema = files.schema.add("content", "string")
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.StringType())])
     return files.mapInArrow(read, schema).select("file_path", "language", "module", "last_modified", "content")

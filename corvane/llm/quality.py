@@ -79,9 +79,16 @@ def _tree(grad: np.ndarray, hess: np.ndarray, depth: int, penalty: float) -> np.
 
 
 def _pair_tree(grad: np.ndarray, hess: np.ndarray, penalty: float) -> np.ndarray:
-    """One cut along the first feature and one along the second on each side, as a table."""
-    _, at = _cut(grad.sum(axis=1), hess.sum(axis=1), penalty)
+    """The best cut along the first feature when each side may be cut along the second, as a table."""
     out = np.empty_like(grad)
+    top_g, top_h = np.cumsum(grad, axis=0)[:-1], np.cumsum(hess, axis=0)[:-1]
+
+    def gains(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        left_g, left_h, all_g, all_h = np.cumsum(g, axis=1), np.cumsum(h, axis=1), g.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
+        return (left_g ** 2 / (left_h + penalty) + (all_g - left_g) ** 2 / (all_h - left_h + penalty)).max(axis=1)
+
+    total = gains(top_g, top_h) + gains(grad.sum(axis=0) - top_g, hess.sum(axis=0) - top_h) if len(top_g) else np.zeros(0)
+    at = int(np.argmax(total)) + 1 if len(total) else 0
     for rows in (slice(0, at), slice(at, None)):
         if grad[rows].size:
             out[rows] = _tree(grad[rows].sum(axis=0), hess[rows].sum(axis=0), 1, penalty)

@@ -39,7 +39,7 @@ THRESHOLD = 0.5
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
 _STRING = r"""b?"(?:[^"\\\n]|\\.){0,4096}"|b?'(?:[^'\\\n]|\\.){0,4096}'|`(?:[^`\\]|\\.){0,4096}`"""
-_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME})){{0,16}})""")
+_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME})){{0,16}})""")
 _ATOM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})")
 _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 

@@ -1,4 +1,4 @@
-"""``python -m corvane``: init, doctor, index, search, read, status, watch."""
+"""``python -m corvane``: init, doctor, index, search, read, status, watch, serve, tools."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--root", default=".")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("init")
-    for name in ("doctor", "status", "watch"):
+    for name in ("doctor", "status", "watch", "tools"):
         commands.add_parser(name)
+    serve = commands.add_parser("serve")
+    serve.add_argument("--port", type=int, default=7700)
+    serve.add_argument("--watch", action="store_true")
     index = commands.add_parser("index")
     index.add_argument("--full", action="store_true")
     index.add_argument("--dry-run", action="store_true")
@@ -57,10 +60,19 @@ def main(argv: list[str] | None = None) -> int:
             print("\n".join(f"{'ok ' if ok else 'bad'} {name}: {detail}" for name, ok, detail in checks))
             return int(not all(ok for _, ok, _ in checks))
         else:
+            from .serve import http_server, serve_stdio
             from .streaming.watch import watch
 
-            engine.index()
-            watch(spark, config.workspace_root, engine.index, f"{config.collection_path}-watch", on_error=lambda e: print(f"index failed: {e}", file=sys.stderr)).awaitTermination()
+            engine.collection.ensure()
+            if args.command == "watch" or getattr(args, "watch", False):
+                engine.index()
+                stream = watch(spark, config.workspace_root, engine.index, f"{config.collection_path}-watch", on_error=lambda e: print(f"index failed: {e}", file=sys.stderr))
+            if args.command == "watch":
+                stream.awaitTermination()
+            elif args.command == "serve":
+                http_server(engine, args.port).serve_forever()
+            else:
+                serve_stdio(engine)
     except RequestError as e:
         print(e, file=sys.stderr)
         return 1

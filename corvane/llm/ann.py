@@ -68,21 +68,17 @@ class MultiIndex:
         a, b = self.left @ query[:h], self.right @ query[h:]
         oa, ob = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         a, b = a[oa].tolist(), b[ob].tolist()
-        heap, reach, cells, seen, total, last = [(-a[0] - b[0], 0, 0)], [0] * len(a), [], [], 0, np.inf
-        reach[0] = 1
+        heap, pushed, cells, seen, total, last = [(-a[0] - b[0], 0, 0)], {(0, 0)}, [], [], 0, np.inf
         while heap and total < budget:
             last, i, j = heapq.heappop(heap)
             if n := int(self.counts[oa[i], ob[j]]):
                 total += n
                 cells.append(int(oa[i]) * len(b) + int(ob[j]))
                 seen.append(total)
-            # (i, j+1) once (i-1, j+1) is out, and (i+1, j) once (i+1, j-1) is: each pair enters once
-            if j + 1 < len(b) and (i == 0 or reach[i - 1] >= j + 2):
-                reach[i] = max(reach[i], j + 2)
-                heapq.heappush(heap, (-a[i] - b[j + 1], i, j + 1))
-            if i + 1 < len(a) and reach[i + 1] == j:
-                reach[i + 1] = j + 1
-                heapq.heappush(heap, (-a[i + 1] - b[j], i + 1, j))
+            for x, y in ((i + 1, j), (i, j + 1)):
+                if x < len(a) and y < len(b) and (x, y) not in pushed:
+                    pushed.add((x, y))
+                    heapq.heappush(heap, (-a[x] - b[y], x, y))
         return cells, seen, -last
 
     def sums(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import detect_language, detect_module, hash_id, is_text_file, tokens
 from .operators import chunk, clips, diff, render, search, slices
+from .operators.bursts import bursts
 from .operators.sections import section_rows
 from .sources.embedders import HashingEmbedder, embed_column, embed_query, passage
 from .sources.ignore import ignored, watched
@@ -497,7 +498,7 @@ SELECT {names}count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM
 
 @query(_sessions_sql())
 def q_debounce_sessions(spark, sf_dir):
-    return sessions(_table(spark, sf_dir, "events"), "10 minutes")
+    return bursts(_table(spark, sf_dir, "events"), 600)
 
 
 @query(_sessions_sql("user_id"))

@@ -143,3 +143,17 @@ def test_watch_runs_after_a_change(spark, tmp_path):
         assert len(runs) >= 2 and len(errors) == 1 and query.exception() is None
     finally:
         query.stop()
+
+
+@pytest.mark.parametrize("bucket", [1, 60, 3600, 10**6])
+def test_bursts_match_session_windows(spark, bucket):
+    from corvane.operators.bursts import bursts
+    from corvane.streaming.watch import sessions
+
+    rnd, t, rows = random.Random(6), 1_700_000_000.0, []
+    for _ in range(300):
+        t += rnd.choice([0.0, 1.0, 9.9, 10.0, 10.1, 500.0])
+        rows.append((t,))
+    events = spark.createDataFrame(rows, "s double").selectExpr("timestamp_micros(cast(s * 1000000 as bigint)) AS ts")
+    want = sorted(map(tuple, sessions(events, "10 seconds").collect()))
+    assert sorted(map(tuple, bursts(events, 10, bucket_seconds=bucket).collect())) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -71,6 +73,40 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def trim() -> None:
+    """Give freed memory of this worker back to the system: an idle worker stays, and shares its executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over Arrow batches, trimmed at its end."""
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
+def lean_group(work: Callable) -> Callable:
+    """``work`` on one group, trimmed at its end."""
+    def one(pdf):
+        out = work(pdf)
+        trim()
+        return out
+
+    def two(left, right):
+        out = work(left, right)
+        trim()
+        return out
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` records at ``per_task`` each, at least the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
@@ -99,4 +135,4 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fie
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(arrays + fn(batch), names=kept + new)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

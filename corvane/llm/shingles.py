@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Words of a shingle.
 WIDTH = 5
 #: Text bytes hashed at once (a single longer text is hashed whole).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20_010_911)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, shuffle_width, stage, unstage
+from .common import bound_batches, lean, lean_group, release, shuffle_width, stage, unstage
 from .shingles import chunks, mix, powers, text_buffer
 
 #: Bytes of a repeat; of an anchor's key; bytes that may stand before an anchor in a repeat.
@@ -27,9 +27,9 @@ LEFT = NEED - KMER
 #: Bytes of the small strings among which the least hash places the anchor.
 TMER = 5
 #: Anchors and documents held by a map task before it deals them out.
-HELD, HELD_DOCS = 1_500_000, 60_000
+HELD, HELD_DOCS = 800_000, 60_000
 #: Anchors of one reduce group; text bytes of one bucket of documents or runs.
-PER_GROUP, BUCKET_BYTES = 1_500_000, 16 << 20
+PER_GROUP, BUCKET_BYTES = 800_000, 8 << 20
 #: Bytes of a text looked at once.
 PIECE = 1 << 20
 _LAST_ID = np.iinfo(np.int64).max
@@ -198,8 +198,8 @@ def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             out += _cut(bucket_of(place["id"].copy(), place["crc"], buckets), place)
         return pd.DataFrame(out, columns=["b", "data"])
 
-    dealt = docs.mapInArrow(deal, "p int, settled boolean, docs binary, data binary")
-    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(meet, "b int, data binary")
+    dealt = docs.mapInArrow(lean(deal), "p int, settled boolean, docs binary, data binary")
+    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, data binary")
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
             b = bucket_of(_ids(batch.column("doc_id")), crcs, buckets)
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(crcs.astype(np.int64)), batch.column("doc_id"), batch.column("text")], names=["b", "crc", "doc_id", "text"])
 
-    return docs.mapInArrow(run, "b int, crc long, doc_id long, text string").repartition(buckets, "b")
+    return docs.mapInArrow(lean(run), "b int, crc long, doc_id long, text string").repartition(buckets, "b")
 
 
 def _union(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def _runs(docs: DataFrame, places: DataFrame, parts: int) -> DataFrame:
                 out.append((int(part[k[0]]), True, _pack_run(context[k, LEFT:], context[k, :LEFT], la[k], ra[k], place[k])))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(names)], schema=names)
 
-    return docs.groupBy("b").cogroup(places.groupBy("b")).applyInArrow(work, "r int, run boolean, data binary")
+    return docs.groupBy("b").cogroup(places.groupBy("b")).applyInArrow(lean_group(work), "r int, run boolean, data binary")
 
 
 def _beaten_spans(context: np.ndarray, group: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,16 +374,20 @@ def _beaten_spans(context: np.ndarray, group: np.ndarray, la: np.ndarray, ra: np
     n = len(context)
     low, high = np.full(n, NEED, np.int64), np.full(n, -1, np.int64)
     up, down = powers(LEFT + NEED + 1)
-    sums = np.zeros((n, LEFT + NEED + 1), np.uint64)
-    for s in range(0, n, 50_000):
-        np.cumsum(_RAW[context[s:s + 50_000]] * up[:LEFT + NEED], axis=1, out=sums[s:s + 50_000, 1:])
     salt = mix(group.astype(np.uint64))
+    hashes = np.empty((LEFT + 1, n), np.uint64)  # of the window that begins o bytes before the anchor
+    for s in range(0, n, 20_000):
+        part = context[s:s + 20_000]
+        sums = np.zeros((len(part), LEFT + NEED + 1), np.uint64)
+        np.cumsum(_RAW[part] * up[:LEFT + NEED], axis=1, out=sums[:, 1:])
+        for o in range(LEFT + 1):
+            at = LEFT - o
+            hashes[o, s:s + 20_000] = mix((sums[:, at + NEED] - sums[:, at]) * down[at] + salt[s:s + 20_000])
     for o in range(LEFT + 1):
         k = np.flatnonzero((la >= o) & (ra >= NEED - o))
         if not len(k):
             continue
-        at = LEFT - o
-        h = mix((sums[k, at + NEED] - sums[k, at]) * down[at] + salt[k])
+        h = hashes[o, k]
         order = np.argsort(h, kind="stable")
         h, k = h[order], k[order]
         first = _groups(h)
@@ -425,7 +429,7 @@ def _spans(runs: DataFrame, buckets: int) -> DataFrame:
             out += _cut(bucket_of(spans["id"].copy(), spans["crc"], buckets), spans)
         return pd.DataFrame(out, columns=["b", "data"])
 
-    return runs.groupBy("r").applyInPandas(work, "b int, data binary")
+    return runs.groupBy("r").applyInPandas(lean_group(work), "b int, data binary")
 
 
 def _kept(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -454,7 +458,7 @@ def _kept(docs: DataFrame, spans: DataFrame) -> DataFrame:
             rows.append((doc_id.as_py(), len(raw), n, len(found), sha.hexdigest()))
         return pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(lean_group(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

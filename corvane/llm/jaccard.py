@@ -18,27 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release, shuffle_width, stage, unstage
+from .common import bound_batches, lean, lean_group, release, shuffle_width, stage, unstage
 from .graph import Forest, components
 from .shingles import mix, shingle_sets
 
 #: Shingles told apart by frequency when they are ordered; others count as rare.
 HEAVY = 1 << 18
 #: A chunk of shingles counted at once, and the documents of a chunk that make one heavy.
-COUNTED, HEAVY_DOCS = 4_000_000, 8
+COUNTED, HEAVY_DOCS = 2_000_000, 8
 #: Prefix entries held by a map task and dealt to one reduce group; shingles verified in one task.
-ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 1_000_000, 60_000, 1_000_000, 4_000_000
+ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 600_000, 60_000, 600_000, 4_000_000
 #: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
 EXTRA = 16
 #: Rows of a side that may be broadcast.
 SMALL = 200_000
-LEAF = 8
-#: A prefix entry as dealt (48 bits of the shingle, place of the class in a table), a shared one, and a chain of sizes.
-_DEALT = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2")])
+LEAF, FANOUT = 64, 8
+#: A prefix entry as dealt (48 bits of the shingle, places in a table of the smallest and largest class of a chain), a shared
+#: one, and a chain of sizes.
+_DEALT = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2"), ("last", "<u2")])
 _TABLE = np.dtype([("cls", "<i8"), ("n", "<u4")])
 _SHARED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 _ENTRY = np.dtype([("token", "<u8"), ("low", "<u4"), ("high", "<u4"), ("cls", "<i8")])
-_KNOWN = np.uint16(1 << 15)
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -77,7 +77,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
         if held:
             yield heavy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, token long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, token long")
 
 
 def _edges_of(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +112,11 @@ def needed(n: np.ndarray) -> np.ndarray:
     """Shared prefix entries that a set of n shingles has at least if it is linked.
 
     Sets that share o shingles share, among the first n - o + k of each in one order, at
-    least k; a partner has 4/5 of the size at least, and so has k for the smaller size.
+    least k; a partner has 4/5 of the size at least, and so has k for the smaller size.  One
+    less is asked of large sets, as two of their shingles may agree in the 48 bits dealt.
     """
-    return np.maximum(1, (4 * n + 4) // 5 // EXTRA)
+    k = (4 * n + 4) // 5 // EXTRA
+    return np.maximum(1, k - (k > 8))
 
 
 def _cut(part: np.ndarray, rows: np.ndarray):
@@ -131,7 +133,7 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], groups: int, buckets: int) -> DataFrame:
-    """b, data: prefix entries that two classes or more hold, by bucket of the class."""
+    """b, data: prefix entries that a class of near size holds as well, by bucket of the class."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def prefix(tokens: np.ndarray) -> np.ndarray:
@@ -153,22 +155,24 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
 
         def flush():
             names = np.array(table, _TABLE)
-            packed = (np.concatenate(held) & np.uint64(0xFFFFFFFFFFFF0000)) | np.repeat(np.arange(len(owners), dtype=np.uint64), owners)
-            packed.sort()
-            token, doc = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
-            first = _starts(token)
-            local = np.repeat(np.diff(np.append(first, len(token))) > 1, np.diff(np.append(first, len(token))))
-            lead = np.zeros(len(token), bool)
-            lead[first] = True
-            sent = lead | ~local
-            # a shingle that two classes here share is settled here; one entry of it goes on
-            entry = np.empty(int(sent.sum()), _DEALT)
-            entry["high"], entry["low"] = token[sent] >> np.uint64(16), token[sent] & np.uint64(0xFFFF)
-            entry["doc"] = np.where(local[sent], doc[sent] | _KNOWN, doc[sent])
-            for p, blob in _cut((token[sent] % np.uint64(groups)).astype(np.int32), entry):
+            token = np.concatenate(held) >> np.uint64(16)
+            doc = np.repeat(np.arange(len(owners), dtype=np.uint16), owners)
+            order = np.lexsort((names["n"][doc], token))
+            token, doc = token[order], doc[order]
+            n = names["n"][doc].astype(np.int64)
+            near = np.zeros(len(token) + 1, bool)  # to the entry before, of no larger size
+            near[1:-1] = (token[1:] == token[:-1]) & (4 * n[1:] <= 5 * n[:-1])
+            local = near[:-1] | near[1:]
+            first = np.flatnonzero(~near[:-1])
+            last = np.append(first[1:], len(token)) - 1
+            # entries with a partner here are settled; their chain goes on as one entry
+            entry = np.empty(len(first), _DEALT)
+            entry["high"], entry["low"] = token[first] >> np.uint64(16), token[first] & np.uint64(0xFFFF)
+            entry["doc"], entry["last"] = doc[first], doc[last]
+            for p, blob in _cut((token[first] % np.uint64(groups)).astype(np.int32), entry):
                 yield p, False, names.tobytes(), blob
             done = np.empty(int(local.sum()), _SHARED)
-            done["token"], done["cls"], done["n"] = token[local], names["cls"][doc[local]], names["n"][doc[local]]
+            done["token"], done["cls"], done["n"] = token[local], names["cls"][doc[local]], n[local]
             if len(done):
                 yield int(done["token"][0] % np.uint64(groups)), True, b"", done.tobytes()
 
@@ -194,7 +198,7 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
                 owners.append(len(chosen))
                 table.append((cls, len(tokens)))
                 size += len(chosen)
-                if size > ENTRIES or len(table) >= HELD_DOCS // 2:
+                if size > ENTRIES or len(table) >= HELD_DOCS:
                     yield told()
                     size = 0
         yield told()
@@ -209,24 +213,29 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
                 out += _cut(bucket(done["cls"].copy()), done)
                 continue
             entry, table = np.frombuffer(blob, _DEALT), np.frombuffer(names, _TABLE)
-            doc = entry["doc"] & ~_KNOWN
-            parts.append(((entry["high"].astype(np.uint64) << np.uint64(16)) | entry["low"], table["cls"][doc], table["n"][doc], (entry["doc"] & _KNOWN) > 0))
+            parts.append(((entry["high"].astype(np.uint64) << np.uint64(16)) | entry["low"], table["cls"][entry["doc"]], table["n"][entry["doc"]].astype(np.int64),
+                          table["n"][entry["last"]].astype(np.int64), entry["doc"] != entry["last"]))
         if parts:
-            token, cls, n, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((cls, token))
-            token, cls, n, known = token[order], cls[order], n[order], known[order]
-            first = _starts(token)
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
-            common = (np.add.reduceat(fresh, first) > 1) | (np.add.reduceat(known, first) > 0)
-            keep = np.repeat(common, np.diff(np.append(first, len(token)))) & ~known
+            token, cls, n, high, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((known, cls, n, token))
+            token, cls, n, high, known = token[order], cls[order], n[order], high[order], known[order]
+            fresh = np.ones(len(token), bool)  # a class told by several tasks is no partner of itself
+            fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | known[1:] | known[:-1]
+            token, cls, n, high, known = token[fresh], cls[fresh], n[fresh], high[fresh], known[fresh]
+            segment = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) << 32
+            reach = np.maximum.accumulate(segment + high) - segment
+            same = token[1:] == token[:-1]
+            near = np.zeros(len(token), bool)
+            near[1:] = same & (4 * n[1:] <= 5 * reach[:-1])
+            near[:-1] |= same & (4 * n[1:] <= 5 * high[:-1])
+            keep = near & ~known
             done = np.empty(int(keep.sum()), _SHARED)
             done["token"], done["cls"], done["n"] = token[keep], cls[keep], n[keep]
             out += _cut(bucket(done["cls"].copy()), done)
         return pd.DataFrame(out, columns=["b", "data"])
 
-    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(deal, "p int, settled boolean, classes binary, data binary")
-    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(meet, "b int, data binary")
+    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(lean(deal), "p int, settled boolean, classes binary, data binary")
+    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, data binary")
 
 
 def _candidate_edges(shared: DataFrame, groups: int) -> DataFrame:
@@ -265,8 +274,8 @@ def _candidate_edges(shared: DataFrame, groups: int) -> DataFrame:
         node, root = _forest(np.concatenate([a[keep], *[o[0] for o in old]]), np.concatenate([b[keep], *[o[1] for o in old]]))
         return pd.DataFrame({"a": node, "b": root})
 
-    sifted = shared.groupBy("b").applyInPandas(sift, "p int, edges boolean, data binary")
-    return sifted.repartition(groups, "p").groupBy("p").applyInPandas(meet, "a long, b long")
+    sifted = shared.groupBy("b").applyInPandas(lean_group(sift), "p int, edges boolean, data binary")
+    return sifted.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "a long, b long")
 
 
 class SignatureTree:
@@ -274,30 +283,32 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        bits = int(np.clip(1 << int(np.ceil(np.log2(4 * max(np.median(sizes), 16)))), 64, 1 << 16))
-        maps = np.zeros((len(sets), bits // 8), np.uint8)
-        for row, s in zip(maps, sets, strict=True):
-            hashed = np.zeros(bits, bool)
-            hashed[(s % np.uint64(bits)).astype(np.int64)] = True
-            row[:] = np.packbits(hashed)
-        hidden = sizes - np.bitwise_count(maps).sum(axis=1)
-        order = sorted(range(len(sets)), key=lambda i: (int(sizes[i]).bit_length(), int(sets[i][0]), int(sizes[i])))
-        # a level lists nodes as (bitmap, least size, most size, most hidden, first place, end place, children)
-        level = [self._node([(maps[i], sizes[i], sizes[i], hidden[i], k, k + 1, None) for k, i in enumerate(order[at:at + LEAF], at)], leaf=True)
-                 for at in range(0, len(order), LEAF)]
+        self.sizes = sizes = np.array([len(s) for s in sets], np.int64)
+        bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(sizes))), 8, 16))
+        self.maps = np.zeros((len(sets), bits // 64), np.uint64)
+        for row, s in zip(self.maps, sets, strict=True):
+            hashed = np.zeros(bits, np.uint8)
+            hashed[(s % np.uint64(bits)).astype(np.int64)] = 1
+            row[:] = np.packbits(hashed).view(np.uint64)
+        self.hidden = sizes - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
+        # like sets side by side: of near size, then by their least token
+        band = np.floor(np.log(sizes) / np.log(1.25))
+        self.order = np.lexsort((sizes, np.array([s[0] for s in sets], np.uint64), band))
+        level = [self._node(self.order[at:at + LEAF], at, None) for at in range(0, len(sets), LEAF)]
         while len(level) > 1:
-            level = [self._node(level[at:at + LEAF]) for at in range(0, len(level), LEAF)]
-        self.root, self.order, self.sizes = level[0], order, sizes.tolist()
+            groups = [level[at:at + FANOUT] for at in range(0, len(level), FANOUT)]
+            level = [self._node(self.order[g[0][4]:g[-1][5]], g[0][4], g) for g in groups]
+        self.root = level[0]
 
-    @staticmethod
-    def _node(parts: list, leaf: bool = False) -> tuple:
-        return (np.bitwise_or.reduce([p[0] for p in parts]), int(min(p[1] for p in parts)), int(max(p[2] for p in parts)),
-                int(max(p[3] for p in parts)), parts[0][4], parts[-1][5], parts)
+    def _node(self, members: np.ndarray, at: int, kids: list | None) -> tuple:
+        """(bitmap, least size, most size, most hidden, first place, end place, children)."""
+        bitmap = np.bitwise_or.reduce([k[0] for k in kids] if kids else self.maps[members])
+        sizes = self.sizes[members]
+        return bitmap, int(sizes.min()), int(sizes.max()), int(self.hidden[members].max()), at, at + len(members), kids
 
     def connect(self) -> Forest:
         """Union-find over the sets' numbers after joining every linked pair, directly or through others."""
-        forest, order = Forest(), self.order
+        forest = Forest()
         stack = [(self.root, self.root)]
         while stack:
             x, y = stack.pop()
@@ -308,24 +319,34 @@ class SignatureTree:
                 most = int(np.bitwise_count(x[0] & y[0]).sum()) + min(x[3], y[3])
                 if 5 * most < 4 * least:
                     continue
-                root = forest.find(order[x[4]])
-                if all(forest.find(order[k]) == root for n in (x, y) for k in range(n[4], n[5])):
+                root = forest.find(int(self.order[x[4]]))
+                if all(forest.find(int(i)) == root for n in (x, y) for i in self.order[n[4]:n[5]]):
                     continue
-            if x[6] is None:  # two sets
-                if x is not y:
-                    i, j = order[x[4]], order[y[4]]
-                    if forest.find(i) != forest.find(j):
-                        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-                        if linked(common, self.sizes[i], self.sizes[j]):
-                            forest.join(i, j)
+            if x[6] is None and y[6] is None:
+                self._compare(forest, x, y)
             elif x is y:
                 kids = x[6]
                 stack += [(a, b) for k, a in enumerate(kids) for b in kids[k + 1:]]
                 stack += [(a, a) for a in kids]  # on top: a node's own links come first
             else:
-                stack += [(a, b) for a in x[6] for b in (y[6] or [y])]
+                stack += [(a, b) for a in (x[6] or [x]) for b in (y[6] or [y])]
         return forest
 
+    def _compare(self, forest: Forest, x: tuple, y: tuple) -> None:
+        """Two leaves: bounds of all pairs at once, then the sets of those that may link and aren't connected yet."""
+        right = self.order[y[4]:y[5]]
+        b, hidden = self.sizes[right], self.hidden[right]
+        for place in range(x[4], x[5]):
+            i = int(self.order[place])
+            a = int(self.sizes[i])
+            most = np.bitwise_count(self.maps[right] & self.maps[i]).sum(axis=1, dtype=np.int64) + np.minimum(hidden, self.hidden[i])
+            may = (9 * np.minimum(most, np.minimum(a, b)) >= 4 * (a + b))
+            if x is y:
+                may &= np.arange(y[4], y[5]) > place
+            for j in right[may].tolist():
+                if forest.find(i) != forest.find(j) and linked(len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)), a, int(self.sizes[j])):
+                    forest.join(i, j)
+
 
 def _verified(candidates: DataFrame) -> DataFrame:
     """Edges a, b of verified links, as stars for each group; rows (grp, cls, tokens) come sorted by group."""
@@ -353,7 +374,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
         found = close()
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-    return candidates.mapInArrow(run, "a long, b long")
+    return candidates.mapInArrow(lean(run), "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -386,16 +407,17 @@ def link(docs: DataFrame) -> DataFrame:
     labels = labels.unionByName(labels.select(F.col("comp").alias("d1"), "comp").distinct())
     classes = sketch.filter(F.col("n") > 0).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"))
     members = stage(classes.join(labels, "d1"), "members")
-    # groups beyond one task's memory are split by size band and hash; each pair of blocks within reach meets
-    large = members.groupBy("comp").agg(F.sum("n").alias("total")).filter(F.col("total") > PER_TASK)
-    large = large.select("comp", F.ceil(F.col("total") / PER_TASK).cast("int").alias("blocks"))
-    placed = members.join(large, "comp", "left")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    # groups beyond one task's memory are split: linked sets meet in the octave of the smaller one, in a pair of hash blocks
+    large = members.groupBy("comp").agg(F.sum("n").alias("total")).filter(F.col("total") > PER_TASK).select("comp", F.lit(True).alias("large"))
+    octave = lambda x: F.floor(F.log2(x)).cast("int")
+    bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
+    banded = members.join(large, "comp", "left").withColumn("band", F.explode(bands))
+    blocks = banded.filter("large").groupBy("comp", "band").agg(F.ceil(F.sum("n") / PER_TASK).cast("int").alias("blocks"))
+    placed = banded.join(blocks, ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int")
-    keys = F.when(F.col("blocks").isNull(), F.array(F.concat_ws("/", "comp"))).otherwise(F.flatten(F.transform(
-        F.array(band - 1, band), lambda s: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: F.concat_ws(
-            "/", "comp", s.cast("string"), F.least(own, h).cast("string"), F.greatest(own, h).cast("string"))))))
-    placed = placed.select("d1", "d2", "first", keys.alias("keys"))
+    keys = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: F.concat_ws(
+        "/", "comp", "band", F.least(own, h).cast("string"), F.greatest(own, h).cast("string")))
+    placed = placed.select("d1", "d2", "first", keys.alias("keys")).groupBy("d1", "d2", "first").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     small = members.limit(SMALL + 1).count() <= SMALL
     right = placed.select(F.col("first").alias("_first"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "keys")
     fetched = docs.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("_first")))
@@ -411,7 +433,7 @@ def link(docs: DataFrame) -> DataFrame:
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("keys"), part.column("_d1"), part.column("_d2"), pa.array(blobs, pa.binary())], names=["keys", "cls", "d2", "tokens"])
 
-    loaded = fetched.select("text", "_d1", "_d2", "keys").mapInArrow(sets, "keys array<string>, cls long, d2 long, tokens binary")
+    loaded = fetched.select("text", "_d1", "_d2", "keys").mapInArrow(lean(sets), "keys array<string>, cls long, d2 long, tokens binary")
     dealt = loaded.select(F.explode("keys").alias("grp"), "cls", "tokens")
     width = shuffle_width(spark, int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), PER_TASK)
     links = components(_verified(dealt.repartition(width, "grp").sortWithinPartitions("grp", "cls")))

@@ -120,6 +120,37 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+ORACLE_SQL["op3_jaccard"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS k FROM cut WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 5], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+ORACLE_SQL["op6_repeats"] = r"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+texts AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n_bytes FROM raw),
+places AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS k FROM texts)),
+owners AS (SELECT win, min(doc_id) AS owner FROM places GROUP BY win),
+hits AS (SELECT doc_id, k FROM places JOIN owners USING (win) WHERE doc_id > owner),
+marked AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER w > 50 THEN 1 ELSE 0 END AS new FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+grouped AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM marked),
+runs AS (SELECT doc_id, g, min(k) AS s, max(k) + 50 AS e FROM grouped GROUP BY ALL),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head, max(e) AS tail
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:

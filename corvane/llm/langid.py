@@ -99,9 +99,15 @@ def fit(docs: DataFrame, *, docs_per_lang: int = 2000, bits: int = 15, alpha: fl
     bound_batches(spark)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                          & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (usable.select("lang", "doc_id").withColumn("_r", F.row_number().over(order))
-           .filter(F.col("_r") <= docs_per_lang).select("doc_id").distinct())
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} language labels")
+    sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in counts], "lang string, _n long"))
+    hashed = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h")).join(sizes, "lang")
+    # a hash below this bound leaves about half as many again as are wanted, so that the ranking sees few rows
+    thinned = hashed.filter(F.col("_h") * F.col("_n") < F.lit(1.5 * docs_per_lang * (1 << 30)))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = thinned.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_lang).select("doc_id").distinct()
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").repartition(8)
 
     def count(batches):
@@ -117,8 +123,6 @@ def fit(docs: DataFrame, *, docs_per_lang: int = 2000, bits: int = 15, alpha: fl
 
     parts = sample.select("lang", "text").mapInArrow(count, "lang string, n long, counts binary").collect()
     langs = tuple(sorted({r["lang"] for r in parts}))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} language labels; at most {MAX_LANGS} are supported")
     counts, n = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
     for r in parts:
         k = langs.index(r["lang"])

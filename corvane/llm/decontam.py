@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """item_id, q (place in the item) and win: each run of ``width`` words, or a shorter item whole."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - width, F.lit(0))
     return items.select("item_id", F.explode(F.sequence(F.lit(0), last)).alias("q"), "w").select(
         "item_id", "q", F.slice("w", F.col("q") + 1, F.lit(width)).alias("win"))
@@ -94,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) ->
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document.
 
     A word inside any exact occurrence of a window is hit.  Null and empty texts have no
-    words; null items and items without words have no windows; repeated rows are each
+    words; items without an id or without words have no windows; repeated rows are each
     judged; other columns are ignored.
     """
     found = find_matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), width=width)

@@ -38,8 +38,8 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|cha
 THRESHOLD = 0.5
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
-_STRING = r"""b?"(?:[^"\\\n]|\\.){0,4096}"|b?'(?:[^'\\\n]|\\.){0,4096}'|`(?:[^`\\]|\\.){0,4096}`"""
-_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME})){{0,16}})""")
+_STRING = r"""b?"(?:[^"\\\n]++|\\.)*+"|b?'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
+_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME}))*)""")
 _ATOM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})")
 _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -95,7 +95,7 @@ def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]
     found: set[tuple[int, int]] = set()
     for name, literals, names in lex_pairs(text):
         values = literals + [v for n in names for v in known.get(n, ())]
-        values = list(dict.fromkeys(values))[:64]
+        values = list(dict.fromkeys(values))
         if values:
             known[name] = values
         weight = sensitivity(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import detect_language, detect_module, hash_id, is_text_file, tokens
-from .operators import chunk, clips, diff, render, search, slices
+from .operators import chunk, clips, diff, ivf, render, search, slices
 from .operators.bursts import bursts
 from .operators.sections import section_rows
 from .sources.embedders import HashingEmbedder, embed_column, embed_query, passage
@@ -264,6 +264,14 @@ def q_vector_topk_fast(spark, sf_dir):
     return out.select("id", F.round("score", 4).alias("score"))
 
 
+@query(f"WITH {_top_sql(20)} SELECT id, round(score, 4) AS score FROM top")
+def q_vector_topk_cells(spark, sf_dir):
+    """The search over a cell index; with every cell visited it is exact."""
+    rows = _embeddings(spark, sf_dir)
+    index, asked = ivf.fit_cells(rows, 32), _vector(spark, sf_dir)
+    return ivf.search_cells(ivf.with_cells(rows, index), index, asked, 20, probes=32).select("id", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {_top_sql(10, 'WHERE label = 3')} SELECT id, label, round(score, 4) AS score FROM top")
 def q_vector_topk_filtered(spark, sf_dir):
     kept = search.pre_filter(_embeddings(spark, sf_dir), {"label": 3, "module": ""})

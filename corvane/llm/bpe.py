@@ -13,6 +13,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,8 +24,10 @@ from .common import map_texts
 
 #: Longest word, in parts, for the scanned array.
 SHORT = 128
-#: Words whose encoding a worker remembers; the memory is emptied when full.
+#: Words, and texts between spaces, whose encoding a worker remembers; a memory is emptied when full.
 CACHE_WORDS = 200_000
+#: Control characters at which Python's own split parts and the tokenizer doesn't.
+_NO_SPACE = regex.compile(r"[\x1c-\x1f]")
 _NEVER = 1 << 30
 #: White space of the tokenizer's pattern, and the pattern itself.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,9 +42,9 @@ def _byte_letters() -> list[str]:
 
 
 class WordBpe(dict):
-    """An encoder and decoder for word-end BPE files; as a dict it remembers words.
+    """An encoder and decoder for word-end BPE files; as a dict it remembers texts between spaces.
 
-    Maps a normalised word to (ids as little-endian uint32, decoded text).
+    Maps such a text, normalised, to (ids as little-endian uint32, decoded text).
     """
 
     def __init__(self, spec: str):
@@ -61,6 +64,7 @@ class WordBpe(dict):
         self.inner = [self.vocab.get(c, -1) for c in letters]
         self.final = [self.vocab.get(c + self.suffix, -1) for c in letters]
         self.words = regex.compile(_WORDS)
+        self.known: dict[str, tuple[bytes, str]] = {}
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     # -- one word ---------------------------------------------------------------------
@@ -109,13 +113,23 @@ class WordBpe(dict):
                     heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = self.word_ids(word)
-        value = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+    def _word(self, word: str) -> tuple[bytes, str]:
+        if (value := self.known.get(word)) is None:
+            ids = self.word_ids(word)
+            value = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            if len(word) <= SHORT:
+                self.known[word] = value
+        return value
+
+    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+        pairs = [p for p in map(self._word, self.words.findall(chunk)) if p[0]]
+        value = pairs[0] if len(pairs) == 1 else (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(word) <= SHORT:
-            self[word] = value
+        if len(chunk) <= SHORT:
+            self[chunk] = value
         return value
 
     # -- whole texts --------------------------------------------------------------------
@@ -133,10 +147,10 @@ class WordBpe(dict):
         marks = [*self.split.finditer(text)] if self.split else []
         for mark in [*marks, None]:
             piece = text[at:mark.start() if mark else len(text)]
-            for pair in map(get, self.words.findall(self._normal(piece))):
-                if pair[0]:
-                    ids.append(pair[0])
-                    said.append(pair[1])
+            piece = self._normal(piece)  # no word holds a space
+            pairs = list(map(get, piece.split())) if not _NO_SPACE.search(piece) else [self.__missing__(piece)]
+            ids += [p[0] for p in pairs]
+            said += [p[1] for p in pairs if p[0]]
             if mark:
                 ids.append(struct.pack("<I", self.special[mark[0]]))
                 said.append(mark[0])
@@ -152,6 +166,12 @@ class WordBpe(dict):
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+@lru_cache(2)
+def _loaded(spec: str) -> WordBpe:
+    """The model of a file's text; it stays in the worker, and so do the words it knows."""
+    return WordBpe(spec)
+
+
 def encode_documents(docs: DataFrame, spec_path: str, *, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; optionally the ids.
 
@@ -160,12 +180,8 @@ def encode_documents(docs: DataFrame, spec_path: str, *, with_ids: bool = False)
     """
     with open(spec_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    held: list[WordBpe] = []
-
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        if not held:
-            held.append(WordBpe(spec.value))
-        model, n, ids_hash, text_hash, ids = held[0], [], [], [], []
+        model, n, ids_hash, text_hash, ids = _loaded(spec.value), [], [], [], []
         for text in batch.column(batch.schema.get_field_index("text")):
             packed, said = model.encode_both(text.as_py())
             n.append(len(packed) // 4)

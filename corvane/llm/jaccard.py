@@ -33,6 +33,8 @@ EXTRA = 16
 #: Rows of a side that may be broadcast.
 SMALL = 200_000
 LEAF, FANOUT = 64, 8
+#: Sets of a split group that stand in each of its blocks, about.
+PIVOTS = 64
 #: A prefix entry as dealt (48 bits of the shingle, places in a table of the smallest and largest class of a chain), a shared
 #: one, and a chain of sizes.
 _DEALT = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2"), ("last", "<u2")])
@@ -306,9 +308,14 @@ class SignatureTree:
         sizes = self.sizes[members]
         return bitmap, int(sizes.min()), int(sizes.max()), int(self.hidden[members].max()), at, at + len(members), kids
 
-    def connect(self) -> Forest:
-        """Union-find over the sets' numbers after joining every linked pair, directly or through others."""
-        forest = Forest()
+    def connect(self, labels: list[int] | None = None) -> Forest:
+        """Union-find over the sets' numbers after joining every linked pair, directly or through others.
+
+        Sets of one label are known to be connected.
+        """
+        forest, first = Forest(), {}
+        for i, label in enumerate(labels or ()):
+            forest.join(i, first.setdefault(label, i))
         stack = [(self.root, self.root)]
         while stack:
             x, y = stack.pop()
@@ -349,26 +356,27 @@ class SignatureTree:
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
-    """Edges a, b of verified links, as stars for each group; rows (grp, cls, tokens) come sorted by group."""
+    """Edges a, b of verified links, as stars for each group; rows (grp, cls, label, tokens) come sorted by group."""
     def run(batches: Iterator[pa.RecordBatch]):
-        group, names, sets = None, [], []
+        group, names, labels, sets = None, [], [], []
 
         def close():
             if len(names) < 2:
                 return [], []
-            forest = SignatureTree(sets).connect()
+            forest = SignatureTree(sets).connect(labels)
             nodes = list(forest.parent)
             return [names[i] for i in nodes], [names[forest.find(i)] for i in nodes]
 
         for batch in batches:
             a, b = [], []
-            for g, cls, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "cls", "tokens")), strict=True):
+            for g, cls, label, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "cls", "label", "tokens")), strict=True):
                 if g != group:
                     found = close()
                     a += found[0]
                     b += found[1]
-                    group, names, sets = g, [], []
+                    group, names, labels, sets = g, [], [], []
                 names.append(cls)
+                labels.append(label)
                 sets.append(np.frombuffer(blob, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         found = close()
@@ -377,6 +385,84 @@ def _verified(candidates: DataFrame) -> DataFrame:
     return candidates.mapInArrow(lean(run), "a long, b long")
 
 
+def _linked_in_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges of the links within each group of ``placed`` (d1, d2, first, n, label, keys): one text of each class is read again."""
+    spark = docs.sparkSession
+    placed = stage(placed.select("d1", "d2", "first", "n", "label", "keys"), "placed")
+    small = placed.limit(SMALL + 1).count() <= SMALL
+    right = placed.select(F.col("first").alias("_first"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "label", "keys")
+    fetched = docs.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("_first")))
+
+    def sets(batches):
+        for batch in batches:
+            wanted = list(zip(batch.column("_d1").to_pylist(), batch.column("_d2").to_pylist(), strict=True))
+            keep, blobs = [], []
+            for k, tokens in enumerate(shingle_sets(batch.column("text"))):
+                if digest(tokens) == wanted[k]:  # rows of one id may hold different texts
+                    keep.append(k)
+                    blobs.append(tokens.tobytes())
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("keys"), part.column("_d1"), part.column("label"), pa.array(blobs, pa.binary())], names=["keys", "cls", "label", "tokens"])
+
+    loaded = fetched.select("text", "_d1", "_d2", "label", "keys").mapInArrow(lean(sets), "keys array<string>, cls long, label long, tokens binary")
+    dealt = loaded.select(F.explode("keys").alias("grp"), "cls", "label", "tokens")
+    total = placed.agg(F.coalesce(F.sum(F.col("n") * F.size("keys")), F.lit(0))).first()[0]
+    return _verified(dealt.repartition(shuffle_width(spark, int(total), PER_TASK), "grp").sortWithinPartitions("grp", "cls"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """One row for each class with the keys of all its groups."""
+    return rows.groupBy("d1", "d2", "first", "n", "label").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+
+
+def _key(kind: str, *parts) -> object:
+    return F.concat_ws("/", F.lit(kind), "comp", "band", *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+def _range(n: str) -> object:
+    return F.sequence(F.lit(0), F.col(n) - 1)
+
+
+def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, root over the classes of candidate groups (members: d1, d2, n, first, comp) after all links are found.
+
+    A group within PER_TASK shingles is one task.  A larger one is split by the octave of the
+    smaller set of a pair, and by hash into blocks.  First each block meets itself and a few
+    pivots that stand in every block, which connects a mass of near copies for good.  Then
+    only what isn't in the largest component meets all blocks; so copies, however many, are
+    moved twice and not once for each block.
+    """
+    large = members.groupBy("comp").agg(F.sum("n").alias("total")).filter(F.col("total") > PER_TASK).select("comp", F.lit(True).alias("large"))
+    octave = lambda x: F.floor(F.log2(x)).cast("int")
+    bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
+    banded = members.join(large, "comp", "left").withColumn("band", F.explode(bands))
+    sizes = banded.filter("large").groupBy("comp", "band").agg(F.ceil(F.sum("n") / PER_TASK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("count"))
+    banded = stage(banded.join(sizes, ["comp", "band"], "left").withColumns({
+        "blocks": F.coalesce("blocks", F.lit(1)), "label": F.col("d1"), "own": F.pmod(F.xxhash64("d1"), F.coalesce("blocks", F.lit(1))).cast("int"),
+        "pivot": F.coalesce(F.pmod(F.xxhash64("d1", F.lit(7)), F.lit(1 << 20)) * F.col("count") < F.lit(PIVOTS << 20), F.lit(False))}), "banded")
+    everywhere = F.transform(_range("blocks"), lambda h: _key("own", h.cast("string")))
+    keys = F.when(F.col("pivot"), everywhere).otherwise(F.array(_key("own", F.col("own").cast("string"))))
+    near = stage(_linked_in_groups(docs, _placed(banded.withColumn("keys", keys))), "links")
+    split = banded.filter("blocks > 1")
+    if split.isEmpty():
+        return components(near)
+
+    roots = components(near).select(F.col("node").alias("d1"), "root")
+    named = stage(split.join(roots, "d1", "left").withColumn("label", F.coalesce("root", "d1")).drop("root"), "labelled")
+    weights = named.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"))
+    main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"))
+    wide = lambda w: F.greatest(F.ceil(w / PER_TASK).cast("int"), F.lit(1))
+    main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w")).alias("h"), wide(F.col("all") - F.col("top.w")).alias("k"))
+    rest = named.join(main, ["comp", "band"]).withColumns({
+        "in_major": F.col("label") == F.col("major"), "at_h": F.pmod(F.xxhash64("d1"), F.col("h")).cast("string"), "at_k": F.pmod(F.xxhash64("d1"), F.col("k")).cast("int")})
+    with_rest = F.transform(_range("k"), lambda k: _key("main", F.col("at_h"), k.cast("string")))
+    with_main = F.transform(_range("h"), lambda h: _key("main", h.cast("string"), F.col("at_k").cast("string")))
+    among = F.transform(_range("k"), lambda k: _key("rest", F.least(F.col("at_k"), k).cast("string"), F.greatest(F.col("at_k"), k).cast("string")))
+    keyed = rest.withColumn("keys", F.when(F.col("in_major"), with_rest).otherwise(F.concat(with_main, among)))
+    # the labels of a class are equal in all its bands
+    return components(near.unionByName(_linked_in_groups(docs, _placed(keyed))))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -407,36 +493,7 @@ def link(docs: DataFrame) -> DataFrame:
     labels = labels.unionByName(labels.select(F.col("comp").alias("d1"), "comp").distinct())
     classes = sketch.filter(F.col("n") > 0).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"))
     members = stage(classes.join(labels, "d1"), "members")
-    # groups beyond one task's memory are split: linked sets meet in the octave of the smaller one, in a pair of hash blocks
-    large = members.groupBy("comp").agg(F.sum("n").alias("total")).filter(F.col("total") > PER_TASK).select("comp", F.lit(True).alias("large"))
-    octave = lambda x: F.floor(F.log2(x)).cast("int")
-    bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
-    banded = members.join(large, "comp", "left").withColumn("band", F.explode(bands))
-    blocks = banded.filter("large").groupBy("comp", "band").agg(F.ceil(F.sum("n") / PER_TASK).cast("int").alias("blocks"))
-    placed = banded.join(blocks, ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int")
-    keys = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: F.concat_ws(
-        "/", "comp", "band", F.least(own, h).cast("string"), F.greatest(own, h).cast("string")))
-    placed = placed.select("d1", "d2", "first", keys.alias("keys")).groupBy("d1", "d2", "first").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    small = members.limit(SMALL + 1).count() <= SMALL
-    right = placed.select(F.col("first").alias("_first"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "keys")
-    fetched = docs.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("_first")))
-
-    def sets(batches):
-        for batch in batches:
-            wanted = list(zip(batch.column("_d1").to_pylist(), batch.column("_d2").to_pylist(), strict=True))
-            keep, blobs = [], []
-            for k, tokens in enumerate(shingle_sets(batch.column("text"))):
-                if digest(tokens) == wanted[k]:  # rows of one id may hold different texts
-                    keep.append(k)
-                    blobs.append(tokens.tobytes())
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("keys"), part.column("_d1"), part.column("_d2"), pa.array(blobs, pa.binary())], names=["keys", "cls", "d2", "tokens"])
-
-    loaded = fetched.select("text", "_d1", "_d2", "keys").mapInArrow(lean(sets), "keys array<string>, cls long, d2 long, tokens binary")
-    dealt = loaded.select(F.explode("keys").alias("grp"), "cls", "tokens")
-    width = shuffle_width(spark, int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), PER_TASK)
-    links = components(_verified(dealt.repartition(width, "grp").sortWithinPartitions("grp", "cls")))
+    links = _links(docs, members)
 
     roots = links.select(F.col("node").alias("d1"), "root")
     rooted = classes.join(roots, "d1", "left").withColumn("root", F.coalesce("root", "d1"))

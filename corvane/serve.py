@@ -104,6 +104,7 @@ def http_server(engine: Engine, port: int = PORT, host: str = "127.0.0.1") -> Th
 
 _TEXT, _LINE = {"type": "string"}, {"type": "number"}
 _ID = {"type": "integer", "minimum": 1}
+#: Names of the tools and of their arguments.
 TOOLS: dict[str, tuple[str, dict[str, Any], list[str]]] = {
     "codebase_semantic_search": ("Search the indexed files by meaning; returns ranked chunks with clip ids.", {
         "query": _TEXT, "top_k": {"type": "integer", "minimum": 1, "maximum": 100}, "module": _TEXT, "language": _TEXT, "chunk_type": _TEXT,

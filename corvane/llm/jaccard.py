@@ -27,7 +27,7 @@ HEAVY = 1 << 18
 #: A chunk of shingles counted at once, and the documents of a chunk that make one heavy.
 COUNTED, HEAVY_DOCS = 2_000_000, 8
 #: Prefix entries held by a map task and dealt to one reduce group; shingles verified in one task.
-ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 600_000, 60_000, 600_000, 4_000_000
+ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 600_000, 60_000, 600_000, 8_000_000
 #: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
 EXTRA = 16
 #: Rows of a side that may be broadcast.

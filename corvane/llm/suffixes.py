@@ -26,7 +26,7 @@ NEED, KMER = 50, 28
 LEFT = NEED - KMER
 #: Bytes of the small strings among which the least hash places the anchor.
 TMER = 5
-#: Anchors and documents held by a map task before it deals them out.
+#: Anchors that a map task holds before it deals them out, and the most documents (an entry has 16 bits for one).
 HELD, HELD_DOCS = 800_000, 60_000
 #: Anchors of one reduce group; text bytes of one bucket of documents or runs.
 PER_GROUP, BUCKET_BYTES = 800_000, 8 << 20
@@ -99,9 +99,9 @@ def _cut(part: np.ndarray, rows: np.ndarray):
 
 
 def _text_pieces(batch: pa.RecordBatch):
-    """(row, place in its text, bytes, edges, rows) of chunks of whole texts, or of overlapping pieces of a long one."""
+    """(first row, row behind the last, place in its text, bytes, edges) of chunks of HELD_DOCS whole texts at most, or of overlapping pieces of a long one."""
     data, offsets = text_buffer(batch.column("text"))
-    for a, b in chunks(offsets):
+    for a, b in ((s, min(b, s + HELD_DOCS)) for a, b in chunks(offsets) for s in range(a, b, HELD_DOCS)):
         lo, hi = int(offsets[a]), int(offsets[b])
         if b - a > 1 or hi - lo <= PIECE:
             yield a, b, 0, data[lo:hi], offsets[a:b + 1] - lo
@@ -152,7 +152,7 @@ def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             last_row = -1
             for a, b, before, data, bounds in _text_pieces(batch):
                 if a != last_row:
-                    if sum(map(len, keys)) > HELD or len(ids) > HELD_DOCS:
+                    if sum(map(len, keys)) > HELD or len(ids) + b - a > HELD_DOCS:
                         yield told()
                     base, last_row = len(ids), a
                     ids += names[a:b].tolist()

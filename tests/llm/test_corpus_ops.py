@@ -152,6 +152,26 @@ def test_repeats_with_tiny_blocks(spark, monkeypatch):
     assert repeat_rows(suffixes.remove_repeats(documents(spark, rows))) == brute_repeats(rows)
 
 
+def test_repeats_of_many_short_texts_in_one_task(spark):
+    rnd = random.Random(17)
+    rows = [(k, f"{rnd.getrandbits(240):060x}") for k in range(67_000)]
+    rows += [(k, rows[k - 30_000][1][4:] + f"{k:06d}") for k in range(67_000, 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert repeat_rows(suffixes.remove_repeats(docs)) == brute_repeats(rows)
+
+
+def test_repeats_after_a_run_of_empty_texts(spark):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(k, None if k % 2 else "") for k in range(70_000)] + list(enumerate(texts(8, 25), 70_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "0")
+    try:
+        assert repeat_rows(suffixes.remove_repeats(docs)) == brute_repeats(rows)
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_every_repeat_has_an_anchor():
     """Wherever a string of 50 bytes stands, one and the same place inside it is an anchor."""
     rnd = random.Random(2)

@@ -341,6 +341,29 @@ def test_pages(spark):
     assert html_text.extract_pages(empty(spark, pages)).count() == 0
 
 
+def test_content_in_elements_whose_class_speaks_of_other_things(spark):
+    def body(k):
+        return "".join(f"<p>Line {i} of page {k} in words</p>" for i in range(6)) + f'<div class="ad">Buy {k} now</div>'
+
+    shapes = {
+        "div.org": lambda k: f"<body><div class='content has-sidebar'>{body(k)}<div class='sidebar'>Side {k}</div></div>",
+        "post.org": lambda k: f"<body><article class='post comments-open category-social'>{body(k)}</article><div class='comments'><article><p>First {k}!</p></article></div>",
+        "two.org": lambda k: f"<body><article class='post'><h1>T {k}</h1></article><div class='text'>{body(k)}</div>",
+    }
+    rows = [(100 * j + k, f"http://{host}/{k}", shape(k)) for j, (host, shape) in enumerate(shapes.items()) for k in range(10)]
+    rows += [(900, "http://post.org/short", "<body><article class='post comments-open'><p>Hi</p></article><div class='comments'><p>A far longer comment than the text</p></div>")]
+    rows += [(901, None, shapes["div.org"](3)), (902, None, shapes["post.org"](3))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages).collect()}
+
+    def lines(k):
+        return "\n".join(f"Line {i} of page {k} in words" for i in range(6))
+
+    for k in range(10):
+        assert got[k] == lines(k) and got[100 + k] == lines(k) and got[200 + k] == f"T {k}\n{lines(k)}"
+    assert got[900] == "Hi" and got[901] == got[902] == lines(3)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
     from corvane.llm.common import stage

@@ -1,7 +1,8 @@
 """Secret scans: assignment-aware lexing of source and configuration text.
 
 A lexer reads ``name = literal`` pairs in many syntaxes, carries constants to the names
-they are assigned to, and scores each literal by how sensitive its target names are.
+they are assigned to, and scores each literal by how sensitive its target names are.  On a
+line like those of .env, INI, properties and YAML files a value needs no quotes.
 Three base patterns (assign, access, hex) are always reported as well.
 """
 
@@ -41,6 +42,13 @@ _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
 _STRING = r"""b?"(?:[^"\\\n]++|\\.)*+"|b?'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
 _PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME}))*)""")
 _ATOM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})")
+#: A configuration line and its unquoted value, to the end of the line or a comment.
+_BARE = re.compile(rf"""(?m)^[\x20\t]*(?:-[\x20\t]+|(?:export|set|setx|env|ENV|ARG)[\x20\t]+)?(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?P<gap>[\x20\t]*)(?:(?P<is>=)(?![=>~])|:(?![:/=])(?![\x20\t]*[&*!|>%@\[{{]))(?P<after>[\x20\t]*)(?P<value>[^\s"'`#](?:[^\r\n\x20\t]|[\x20\t]+(?![\x20\t\r\n#;]|//|\Z))*)""")
+_REFERENCE = re.compile(rf"(\$?)(?:\{{({_NAME})\}}|({_NAME}))")
+#: Signs that a text is a program, where an unquoted name is a reference and brackets are calls.
+_CODE = re.compile(r"(?m)[;{(][\x20\t]*\r?$|^[\x20\t]*(?:def|class|func|fn|function|public|private|static|const|let|var|import|package|return)[\x20\t]+\S|^#include\b")
+#: Words of schemas and switches that stand where a value would.
+_WORD = re.compile(r"(?i)^(?:string|number|boolean|integer|object|binary|secretstr|required|optional|enabled|disabled|default|unknown|undefined|expired|invalid)[!?,;]?$")
 _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -71,9 +79,23 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.3 + entropy / 5)
 
 
-def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
-    """Per assignment, in order: target name, literals (start, end, value) and names on its right side."""
-    out = []
+def bare_values(text: str) -> dict[int, tuple[str, tuple[int, int, str]]]:
+    """By the place of the target name: the name, and its unquoted value as a literal (start, end, value)."""
+    out, code = {}, _CODE.search(text) is not None
+    for m in _BARE.finditer(text):
+        name, value = m["name"], m["value"]
+        if not m["is"] and re.search(r"\s", value) or _WORD.match(value):
+            continue  # a colon and some words are prose
+        shell = m["is"] and not m["gap"] and not m["after"] and name.isupper()
+        if code and not shell and (_REFERENCE.fullmatch(value) or re.search(r"[()\[\]{}\s]|[;,]$", value)):
+            continue
+        out[m.start("name")] = name, (m.start("value"), m.end("value"), value)
+    return out
+
+
+def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str], list[tuple[int, int, str]]]]:
+    """Per assignment, in order: target name, literals (start, end, value) and names on its right side, and its unquoted value if it may have one."""
+    out, bare = [], bare_values(text)
     for m in _PAIR.finditer(text):
         literals, names, at = [], [], m.start("value")
         for atom in _ATOM.finditer(m["value"]):
@@ -82,8 +104,13 @@ def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str
                 literals.append((at + atom.start() + skip, at + atom.end() - 1, raw[skip:-1]))
             else:
                 names.append(atom["name"])
-        out.append((m["name"], literals, names))
-    return out
+        _, value = bare.pop(m.start("name"), (None, None))
+        out.append((m.start("name"), m["name"], literals, names, [value] if value and not literals else []))
+    for place, (name, value) in bare.items():
+        reference = _REFERENCE.fullmatch(value[2])
+        variable = reference and reference[1] and reference[0].isupper()
+        out.append((place, name, [], [reference[2] or reference[3]] if reference else [], [] if variable else [value]))
+    return [x[1:] for x in sorted(out, key=lambda x: x[0])]
 
 
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -93,8 +120,10 @@ def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]
         return []
     known: dict[str, list[tuple[int, int, str]]] = {}
     found: set[tuple[int, int]] = set()
-    for name, literals, names in lex_pairs(text):
+    for name, literals, names, bare in lex_pairs(text):
         values = literals + [v for n in names for v in known.get(n, ())]
+        if bare and not (_REFERENCE.fullmatch(bare[0][2]) and values):
+            values += bare  # not the name of a constant
         values = list(dict.fromkeys(values))
         if values:
             known[name] = values

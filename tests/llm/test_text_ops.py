@@ -168,6 +168,18 @@ def test_named_literals_and_constants():
     assert secrets.redact(None) is None and secrets.redact("clean") == "clean"
 
 
+def test_unquoted_values_of_configuration_lines():
+    def named(text):
+        return [text[s:e] for s, k, e, _ in secrets.scan(text)[1] if k == 3]
+
+    assert named("# settings\nDB_PWD=Xk29vQ77LmPz81\nexport ENCRYPTION_KEY=wJalrXUtnFEMI  # old\nMODE=production\n") == ["Xk29vQ77LmPz81", "wJalrXUtnFEMI"]
+    assert named("[db]\r\nuser = admin\r\npwd = zz!8#k+Qw/9== ; changed\r\n") == ["zz!8#k+Qw/9=="]
+    assert named("db:\n  private_key: MIIEowIBAAKC\n  db.pwd: 9fK2vQ77LmPz81\n  - passphrase: q9X!fj2LLs8\n") == ["MIIEowIBAAKC", "9fK2vQ77LmPz81", "q9X!fj2LLs8"]
+    assert named("BASE=Xk29vQ77LmPz81\nDB_PWD=${BASE}\n") == named("BASE=Xk29vQ77LmPz81\nDB_PWD=BASE\n") == ["Xk29vQ77LmPz81"]
+    assert secrets.redact("DB_PWD=Xk29vQ77LmPz81\nx") == "DB_PWD=[REDACTED]\nx"
+    assert named("import os\npwd = read_pwd\npwd = os.getenv(name)\n") == named("pwd: string\npwd: the words of a sentence\n") == named("pwd = changeme\npwd=${OTHER}\npwd=$OTHER") == []
+
+
 def test_redacted_documents_keep_columns(spark):
     docs = documents(spark, [(1, "a token = abcdefgh b"), (2, "clean"), (3, None)], extra=False)
     got = {r["doc_id"]: r for r in secrets.redact_documents(docs).collect()}

@@ -341,6 +341,18 @@ def test_pages(spark):
     assert html_text.extract_pages(empty(spark, pages)).count() == 0
 
 
+def test_long_constant_lists_and_last_lines_are_template(spark):
+    menu = "".join(f"<li>Category {i}</li>" for i in range(40))
+    rows = [(k, f"http://long.org/{k}", f"<body><div><ul>{menu}</ul></div><div>" + "".join(f"<p>Page {k} line {i}</p>" for i in range(3 + 5 * k)) + "<p>All rights reserved</p></div>") for k in range(12)]
+    rows += [(100 + k, f"http://wide.org/{k}", "<body><div>" + "".join(f"<p>Page {k} line {i}</p>" for i in range(90 + k)) + "<p>Middle</p>" + "".join(f"<p>Page {k} end {i}</p>" for i in range(100 - k)) + "</div>") for k in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract_pages(pages).collect()}
+    for k in range(12):
+        assert got[k] == [f"Page {k} line {i}" for i in range(3 + 5 * k)]
+    for k in range(10):
+        assert got[100 + k] == [f"Page {k} line {i}" for i in range(90 + k)] + [f"Page {k} end {i}" for i in range(100 - k)]
+
+
 def test_content_in_elements_whose_class_speaks_of_other_things(spark):
     def body(k):
         return "".join(f"<p>Line {i} of page {k} in words</p>" for i in range(6)) + f'<div class="ad">Buy {k} now</div>'

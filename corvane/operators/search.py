@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..schema import HIT_COLUMNS
 
 #: Names of the optional fields of a lean result.
 INCLUDE_COLUMNS = {"chunkType": "chunk_type", "module": "module", "language": "language"}
-#: Queries scored against a collection in one broadcast.
+#: Queries scored against a collection in one broadcast, about.
 MAX_BATCH = 10_000
 
 
@@ -36,14 +38,18 @@ def top_k(collection: DataFrame, query: list[float], k: int, *, key: str = "id",
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str = "id") -> DataFrame:
     """query_id, rank and score of the k best rows for each query (query_id, embedding).
 
-    The queries are broadcast, so their number is checked; the rank is cut within each task
-    before rows are exchanged.
+    The queries are broadcast in blocks of about MAX_BATCH by hashed id, so that the rows of an
+    id stay together; the rank is cut within each task before rows are exchanged.
     """
-    n = queries.limit(MAX_BATCH + 1).count()
-    if n > MAX_BATCH:
-        raise ValueError(f"at most {MAX_BATCH} queries at once")
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("_query")))
-    pairs = collection.crossJoin(asked).withColumn("score", cosine(F.col("embedding"), F.col("_query"))).drop("embedding", "_query")
+    asked = queries.select("query_id", F.col("embedding").alias("_query"))
+    n = -(-asked.count() // MAX_BATCH)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    blocks = [asked.filter(block == i) for i in range(n)] if n > 1 else [asked]
+    return reduce(DataFrame.unionByName, [_ranked(collection, some, k, key) for some in blocks])
+
+
+def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+    pairs = collection.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col("embedding"), F.col("_query"))).drop("embedding", "_query")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -69,3 +69,15 @@ def test_requests():
     for bad in ("1,x", "0", "", "-1"):
         with pytest.raises(rq.RequestError):
             rq.parse_ids(bad)
+
+
+def test_top_k_batch_works_through_many_queries(spark, monkeypatch):
+    from corvane.operators import search
+
+    rows = [(k, [float(k % 7 - 3), float(k % 5 - 2), 1.0]) for k in range(30)]
+    collection = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = collection.select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, search.top_k_batch(collection, queries, 4).select("query_id", "id", "rank", "score").collect()))
+    monkeypatch.setattr(search, "MAX_BATCH", 7)
+    assert sorted(map(tuple, search.top_k_batch(collection, queries, 4).select("query_id", "id", "rank", "score").collect())) == whole
+    assert len(whole) == 120 and search.top_k_batch(collection, queries.limit(0), 4).count() == 0

@@ -26,15 +26,22 @@ NEED, KMER = 50, 28
 LEFT = NEED - KMER
 #: Bytes of the small strings among which the least hash places the anchor.
 TMER = 5
-#: Anchors that a map task holds before it deals them out, and the most documents (an entry has 16 bits for one).
+#: Anchors that a map task holds before it deals them out, and the most documents (16 bits number them within the task).
 HELD, HELD_DOCS = 800_000, 60_000
 #: Anchors of one reduce group; text bytes of one bucket of documents or runs.
 PER_GROUP, BUCKET_BYTES = 800_000, 8 << 20
+#: Places from which a key is hot, and the most hot keys that are told to every task (8 bytes each); they change who decides, not what.
+HOT, HOT_KEYS = 20_000, 1 << 16
+#: Hot places whose windows are listed at once.
+LISTED = 10_000
 #: Bytes of a text looked at once.
 PIECE = 1 << 20
 _LAST_ID = np.iinfo(np.int64).max
 
-_ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2"), ("off", "<u4")])
+#: Columns of an anchor as dealt: 48 bits of its key, 40 bits that name its document, place in the text (and a flag).
+_ENTRY = ("<u2", "<u4", "u1", "<u4", "<u2", "<u2")
+#: Columns of a place: the document's 40 bits, place in the text.
+_OWNED = ("u1", "<u4", "<u2", "<u2")
 _PLACE = np.dtype([("id", "<i8"), ("crc", "<u4"), ("off", "<u4")])
 _SPAN = np.dtype([("id", "<i8"), ("crc", "<u4"), ("s", "<u4"), ("e", "<u4")])
 _KNOWN = np.uint32(1 << 31)
@@ -75,8 +82,13 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def bucket_of(ids: np.ndarray, crcs: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64) ^ (crcs.astype(np.uint64) << np.uint64(20))) % np.uint64(n)).astype(np.int32)
+def owner_of(ids: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """40 bits that name a document; where two share a name, the places of both are looked at in both."""
+    return mix(mix(ids.view(np.uint64)) ^ (crcs.astype(np.uint64) << np.uint64(20))) >> np.uint64(24)
+
+
+def bucket_of(owners: np.ndarray, n: int) -> np.ndarray:
+    return (owners % np.uint64(n)).astype(np.int32)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -98,6 +110,34 @@ def _cut(part: np.ndarray, rows: np.ndarray):
         yield int(part[s]), rows[s:e].tobytes()
 
 
+def _deal(part: np.ndarray, columns: list[np.ndarray]):
+    """(part, its rows column by column) for each part, in order; columns apart compress well."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    first = _groups(part)
+    for s, e in zip(first, [*first[1:], len(part)]):
+        yield int(part[s]), b"".join([c[s:e].tobytes() for c in columns])
+
+
+def _columns(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(blob) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.frombuffer(blob, k, n, at))
+        at += n * w
+    return out
+
+
+def _owned(owners: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    return [(owners >> np.uint64(32)).astype("u1"), owners.astype("<u4"), off.astype("<u2"), (off >> np.uint32(16)).astype("<u2")]
+
+
+def _of_owned(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, offsets) of the columns that ``_owned`` makes."""
+    high, low, near, far = columns
+    return (high.astype(np.uint64) << np.uint64(32)) | low, near | (far.astype(np.uint32) << np.uint32(16))
+
+
 def _text_pieces(batch: pa.RecordBatch):
     """(first row, row behind the last, place in its text, bytes, edges) of chunks of HELD_DOCS whole texts at most, or of overlapping pieces of a long one."""
     data, offsets = text_buffer(batch.column("text"))
@@ -112,60 +152,57 @@ def _text_pieces(batch: pa.RecordBatch):
 
 
 def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """b, data: the anchors (document and offset) whose key occurs in two documents or more, by bucket of the document."""
+    """b, n, data: the anchors (document and offset) whose key occurs in two documents or more, by bucket of the document; b -1: a hot key and its places."""
     def deal(batches):
-        keys, owners, offs, ids, crcs = [], [], [], [], []
+        keys, rows, offs, owners = [], [], [], []
 
         def flush():
-            table = np.array(ids, np.int64).tobytes() + np.array(crcs, np.uint32).tobytes()
+            named = np.array(owners, np.uint64)
             packed, off = np.concatenate(keys), np.concatenate(offs)
-            packed = (packed << np.uint64(16)) | np.concatenate(owners).astype(np.uint64)
+            packed = (packed << np.uint64(16)) | np.concatenate(rows).astype(np.uint64)
             order = np.argsort(packed, kind="stable")
             packed, off = packed[order], off[order]
-            key, doc = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.uint16)
+            key, own = packed >> np.uint64(16), named[(packed & np.uint64(0xFFFF)).astype(np.int64)]
             first = _groups(key)
             new_doc = np.concatenate(([True], packed[1:] != packed[:-1]))
             sizes = np.diff(np.append(first, len(key)))
             local = np.repeat(np.add.reduceat(new_doc, first) > 1, sizes)
             lead = np.zeros(len(key), bool)
             lead[first] = True
-            # a key that two documents here share is settled here; one entry of it goes on
-            entry = np.empty(len(key), _ENTRY)
-            entry["high"], entry["low"] = key >> np.uint64(16), key & np.uint64(0xFFFF)
-            entry["doc"], entry["off"] = doc, np.where(local, off | _KNOWN, off)
+            # a key that two documents here share is settled here; one entry of it goes on, with their number
+            told = np.where(local, np.repeat(sizes, sizes).astype(np.uint32) | _KNOWN, off)
             sent = lead | ~local
-            for p, blob in _cut((key[sent] % np.uint64(groups)).astype(np.int32), entry[sent]):
-                yield p, False, table, blob
-            place = np.empty(int(local.sum()), _PLACE)
-            place["id"], place["crc"], place["off"] = np.array(ids, np.int64)[doc[local]], np.array(crcs, np.uint32)[doc[local]], off[local]
-            if len(place):
-                yield int(place["crc"][0]) % groups, True, b"", place.tobytes()
+            sent_key = key[sent]
+            for p, blob in _deal((sent_key % np.uint64(groups)).astype(np.int32),
+                                 [(sent_key >> np.uint64(32)).astype("<u2"), sent_key.astype("<u4"), *_owned(own[sent], told[sent])]):
+                yield p, False, blob
+            if local.any():
+                yield int(own[local][0] % np.uint64(groups)), True, b"".join([c.tobytes() for c in _owned(own[local], off[local])])
 
         def told():
-            rows = list(flush()) if keys else []
-            for held in (keys, owners, offs, ids, crcs):
+            out = list(flush()) if keys else []
+            for held in (keys, rows, offs, owners):
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["p", "settled", "docs", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["p", "settled", "data"])
 
         for batch in batches:
             names, base = _ids(batch.column("doc_id")), -1
             last_row = -1
             for a, b, before, data, bounds in _text_pieces(batch):
                 if a != last_row:
-                    if sum(map(len, keys)) > HELD or len(ids) + b - a > HELD_DOCS:
+                    if sum(map(len, keys)) > HELD or len(owners) + b - a > HELD_DOCS:
                         yield told()
-                    base, last_row = len(ids), a
-                    ids += names[a:b].tolist()
-                    whole = batch.column("text").slice(a, b - a)
+                    base, last_row = len(owners), a
                     if b - a > 1 or before == 0 and bounds[-1] <= PIECE:
-                        crcs += [zlib.crc32(data[s:e]) for s, e in zip(bounds, bounds[1:])]
+                        crcs = [zlib.crc32(data[s:e]) for s, e in zip(bounds, bounds[1:])]
                     else:
-                        crcs.append(zlib.crc32(whole[0].as_buffer()))
+                        crcs = [zlib.crc32(batch.column("text")[a].as_buffer())]
+                    owners += owner_of(names[a:b].copy(), np.array(crcs, np.uint32)).tolist()
                 at = anchors(data, bounds)
                 total, (_, down) = prefix_sums(data), powers(len(data) + 1)
                 keys.append(mix((total[at + KMER] - total[at]) * down[at]) >> np.uint64(16))
                 row = np.searchsorted(bounds, at, side="right") - 1
-                owners.append((base + row).astype(np.uint16))
+                rows.append((base + row).astype(np.uint16))
                 offs.append((at - bounds[row] + before).astype(np.uint32))
         yield told()
 
@@ -173,33 +210,31 @@ def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
         import pandas as pd
 
         out, parts = [], []
-        for settled, docs_blob, blob in zip(pdf["settled"], pdf["docs"], pdf["data"], strict=True):
+        for settled, blob in zip(pdf["settled"], pdf["data"], strict=True):
             if settled:
-                place = np.frombuffer(blob, _PLACE)
-                out += _cut(bucket_of(place["id"].copy(), place["crc"], buckets), place)
-                continue
-            n = len(docs_blob) // 12
-            ids, crcs = np.frombuffer(docs_blob, np.int64, n), np.frombuffer(docs_blob, np.uint32, n, 8 * n)
-            entry = np.frombuffer(blob, _ENTRY)
-            parts.append(((entry["high"].astype(np.uint64) << np.uint64(16)) | entry["low"], ids[entry["doc"]], crcs[entry["doc"]], entry["off"]))
+                columns = _columns(blob, _OWNED)
+                out += [(b, 0, x) for b, x in _deal(bucket_of(_of_owned(columns)[0], buckets), columns)]
+            else:
+                columns = _columns(blob, _ENTRY)
+                parts.append(((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1], *_of_owned(columns[2:])))
         if parts:
-            key, ids, crcs, off = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((ids, key))
-            key, ids, crcs, off = key[order], ids[order], crcs[order], off[order]
+            key, own, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((own, key))
+            key, own, off = key[order], own[order], off[order]
             first = _groups(key)
             sizes = np.diff(np.append(first, len(key)))
-            new_id = np.ones(len(key), bool)
-            new_id[1:] = (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])
+            new = np.ones(len(key), bool)
+            new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
             known = (off & _KNOWN) > 0
-            shared = (np.add.reduceat(new_id, first) > 1) | (np.add.reduceat(known, first) > 0)
+            shared = (np.add.reduceat(new, first) > 1) | (np.add.reduceat(known, first) > 0)
             keep = np.repeat(shared, sizes) & ~known
-            place = np.empty(int(keep.sum()), _PLACE)
-            place["id"], place["crc"], place["off"] = ids[keep], crcs[keep], off[keep]
-            out += _cut(bucket_of(place["id"].copy(), place["crc"], buckets), place)
-        return pd.DataFrame(out, columns=["b", "data"])
+            out += [(b, 0, x) for b, x in _deal(bucket_of(own[keep], buckets), _owned(own[keep], off[keep]))]
+            places = np.add.reduceat(np.where(known, off & ~_KNOWN, 1).astype(np.int64), first)
+            out += [(-1, n, int(k).to_bytes(8, "little")) for k, n in zip(key[first[places >= HOT]].tolist(), places[places >= HOT].tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["b", "n", "data"])
 
-    dealt = docs.mapInArrow(lean(deal), "p int, settled boolean, docs binary, data binary")
-    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, data binary")
+    dealt = docs.mapInArrow(lean(deal), "p int, settled boolean, data binary")
+    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, n long, data binary")
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -208,7 +243,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             crcs = np.array([zlib.crc32(data[s:e]) for s, e in zip(offsets, offsets[1:])], np.uint32)
-            b = bucket_of(_ids(batch.column("doc_id")), crcs, buckets)
+            b = bucket_of(owner_of(_ids(batch.column("doc_id")), crcs), buckets)
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(crcs.astype(np.int64)), batch.column("doc_id"), batch.column("text")], names=["b", "crc", "doc_id", "text"])
 
     return docs.mapInArrow(lean(run), "b int, crc long, doc_id long, text string").repartition(buckets, "b")
@@ -319,9 +354,57 @@ def merge_runs(runs: list[tuple[list[int], list[int]]]) -> tuple[list[int], list
     return order, common
 
 
-def _runs(docs: DataFrame, places: DataFrame, parts: int) -> DataFrame:
-    """r, run, data: sorted front-coded runs by part of the suffixes, and spans that are settled within a bucket."""
+def _shared_heads(rows: np.ndarray) -> np.ndarray:
+    """For sorted byte rows: how many bytes each shares with the one before."""
+    out = np.zeros(len(rows), np.int64)
+    differs = rows[1:] != rows[:-1]
+    out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def _runs(docs: DataFrame, places: DataFrame, parts: int, hot_keys: np.ndarray) -> DataFrame:
+    """r, run, data: sorted front-coded runs by part of the suffixes, and spans that are settled within a bucket.
+
+    Suffixes with a hot key would all meet in one part.  So their windows are compared within
+    the bucket first, and every window that no smaller document here has goes on as a suffix of
+    its own, dealt by all its bytes.
+    """
     names = pa.schema([("r", pa.int32()), ("run", pa.bool_()), ("data", pa.binary())])
+    shared = docs.sparkSession.sparkContext.broadcast(hot_keys)
+
+    def hashed(rows: np.ndarray) -> np.ndarray:
+        up, _ = powers(NEED)
+        return mix((_RAW[rows] * up[:rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+    def told(part: np.ndarray, right: np.ndarray, left: np.ndarray, la: np.ndarray, ra: np.ndarray, place: np.ndarray):
+        """Runs by part; the rows come sorted."""
+        order = np.argsort(part, kind="stable")
+        cuts = _groups(part[order])
+        for s, e in zip(cuts, [*cuts[1:], len(part)]):
+            k = order[s:e]
+            yield int(part[k[0]]), True, _pack_run(right[k], left[k], la[k], ra[k], place[k])
+
+    def windows(context: np.ndarray, la: np.ndarray, ra: np.ndarray, place: np.ndarray):
+        """Runs of the windows around hot places (sorted) that no smaller document of the bucket has, and the spans that one has."""
+        common = _shared_heads(context[:, LEFT:])
+        open_ = np.zeros((len(place), LEFT + 1), bool)
+        low, high = beaten(common, context[:, :LEFT], la, ra, place["id"], open_)
+        hit = np.flatnonzero(high >= 0)
+        if len(hit):
+            spans = np.empty(len(hit), _SPAN)
+            spans["id"], spans["crc"] = place["id"][hit], place["crc"][hit]
+            spans["s"], spans["e"] = place["off"][hit] - high[hit], place["off"][hit] - low[hit] + NEED
+            yield int(place["crc"][0]) % parts, False, spans.tobytes()
+        for s in range(0, len(place), LISTED):
+            row, o = np.nonzero(open_[s:s + LISTED])
+            row += s
+            text = context[row[:, None], (LEFT - o)[:, None] + np.arange(NEED)]
+            at = place[row]
+            at["off"] -= o.astype(np.uint32)
+            order = np.lexsort((at["id"], *reversed(_words(text))))
+            text, at = text[order], at[order]
+            none = np.zeros(len(at), np.uint8)
+            yield from told((hashed(text) % np.uint64(parts)).astype(np.int32), text, np.zeros((len(at), LEFT), np.uint8), none, none + np.uint8(NEED), at)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, bool, bytes]] = []
@@ -331,10 +414,18 @@ def _runs(docs: DataFrame, places: DataFrame, parts: int) -> DataFrame:
             texts = table.column("text").combine_chunks()
             data, offsets = text_buffer(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks))
             ids, crcs = _ids(pa.concat_arrays(table.column("doc_id").chunks)), table.column("crc").to_numpy().astype(np.uint32)
-            place = np.concatenate([np.frombuffer(b, _PLACE) for b in blobs])
-            rows = {(i, c): k for k, (i, c) in reversed(list(enumerate(zip(ids.tolist(), crcs.tolist(), strict=True))))}
-            row = np.array([rows[i, c] for i, c in zip(place["id"].tolist(), place["crc"].tolist(), strict=True)], np.int64)
-            start, off = offsets[row], place["off"].astype(np.int64)
+            texts_of = np.unique(np.rec.fromarrays([owner_of(ids, crcs), ids, crcs], names="own,id,crc"), return_index=True)[1]
+            names_of = owner_of(ids, crcs)[texts_of]
+            own, off = (np.concatenate(x) for x in zip(*[_of_owned(_columns(b, _OWNED)) for b in blobs], strict=True))
+            first, last = np.searchsorted(names_of, own), np.searchsorted(names_of, own, side="right")
+            n = last - first  # texts of this name: one, or seldom more
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, off = texts_of[np.repeat(first, n) + at], np.repeat(off, n).astype(np.int64)
+            fits = np.minimum(off, LEFT) + np.minimum(offsets[row + 1] - offsets[row] - off, NEED) >= NEED
+            row, off = row[fits], off[fits]
+            place = np.empty(len(row), _PLACE)
+            place["id"], place["crc"], place["off"] = ids[row], crcs[row], off
+            start = offsets[row]
             la, ra = np.minimum(off, LEFT), np.minimum(offsets[row + 1] - start - off, NEED)
             span = np.arange(-LEFT, NEED)
             context = np.zeros((len(place), LEFT + NEED), np.uint8)
@@ -349,51 +440,63 @@ def _runs(docs: DataFrame, places: DataFrame, parts: int) -> DataFrame:
             same[1:] = (context[1:] == context[:-1]).all(axis=1) & (la[1:] == la[:-1]) & (ra[1:] == ra[:-1])
             first = np.flatnonzero(~same)
             least = np.repeat(place["id"][first], np.diff(np.append(first, len(place))))
-            beaten = place["id"] > least  # the same neighbourhood in a document with a smaller id, here
-            if beaten.any():
-                r, s, e = _union(row[beaten], off[beaten] - la[beaten], off[beaten] + ra[beaten])
+            lost = place["id"] > least  # the same neighbourhood in a document with a smaller id, here
+            if lost.any():
+                r, s, e = _union(row[lost], off[lost] - la[lost], off[lost] + ra[lost])
                 spans = np.empty(len(r), _SPAN)
                 spans["id"], spans["crc"], spans["s"], spans["e"] = ids[r], crcs[r], s, e
                 out.append((int(crcs[0]) % parts, False, spans.tobytes()))
-            keep = ~beaten
+            keep = ~lost
             context, place, la, ra = context[keep], place[keep], la[keep].astype(np.uint8), ra[keep].astype(np.uint8)
-            up, _ = powers(KMER)
-            part = (mix((_RAW[context[:, LEFT:LEFT + KMER]] * up[:KMER]).sum(axis=1, dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            cuts = _groups(part[order])
-            for s, e in zip(cuts, [*cuts[1:], len(part)]):
-                k = order[s:e]
-                out.append((int(part[k[0]]), True, _pack_run(context[k, LEFT:], context[k, :LEFT], la[k], ra[k], place[k])))
+            key = hashed(context[:, LEFT:LEFT + KMER])
+            hot = shared.value
+            if len(hot):
+                short = key >> np.uint64(16)
+                is_hot = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
+                if is_hot.any():
+                    out += windows(context[is_hot], la[is_hot], ra[is_hot], place[is_hot])
+                    key, context, place, la, ra = (x[~is_hot] for x in (key, context, place, la, ra))
+            out += told((key % np.uint64(parts)).astype(np.int32), context[:, LEFT:], context[:, :LEFT], la, ra, place)
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(names)], schema=names)
 
     return docs.groupBy("b").cogroup(places.groupBy("b")).applyInArrow(lean_group(work), "r int, run boolean, data binary")
 
 
-def _beaten_spans(context: np.ndarray, group: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per record the least and largest number of bytes before its anchor at which a window is also in a smaller id; (1, 0) for none."""
-    n = len(context)
+def beaten(common: np.ndarray, left: np.ndarray, la: np.ndarray, ra: np.ndarray, ids: np.ndarray, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per suffix, in merged order, the least and largest number of bytes before it at which a window also starts in a smaller id; (1, 0)-like for none.
+
+    ``common`` has the bytes that each shares with the one before.  Suffixes share the first k
+    bytes where no smaller number stands between them, so the merged order falls into runs for
+    every k; the bytes before the suffixes, read backwards and sorted, fall into runs likewise.
+    A window that begins o bytes before is a run of NEED - o there and a run of o here.
+    ``open_`` takes the windows that no smaller id has, one of each kind and id.
+    """
+    n = len(ids)
     low, high = np.full(n, NEED, np.int64), np.full(n, -1, np.int64)
-    up, down = powers(LEFT + NEED + 1)
-    salt = mix(group.astype(np.uint64))
-    hashes = np.empty((LEFT + 1, n), np.uint64)  # of the window that begins o bytes before the anchor
-    for s in range(0, n, 20_000):
-        part = context[s:s + 20_000]
-        sums = np.zeros((len(part), LEFT + NEED + 1), np.uint64)
-        np.cumsum(_RAW[part] * up[:LEFT + NEED], axis=1, out=sums[:, 1:])
-        for o in range(LEFT + 1):
-            at = LEFT - o
-            hashes[o, s:s + 20_000] = mix((sums[:, at + NEED] - sums[:, at]) * down[at] + salt[s:s + 20_000])
+    if not n:
+        return low, high
+    back = np.ascontiguousarray(left[:, ::-1])
+    order = np.lexsort([*reversed(_words(back))])
+    shared = _shared_heads(back[order])
+    behind = np.append(common[1:], 0)
+    before = np.empty(n, np.uint64)
     for o in range(LEFT + 1):
-        k = np.flatnonzero((la >= o) & (ra >= NEED - o))
+        need = NEED - o
+        whole = (la >= o) & (ra >= need)
+        k = np.flatnonzero(whole if open_ is not None else whole & ((common >= need) | (behind >= need)))
         if not len(k):
             continue
-        h = hashes[o, k]
-        order = np.argsort(h, kind="stable")
-        h, k = h[order], k[order]
-        first = _groups(h)
-        least = np.repeat(np.minimum.reduceat(ids[k], first), np.diff(np.append(first, len(h))))
-        hit = k[ids[k] > least]
+        before[order] = np.cumsum(shared < o).astype(np.uint64)
+        kind = (np.cumsum(common < need)[k].astype(np.uint64) << np.uint64(32)) | before[k]
+        at = np.argsort(kind, kind="stable")
+        kind, k = kind[at], k[at]
+        first = _groups(kind)
+        least = np.repeat(np.minimum.reduceat(ids[k], first), np.diff(np.append(first, len(kind))))
+        lost = ids[k] > least
+        hit = k[lost]
         low[hit], high[hit] = np.minimum(low[hit], o), np.maximum(high[hit], o)
+        if open_ is not None:
+            open_[k[~lost], o] = True
     return low, high
 
 
@@ -406,27 +509,24 @@ def _spans(runs: DataFrame, buckets: int) -> DataFrame:
         for run, blob in zip(pdf["run"], pdf["data"], strict=True):
             if not run:
                 spans = np.frombuffer(blob, _SPAN)
-                out += _cut(bucket_of(spans["id"].copy(), spans["crc"], buckets), spans)
+                out += _cut(bucket_of(owner_of(spans["id"].copy(), spans["crc"]), buckets), spans)
         got = [_unpack_run(b) for r, b in zip(pdf["run"], pdf["data"], strict=True) if r]
         if got:
             order, common = merge_runs([(g[0], g[1]) for g in got])
-            order = np.array(order, np.int64)
-            group = np.cumsum(np.array(common) < KMER)
+            order, common = np.array(order, np.int64), np.array(common, np.int64)
             left, la, ra, place = (np.concatenate([g[i] for g in got])[order] for i in range(2, 6))
-            first = _groups(group)
-            sizes = np.diff(np.append(first, len(group)))
+            del got
+            first = np.flatnonzero(common < KMER)
+            sizes = np.diff(np.append(first, len(common)))
             most, least = np.maximum.reduceat(place["id"], first), np.minimum.reduceat(place["id"], first)
-            keep = np.flatnonzero(np.repeat(most > least, sizes))
-            values = [v for g in got for v in g[0]]
-            raw = b"".join(values[i].to_bytes(NEED, "big") for i in order[keep].tolist())
-            context = np.concatenate([left[keep], np.frombuffer(raw, np.uint8).reshape(-1, NEED)], axis=1)
+            keep = np.repeat(most > least, sizes)  # whole runs of KMER common bytes, in more than one document
             place = place[keep]
-            low, high = _beaten_spans(context, group[keep], la[keep], ra[keep], place["id"])
+            low, high = beaten(common[keep], left[keep], la[keep], ra[keep], place["id"])
             hit = np.flatnonzero(high >= 0)
             spans = np.empty(len(hit), _SPAN)
             spans["id"], spans["crc"] = place["id"][hit], place["crc"][hit]
             spans["s"], spans["e"] = place["off"][hit] - high[hit], place["off"][hit] - low[hit] + NEED
-            out += _cut(bucket_of(spans["id"].copy(), spans["crc"], buckets), spans)
+            out += _cut(bucket_of(owner_of(spans["id"].copy(), spans["crc"]), buckets), spans)
         return pd.DataFrame(out, columns=["b", "data"])
 
     return runs.groupBy("r").applyInPandas(lean_group(work), "b int, data binary")
@@ -466,7 +566,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of NEED bytes around it also starts in a document with a smaller
     doc_id.  A null id is larger than any other; rows that share an id never shorten each
-    other; null and empty texts have no bytes.
+    other; null and empty texts have no bytes; long texts are looked at in overlapping pieces
+    and decided whole; an empty table gives an empty one; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -475,7 +577,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups, buckets = shuffle_width(spark, size // 15, PER_GROUP), shuffle_width(spark, size, BUCKET_BYTES)
     places = stage(_shared_places(docs, groups, buckets), "places")
     release(spark)
-    runs = _runs(_bucketed(docs, buckets), places.repartition(buckets, "b"), buckets)
+    hot = places.filter(F.col("b") < 0).orderBy(F.desc("n"), "data").limit(HOT_KEYS).select("data").collect()
+    hot_keys = np.sort(np.array([int.from_bytes(r["data"], "little") for r in hot], np.uint64))
+    runs = _runs(_bucketed(docs, buckets), places.filter(F.col("b") >= 0).select("b", "data").repartition(buckets, "b"), buckets, hot_keys)
     spans = stage(_spans(runs.repartition(buckets, "r"), buckets), "spans")
     del runs
     unstage(places)

@@ -172,6 +172,70 @@ def test_repeats_after_a_run_of_empty_texts(spark):
         spark.conf.set(batch, before)
 
 
+def hot_texts(n, seed=23):
+    """Texts around a string of 30 bytes, one of 60 and one of 48, with other bytes on both sides in each."""
+    rnd = random.Random(seed)
+    lines = [f"{rnd.getrandbits(4 * k):0{k}x}" for k in (30, 60, 48)]
+    out = []
+    for k in range(n):
+        text = f"{rnd.getrandbits(160):040x}{lines[k % 3]}{rnd.getrandbits(160):040x}"
+        out.append(text if k % 7 else text + lines[1] + text[:70])
+    return out
+
+
+def test_repeats_with_hot_keys(spark, monkeypatch):
+    for name, value in (("HOT", 20), ("BUCKET_BYTES", 6000), ("LISTED", 7), ("HELD", 2000)):
+        monkeypatch.setattr(suffixes, name, value)
+    rows = list(enumerate(hot_texts(400))) + [(k, t) for k, t in enumerate(texts(9, 20), 300)]
+    assert repeat_rows(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute_repeats(rows)
+
+
+def test_repeats_of_one_short_string_in_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2000)
+    rows = list(enumerate(hot_texts(20_000)))
+    assert repeat_rows(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
+
+
+def test_merged_order_decides_repeats(spark, monkeypatch):
+    rows = list(enumerate(texts(7, 25)))
+    docs = documents(spark, rows)
+    monkeypatch.setattr(suffixes, "merge_runs", lambda runs: (list(range(sum(len(r[0]) for r in runs))), [0] * sum(len(r[0]) for r in runs)))
+    work = suffixes._spans(spark.createDataFrame([], "r int, run boolean, data binary"), 4)  # the plan takes the function by value
+    assert work.count() == 0 and suffixes.beaten(np.zeros(3, np.int64), np.zeros((3, suffixes.LEFT), np.uint8), *[np.full(3, 50)] * 2, np.arange(3))[1].max() == -1
+    assert repeat_rows(suffixes.remove_repeats(docs)) != brute_repeats(rows)
+
+
+def test_dealt_bytes_do_not_grow_with_groups(spark):
+    """What the map tasks send is the same for few groups and many."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000), pa.int64()), "text": [prose(random.Random(k), 60) for k in range(4000)]})
+    sent = {}
+    for groups in (40, 2500):
+        for name, make in (("repeats", lambda g: suffixes._shared_places(Given(), g, 4)), ("jaccard", lambda g: jaccard._shared_entries(Given(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), g, 4))):
+            Given.taken = None
+            make(groups)
+            sent[name, groups] = sum(len(x) for part in Given.taken([batch]) for c in part.columns if pa.types.is_binary(c.type) for x in c.to_pylist())
+    for name in ("repeats", "jaccard"):
+        assert sent[name, 2500] <= 1.2 * sent[name, 40]
+
+
+class Given:
+    """Stands in for a frame, to take hold of the function that maps its batches."""
+
+    taken = None
+
+    def __getattr__(self, name):
+        return self
+
+    def __call__(self, *args, **kwargs):
+        return self
+
+    def mapInArrow(self, run, schema):
+        Given.taken = staticmethod(run)
+        return self
+
+
 def test_every_repeat_has_an_anchor():
     """Wherever a string of 50 bytes stands, one and the same place inside it is an anchor."""
     rnd = random.Random(2)

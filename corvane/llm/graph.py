@@ -13,6 +13,8 @@ from .common import stage, unstage
 
 #: Edges that one task may finish (16 bytes each); more are contracted in rounds first.
 LAST_EDGES = 250_000
+#: Nodes that a task holds before it tells their stars and starts anew.
+HELD_NODES = 500_000
 
 
 class Forest:
@@ -41,13 +43,20 @@ class Forest:
 
 
 def star_batches(batches: Iterable[pa.RecordBatch]):
-    """The edges of a partition as stars: at most one edge for each node."""
+    """The edges of a partition as stars: at most one edge for each node of HELD_NODES."""
     forest = Forest()
+
+    def told() -> pa.RecordBatch:
+        node, root = forest.stars()
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-    node, root = forest.stars()
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+        if len(forest.parent) > HELD_NODES:
+            yield told()
+            forest = Forest()
+    yield told()
 
 
 def components(edges: DataFrame) -> DataFrame:

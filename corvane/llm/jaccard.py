@@ -26,21 +26,41 @@ from .shingles import mix, shingle_sets
 HEAVY = 1 << 18
 #: A chunk of shingles counted at once, and the documents of a chunk that make one heavy.
 COUNTED, HEAVY_DOCS = 2_000_000, 8
-#: Prefix entries held by a map task and dealt to one reduce group; shingles verified in one task.
-ENTRIES, HELD_DOCS, PER_GROUP, PER_TASK = 600_000, 60_000, 600_000, 8_000_000
+#: Prefix entries held by a map task (and documents) and dealt to one reduce group.
+ENTRIES, HELD_DOCS, PER_GROUP = 600_000, 60_000, 600_000
+#: Shingles that one task verifies: a few tasks' worth of the whole, between these bounds; a group of few sets may hold PER_FEW.
+LEAST_TASK, PER_TASK, PER_FEW = 16_000, 1_000_000, 8_000_000
 #: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
 EXTRA = 16
-#: Rows of a side that may be broadcast.
-SMALL = 200_000
+#: Estimated bytes of a side that may be broadcast.
+SMALL_BYTES = 32 << 20
 LEAF, FANOUT = 64, 8
 #: Sets of a split group that stand in each of its blocks, about.
 PIVOTS = 64
-#: A prefix entry as dealt (48 bits of the shingle, places in a table of the smallest and largest class of a chain), a shared
-#: one, and a chain of sizes.
-_DEALT = np.dtype([("high", "<u4"), ("low", "<u2"), ("doc", "<u2"), ("last", "<u2")])
-_TABLE = np.dtype([("cls", "<i8"), ("n", "<u4")])
-_SHARED = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
+#: Columns of a prefix entry as dealt: 48 bits of the shingle, codes of the least and largest size of a chain (and a flag for
+#: more than one class), 48 bits of its first class; and of a shared one: shingle, size code, class.
+_DEALT = ("<u2", "<u4", "<u2", "<u2", "<u2", "<u4")
+_SHARED = ("<u2", "<u4", "<u2", "<u2", "<u4")
+_CHAIN = np.uint16(1 << 15)
 _ENTRY = np.dtype([("token", "<u8"), ("low", "<u4"), ("high", "<u4"), ("cls", "<i8")])
+#: Sizes are coded in 15 bits: as they are below EXACT, then in STEPS steps an octave.
+EXACT, STEPS = 2048, 1462
+
+
+def size_code(n: np.ndarray) -> np.ndarray:
+    return np.where(n < EXACT, n, EXACT + np.floor(np.log2(np.maximum(n, EXACT) / EXACT) * STEPS)).astype(np.uint16)
+
+
+def least_size(code: np.ndarray) -> np.ndarray:
+    """No more than any size of this code."""
+    c = code.astype(np.int64)
+    return np.where(c < EXACT, c, np.floor(EXACT * 2.0 ** ((c - EXACT) / STEPS) - 1e-6 * 2.0 ** ((c - EXACT) / STEPS)).astype(np.int64))
+
+
+def most_size(code: np.ndarray) -> np.ndarray:
+    """No less than any size of this code."""
+    c = code.astype(np.int64)
+    return np.where(c < EXACT, c, np.ceil(EXACT * 2.0 ** ((c + 1 - EXACT) / STEPS) + 1).astype(np.int64))
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -121,13 +141,33 @@ def needed(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, k - (k > 8))
 
 
-def _cut(part: np.ndarray, rows: np.ndarray):
-    """(part, its rows' bytes) for each part, in order."""
+def _cut(part: np.ndarray, columns: list[np.ndarray]):
+    """(part, its rows column by column) for each part, in order; columns apart compress well."""
     order = np.argsort(part, kind="stable")
-    part, rows = part[order], rows[order]
+    part, columns = part[order], [c[order] for c in columns]
     first = np.flatnonzero(np.diff(part, prepend=-1))
     for s, e in zip(first, [*first[1:], len(part)]):
-        yield int(part[s]), rows[s:e].tobytes()
+        yield int(part[s]), b"".join([c[s:e].tobytes() for c in columns])
+
+
+def _columns(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of all blobs, joined."""
+    widths, parts = [np.dtype(k).itemsize for k in kinds], []
+    for blob in blobs:
+        n, at, row = len(blob) // sum(widths), 0, []
+        for k, w in zip(kinds, widths, strict=True):
+            row.append(np.frombuffer(blob, k, n, at))
+            at += n * w
+        parts.append(row)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low
+
+
+def _narrow(x: np.ndarray) -> list[np.ndarray]:
+    return [(x >> np.uint64(32)).astype("<u2"), x.astype("<u4")]
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
@@ -136,10 +176,10 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], groups: int, buckets: int) -> DataFrame:
     """b, data: prefix entries that a class of near size holds as well, by bucket of the class."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    told_heavy = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def prefix(tokens: np.ndarray) -> np.ndarray:
-        names, counts = shared.value
+        names, counts = told_heavy.value
         n = len(tokens)
         k = n - (4 * n + 4) // 5 + max(1, n // EXTRA)
         if len(names):
@@ -149,40 +189,35 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
         return tokens[:k]
 
     def bucket(cls: np.ndarray) -> np.ndarray:
-        return (mix(cls.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        return (mix(cls) % np.uint64(buckets)).astype(np.int32)
 
     def deal(batches):
         seen: set[int] = set()
-        held, owners, table = [], [], []
+        held, owners, table, sizes = [], [], [], []
 
         def flush():
-            names = np.array(table, _TABLE)
+            names, every = np.array(table, np.int64).view(np.uint64) >> np.uint64(16), np.array(sizes, np.int64)
             token = np.concatenate(held) >> np.uint64(16)
-            doc = np.repeat(np.arange(len(owners), dtype=np.uint16), owners)
-            order = np.lexsort((names["n"][doc], token))
-            token, doc = token[order], doc[order]
-            n = names["n"][doc].astype(np.int64)
+            doc = np.repeat(np.arange(len(owners)), owners)
+            order = np.lexsort((every[doc], token))
+            token, cls, n = token[order], names[doc[order]], every[doc[order]]
             near = np.zeros(len(token) + 1, bool)  # to the entry before, of no larger size
             near[1:-1] = (token[1:] == token[:-1]) & (4 * n[1:] <= 5 * n[:-1])
             local = near[:-1] | near[1:]
             first = np.flatnonzero(~near[:-1])
             last = np.append(first[1:], len(token)) - 1
             # entries with a partner here are settled; their chain goes on as one entry
-            entry = np.empty(len(first), _DEALT)
-            entry["high"], entry["low"] = token[first] >> np.uint64(16), token[first] & np.uint64(0xFFFF)
-            entry["doc"], entry["last"] = doc[first], doc[last]
-            for p, blob in _cut((token[first] % np.uint64(groups)).astype(np.int32), entry):
-                yield p, False, names.tobytes(), blob
-            done = np.empty(int(local.sum()), _SHARED)
-            done["token"], done["cls"], done["n"] = token[local], names["cls"][doc[local]], n[local]
-            if len(done):
-                yield int(done["token"][0] % np.uint64(groups)), True, b"", done.tobytes()
+            high = size_code(n[last]) | np.where(first < last, _CHAIN, np.uint16(0))
+            for p, blob in _cut((token[first] % np.uint64(groups)).astype(np.int32), [*_narrow(token[first]), size_code(n[first]), high, *_narrow(cls[first])]):
+                yield p, False, blob
+            if local.any():
+                yield int(token[local][0] % np.uint64(groups)), True, b"".join(c.tobytes() for c in (*_narrow(token[local]), size_code(n[local]), *_narrow(cls[local])))
 
         def told():
             rows = list(flush()) if held else []
-            for x in (held, owners, table):
+            for x in (held, owners, table, sizes):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["p", "settled", "classes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["p", "settled", "data"])
 
         size = 0
         for batch in batches:
@@ -198,7 +233,8 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
                 chosen = prefix(tokens)
                 held.append(chosen)
                 owners.append(len(chosen))
-                table.append((cls, len(tokens)))
+                table.append(cls)
+                sizes.append(len(tokens))
                 size += len(chosen)
                 if size > ENTRIES or len(table) >= HELD_DOCS:
                     yield told()
@@ -209,61 +245,61 @@ def _shared_entries(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], group
         import pandas as pd
 
         out, parts = [], []
-        for settled, names, blob in zip(pdf["settled"], pdf["classes"], pdf["data"], strict=True):
+        for settled, blob in zip(pdf["settled"], pdf["data"], strict=True):
             if settled:
-                done = np.frombuffer(blob, _SHARED)
-                out += _cut(bucket(done["cls"].copy()), done)
-                continue
-            entry, table = np.frombuffer(blob, _DEALT), np.frombuffer(names, _TABLE)
-            parts.append(((entry["high"].astype(np.uint64) << np.uint64(16)) | entry["low"], table["cls"][entry["doc"]], table["n"][entry["doc"]].astype(np.int64),
-                          table["n"][entry["last"]].astype(np.int64), entry["doc"] != entry["last"]))
+                done = _columns([blob], _SHARED)
+                out += _cut(bucket(_wide(*done[3:])), done)
+            else:
+                parts.append(blob)
         if parts:
-            token, cls, n, high, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = _columns(parts, _DEALT)
+            token, low, cls = _wide(*columns[:2]), columns[2], _wide(*columns[4:])
+            known, high = (columns[3] & _CHAIN) > 0, most_size(columns[3] & ~_CHAIN)
+            n = least_size(low)
             order = np.lexsort((known, cls, n, token))
-            token, cls, n, high, known = token[order], cls[order], n[order], high[order], known[order]
+            token, low, cls, n, high, known = (x[order] for x in (token, low, cls, n, high, known))
             fresh = np.ones(len(token), bool)  # a class told by several tasks is no partner of itself
             fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | known[1:] | known[:-1]
-            token, cls, n, high, known = token[fresh], cls[fresh], n[fresh], high[fresh], known[fresh]
-            segment = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) << 32
+            token, low, cls, n, high, known = (x[fresh] for x in (token, low, cls, n, high, known))
+            segment = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) << 33
             reach = np.maximum.accumulate(segment + high) - segment
             same = token[1:] == token[:-1]
             near = np.zeros(len(token), bool)
             near[1:] = same & (4 * n[1:] <= 5 * reach[:-1])
             near[:-1] |= same & (4 * n[1:] <= 5 * high[:-1])
             keep = near & ~known
-            done = np.empty(int(keep.sum()), _SHARED)
-            done["token"], done["cls"], done["n"] = token[keep], cls[keep], n[keep]
-            out += _cut(bucket(done["cls"].copy()), done)
+            out += _cut(bucket(cls[keep]), [*_narrow(token[keep]), low[keep], *_narrow(cls[keep])])
         return pd.DataFrame(out, columns=["b", "data"])
 
-    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(lean(deal), "p int, settled boolean, classes binary, data binary")
+    dealt = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(lean(deal), "p int, settled boolean, data binary")
     return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, data binary")
 
 
 def _candidate_edges(shared: DataFrame, groups: int) -> DataFrame:
-    """Edges a, b between classes whose groups could hold a link.
+    """Edges a, b between classes (48 bits of each) whose groups could hold a link.
 
     Classes that share fewer prefix entries than a linked one must are left out first.
     """
     def sift(pdf):
         import pandas as pd
 
-        entry = np.concatenate([np.frombuffer(d, _SHARED) for d in pdf["data"]])
-        entry = entry[np.lexsort((entry["token"], entry["cls"]))]
+        columns = _columns(list(pdf["data"]), _SHARED)
+        chain = np.empty(len(columns[0]), _ENTRY)
+        chain["token"], chain["cls"] = _wide(*columns[:2]), _wide(*columns[3:])
+        chain["low"], chain["high"] = least_size(columns[2]), most_size(columns[2])
+        entry = chain[np.lexsort((chain["token"], chain["cls"]))]
         fresh = np.ones(len(entry), bool)  # copies of a class in other tasks tell the same entries
         fresh[1:] = (entry["token"][1:] != entry["token"][:-1]) | (entry["cls"][1:] != entry["cls"][:-1])
         entry = entry[fresh]
         first = _starts(entry["cls"])
         n = np.diff(np.append(first, len(entry)))
-        entry = entry[np.repeat(n >= needed(entry["n"][first].astype(np.int64)), n)]
+        entry = entry[np.repeat(n >= needed(entry["low"][first].astype(np.int64)), n)]
         if not len(entry):
             return pd.DataFrame([], columns=["p", "edges", "data"])
-        chain = np.empty(len(entry), _ENTRY)
-        chain["token"], chain["low"], chain["high"], chain["cls"] = entry["token"], entry["n"], entry["n"], entry["cls"]
-        a, b, merged = _edges_of(chain)
+        a, b, merged = _edges_of(entry)
         node, root = _forest(a, b)
         out = [(int(node[0]) % groups, True, np.stack([node, root]).tobytes())] if len(node) else []
-        out += [(p, False, blob) for p, blob in _cut((merged["token"] % np.uint64(groups)).astype(np.int32), merged)]
+        out += [(p, False, blob) for p, blob in _cut((merged["token"] % np.uint64(groups)).astype(np.int32), [merged])]
         return pd.DataFrame(out, columns=["p", "edges", "data"])
 
     def meet(pdf):
@@ -389,7 +425,8 @@ def _linked_in_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """Edges of the links within each group of ``placed`` (d1, d2, first, n, label, keys): one text of each class is read again."""
     spark = docs.sparkSession
     placed = stage(placed.select("d1", "d2", "first", "n", "label", "keys"), "placed")
-    small = placed.limit(SMALL + 1).count() <= SMALL
+    total, size = placed.agg(F.coalesce(F.sum(F.col("n") * F.size("keys")), F.lit(0)), F.coalesce(F.sum(80 + 48 * F.size("keys")), F.lit(0))).first()
+    small = size <= SMALL_BYTES
     right = placed.select(F.col("first").alias("_first"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "label", "keys")
     fetched = docs.join(F.broadcast(right) if small else right, F.col("doc_id").eqNullSafe(F.col("_first")))
 
@@ -406,8 +443,9 @@ def _linked_in_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
     loaded = fetched.select("text", "_d1", "_d2", "label", "keys").mapInArrow(lean(sets), "keys array<string>, cls long, label long, tokens binary")
     dealt = loaded.select(F.explode("keys").alias("grp"), "cls", "label", "tokens")
-    total = placed.agg(F.coalesce(F.sum(F.col("n") * F.size("keys")), F.lit(0))).first()[0]
-    return _verified(dealt.repartition(shuffle_width(spark, int(total), PER_TASK), "grp").sortWithinPartitions("grp", "cls"))
+    found = stage(_verified(dealt.repartition(shuffle_width(spark, int(total), PER_TASK), "grp").sortWithinPartitions("grp", "cls")), "links")
+    unstage(placed)
+    return found
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -426,33 +464,45 @@ def _range(n: str) -> object:
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """node, root over the classes of candidate groups (members: d1, d2, n, first, comp) after all links are found.
 
-    A group within PER_TASK shingles is one task.  A larger one is split by the octave of the
+    A group of a few tasks' worth of shingles at most is one task (``per``, between LEAST_TASK
+    and PER_TASK; a group of few sets, PER_FEW).  A larger one is split by the octave of the
     smaller set of a pair, and by hash into blocks.  First each block meets itself and a few
     pivots that stand in every block, which connects a mass of near copies for good.  Then
     only what isn't in the largest component meets all blocks; so copies, however many, are
     moved twice and not once for each block.
     """
-    large = members.groupBy("comp").agg(F.sum("n").alias("total")).filter(F.col("total") > PER_TASK).select("comp", F.lit(True).alias("large"))
+    every = int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    per = int(np.clip(2 * every // int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(LEAST_TASK, PER_TASK), PER_TASK))
+
+    def wide(weight, count):
+        """Blocks of so many shingles in so many sets: sets that are few stay together while PER_FEW holds them."""
+        few = F.ceil(count / PIVOTS)
+        return F.greatest(F.ceil(weight / max(PER_FEW, per)), F.least(F.ceil(weight / per), few), F.lit(1)).cast("int")
+
+    large = members.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
     octave = lambda x: F.floor(F.log2(x)).cast("int")
     bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
     banded = members.join(large, "comp", "left").withColumn("band", F.explode(bands))
-    sizes = banded.filter("large").groupBy("comp", "band").agg(F.ceil(F.sum("n") / PER_TASK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("count"))
+    sizes = banded.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("blocks"), F.count(F.lit(1)).alias("count"))
     banded = stage(banded.join(sizes, ["comp", "band"], "left").withColumns({
         "blocks": F.coalesce("blocks", F.lit(1)), "label": F.col("d1"), "own": F.pmod(F.xxhash64("d1"), F.coalesce("blocks", F.lit(1))).cast("int"),
         "pivot": F.coalesce(F.pmod(F.xxhash64("d1", F.lit(7)), F.lit(1 << 20)) * F.col("count") < F.lit(PIVOTS << 20), F.lit(False))}), "banded")
     everywhere = F.transform(_range("blocks"), lambda h: _key("own", h.cast("string")))
     keys = F.when(F.col("pivot"), everywhere).otherwise(F.array(_key("own", F.col("own").cast("string"))))
-    near = stage(_linked_in_groups(docs, _placed(banded.withColumn("keys", keys))), "links")
+    near = _linked_in_groups(docs, _placed(banded.withColumn("keys", keys)))
     split = banded.filter("blocks > 1")
     if split.isEmpty():
-        return components(near)
+        found = components(near)
+        unstage(near, banded)
+        return found
 
     roots = components(near).select(F.col("node").alias("d1"), "root")
     named = stage(split.join(roots, "d1", "left").withColumn("label", F.coalesce("root", "d1")).drop("root"), "labelled")
-    weights = named.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"))
-    main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"))
-    wide = lambda w: F.greatest(F.ceil(w / PER_TASK).cast("int"), F.lit(1))
-    main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w")).alias("h"), wide(F.col("all") - F.col("top.w")).alias("k"))
+    weights = named.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
+    main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "c", "label")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("count"))
+    main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c")).alias("h"),
+                       wide(F.col("all") - F.col("top.w"), F.col("count") - F.col("top.c")).alias("k"), (F.col("count") > F.col("top.c")).alias("more"))
+    main = main.filter("more").drop("more")  # where all are connected already, nothing is left to meet
     rest = named.join(main, ["comp", "band"]).withColumns({
         "in_major": F.col("label") == F.col("major"), "at_h": F.pmod(F.xxhash64("d1"), F.col("h")).cast("string"), "at_k": F.pmod(F.xxhash64("d1"), F.col("k")).cast("int")})
     with_rest = F.transform(_range("k"), lambda k: _key("main", F.col("at_h"), k.cast("string")))
@@ -460,7 +510,10 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     among = F.transform(_range("k"), lambda k: _key("rest", F.least(F.col("at_k"), k).cast("string"), F.greatest(F.col("at_k"), k).cast("string")))
     keyed = rest.withColumn("keys", F.when(F.col("in_major"), with_rest).otherwise(F.concat(with_main, among)))
     # the labels of a class are equal in all its bands
-    return components(near.unionByName(_linked_in_groups(docs, _placed(keyed))))
+    far = _linked_in_groups(docs, _placed(keyed))
+    found = components(near.unionByName(far))
+    unstage(near, far, banded, named)
+    return found
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -469,7 +522,8 @@ def link(docs: DataFrame) -> DataFrame:
     Rows with equal sets are one class, and links join classes.  A text without words (or a
     null) has n_shingles 0 and is its own component; component_id is the smallest doc_id of
     the component, a null id being larger than any other.  Repeated rows stay; no pair is
-    listed and no group is cut.
+    listed and no group is cut.  A text of any length is one set, held whole by one task at a
+    time; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -489,11 +543,13 @@ def link(docs: DataFrame) -> DataFrame:
     unstage(shared)
     release(spark)
 
-    labels = near.select(F.col("node").alias("d1"), F.col("root").alias("comp"))
-    labels = labels.unionByName(labels.select(F.col("comp").alias("d1"), "comp").distinct())
+    labels = near.select(F.col("node").alias("short"), F.col("root").alias("comp"))
+    labels = labels.unionByName(labels.select(F.col("comp").alias("short"), "comp").distinct())
     classes = sketch.filter(F.col("n") > 0).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"))
-    members = stage(classes.join(labels, "d1"), "members")
+    members = stage(classes.withColumn("short", F.shiftrightunsigned("d1", 16)).join(labels, "short").drop("short"), "members")
+    unstage(near)
     links = _links(docs, members)
+    unstage(members)
 
     roots = links.select(F.col("node").alias("d1"), "root")
     rooted = classes.join(roots, "d1", "left").withColumn("root", F.coalesce("root", "d1"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -72,7 +73,7 @@ def test_jaccard_matches_brute_force(spark):
 
 def test_jaccard_with_tiny_blocks(spark, monkeypatch):
     """Many flushes, split groups and a near-copy chain give the same components."""
-    for name, value in (("ENTRIES", 200), ("COUNTED", 500), ("PER_TASK", 300), ("SMALL", 5), ("HEAVY_DOCS", 3)):
+    for name, value in (("ENTRIES", 200), ("COUNTED", 500), ("PER_TASK", 300), ("PER_FEW", 300), ("SMALL_BYTES", 5), ("HEAVY_DOCS", 3)):
         monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(8)
     words = prose(rnd, 80).split()
@@ -84,6 +85,27 @@ def test_jaccard_with_tiny_blocks(spark, monkeypatch):
     assert linked_rows(jaccard.link(documents(spark, rows))) == brute_link(rows)
 
 
+def test_jaccard_splits_a_group_of_near_copies(spark, monkeypatch):
+    for name, value in (("PER_TASK", 2000), ("LEAST_TASK", 500), ("PIVOTS", 6)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(18)
+    base, rows = prose(rnd, 60).split(), []
+    for k in range(250):
+        words = list(base)
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(60)] = f"v{rnd.randrange(9)}"
+        rows.append((k, " ".join(words)))
+    assert linked_rows(jaccard.link(documents(spark, rows))) == brute_link(rows)
+
+
+def test_size_codes_bound_sizes():
+    n = np.unique(np.concatenate([np.arange(1, 5000), (1.013 ** np.arange(1, 1600)).astype(np.int64)]))
+    n = n[n < 1 << 30]
+    code = jaccard.size_code(n)
+    assert code.max() < 1 << 15 and (np.diff(code.astype(int)) >= 0).all()
+    assert (jaccard.least_size(code) <= n).all() and (jaccard.most_size(code) >= n).all() and (jaccard.least_size(code) >= 0.999 * n - 1).all()
+
+
 def test_keep_first(spark):
     t = prose(random.Random(1), 60)
     docs = documents(spark, [(5, t), (2, t + " more"), (9, "other words entirely here now"), (3, None), (4, "")], extra=False)
@@ -231,6 +253,9 @@ class Given:
     def __call__(self, *args, **kwargs):
         return self
 
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
     def mapInArrow(self, run, schema):
         Given.taken = staticmethod(run)
         return self

@@ -442,6 +442,51 @@ def test_long_constant_lists_and_last_lines_are_template(spark):
         assert got[100 + k] == [f"Page {k} line {i}" for i in range(90 + k)] + [f"Page {k} end {i}" for i in range(100 - k)]
 
 
+def naive_match(a, b):
+    """The weight of simple tree matching by its definition, with a full table for every pair of nodes."""
+    if a[0] != b[0]:
+        return 0
+    table = np.zeros((len(a[2]) + 1, len(b[2]) + 1), int)
+    for i, x in enumerate(a[2], 1):
+        for j, y in enumerate(b[2], 1):
+            table[i, j] = max(table[i - 1, j], table[i, j - 1], table[i - 1, j - 1] + naive_match(x, y))
+    return table[-1, -1] + 1 + (a[1] == b[1])
+
+
+def random_tree(rnd, depth=0):
+    kids = [random_tree(rnd, depth + 1) for _ in range(rnd.randrange(5 if depth < 3 else 1))]
+    return [rnd.choice(["div", "p", "ul"]), rnd.choice(["", "", "a", "b", "c"]), kids]
+
+
+def test_tree_matching_against_a_naive_matcher(monkeypatch):
+    """Within PAIRS the match is the best there is; beyond it, equal trees come first, and it is no better than that."""
+    rnd = random.Random(31)
+
+    def filled(tree):  # no empty texts, so that the weights are the same thing
+        return [tree[0], tree[1] or "e", [filled(k) for k in tree[2]]]
+
+    for _ in range(200):
+        a = filled(["body", "", [random_tree(rnd) for _ in range(rnd.randrange(4))]])
+        b = filled(["body", "", [random_tree(rnd) for _ in range(rnd.randrange(4))]] if rnd.random() < 0.5 else [a[0], a[1], a[2][1:] + a[2][:1]])
+        best, sides = naive_match(a, b), (html_text.sealed(a), html_text.sealed(b))
+        assert 0.5 * best <= html_text.match_trees(*sides)[0] <= best
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "PAIRS", 1 << 40)
+            assert html_text.match_trees(*sides)[0] == best
+
+
+def test_few_pages_give_up_only_what_surrounds_the_text(spark):
+    def page(k):
+        return f"<body><div class='top'>My site about things</div><div class='body'>{''.join(f'<p>Page {k} says line {i} of it</p>' for i in range(5))}</div><div>All rights</div>"
+
+    rows = [(k, f"http://few.net/{k}", page(k)) for k in range(3)] + [(10 + k, f"http://two.net/{k}", page(k)) for k in range(2)]
+    rows += [(20 + k, f"http://same.net/{k}", f"<body><nav>{k}</nav><p>One text on all pages of the host</p><p>{k}</p>") for k in range(4)]
+    rows += [(30 + k, f"http://art.net/{k}", f"<body><article><p>Shared line</p><p>Page {k} and more of it</p></article>") for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n".join(f"Page 1 says line {i} of it" for i in range(5)) and got[11].startswith("My site")
+    assert got[21] == "One text on all pages of the host\n1" and got[31] == "Shared line\nPage 1 and more of it"
+
+
 def test_content_in_elements_whose_class_speaks_of_other_things(spark):
     def body(k):
         return "".join(f"<p>Line {i} of page {k} in words</p>" for i in range(6)) + f'<div class="ad">Buy {k} now</div>'

@@ -29,7 +29,7 @@ COUNTED, HEAVY_DOCS = 2_000_000, 8
 #: Prefix entries held by a map task (and documents) and dealt to one reduce group.
 ENTRIES, HELD_DOCS, PER_GROUP = 600_000, 60_000, 600_000
 #: Shingles that one task verifies: a few tasks' worth of the whole, between these bounds; a group of few sets may hold PER_FEW.
-LEAST_TASK, PER_TASK, PER_FEW = 16_000, 1_000_000, 8_000_000
+LEAST_TASK, PER_TASK, PER_FEW = 16_000, 4_000_000, 8_000_000
 #: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
 EXTRA = 16
 #: Estimated bytes of a side that may be broadcast.

@@ -3,12 +3,14 @@
 The two halves of a vector are quantised separately; a pair of centroids names a cell.  A
 query visits cells by falling sum of its inner products with the two centroids, taken from
 a heap, until the cells hold its budget of entries, and the entries are reranked exactly.
+Near cells lie in one block of entries, a large cell in several; a query goes to the blocks
+of the cells that it visits and to no other.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stage, unstage
+from .shingles import mix
 
-#: Least and most rows of a block of entries, and most of a block of queries: both sides of one task.
-LEAST_ENTRIES, MOST_ENTRIES, QUERY_BLOCK = 8_192, 100_000, 20_000
+#: Least and most rows of a block of entries, about, and most queries that meet a block in one task.
+LEAST_ENTRIES, MOST_ENTRIES, QUERY_BLOCK = 4_096, 100_000, 20_000
 #: Queries scored at once within a task.
 SCORED = 256
 #: Scores nearer than this are compared again from row-wise sums.
@@ -57,6 +60,25 @@ class MultiIndex:
     right: np.ndarray
     counts: np.ndarray  # left x right
     share: float = 1.0
+    first: np.ndarray | None = None  # per cell its first block, and in how many its entries lie
+    parts: np.ndarray | None = None
+
+    def placed(self, size: int) -> MultiIndex:
+        """With blocks of about ``size`` entries: cells in the order of their centroids, so that near cells share blocks."""
+        def along(centres: np.ndarray) -> np.ndarray:
+            shifted = centres - centres.mean(axis=0)
+            return np.argsort(shifted @ np.linalg.svd(shifted, full_matrices=False)[2][0], kind="stable") if len(centres) > 1 and centres.shape[1] else np.arange(len(centres))
+
+        order = (along(self.left)[:, None] * len(self.right) + along(self.right)[None, :]).ravel()
+        n = self.counts.ravel()[order]
+        large = n > size
+        parts = np.where(large, -(-n // size), 1)
+        before = np.cumsum(np.where(large, 0, n)) - np.where(large, 0, n)
+        shared = int(before[-1] // size) + 1
+        own = shared + np.cumsum(np.where(large, parts, 0)) - np.where(large, parts, 0)
+        first, count = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        first[order], count[order] = np.where(large, own, before // size), parts
+        return replace(self, first=first, parts=count)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         h = self.left.shape[1]
@@ -104,7 +126,7 @@ def _packed(embeddings: DataFrame) -> DataFrame:
     return clean.mapInArrow(run, "vec_id long, vec binary")
 
 
-def build(embeddings: DataFrame, *, sample: int = 20_000, per_cell: int = 200) -> tuple[MultiIndex, DataFrame]:
+def build(embeddings: DataFrame, *, sample: int = 20_000, per_cell: int = 64) -> tuple[MultiIndex, DataFrame]:
     """Codebooks from the ``sample`` rows of smallest hashed id, and the index of every row: vec_id, vec, cell.
 
     Rows of another dimension than the commonest take no part.
@@ -147,27 +169,56 @@ def _top(ids: list[np.ndarray], scores: np.ndarray, vectors: np.ndarray, query:
     return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
 
-def _with_reach(asked: DataFrame, model: MultiIndex) -> DataFrame:
-    """Add reach to each query: the centroid sum down to which its heap went for its budget of entries."""
+def _with_blocks(asked: DataFrame, model: MultiIndex) -> DataFrame:
+    """block, query_id, qvec, reach: each query at the blocks that hold a cell it visits, and the centroid sum down to which its heap went for its budget."""
     shared = asked.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            model = shared.value
+            model, rows = shared.value, []
             budget = model.share * model.counts.sum()
-            reach = [model.visit(np.frombuffer(v, np.float64), budget)[2] for v in batch.column("qvec").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("qvec"), pa.array(reach, pa.float64())], names=["query_id", "qvec", "reach"])
+            for name, raw in zip(batch.column("query_id").to_pylist(), batch.column("qvec").to_pylist(), strict=True):
+                cells, _, reach = model.visit(np.frombuffer(raw, np.float64), budget)
+                first, parts = model.first[cells], model.parts[cells]
+                at = np.unique(np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                rows += [(b, name, raw, reach) for b in at.tolist()]
+                if len(rows) > 10_000:
+                    yield told(rows)
+                    rows = []
+            yield told(rows)
 
-    return asked.select("query_id", "qvec").mapInArrow(run, "query_id long, qvec binary, reach double")
+    def told(rows: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["block", "query_id", "qvec", "reach"])
 
+    return asked.select("query_id", "qvec").mapInArrow(run, "block long, query_id long, qvec binary, reach double")
 
-def _blocks(left: DataFrame, right: DataFrame, model: MultiIndex, k: int, exact: bool, entry_blocks: int, query_blocks: int) -> DataFrame:
-    """query_id, vec_id, score, cell: per block of entries each query's k best of the cells within its reach."""
-    shared = left.sparkSession.sparkContext.broadcast(model)
+
+def _in_blocks(index: DataFrame, model: MultiIndex) -> DataFrame:
+    """The index with the block of each entry."""
+    shared = index.sparkSession.sparkContext.broadcast((model.first, model.parts))
+
+    def run(batches):
+        for batch in batches:
+            first, parts = shared.value
+            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy().astype(np.int64)
+            block = first[cell] + (mix(ids.view(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int64())], names=["vec_id", "vec", "cell", "block"])
+
+    return index.select("vec_id", "vec", "cell").mapInArrow(run, "vec_id long, vec binary, cell int, block long")
+
+
+def _found(index: DataFrame, asked: DataFrame, model: MultiIndex, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each block each query's k best of the cells within its reach.
+
+    Where more than QUERY_BLOCK queries come to a block, its entries are dealt to several tasks.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(model)
 
     def pair(key, queries, entries):
-        model = shared.value
-        out: list[tuple[int, int, float, int]] = []
+        import pandas as pd
+
+        model, out = shared.value, []
         if len(queries) and len(entries):
             entries = entries.sort_values(["cell", "vec", "vec_id"])
             raw = entries["vec"].tolist()
@@ -182,24 +233,24 @@ def _blocks(left: DataFrame, right: DataFrame, model: MultiIndex, k: int, exact:
             for at in range(0, len(names), SCORED):
                 part = asked[at:at + SCORED]
                 scores = np.full((len(part), len(vectors)), -np.inf)
-                within = np.ones((len(part), len(held)), bool) if exact else model.sums(part, held) >= reach[at:at + SCORED, None] - SLACK
-                for c, (s, e) in enumerate(zip(bounds, bounds[1:])):
-                    qs = np.flatnonzero(within[:, c])
-                    if len(qs):
-                        scores[qs, s:e] = part[qs] @ vectors[s:e].T
-                where = {int(i): int(cells[d]) for d, own in enumerate(ids) for i in own} if exact else {}
+                within = model.sums(part, held) >= reach[at:at + SCORED, None] - SLACK
+                if within.all():
+                    scores = part @ vectors.T
+                else:
+                    for c, (s, e) in enumerate(zip(bounds, bounds[1:])):
+                        qs = np.flatnonzero(within[:, c])
+                        if len(qs):
+                            scores[qs, s:e] = part[qs] @ vectors[s:e].T
                 for q, vector in enumerate(part):
                     name = names[at + q]
-                    out += [(name, i, s, where.get(i, -1)) for s, i in _top(ids, scores[q], vectors, vector, name, k)]
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "cell"])
+                    out += [(name, i, s) for s, i in _top(ids, scores[q], vectors, vector, name, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    a = right.select("query_id", "qvec", "reach", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(entry_blocks - 1))).alias("eb")).groupBy("eb", "qb")
-    b = left.select("vec_id", "vec", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(entry_blocks)).cast("int").alias("eb"),
-                    F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")).groupBy("eb", "qb")
-    return a.cogroup(b).applyInPandas(pair, "query_id long, vec_id long, score double, cell int")
+    visits = stage(_with_blocks(asked, model), "visits")
+    demand = stage(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("deals")), "demand")
+    left = visits.join(demand, "block").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("deals")).cast("int")).groupBy("block", "deal")
+    right = _in_blocks(index, model).join(demand, "block").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").groupBy("block", "deal")
+    return left.cogroup(right).applyInPandas(pair, "query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -207,6 +258,46 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def tuned(index: DataFrame, asked: DataFrame, model: MultiIndex, *, k: int, target: float, tuning: int) -> MultiIndex:
+    """The model with the smallest share at which ``tuning`` queries, searched exactly against every entry, find ``target`` of their true neighbours."""
+    spark = index.sparkSession
+    rows = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(tuning).collect()  # at most ``tuning`` vectors
+    if not rows:
+        return model
+    names, vectors = [r["query_id"] for r in rows], _unpack([bytes(r["qvec"]) for r in rows])
+    shared = spark.sparkContext.broadcast((names, vectors, model))
+
+    def exact(batches):
+        names, vectors, _ = shared.value
+        best = [[] for _ in names]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, cells = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+            scores = vectors @ _unpack(batch.column("vec").to_pylist()).T
+            for q, own in enumerate(names):
+                at = np.argpartition(scores[q], max(0, len(ids) - k - 1))[-k - 1:]
+                best[q] = sorted(best[q] + [(-scores[q, i], int(ids[i]), int(cells[i])) for i in at.tolist() if ids[i] != own])[:k]
+        out = [(own, i, -s, c) for own, found in zip(names, best, strict=True) for s, i, c in found]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["query_id", "vec_id", "score", "cell"])
+
+    def needs(batches):
+        names, vectors, model = shared.value
+        at, total = {n: i for i, n in enumerate(names)}, model.counts.sum()
+        for batch in batches:
+            out = []
+            for name, cells in zip(batch.column("query_id").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                seen = dict(zip(*model.visit(vectors[at[name]], np.inf)[:2], strict=True))
+                out += [seen[c] / total for c in cells]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["need"])
+
+    true = _best(index.mapInArrow(exact, "query_id long, vec_id long, score double, cell int"), k)
+    needed = true.groupBy("query_id").agg(F.collect_list("cell").alias("cells")).mapInArrow(needs, "need double")
+    found = [r["need"] for r in needed.collect()]  # at most ``tuning`` times k numbers
+    return replace(model, share=float(np.quantile(found, target)) if found else 1.0)
+
+
 def search(embeddings: DataFrame, queries: Column, *, k: int = 20, target: float = 0.96, tuning: int = 200, **params) -> DataFrame:
     """query_id, rank, vec_id, score: the k entries found nearest to each row where ``queries`` holds.
 
@@ -214,23 +305,15 @@ def search(embeddings: DataFrame, queries: Column, *, k: int = 20, target: float
     query's own id is no candidate.  Rows that share a query's id are one query (the vector
     whose bytes are smallest) and each stay entries.  The visited share is the smallest at
     which ``tuning`` queries, searched exactly against every entry, would find the share
-    ``target`` of their true neighbours.
+    ``target`` of their true neighbours.  Vectors that are null, empty or zero, that hold a
+    null or a non-finite component, or that have another length than the commonest take no
+    part, and neither does a row without an id; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
+    embeddings = embeddings.select("vec_id", "embedding")
     model, index = build(embeddings, **params)
     total = int(model.counts.sum())
-    asked = index.filter(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("qvec"))
-    asked = stage(asked, "queries")
-    n_queries = asked.count()
-    width = max(1, -(-total // int(np.clip(total // 64, LEAST_ENTRIES, MOST_ENTRIES))))
-    sample = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(tuning).withColumn("reach", F.lit(0.0))
-    true = _best(_blocks(index, sample, model, k, True, width, 1), k).select("query_id", "cell").collect()
-    vectors = {r["query_id"]: np.frombuffer(bytes(r["qvec"]), np.float64) for r in sample.collect()}
-    needed, orders = [], {}
-    for r in true:
-        if r["query_id"] not in orders:
-            orders[r["query_id"]] = dict(zip(*model.visit(vectors[r["query_id"]], np.inf)[:2], strict=True))
-        needed.append(orders[r["query_id"]][r["cell"]] / total)
-    share = float(np.quantile(needed, target)) if needed else 1.0
-    tuned = MultiIndex(model.left, model.right, model.counts, share)
-    found = _blocks(index, _with_reach(asked, tuned), tuned, k, False, width, max(1, -(-n_queries // QUERY_BLOCK)))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = stage(index.filter(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("qvec")), "queries")
+    model = tuned(index, asked, model, k=k, target=target, tuning=tuning)
+    model = model.placed(int(np.clip(total // 64, LEAST_ENTRIES, MOST_ENTRIES)))
+    return _best(_found(index, asked, model, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

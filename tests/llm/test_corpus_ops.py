@@ -392,6 +392,32 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(empty(spark, df), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_in_small_blocks(spark, monkeypatch):
+    """Clustered vectors with a cell of a third of all: queries go to few blocks, and recall holds."""
+    for name, value in (("LEAST_ENTRIES", 60), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(ann, name, value)
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(30, 16)) * 4
+    x = centres[np.where(np.arange(1800) < 600, 0, np.arange(1800) % 30)] + rnd.normal(size=(1800, 16)) * 0.3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, per_cell=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, 1800, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(1800), -s))[:20].tolist()))
+    assert hit / (90 * 20) >= 0.9
+    model, index = ann.build(df, per_cell=20)
+    asked = index.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "vec AS qvec")
+    model = ann.tuned(index, asked, model, k=20, target=0.96, tuning=50).placed(60)
+    entries = ann._in_blocks(index, model).groupBy("block").count().collect()
+    assert model.share < 0.5 and max(r["count"] for r in entries) <= 200 and sum(r["count"] for r in entries) == 1800
+    visits = ann._with_blocks(asked, model)
+    assert visits.count() < 0.6 * 90 * (model.first + model.parts).max()
+
+
 def test_heap_visits_every_cell_once_in_order():
     rnd = np.random.default_rng(2)
     model = ann.MultiIndex(rnd.normal(size=(7, 3)), rnd.normal(size=(5, 3)), rnd.integers(0, 4, (7, 5)))

@@ -10,13 +10,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,11 +27,68 @@ SHORT = 128
 #: Words, and texts between spaces, whose encoding a worker remembers; a memory is emptied when full.
 CACHE_WORDS = 200_000
 #: Control characters at which Python's own split parts and the tokenizer doesn't.
-_NO_SPACE = regex.compile(r"[\x1c-\x1f]")
+_NO_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEVER = 1 << 30
-#: White space of the tokenizer's pattern, and the pattern itself.
+#: White space of the tokenizer's patterns; what this encoder reads of a file besides vocabulary, merges and special
+#: tokens, as the file must state it (the pattern itself is taken from the file; its words hold no white space).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _SPACE + r"\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PLAIN = ("unk_token", "continuing_subword_prefix", "dropout")
+#: Where the tokenizer library's Unicode tables are ahead of Python's 15.1.  Its letters and numbers are those of
+#: version 16, its lower case is that of version 17 (code points, the last of a range, lower case of the first), and its
+#: composition is that of an old version, to which the marks below are no marks: nothing composes or moves across them.
+_LETTERS_16 = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+_NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+_LOWER_17 = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+_NO_MARKS = "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef 11930"
+
+
+def _ranges(told: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (x.partition("-") for x in told.split())]
+
+
+def _lower_table() -> dict[int, int]:
+    out = {}
+    for x in _LOWER_17.split():
+        run, _, low = x.partition(":")
+        for a, b in _ranges(run):
+            out |= {c: int(low, 16) + c - a for c in range(a, b + 1)}
+    return out
+
+
+@lru_cache(1)
+def unicode_classes() -> dict[str, str]:
+    r"""The inside of the classes \p{L}, \p{N} and \s, as the tokenizer library has them."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in ranges:
+            run = ranges[kind]
+            if run and run[-1][1] == c - 1:
+                run[-1][1] = c
+            else:
+                run.append([c, c])
+    every = {"L": ranges["L"] + _ranges(_LETTERS_16), "N": ranges["N"] + _ranges(_NUMBERS_16)}
+    inside = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in sorted(map(tuple, run))) for k, run in every.items()}
+    return {r"\p{L}": inside["L"], r"\p{N}": inside["N"], r"\s": _SPACE}
+
+
+def word_pattern(data: dict) -> re.Pattern:
+    """The pattern of a tokenizer file's words; a file that asks for anything else than is done here is refused."""
+    steps = (data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split, model = steps[0], data["model"]
+    told = {"normalizer": data.get("normalizer") == _NORMALIZER, "pre_tokenizer": len(steps) == 2 and steps[1] == _BYTE_LEVEL
+            and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True) and "Regex" in split.get("pattern", {}),
+            "decoder": data.get("decoder") is None, "post_processor": data.get("post_processor") is None,
+            "model": model.get("type") == "BPE" and not any(model.get(k) for k in (*_PLAIN, "byte_fallback", "ignore_merges")),
+            "added_tokens": not any(t.get(k) for t in data["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))}
+    if wrong := [k for k, ok in told.items() if not ok]:
+        raise ValueError(f"the tokenizer file's {', '.join(wrong)} can't be followed")
+    pattern = split["pattern"]["Regex"]
+    for name, inside in unicode_classes().items():
+        pattern = pattern.replace(name, inside)
+    return re.compile(pattern)
 
 
 def _byte_letters() -> list[str]:
@@ -63,9 +120,13 @@ class WordBpe(dict):
         letters = _byte_letters()
         self.inner = [self.vocab.get(c, -1) for c in letters]
         self.final = [self.vocab.get(c + self.suffix, -1) for c in letters]
-        self.words = regex.compile(_WORDS)
+        self.words = word_pattern(data)
+        self.lower = _lower_table()
+        marks = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(_NO_MARKS))
+        self.barrier = re.compile(f"([{marks}])")
+        self.newer = re.compile(f"[{marks}{''.join(map(chr, self.lower))}]")
         self.known: dict[str, tuple[bytes, str]] = {}
-        self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.split = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     # -- one word ---------------------------------------------------------------------
 
@@ -135,6 +196,9 @@ class WordBpe(dict):
     # -- whole texts --------------------------------------------------------------------
 
     def _normal(self, text: str) -> str:
+        if self.newer.search(text):
+            text = "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(self.barrier.split(text)))
+            return "".join(c.lower() for c in text.translate(self.lower))
         text = unicodedata.normalize("NFC", text)
         # lower-cased character by character: a sigma at a word's end stays an inner sigma
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
@@ -176,10 +240,15 @@ def encode_documents(docs: DataFrame, spec_path: str, *, with_ids: bool = False)
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; optionally the ids.
 
     The file is read on the driver and broadcast (a few MB, fixed by the vocabulary).  A null
-    or empty text has no tokens and the digests of nothing; rows and ids repeat as they come.
+    or empty text has no tokens and the digests of nothing; rows and ids repeat as they come;
+    texts of any length are encoded whole; an empty table gives an empty one; other columns
+    are ignored, whatever their names.
     """
     with open(spec_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    word_pattern(json.loads(text))
+    spec = docs.sparkSession.sparkContext.broadcast(text)
+
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         model, n, ids_hash, text_hash, ids = _loaded(spec.value), [], [], [], []
         for text in batch.column(batch.schema.get_field_index("text")):

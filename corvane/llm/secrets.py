@@ -1,8 +1,10 @@
 """Secret scans: assignment-aware lexing of source and configuration text.
 
-A lexer reads ``name = literal`` pairs in many syntaxes, carries constants to the names
-they are assigned to, and scores each literal by how sensitive its target names are.  On a
-line like those of .env, INI, properties and YAML files a value needs no quotes.
+A lexer reads name-literal pairs: assignments and mappings of source text (with triple-quoted
+and adjacent literals, subscripts and call arguments), lines like those of .env, INI,
+properties and YAML files, whose values need no quotes, and elements and attributes of XML.
+Constants are carried to the names that they reach, also from places further on, and
+each literal is scored by how sensitive its target names are.
 Three base patterns (assign, access, hex) are always reported as well.
 """
 
@@ -39,11 +41,24 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|cha
 THRESHOLD = 0.5
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
-_STRING = r"""b?"(?:[^"\\\n]++|\\.)*+"|b?'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
-_PAIR = re.compile(rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<value>(?:{_STRING}|{_NAME})(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME}))*)""")
-_ATOM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})")
+_QUOTED = r'''"""(?:[^"\\]++|\\.|"(?!""))*+"""|\'\'\'(?:[^'\\]++|\\.|'(?!''))*+\'\'\'|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`'''
+_STRING = rf"(?:[bBrRuUfF@$]{{1,2}}(?=[\"'])|@)?(?:{_QUOTED})"
+_MORE = rf"(?:[\x20\t]*\+[\x20\t]*(?:{_STRING}|{_NAME})|[\x20\t]*(?:\\?\r?\n[\x20\t]*)?(?:{_STRING})(?![\x20\t]*[:=]))*"
+_PAIR = re.compile(rf"""(?s)(?P<q>["']?)(?P<name>{_NAME})(?P=q)\]?(?:\s?:\s?[A-Za-z][A-Za-z<>\[\]]{{0,40}}(?=\s*=))?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?:\((?=[\x20\t]*[\r\n]*[\x20\t]*["'])\s*)?(?P<value>(?:{_STRING}|{_NAME}){_MORE})""")
+_ATOM = re.compile(rf"(?s)(?P<string>{_STRING})|(?P<name>{_NAME})")
+#: An assignment of something that is neither a literal nor a name: the target no longer holds what it held.
+_OTHER = re.compile(rf"(?m)(?P<name>{_NAME})[\x20\t]*=(?![=>~])[\x20\t]*(?=[^\s\"'`A-Za-z_@])")
+#: Calls: a setter's only argument, and a name given as a literal with the literal given to it.
+_SETTER = re.compile(rf"(?s)\b(?P<name>(?:set|with|use|update|change|assign)_?(?-i:[A-Za-z0-9_]{{2,60}}))\([\x20\t]*(?P<value>{_STRING})[\x20\t]*\)")
+_GIVEN = re.compile(rf"""(?s)[A-Za-z0-9_\])]\([\x20\t]*(?P<q>["'])(?P<name>{_NAME})(?P=q)[\x20\t]*,[\x20\t]*(?P<value>{_STRING})[\x20\t]*[,)]""")
+#: XML: an element's text; a tag that gives a name in one attribute and its value in another.
+_ELEMENT = re.compile(rf"<(?P<name>{_NAME})(?:\s[^<>]{{0,400}})?>\s*(?:<!\[CDATA\[)?(?P<value>[^<>\s]{{1,4096}}?)(?:\]\]>)?\s*</(?P=name)\s*>")
+_TAG = re.compile(rf"""<{_NAME}\s(?=[^<>]{{0,400}}?\b(?:key|name|id)\s*=\s*(?P<q>["'])(?P<name>{_NAME})(?P=q))[^<>]{{0,400}}?\bvalue\s*=\s*(?P<r>["'])(?P<value>[^"'<>]{{1,4096}})(?P=r)""", re.I)
+#: YAML: one line in a block of its own under a name.
+_BLOCK = re.compile(rf"""(?m)^(?P<in>[\x20]*)(?:-[\x20]+)?(?P<q>["']?)(?P<name>{_NAME})(?P=q):[\x20\t]*[|>][+-]?[0-9]?[\x20\t]*\r?\n(?P=in)[\x20]+(?P<value>[^\s#][^\s]*)[\x20\t]*\r?$""")
 #: A configuration line and its unquoted value, to the end of the line or a comment.
-_BARE = re.compile(rf"""(?m)^[\x20\t]*(?:-[\x20\t]+|(?:export|set|setx|env|ENV|ARG)[\x20\t]+)?(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?P<gap>[\x20\t]*)(?:(?P<is>=)(?![=>~])|:(?![:/=])(?![\x20\t]*[&*!|>%@\[{{]))(?P<after>[\x20\t]*)(?P<value>[^\s"'`#](?:[^\r\n\x20\t]|[\x20\t]+(?![\x20\t\r\n#;]|//|\Z))*)""")
+_BARE = re.compile(rf"""(?m)^[\x20\t]*(?:\[[^\]\r\n]{{1,80}}\][\x20\t]*)?(?:-[\x20\t]+|(?:export|set|setx|env|ENV|ARG)[\x20\t]+)?(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?P<gap>[\x20\t]*)(?:(?P<is>=)(?![=>~])|:(?![:/=])(?![\x20\t]*[&*!|>%@\[{{]))(?P<after>[\x20\t]*)(?P<value>[^\s"'`#](?:[^\r\n\x20\t]|[\x20\t]+(?![\x20\t\r\n#;]|//|\Z))*)""")
+_CALL = re.compile(r"[A-Za-z_][\w.]*\([^()]*\);?")
 _REFERENCE = re.compile(rf"(\$?)(?:\{{({_NAME})\}}|({_NAME}))")
 #: Signs that a text is a program, where an unquoted name is a reference and brackets are calls.
 _CODE = re.compile(r"(?m)[;{(][\x20\t]*\r?$|^[\x20\t]*(?:def|class|func|fn|function|public|private|static|const|let|var|import|package|return)[\x20\t]+\S|^#include\b")
@@ -84,7 +99,7 @@ def bare_values(text: str) -> dict[int, tuple[str, tuple[int, int, str]]]:
     out, code = {}, _CODE.search(text) is not None
     for m in _BARE.finditer(text):
         name, value = m["name"], m["value"]
-        if not m["is"] and re.search(r"\s", value) or _WORD.match(value):
+        if not m["is"] and re.search(r"\s", value) or _WORD.match(value) or _CALL.fullmatch(value):
             continue  # a colon and some words are prose
         shell = m["is"] and not m["gap"] and not m["after"] and name.isupper()
         if code and not shell and (_REFERENCE.fullmatch(value) or re.search(r"[()\[\]{}\s]|[;,]$", value)):
@@ -93,43 +108,81 @@ def bare_values(text: str) -> dict[int, tuple[str, tuple[int, int, str]]]:
     return out
 
 
-def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str], list[tuple[int, int, str]]]]:
-    """Per assignment, in order: target name, literals (start, end, value) and names on its right side, and its unquoted value if it may have one."""
-    out, bare = [], bare_values(text)
+Part = tuple[int, int, str]  # start, end and value of a literal
+
+
+def _literal(at: int, raw: str) -> Part:
+    """The inside of a quoted literal that begins at ``at``."""
+    lead = len(raw) - len(raw.lstrip("bBrRuUfF@$"))
+    skip = 3 if raw[lead:lead + 3] in ('"""', "\'\'\'") and len(raw) >= lead + 6 else 1
+    return at + lead + skip, at + len(raw) - skip, raw[lead + skip:len(raw) - skip]
+
+
+def lex_pairs(text: str) -> list[tuple[str, list[Part | str], list[Part]]]:
+    """Per assignment, in order: target name, literals and names on its right side, and its unquoted value if it may have one."""
+    out, bare = {}, bare_values(text)
     for m in _PAIR.finditer(text):
-        literals, names, at = [], [], m.start("value")
-        for atom in _ATOM.finditer(m["value"]):
-            if raw := atom["string"]:
-                skip = 2 if raw[0] == "b" else 1
-                literals.append((at + atom.start() + skip, at + atom.end() - 1, raw[skip:-1]))
-            else:
-                names.append(atom["name"])
+        at = m.start("value")
+        right = [_literal(at + x.start(), x["string"]) if x["string"] else x["name"] for x in _ATOM.finditer(m["value"])]
         _, value = bare.pop(m.start("name"), (None, None))
-        out.append((m.start("name"), m["name"], literals, names, [value] if value and not literals else []))
+        out[m.start("name")] = m["name"], right, [value] if value and all(isinstance(x, str) for x in right) else []
     for place, (name, value) in bare.items():
         reference = _REFERENCE.fullmatch(value[2])
         variable = reference and reference[1] and reference[0].isupper()
-        out.append((place, name, [], [reference[2] or reference[3]] if reference else [], [] if variable else [value]))
-    return [x[1:] for x in sorted(out, key=lambda x: x[0])]
+        out[place] = name, [reference[2] or reference[3]] if reference else [], [] if variable else [value]
+    for pattern in (_SETTER, _GIVEN):
+        for m in pattern.finditer(text):
+            out.setdefault(m.start("name"), (m["name"], [_literal(m.start("value"), m["value"])], []))
+    if "<" in text:
+        for pattern in (_ELEMENT, _TAG):
+            for m in pattern.finditer(text):
+                out[m.start("name")] = m["name"], [(m.start("value"), m.end("value"), m["value"])], []
+    for m in _BLOCK.finditer(text):
+        out[m.start("name")] = m["name"], [(m.start("value"), m.end("value"), m["value"])], []
+    for m in _OTHER.finditer(text):
+        out.setdefault(m.start("name"), (m["name"], [], []))
+    return [out[k] for k in sorted(out)]
 
 
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly or through constants."""
+    """Spans of literals that reach a sensitive name, directly or through constants.
+
+    A name stands for what it was given last; a name that was given nothing yet, for what it is
+    given first further on.  Literals that are joined are scored together.
+    """
     low = text.lower()
     if not any(stem in low for stem in _STEMS):
         return []
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    pairs = lex_pairs(text)
+    later: dict[str, int] = {}
+    for k in range(len(pairs) - 1, -1, -1):
+        if pairs[k][1] or pairs[k][2]:
+            later[pairs[k][0]] = k
+    known: dict[str, list[list[Part]]] = {}
     found: set[tuple[int, int]] = set()
-    for name, literals, names, bare in lex_pairs(text):
-        values = literals + [v for n in names for v in known.get(n, ())]
-        if bare and not (_REFERENCE.fullmatch(bare[0][2]) and values):
-            values += bare  # not the name of a constant
-        values = list(dict.fromkeys(values))
-        if values:
-            known[name] = values
+
+    def value_of(k: int, open_: frozenset[int]) -> list[list[Part]]:
+        """What the right side of pair ``k`` may be: lists of joined literals."""
+        _, right, bare = pairs[k]
+        joined: list[Part] = []
+        for x in right:
+            if not isinstance(x, str):
+                joined.append(x)
+            elif x in known:
+                joined += [p for v in known[x] for p in v]
+            elif later.get(x, -1) > k and later[x] not in open_ and len(open_) < 8:
+                joined += [p for v in value_of(later[x], open_ | {k}) for p in v]
+        out = [joined] if joined else []
+        if bare and not (_REFERENCE.fullmatch(bare[0][2]) and out):
+            out.append(bare)  # not the name of a constant
+        return out
+
+    for k, (name, _, _) in enumerate(pairs):
+        values = value_of(k, frozenset((k,)))
+        known[name] = values
         weight = sensitivity(name)
         if weight:
-            found.update((s, e) for s, e, v in values if weight * literal_score(v) >= threshold)
+            found.update((s, e) for v in values if weight * literal_score("".join(p[2] for p in v)) >= threshold for s, e, _ in v)
     return sorted(found)
 
 
@@ -167,7 +220,9 @@ def redact(text: str | None, mask: str = "[REDACTED]") -> str | None:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base digest and all spans of every whole text.
 
-    Null and empty texts have no spans; repeated rows are each scanned.
+    Null and empty texts have no spans; repeated rows are each scanned; spans that start
+    together are told in the order of their kinds; texts of any length are scanned whole; an
+    empty table gives an empty one; other columns are ignored, whatever their names.
     """
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []

@@ -213,3 +213,35 @@ def test_redacted_documents_keep_columns(spark):
     got = {r["doc_id"]: r for r in secrets.redact_documents(docs).collect()}
     assert got[1]["text"] == "a token = [REDACTED] b" and got[1]["n_chars"] == 22 and got[2]["text"] == "clean" and got[3]["text"] is None
     assert secrets.redact_documents(docs).columns == docs.columns
+
+
+SECRET = "Xk29vQ77LmPz81"
+
+
+@pytest.mark.parametrize("text", [
+    "DB_PWD=%s", "db_pwd: %s", "[db]\npwd = %s", "[db] pwd = %s", "<pwd>%s</pwd>", "<pwd kind='a'><![CDATA[%s]]></pwd>", '<add key="DbPwd" value="%s"/>', 'pwd = """%s"""', "pwd = \'\'\'%s\'\'\'",
+    'connect(host="h", pwd="%s")', 'client.set_pwd("%s")', 'setPassphrase("%s")', 'os.environ.setdefault("DB_PWD", "%s")', 'cfg["pwd"] = "%s"', 'pwd = KEYVAL\nfoo = 1\nKEYVAL = "%s"\n',
+    'K = "%s"\npwd = K;', "pwd: |\n  %s\n", 'const pwd: string = "%s";', '{"pwd": "%s"}', 'K = load()\nK = "%s"\npwd = K', 'A = B\npwd = A\nB = "%s"'])
+def test_secrets_in_many_syntaxes(text):
+    text = text % SECRET
+    at = text.index(SECRET)
+    assert (at, at + len(SECRET)) in secrets.named_spans(text)
+    assert SECRET not in secrets.redact(text)
+
+
+@pytest.mark.parametrize("text", [
+    'K = "%s"\nK = load()\npwd = K\n', 'K = "%s"\nK = 5\npwd = K\n', 'K = "%s"\nname = K\nthe key: is a thing', "a = b\nb = a\npwd = a", 'get_pwd("%s")', 'pwd = load()\nx = "%s"'])
+def test_what_is_no_secret(text):
+    assert secrets.named_spans(text % SECRET if "%" in text else text) == []
+
+
+def test_adjacent_literals_are_one_value():
+    for text in ('pwd = "Xk29vQ7" "7LmPz81"', 'pwd = ("Xk29vQ7"\n    "7LmPz81")', 'pwd = "Xk29vQ7" + "7LmPz81"'):
+        assert [text[s:e] for s, e in secrets.named_spans(text)] == ["Xk29vQ7", "7LmPz81"]
+    assert [s for s in secrets.named_spans('pwd: "Xk29vQ77LmPz81"\n"user": "somebody-else-7712"')] == [(6, 20)]
+
+
+def test_very_long_texts_are_scanned_whole():
+    quiet = "some words of prose and more, " * 40_000
+    text = quiet + 'pwd = "%s"\n' % SECRET + "key=" + "\\" * 100_001 + quiet + 'x="' * 20_000
+    assert SECRET not in secrets.redact(text) and len(secrets.redact(text)) > len(text) - 200_000

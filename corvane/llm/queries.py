@@ -115,7 +115,7 @@ starts AS (SELECT r, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM lowered, s
 grams AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS win FROM starts),
 hits AS (SELECT g.r, g.s, g.n, b.item_id FROM grams g JOIN windows b ON g.n = b.n AND g.win = b.win),
 covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+named AS (SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)

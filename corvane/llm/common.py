@@ -30,15 +30,23 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse where the session names none.
+
+    Only a local session, whose executors are one machine, may fall back on a temporary folder.
+    """
     conf = spark.sparkContext.getConf()
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="corvane-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        named = tempfile.mkdtemp(prefix="corvane-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_corvane_staged"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Paths of staged tables that were not deleted yet, in order.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -47,6 +55,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out
@@ -57,9 +66,23 @@ def unstage(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_corvane_path", None)
         if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in _staged:
+        _staged.remove(path)
+
+
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a staged table; tables that were staged on the way to it are deleted."""
+    before = set(_staged)
+    out = stage(make(), name)
+    for path in [p for p in _staged if p not in before and p != out._corvane_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def release(spark: SparkSession) -> None:

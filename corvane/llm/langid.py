@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (buckets x languages) is broadcast; each text becomes a sparse
-vector of gram counts that is multiplied with the matrix rows it touches.
+The log-probability matrix (buckets x languages) is broadcast.  The texts of a batch become
+one sparse matrix (a bucket for each gram, grouped by text); a product with the dense matrix
+gathers the rows it touches and sums them by text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from .common import bound_batches, held_out, map_texts
 UNDETERMINED = "und"
 #: Code points per scoring slice: bounds memory for very long texts.
 SLICE = 1 << 18
-#: A closed vocabulary is expected; more labels than this is an error, not a model.
-MAX_LANGS = 4096
+#: A closed set of labels is expected: one whose matrix is larger than this is an error, not a model.
+MODEL_BYTES = 64 << 20
+#: Numbers gathered from the matrix at once.
+GATHERED = 1 << 22
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -67,6 +70,36 @@ def gram_counts(text: str, bits: int) -> tuple[np.ndarray, int]:
     return total, letters
 
 
+def gram_matrix(texts: list[str], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The grams of several texts at once: ((text, bucket) arrays for 1-, 2- and 3-grams, ascending by text), and letters by text.
+
+    Counted as in ``gram_counts``: the texts stand in one sequence with a space between, and
+    grams that would join two of them are left out.
+    """
+    shift = np.uint32(32 - bits)
+    raw = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    row = np.repeat(np.arange(len(texts)), sizes)[:len(raw)]
+    low = _letters()[raw]
+    is_letter = low > 0
+    letters = np.bincount(row[is_letter], minlength=len(texts))
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]
+    seq = np.concatenate(([np.uint32(32)], np.where(is_letter, low, np.uint32(32))[keep], [np.uint32(32)]))
+    row = np.concatenate(([-1], np.where(is_letter, row, -1)[keep], [-1]))
+    hashed = seq * _MIX[0]
+    h2 = hashed[1:] ^ (seq[:-1] * _MIX[1])
+    h3 = hashed[2:] ^ (seq[1:-1] * _MIX[1]) ^ (seq[:-2] * _MIX[2])
+    first, last = row[:-2], row[2:]
+    middle = np.where(row[1:-1] >= 0, row[1:-1], np.where(first == last, first, -1))
+    out = []
+    for salt, h, of in ((1, hashed, row), (2, h2, np.maximum(row[1:], row[:-1])), (3, h3, middle)):
+        h = (h[of >= 0] + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)) * _MIX[2]
+        h ^= h >> np.uint32(15)
+        out.append((of[of >= 0], (h * _MIX[0]) >> shift))
+    return out, letters
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Languages, buckets and the log-probability matrix; size is buckets x languages x 4 bytes."""
@@ -76,39 +109,71 @@ class LanguageModel:
     log_prob: np.ndarray
     log_prior: np.ndarray
 
+    def _told(self, log: np.ndarray, letters: int) -> tuple[str, float]:
+        if not letters:
+            return UNDETERMINED, 0.0
+        best = int(np.argmax(log))  # ties go to the first language by name
+        return self.langs[best], float(1.0 / np.exp(log - log[best]).sum())
+
     def score(self, text: str | None) -> tuple[str, float]:
         """(language, posterior); ``und`` with 0.0 for null or letterless text or without a model."""
         if not text or not self.langs:
             return UNDETERMINED, 0.0
         counts, letters = gram_counts(text, self.bits)
-        if not letters:
-            return UNDETERMINED, 0.0
         hit = np.flatnonzero(counts)
-        log = self.log_prior + counts[hit].astype(np.float64) @ self.log_prob[hit]
-        best = int(np.argmax(log))  # ties go to the first language by name
-        return self.langs[best], float(1.0 / np.exp(log - log[best]).sum())
+        return self._told(self.log_prior + counts[hit].astype(np.float64) @ self.log_prob[hit], letters)
+
+    def _product(self, texts: list[str]) -> list[tuple[str, float]]:
+        grams, letters = gram_matrix(texts, self.bits)
+        log = np.tile(self.log_prior.astype(np.float64), (len(texts), 1))
+        step = max(1, GATHERED // len(self.langs))
+        for row, bucket in grams:
+            for s in range(0, len(row), step):
+                part = row[s:s + step]
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                log[part[first]] += np.add.reduceat(self.log_prob[bucket[s:s + step]], first, axis=0, dtype=np.float64)
+        return [self._told(log[k], int(letters[k])) for k in range(len(texts))]
+
+    def score_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """``score`` of many texts: those that fit a slice are scored together, a longer one by itself in slices."""
+        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        held: list[int] = []
+        size = 0
+        for k, text in enumerate([*texts, None]):
+            n = len(text) if text and self.langs else 0
+            if held and (k == len(texts) or size + n > SLICE):
+                for i, got in zip(held, self._product([texts[i] for i in held]), strict=True):
+                    out[i] = got
+                held, size = [], 0
+            if n > SLICE:
+                out[k] = self.score(text)
+            elif n:
+                held.append(k)
+                size += n + 1
+        return out
 
 
 def fit(docs: DataFrame, *, docs_per_lang: int = 2000, bits: int = 15, alpha: float = 0.5) -> LanguageModel:
     """Learn from ``text`` and non-null ``lang`` of rows that are not held out.
 
     The training sample is bounded: the ``docs_per_lang`` rows of each language whose hashed
-    doc_id is smallest.  Counts come back as at most 8 x languages vectors of 2**bits numbers.
+    doc_id is smallest.  Counts come back as one vector of 2**bits numbers a language, which
+    together are within MODEL_BYTES.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                          & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} language labels")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit((MODEL_BYTES >> bits + 2) + 1).collect()
+    if len(counts) << bits + 2 > MODEL_BYTES:
+        raise ValueError(f"more than {MODEL_BYTES >> bits + 2} language labels")
     sizes = F.broadcast(spark.createDataFrame([tuple(r) for r in counts], "lang string, _n long"))
     hashed = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h")).join(sizes, "lang")
     # a hash below this bound leaves about half as many again as are wanted, so that the ranking sees few rows
     thinned = hashed.filter(F.col("_h") * F.col("_n") < F.lit(1.5 * docs_per_lang * (1 << 30)))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = thinned.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= docs_per_lang).select("doc_id").distinct()
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").repartition(8)
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").repartition(max(1, min(8, len(counts))), "lang")
 
     def count(batches):
         sums: dict[str, list] = {}
@@ -119,14 +184,14 @@ def fit(docs: DataFrame, *, docs_per_lang: int = 2000, bits: int = 15, alpha: fl
                 got[1] += 1
         yield pa.RecordBatch.from_pydict({
             "lang": pa.array(list(sums), pa.string()), "n": pa.array([v[1] for v in sums.values()], pa.int64()),
-            "counts": pa.array([v[0].tobytes() for v in sums.values()], pa.binary())})
+            "counts": pa.array([v[0].astype(np.int32).tobytes() for v in sums.values()], pa.binary())})
 
     parts = sample.select("lang", "text").mapInArrow(count, "lang string, n long, counts binary").collect()
     langs = tuple(sorted({r["lang"] for r in parts}))
     counts, n = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
     for r in parts:
         k = langs.index(r["lang"])
-        counts[k] += np.frombuffer(bytes(r["counts"]), np.int64)
+        counts[k] += np.frombuffer(bytes(r["counts"]), np.int32)
         n[k] += r["n"]
     smooth = counts + alpha
     log_prob = np.ascontiguousarray((np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).T, np.float32)
@@ -138,7 +203,7 @@ def annotate(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        got = [shared.value.score(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+        got = shared.value.score_batch(batch.column(batch.schema.get_field_index("text")).to_pylist())
         return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
 
     return map_texts(docs, run, [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -147,7 +212,10 @@ def annotate(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
 def identify(docs: DataFrame, **params) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; repeated rows and null ids stay as they are.
 
-    An empty table, or one without labels, gives ``und`` and 0.0 throughout.
+    Null, empty and letterless texts are ``und`` with 0.0, and so is all of a table without
+    labels; an empty table gives an empty one.  A text of any length is scored whole, in
+    slices; equal scores go to the language that is first by name; other columns are ignored,
+    whatever their names.
     """
     model = fit(docs, **params)
     out = annotate(docs.select("doc_id", "text"), model)

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most rows that the rules may become when they are copied to each part.
+COPIES = 20_000_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,17 +58,21 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", salts:
     url's path starts with its path; the longest rule (host and path together, then host)
     wins, and of equal rules with different verdicts ``block``.  Without a fitting rule the
     verdict is ``default``.  A null url, or one without ``://``, has empty host and path.
-    Rows and ids repeat as they come; other columns of ``pages`` are ignored.
+    Rows and ids repeat as they come; urls of any length are judged whole; without pages the
+    result is empty, and without rules every verdict is ``default``; other columns of
+    ``pages`` are ignored, whatever their names.
 
-    Urls are dealt over ``salts`` parts (the session's shuffle partitions by default) by a
-    hash of host and path, and the rules are copied to each part, so no host is a hot key.
+    Distinct urls are dealt over ``salts`` parts (the session's shuffle partitions by default,
+    fewer where the copies of the rules would exceed COPIES) by a hash of host and path, and
+    the rules are copied to each part, so no host is a hot key.
     """
     spark = pages.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rules = (rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
              .groupBy(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"))
              .agg(F.max("verdict").alias("verdict")))
-    deepest = rules.agg(F.max(F.size(F.split("r_host", "\\.")))).first()[0] or 0
+    deepest, count = rules.agg(F.max(F.size(F.split("r_host", "\\."))), F.count(F.lit(1))).first()
+    salts, deepest = max(1, min(salts, COPIES // max(count, 1))), deepest or 0
 
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))

@@ -591,3 +591,22 @@ def test_pipeline(spark, tmp_path):
     assert set(kept) == set(range(40)) | {105} and kept[105].endswith("token = [REDACTED]")
     out = {r["doc_id"]: r for r in pipeline.run(spark, sf).collect()}
     assert set(out) == set(kept) and all(len(r["ids"]) == r["n_tokens"] > 0 for r in out.values())
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty documents, an empty benchmark, repeated rows, null ids, and columns named like those that stages add."""
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(22)
+    rows = [(k, prose(rnd, 30)) for k in range(20)]
+    rows += [rows[3], rows[4], (None, "null id the of and"), (None, None), (30, "")]
+    for name, given, bench in (("none", [], [(1, "a b c")]), ("odd", rows, [])):
+        sf = f"{tmp_path}/{name}"
+        docs = documents(spark, given or rows).withColumns({"_k": F.lit("x"), "tokens": F.lit(1), "ids": F.lit("y")})
+        (docs if given else docs.limit(0)).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        read = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, step in pipeline.STAGES[:-1]:
+            assert step(spark, read, sf).columns == read.columns
+        out = pipeline.run(spark, sf).collect()
+        assert sorted(str(r["doc_id"]) for r in out) == sorted([str(r[0]) for r in rows[:22]] + ["None"] if given else [])

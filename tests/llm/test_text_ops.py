@@ -245,3 +245,101 @@ def test_very_long_texts_are_scanned_whole():
     quiet = "some words of prose and more, " * 40_000
     text = quiet + 'pwd = "%s"\n' % SECRET + "key=" + "\\" * 100_001 + quiet + 'x="' * 20_000
     assert SECRET not in secrets.redact(text) and len(secrets.redact(text)) > len(text) - 200_000
+
+
+def plain_grams(text):
+    """Grams of 1 to 3 characters of a text, by the definition: letters in lower case, other runs one space, a space at both ends."""
+    chars = []
+    for c in text:
+        if c.isalpha():
+            chars.append(ord((c.lower() or c)[0]))
+        elif chars and chars[-1] != 32:
+            chars.append(32)
+    if not chars:
+        return []
+    chars = [32, *chars, *([] if chars[-1] == 32 else [32])]
+    return [tuple(chars[k:k + n]) for n in (1, 2, 3) for k in range(len(chars) - n + 1) if (n > 1 or chars[k] != 32)]
+
+
+def plain_bucket(gram, bits):
+    """The bucket of a gram, in plain integers."""
+    m = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    h = gram[-1] * m[0] % (1 << 32)
+    if len(gram) == 2:
+        h ^= gram[0] * m[1] % (1 << 32)
+    if len(gram) == 3:
+        h ^= (gram[1] * m[1] % (1 << 32)) ^ (gram[0] * m[2] % (1 << 32))
+    h = (h + len(gram) * 0x27D4EB2F) * m[2] % (1 << 32)
+    h ^= h >> 15
+    return (h * m[0] % (1 << 32)) >> (32 - bits)
+
+
+def test_language_scores_match_plain_naive_bayes(spark, labelled):
+    import math
+    from collections import Counter
+
+    bits, alpha = 12, 0.5
+    model = langid.fit(labelled, bits=bits, alpha=alpha)
+    counts, docs = {}, Counter()
+    for r in labelled.collect():
+        if r["lang"] and r["text"] and not out(r["doc_id"]):
+            docs[r["lang"]] += 1
+            counts.setdefault(r["lang"], Counter()).update(plain_bucket(g, bits) for g in plain_grams(r["text"]))
+    asked = [t for t in texts(14) if t] + [None, "", "12 !", "a", "é", " b ", "x" * 500] + [r["text"] for r in labelled.limit(20).collect()]
+    for text, (lang, score) in zip(asked, model.score_batch(asked), strict=True):
+        grams = [plain_bucket(g, bits) for g in plain_grams(text or "")]
+        if not grams:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = {}
+        for k in sorted(counts):
+            total = sum(counts[k].values()) + alpha * (1 << bits)
+            logs[k] = math.log(docs[k] / sum(docs.values())) + sum(math.log((counts[k][b] + alpha) / total) for b in grams)
+        best = max(logs.values())
+        assert abs(score - 1 / sum(math.exp(v - best) for v in logs.values())) < 1e-3 and logs[lang] > best - 1e-3 * len(grams)
+
+
+def test_language_batches_match_single_texts(spark, labelled, monkeypatch):
+    model = langid.fit(labelled)
+    asked = texts(15) + ["word " * 3000, "-", "ß", None]
+    single = [model.score(t) for t in asked]
+    for size in (50, 1 << 18):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(model.score_batch(asked), single, strict=True))
+
+
+def test_boosted_trees_match_exhaustive_search():
+    rnd = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rnd.integers(1, 9))
+        g, h, penalty = rnd.normal(size=n), rnd.random(n) + 0.1, 2.0
+
+        def worth(parts):
+            return sum(g[p].sum() ** 2 / (h[p].sum() + penalty) for p in parts)
+
+        cuts = [(worth([slice(0, k), slice(k, n)]) - worth([slice(0, n)]), k) for k in range(1, n)]
+        gain, at = quality._cut(g, h, penalty)
+        assert (gain, at) == (0.0, 0) if not cuts else abs(gain - max(cuts)[0]) < 1e-9 and at == max(cuts, key=lambda c: (c[0], -c[1]))[1]
+
+
+def test_quality_scores_are_sums_of_looked_up_values():
+    import bisect
+    import math
+
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.boost(x, y)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        bins = [bisect.bisect_right(c.tolist(), v) for c, v in zip(model.cuts, row, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[bins[i] // 2, bins[j] // 2] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_urls_of_any_length_and_no_rules(spark):
+    from corvane.llm import urls
+
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000), (1, None)], "page_id long, url string")
+    rules = spark.sql("SELECT * FROM VALUES ('com', '/x', 'block') AS t(host, path, verdict)")
+    assert sorted((r["verdict"], len(r["path"])) for r in urls.judge(pages, rules).collect()) == [("allow", 0), ("block", 200_001)]
+    assert {r["verdict"] for r in urls.judge(pages, rules.filter("false")).collect()} == {"allow"} and urls.judge(pages.filter("false"), rules).count() == 0

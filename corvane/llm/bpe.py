@@ -124,6 +124,7 @@ class WordBpe(dict):
         self.lower = _lower_table()
         marks = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(_NO_MARKS))
         self.barrier = re.compile(f"([{marks}])")
+        self.far = re.compile("[\u07fd-\U0010ffff]")  # one range is tested fast
         self.newer = re.compile(f"[{marks}{''.join(map(chr, self.lower))}]")
         self.known: dict[str, tuple[bytes, str]] = {}
         self.split = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -196,7 +197,7 @@ class WordBpe(dict):
     # -- whole texts --------------------------------------------------------------------
 
     def _normal(self, text: str) -> str:
-        if self.newer.search(text):
+        if self.far.search(text) and self.newer.search(text):
             text = "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(self.barrier.split(text)))
             return "".join(c.lower() for c in text.translate(self.lower))
         text = unicodedata.normalize("NFC", text)

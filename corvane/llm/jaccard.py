@@ -461,58 +461,120 @@ def _range(n: str) -> object:
     return F.sequence(F.lit(0), F.col(n) - 1)
 
 
-def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _cross_entries(shared: DataFrame, labels: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """b, data: those of the shared entries of the classes in ``labels`` (d1, label) whose chain holds another label as well."""
+    def placed(batches):
+        for batch in batches:
+            cls = batch.column("d1").to_numpy().view(np.uint64) >> np.uint64(16)
+            b = (mix(cls) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(cls.astype(np.int64)), batch.column("label")], names=["b", "cls", "label"])
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            cls, label = right.column("cls").to_numpy().astype(np.uint64), right.column("label").to_numpy()
+            order = np.lexsort((label, cls))
+            cls, label = cls[order], label[order]
+            columns = _columns([x.as_buffer() for x in left.column("data")], _SHARED)
+            own = _wide(*columns[3:])
+            first = np.searchsorted(cls, own)
+            n = np.searchsorted(cls, own, side="right") - first  # labels of this class: one, or seldom more
+            at = np.repeat(np.arange(len(own)), n)
+            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            token = _wide(*columns[:2])[at]
+            out = list(_cut((token % np.uint64(groups)).astype(np.int32), [c[at] for c in columns] + [label[which].astype("<i8")]))
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["p", "data"])
+
+    def meet(pdf):
+        import pandas as pd
+
+        columns = _columns(list(pdf["data"]), (*_SHARED, "<i8"))
+        token, low = _wide(*columns[:2]), least_size(columns[2])
+        order = np.lexsort((low, token))
+        columns, token, low = [c[order] for c in columns], token[order], low[order]
+        high = most_size(columns[2])
+        segment = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) << 33
+        reach = np.maximum.accumulate(segment + high) - segment
+        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (4 * low[1:] > 5 * reach[:-1]))))
+        mixed = np.minimum.reduceat(columns[5], first) != np.maximum.reduceat(columns[5], first)
+        keep = np.repeat(mixed, np.diff(np.append(first, len(token))))
+        out = [c[keep] for c in columns[:5]]
+        return pd.DataFrame(list(_cut((mix(_wide(*out[3:])) % np.uint64(buckets)).astype(np.int32), out)), columns=["b", "data"])
+
+    asked = labels.select("d1", "label").distinct().mapInArrow(placed, "b int, cls long, label long").repartition(buckets, "b")
+    dealt = shared.repartition(buckets, "b").groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(lean_group(deal), "p int, data binary")
+    return dealt.repartition(groups, "p").groupBy("p").applyInPandas(lean_group(meet), "b int, data binary")
+
+
+def _grouped(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Those of ``classes`` that lie in a candidate group, with comp; ``near`` has node and root by 48 bits of a class."""
+    labels = near.select(F.col("node").alias("short"), F.col("root").alias("comp"))
+    labels = labels.unionByName(labels.select(F.col("comp").alias("short"), "comp").distinct())
+    return classes.withColumn("short", F.shiftrightunsigned("d1", 16)).join(labels, "short").drop("short")
+
+
+def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
     """node, root over the classes of candidate groups (members: d1, d2, n, first, comp) after all links are found.
 
     A group of a few tasks' worth of shingles at most is one task (``per``, between LEAST_TASK
     and PER_TASK; a group of few sets, PER_FEW).  A larger one is split by the octave of the
     smaller set of a pair, and by hash into blocks.  First each block meets itself and a few
     pivots that stand in every block, which connects a mass of near copies for good.  Then
-    only what isn't in the largest component meets all blocks; so copies, however many, are
-    moved twice and not once for each block.
+    the shared prefix entries are looked at again: those that only connected classes share
+    say nothing any more, so most classes are left out and the rest fall into smaller groups.
+    Where such a group is still large, what isn't in its largest component meets all blocks.
     """
+    spark = docs.sparkSession
     every = int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    per = int(np.clip(2 * every // int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(LEAST_TASK, PER_TASK), PER_TASK))
+    per = int(np.clip(2 * every // int(spark.conf.get("spark.sql.shuffle.partitions")), min(LEAST_TASK, PER_TASK), PER_TASK))
 
     def wide(weight, count):
         """Blocks of so many shingles in so many sets: sets that are few stay together while PER_FEW holds them."""
         few = F.ceil(count / PIVOTS)
         return F.greatest(F.ceil(weight / max(PER_FEW, per)), F.least(F.ceil(weight / per), few), F.lit(1)).cast("int")
 
-    large = members.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
-    octave = lambda x: F.floor(F.log2(x)).cast("int")
-    bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
-    banded = members.join(large, "comp", "left").withColumn("band", F.explode(bands))
-    sizes = banded.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("blocks"), F.count(F.lit(1)).alias("count"))
-    banded = stage(banded.join(sizes, ["comp", "band"], "left").withColumns({
-        "blocks": F.coalesce("blocks", F.lit(1)), "label": F.col("d1"), "own": F.pmod(F.xxhash64("d1"), F.coalesce("blocks", F.lit(1))).cast("int"),
+    def banded(rows: DataFrame) -> DataFrame:
+        """With the bands and blocks of each row's group."""
+        large = rows.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
+        octave = lambda x: F.floor(F.log2(x)).cast("int")
+        bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
+        out = rows.join(large, "comp", "left").withColumn("band", F.explode(bands))
+        sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("blocks"), F.count(F.lit(1)).alias("count"))
+        return out.join(sizes, ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
+
+    first = stage(banded(members.withColumn("label", F.col("d1"))).withColumns({
+        "own": F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"),
         "pivot": F.coalesce(F.pmod(F.xxhash64("d1", F.lit(7)), F.lit(1 << 20)) * F.col("count") < F.lit(PIVOTS << 20), F.lit(False))}), "banded")
     everywhere = F.transform(_range("blocks"), lambda h: _key("own", h.cast("string")))
     keys = F.when(F.col("pivot"), everywhere).otherwise(F.array(_key("own", F.col("own").cast("string"))))
-    near = _linked_in_groups(docs, _placed(banded.withColumn("keys", keys)))
-    split = banded.filter("blocks > 1")
+    near = _linked_in_groups(docs, _placed(first.withColumn("keys", keys)))
+    split = first.filter("blocks > 1").select("d1", "d2", "first", "n").distinct()
+    found = components(near)
     if split.isEmpty():
-        found = components(near)
-        unstage(near, banded)
+        unstage(near, first)
         return found
 
-    roots = components(near).select(F.col("node").alias("d1"), "root")
+    roots = found.select(F.col("node").alias("d1"), "root")
     named = stage(split.join(roots, "d1", "left").withColumn("label", F.coalesce("root", "d1")).drop("root"), "labelled")
-    weights = named.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
+    cross = stage(_cross_entries(shared, named, groups, groups), "cross")
+    closer = components(_candidate_edges(cross.repartition(groups, "b"), groups))
+    again = stage(banded(_grouped(named, closer)), "banded")
+    unstage(found, cross)
+    weights = again.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
     main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "c", "label")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("count"))
     main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c")).alias("h"),
                        wide(F.col("all") - F.col("top.w"), F.col("count") - F.col("top.c")).alias("k"), (F.col("count") > F.col("top.c")).alias("more"))
     main = main.filter("more").drop("more")  # where all are connected already, nothing is left to meet
-    rest = named.join(main, ["comp", "band"]).withColumns({
+    rest = again.join(main, ["comp", "band"]).withColumns({
         "in_major": F.col("label") == F.col("major"), "at_h": F.pmod(F.xxhash64("d1"), F.col("h")).cast("string"), "at_k": F.pmod(F.xxhash64("d1"), F.col("k")).cast("int")})
     with_rest = F.transform(_range("k"), lambda k: _key("main", F.col("at_h"), k.cast("string")))
     with_main = F.transform(_range("h"), lambda h: _key("main", h.cast("string"), F.col("at_k").cast("string")))
     among = F.transform(_range("k"), lambda k: _key("rest", F.least(F.col("at_k"), k).cast("string"), F.greatest(F.col("at_k"), k).cast("string")))
-    keyed = rest.withColumn("keys", F.when(F.col("in_major"), with_rest).otherwise(F.concat(with_main, among)))
+    keyed = rest.withColumn("keys", F.when(F.col("blocks") == 1, F.array(_key("all"))).when(F.col("in_major"), with_rest).otherwise(F.concat(with_main, among)))
     # the labels of a class are equal in all its bands
     far = _linked_in_groups(docs, _placed(keyed))
     found = components(near.unionByName(far))
-    unstage(near, far, banded, named)
+    unstage(near, far, first, named, again)
     return found
 
 
@@ -540,16 +602,13 @@ def link(docs: DataFrame) -> DataFrame:
     shared = stage(_shared_entries(docs, heavy, groups, groups), "shared")
     release(spark)
     near = components(_candidate_edges(shared.repartition(groups, "b"), groups))
-    unstage(shared)
     release(spark)
 
-    labels = near.select(F.col("node").alias("short"), F.col("root").alias("comp"))
-    labels = labels.unionByName(labels.select(F.col("comp").alias("short"), "comp").distinct())
     classes = sketch.filter(F.col("n") > 0).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"))
-    members = stage(classes.withColumn("short", F.shiftrightunsigned("d1", 16)).join(labels, "short").drop("short"), "members")
+    members = stage(_grouped(classes, near), "members")
     unstage(near)
-    links = _links(docs, members)
-    unstage(members)
+    links = _links(docs, members, shared, groups)
+    unstage(members, shared)
 
     roots = links.select(F.col("node").alias("d1"), "root")
     rooted = classes.join(roots, "d1", "left").withColumn("root", F.coalesce("root", "d1"))

@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("doctor", "status", "watch", "tools"):
         commands.add_parser(name)
     serve = commands.add_parser("serve")
-    serve.add_argument("--port", type=int, default=7700)
+    serve.add_argument("--port", type=int)
     serve.add_argument("--watch", action="store_true")
     index = commands.add_parser("index")
     index.add_argument("--full", action="store_true")
@@ -40,13 +40,14 @@ def main(argv: list[str] | None = None) -> int:
 
     from .api import Engine
     from .functions.requests import RequestError
+    from .sources.embedders import EmbedError
 
     config = load(args.root)
     spark = SparkSession.builder.appName("corvane").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, config)
     try:
         if args.command == "index":
-            print(engine.index(full=args.full, dry_run=args.dry_run))
+            print(engine.index(full=args.full, dry_run=args.dry_run, progress=lambda done, total: print(f"{done} of {total} files", file=sys.stderr)))
         elif args.command == "search":
             options = {k: getattr(args, k) for k in ("top_k", "min_score", "min_score_diff", "module", "language", "chunk_type", "format")}
             found = engine.search(args.query, **options)
@@ -61,19 +62,20 @@ def main(argv: list[str] | None = None) -> int:
             return int(not all(ok for _, ok, _ in checks))
         else:
             from .serve import http_server, serve_stdio
+            from .sources.files import patterns_of
             from .streaming.watch import watch
 
             engine.collection.ensure()
             if args.command == "watch" or getattr(args, "watch", False):
                 engine.index()
-                stream = watch(spark, config.workspace_root, engine.index, f"{config.collection_path}-watch", on_error=lambda e: print(f"index failed: {e}", file=sys.stderr))
+                stream = watch(spark, config.workspace_root, engine.index, f"{config.collection_path}-watch", dirs=config.index_dirs, patterns=patterns_of(config), on_error=lambda e: print(f"index failed: {e}", file=sys.stderr))
             if args.command == "watch":
                 stream.awaitTermination()
             elif args.command == "serve":
-                http_server(engine, args.port).serve_forever()
+                http_server(engine, args.port or config.port).serve_forever()
             else:
                 serve_stdio(engine)
-    except RequestError as e:
+    except (RequestError, EmbedError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.requests import RequestError, SearchRequest, parse_id, parse_ids, parse_search
@@ -15,9 +14,9 @@ from .operators.clips import ClipRegistry
 from .operators.render import markdown
 from .operators.slices import read_clips, read_slices, tally
 from .plans.index import IndexReport, run_index
-from .schema import CLIPS, FILES
+from .schema import CLIPS
 from .sources.embedders import Embedder, HashingEmbedder, HttpEmbedder, embed_query
-from .sources.files import derive, with_content
+from .sources.files import inside_root, read_named
 from .sources.store import Collection
 
 
@@ -28,7 +27,7 @@ class Engine:
         self.spark, self.config, self.clips = spark, config, ClipRegistry()
         url, model, dim = config.embedder_url, config.embedding_model, config.embedding_dimensions
         self.make_embedder = make_embedder or ((lambda: HttpEmbedder(url, model, dim)) if url else (lambda: HashingEmbedder(dim)))
-        self.collection = Collection(spark, config.collection_path, dim)
+        self.collection = Collection(spark, config.collection_path, dim, indexed_rows=config.indexed_rows)
 
     # -- index ------------------------------------------------------------------------
 
@@ -37,14 +36,6 @@ class Engine:
 
     # -- search -----------------------------------------------------------------------
 
-    def hits(self, request: SearchRequest) -> DataFrame:
-        """Ranked hits before ids are given: filter, top-k, cut; one lazy plan."""
-        query = embed_query(self.make_embedder(), request.query)
-        found = ops.top_k(ops.pre_filter(self.collection.read(), request.filters), query, int(request.top_k), fast=True)
-        if request.min_score_diff is not None:
-            return ops.cut_min_score_diff(found, request.min_score_diff)
-        return ops.cut_min_score(found, request.min_score or 0.0)
-
     def search(self, query: str, *, strict: bool = False, **options: Any) -> dict[str, Any]:
         """The answer to a search: hits with clip ids, and the fields that tell how they were cut.
 
@@ -52,7 +43,8 @@ class Engine:
         again can't change them.
         """
         request = parse_search({"query": query, **options}, strict=strict)
-        ranked = ops.top_k(ops.pre_filter(self.collection.read(), request.filters), embed_query(self.make_embedder(), request.query), int(request.top_k), fast=True)
+        asked = embed_query(self.make_embedder(), request.query)
+        ranked = ops.top_k(ops.pre_filter(self.collection.candidates(asked), request.filters), asked, int(request.top_k), fast=True)
         rows = [r.asDict() for r in ranked.collect()]
         candidates, top, threshold = len(rows), None, request.min_score
         if request.min_score_diff is not None and rows:
@@ -83,13 +75,14 @@ class Engine:
 
     def _files(self, paths: list[str]) -> DataFrame:
         """Current contents of the named files, read when asked for."""
-        named = self.spark.createDataFrame([(p, "") for p in dict.fromkeys(paths) if p], "file_path string, last_modified string")
-        inside = named.filter(~F.startswith("file_path", F.lit("/")) & ~F.col("file_path").rlike(r"(^|/)\.\.(/|$)"))
-        return with_content(derive(inside), self.config) if paths else self.spark.createDataFrame([], FILES)
+        inside = [p for p in paths if p and inside_root(p, self.config.workspace_root) is not None]
+        return read_named(self.spark, inside, self.config)
 
     def read_slice(self, file_path: str, start_line: float, end_line: float) -> dict[str, Any]:
-        asked = self.spark.createDataFrame([(0, file_path, float(start_line), float(end_line))], "pos int, file_path string, start_line double, end_line double")
-        row = read_slices(asked, self._files([file_path])).first().asDict()
+        """Lines of a file, named relative to the workspace root or absolutely under it."""
+        plain = inside_root(file_path, self.config.workspace_root) if file_path else None
+        asked = self.spark.createDataFrame([(0, file_path if plain is None else plain, float(start_line), float(end_line))], "pos int, file_path string, start_line double, end_line double")
+        row = read_slices(asked, self._files([] if plain is None else [plain])).first().asDict()
         if not row["success"]:
             raise RequestError(row["error"], row["status"])
         return row | {"range_requested": {"start_line": start_line, "end_line": end_line}}
@@ -126,4 +119,9 @@ class Engine:
         out = [("workspace", os.path.isdir(self.config.workspace_root), self.config.workspace_root)]
         vector = self.make_embedder().embed(["probe"])
         out.append(("embedder", vector.shape[1] == self.config.embedding_dimensions and bool(vector.any()), self.config.embedding_model))
-        return [*out, ("collection", self.collection.version() is not None, self.config.collection_path)]
+        note = self.collection.note()
+        out.append(("collection", note is not None, self.config.collection_path))
+        if note and note.get("centroids"):
+            recall = self.collection.recall()
+            out.append(("index", recall >= 0.9, f"recall@10 {recall:.3f} in {len(note['centroids'])} cells"))
+        return out

@@ -455,8 +455,7 @@ def q_clip_fifo(spark, sf_dir):
     """Every line item puts a clip; the store keeps the youngest ten thousand."""
     path = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey")
     puts = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", path.alias("file_path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
-    made = clips.assign(puts, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
-    return clips.evict(made, made.agg(F.max("id")).first()[0] or 0)
+    return clips.fifo(puts, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
 _CLIPS = FILES + """,

@@ -30,6 +30,8 @@ class Config:
     collection_name: str = "codebase_chunks"
     max_chunk_tokens: int = 800
     chunk_overlap_lines: int = 5
+    indexed_rows: int = 50_000
+    port: int = 7700
 
 
 def find_root(start: str = ".") -> Path:
@@ -52,6 +54,8 @@ def load(start: str = ".", env: dict[str, str] | None = None) -> Config:
     for name, key in (("embedder_url", "CORVANE_EMBEDDER_URL"), ("embedding_model", "CORVANE_EMBEDDING_MODEL"), ("collection_path", "CORVANE_COLLECTION")):
         if env.get(key):
             values[name] = env[key]
+    if env.get("CORVANE_PORT"):
+        values["port"] = int(env["CORVANE_PORT"])
     out = replace(Config(), **values)
     base = (root / out.workspace_root).resolve()
     placed = {n: str(base / getattr(out, n)) for n in ("collection_path", "ledger_path") if "://" not in getattr(out, n)}

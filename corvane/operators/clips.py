@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +77,34 @@ def assign(puts: DataFrame, order: list[str], *, held: DataFrame | None = None,
     return number(fresh, [f"_{c}" for c in order], after).select("id", *KEY)
 
 
-def evict(clips: DataFrame, last: int, capacity: int = CAPACITY) -> DataFrame:
-    """The youngest ``capacity`` clips; exact where no key came again after its eviction."""
-    return clips.filter(F.col("id") > last - capacity)
+def _replayed(puts: DataFrame, order: list[str], capacity: int) -> DataFrame:
+    """The registry's state after all puts, by one task that holds ``capacity`` clips: what is held decides what is new, so order matters."""
+    def run(batches):
+        held = ClipRegistry(capacity)
+        for batch in batches:
+            for key in zip(*(batch.column(c).to_pylist() for c in KEY), strict=True):
+                held.put(*key)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held.rows()], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["id", *KEY])
+
+    typed = puts.select(*order, "file_path", *[F.col(c).cast("int").alias(c) for c in KEY[1:]]).select(*dict.fromkeys([*order, *KEY]))
+    return typed.repartition(1).sortWithinPartitions(*order).select(*KEY).mapInArrow(run, "id long, file_path string, start_line int, end_line int")
+
+
+def fifo(puts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+    """The clips that are held after all ``puts`` in the order of the columns ``order``, first in, first out.
+
+    Without repeats, and while nothing is evicted, ids are places among the keys' first
+    appearances, and only the youngest ``capacity`` are numbered.  A key that comes again after
+    its eviction gets a new id; then the puts are replayed one after the other.
+    """
+    fresh = first_seen(puts, order)
+    counted = fresh.agg(F.count(F.lit(1))).first()[0]
+    if counted > capacity and puts.count() > counted:
+        return _replayed(puts, order, capacity)
+    last = [f"_{c}" for c in order]
+    young = fresh.orderBy(*[F.desc(c) for c in last]).limit(capacity)
+    back = F.row_number().over(Window.orderBy(*[F.desc(c) for c in last]))
+    return young.withColumn("id", (F.lit(counted + 1) - back).cast("long")).select("id", *KEY)
 
 
 def resolve(ids: DataFrame, clips: DataFrame) -> DataFrame:

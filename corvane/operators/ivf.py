@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vector import matrix
 from .search import top_k
 
 #: Cells of the index, and cells that a query visits.
@@ -44,12 +45,16 @@ def fit_cells(collection: DataFrame, cells: int = CELLS, *, sample: int = 20_000
 
 
 def with_cells(collection: DataFrame, index: CellIndex) -> DataFrame:
-    """Add each row's cell; a zero vector lies in cell 0 and is never found anyway."""
+    """Add each row's cell; a zero or misfit vector lies in cell 0 and is never found anyway."""
     centroids = index.centroids
 
-    @F.pandas_udf("int")
-    def cell(vectors: pd.Series) -> pd.Series:
-        return pd.Series(np.argmax(np.stack([np.asarray(v, float) for v in vectors]) @ centroids.T, axis=1) if len(vectors) and len(centroids) else np.zeros(len(vectors), int))
+    @F.arrow_udf("int")
+    def cell(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), np.int32)
+        if len(vectors) and len(centroids):
+            ok, m = matrix(vectors, centroids.shape[1])
+            out[ok] = np.argmax(np.nan_to_num(m) @ centroids.T, axis=1)
+        return pa.array(out)
 
     return collection.withColumn("cell", cell("embedding"))
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vector import cosine, cosine_to
+from ..functions.vector import cosine, cosine_to, matrix
 from ..schema import HIT_COLUMNS
 
 #: Names of the optional fields of a lean result.
 INCLUDE_COLUMNS = {"chunkType": "chunk_type", "module": "module", "language": "language"}
 #: Queries scored against a collection in one broadcast, about.
 MAX_BATCH = 10_000
+#: Queries scored at once within a task; scores nearer than SLACK to a task's last may tie with it.
+SCORED, SLACK = 512, 1e-9
 
 
 def pre_filter(collection: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -36,12 +41,14 @@ def top_k(collection: DataFrame, query: list[float], k: int, *, key: str = "id",
 
 
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str = "id") -> DataFrame:
-    """query_id, rank and score of the k best rows for each query (query_id, embedding).
+    """query_id, rank, score and the collection's columns but the vector, of the k best rows for each query (query_id, embedding).
 
     The queries are broadcast in blocks of about MAX_BATCH by hashed id, so that the rows of an
-    id stay together; the rank is cut within each task before rows are exchanged.
+    id stay together.  A task scores a batch of rows by one matrix product and keeps each
+    query's k best of it, and those that tie with them; ranks are cut within each task before
+    rows are exchanged.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("_query"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_query"))
     n = -(-asked.count() // MAX_BATCH)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))
     blocks = [asked.filter(block == i) for i in range(n)] if n > 1 else [asked]
@@ -49,9 +56,43 @@ def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str =
 
 
 def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
-    pairs = collection.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col("embedding"), F.col("_query"))).drop("embedding", "_query")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return pairs.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rows = [(r["query_id"], r["_query"]) for r in asked.collect() if r["_query"] is not None]  # MAX_BATCH vectors, about
+    by_size: dict[int, tuple[list[int], np.ndarray]] = {}
+    for dim in {len(v) for _, v in rows}:
+        at = [i for i, (_, v) in enumerate(rows) if len(v) == dim]
+        m = np.array([rows[i][1] for i in at], float).reshape(len(at), dim)
+        length = np.linalg.norm(m, axis=1)
+        live = np.flatnonzero(length > 0)
+        by_size[dim] = [at[i] for i in live], m[live] / length[live, None]
+    shared = collection.sparkSession.sparkContext.broadcast(by_size)
+    kept = [c for c in collection.columns if c != "embedding"]
+
+    def score(batches):
+        for batch in batches:
+            where, which, scores = [], [], []
+            for dim, (names, asked_for) in shared.value.items():
+                ok, m = matrix(batch.column("embedding"), dim)
+                length = np.linalg.norm(m, axis=1)
+                live = np.flatnonzero(ok)[length > 0]
+                if not len(live) or not names:
+                    continue
+                unit = m[length > 0] / length[length > 0, None]
+                for s in range(0, len(names), SCORED):
+                    part = asked_for[s:s + SCORED] @ unit.T
+                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - SLACK if part.shape[1] > k else np.full(len(part), -np.inf)
+                    q, at = np.nonzero(part >= least[:, None])
+                    where.append(live[at])
+                    which.append(np.array(names[s:s + SCORED])[q])
+                    scores.append(part[q, at])
+            if where:
+                some = batch.select(kept).take(pa.array(np.concatenate(where)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(which), pa.int64()), pa.array(np.concatenate(scores), pa.float64())], names=[*kept, "_q", "score"])
+
+    schema = T.StructType([*[collection.schema[c] for c in kept], T.StructField("_q", T.LongType()), T.StructField("score", T.DoubleType())])
+    names = collection.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.LongType()), asked.schema["query_id"]]))
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), key)
+    found = collection.mapInArrow(score, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.join(F.broadcast(names), "_q").drop("_q")
 
 
 def cut_min_score(hits: DataFrame, least: float) -> DataFrame:

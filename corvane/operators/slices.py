@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import lines
 
 MAX_RANGE, MAX_BYTES = 500, 25 * 1024 * 1024
+#: Status and text of each failure, part of the interface.
+FAILURES = {
+    "numbers": (400, "startLine and endLine are required and must be finite numbers"),
+    "positive": (400, "startLine and endLine must be >= 1"),
+    "order": (400, "endLine must be >= startLine"),
+    "path": (400, "filePath is required"),
+    "outside": (403, "filePath must be inside the workspace root"),
+    "missing": (404, "File not found"),
+    "directory": (400, "Not a regular file"),
+    "large": (413, "File too large"),
+    "unreadable": (500, "File can't be read"),
+    "clamped": (400, "endLine must be >= startLine (after clamping to file bounds)"),
+    "range": (400, "Line range too large"),
+}
 
 
 def safe_path(path: Column) -> Column:
@@ -17,13 +31,14 @@ def safe_path(path: Column) -> Column:
 
 
 def read_slices(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for each request (pos, file_path, start_line, end_line as double).
+    """One row for each request (pos, file_path, start_line, end_line as double); ``files`` has file_path, content and maybe problem (a key of FAILURES).
 
     Returns pos, file_path, success, status, error, start_line, end_line, total_lines and
     content; checks run in a fixed order and the first that fails is told.  The end is
     clamped to the file; contents over MAX_BYTES aren't split.
     """
-    found = requests.join(files.select("file_path", F.col("content").alias("_text")), "file_path", "left")
+    problem = (F.col("problem") if "problem" in files.columns else F.lit(None).cast("string")).alias("_problem")
+    found = requests.join(files.select("file_path", F.col("content").alias("_text"), problem), "file_path", "left")
     s, e = F.col("start_line"), F.col("end_line")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     size = F.octet_length("_text")
@@ -34,16 +49,20 @@ def read_slices(requests: DataFrame, files: DataFrame) -> DataFrame:
     last = F.when(ok, F.least(F.floor(e), F.col("total_lines").cast("double"))).cast("long")
     staged = staged.withColumns({"_first": first, "_last": last})
     span = F.col("_last") - F.col("_first") + 1
+    told = lambda name: F.col("_problem") == name
     failure = (
-        F.when(~ok, _fail(400, "startLine and endLine are required and must be finite numbers"))
-        .when((s < 1) | (e < 1), _fail(400, "startLine and endLine must be >= 1"))
-        .when(e < s, _fail(400, "endLine must be >= startLine"))
-        .when(F.coalesce("file_path", F.lit("")) == "", _fail(400, "filePath is required"))
-        .when(~safe_path(F.col("file_path")), _fail(403, "filePath must be inside the workspace root"))
-        .when(F.col("_text").isNull(), _fail(404, "File not found"))
-        .when(size > MAX_BYTES, _fail(413, "File too large"))
-        .when(F.col("_last") < F.col("_first"), _fail(400, "endLine must be >= startLine (after clamping to file bounds)"))
-        .when(span > MAX_RANGE, _fail(400, "Line range too large")))
+        F.when(~ok, _fail("numbers"))
+        .when((s < 1) | (e < 1), _fail("positive"))
+        .when(e < s, _fail("order"))
+        .when(F.coalesce("file_path", F.lit("")) == "", _fail("path"))
+        .when(~safe_path(F.col("file_path")) | told("outside"), _fail("outside")))
+    for name in ("directory", "large", "unreadable"):
+        failure = failure.when(told(name), _fail(name))
+    failure = (
+        failure.when(F.col("_text").isNull(), _fail("missing"))
+        .when(size > MAX_BYTES, _fail("large"))
+        .when(F.col("_last") < F.col("_first"), _fail("clamped"))
+        .when(span > MAX_RANGE, _fail("range")))
     judged = staged.withColumn("_fail", failure)
     good = F.col("_fail").isNull()
     taken = F.when(good, F.array_join(F.slice("_lines", F.col("_first").cast("int"), F.greatest(span, F.lit(0)).cast("int")), "\n"))
@@ -53,7 +72,8 @@ def read_slices(requests: DataFrame, files: DataFrame) -> DataFrame:
         F.when(good, F.col("total_lines")).alias("total_lines"), taken.alias("content"))
 
 
-def _fail(status: int, message: str) -> Column:
+def _fail(name: str) -> Column:
+    status, message = FAILURES[name]
     return F.struct(F.lit(status).alias("status"), F.lit(message).alias("message"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ class IndexReport:
     chunks: int
     shown_changed: tuple[str, ...] = ()
     shown_deleted: tuple[str, ...] = ()
+    seconds: float = 0.0
 
 
 def embedded_chunks(files: DataFrame, config: Config, make: Callable[[], Embedder]) -> DataFrame:
@@ -34,34 +38,60 @@ def embedded_chunks(files: DataFrame, config: Config, make: Callable[[], Embedde
     return embed_column(chunks, passage(F.col("content")), make)
 
 
-def run_index(spark: SparkSession, config: Config, make: Callable[[], Embedder], *, full: bool = False, dry_run: bool = False, stale: str = "drop") -> IndexReport:
+def _told(seen, total: int, progress: Callable[[int, int], None], done: threading.Event) -> None:
+    """Tell how many of ``total`` files were read, until ``done``."""
+    last = -1
+    while not done.wait(0.5):
+        if (now := min(seen.value, total)) != last:
+            progress(now, total)
+            last = now
+    progress(total, total)
+
+
+def run_index(spark: SparkSession, config: Config, make: Callable[[], Embedder], *, full: bool = False, dry_run: bool = False, stale: str = "drop",
+              progress: Callable[[int, int], None] | None = None) -> IndexReport:
     """Bring the collection up to date; the ledger is written last, so a failed run is repeated.
 
-    A run that only deletes also notes it.  Files that were gone when they were read stay
-    unnoted and come again.
+    A run that only deletes also notes it.  Files that could not be read keep their old chunks
+    and their old note, if any, and come again.  What was read is kept on the executors' disks,
+    so that chunks and notes come from the same reading.  ``progress`` is told files read and
+    files to read.
     """
-    collection, ledger = Collection(spark, config.collection_path, config.embedding_dimensions), Ledger(spark, config.ledger_path)
+    began = time.monotonic()
+    collection = Collection(spark, config.collection_path, config.embedding_dimensions, indexed_rows=config.indexed_rows)
+    ledger = Ledger(spark, config.ledger_path)
     files = walk_files(spark, config).dropDuplicates(["file_path"])
-    changed = changes(files, None if full else ledger.load()).persist()
+    noted = None if full else ledger.load()
+    changed = changes(files, noted).persist()
     try:
         wanted, gone = to_index(changed), to_delete(changed)
         n_changed, n_gone = wanted.count(), gone.count()
         if dry_run:
             shown = [tuple(r[0] for r in x.orderBy("file_path").limit(n).collect()) for x, n in ((wanted, SHOWN_CHANGED), (gone, SHOWN_DELETED))]
-            return IndexReport(n_changed, n_gone, 0, *shown)
+            return IndexReport(n_changed, n_gone, 0, *shown, seconds=time.monotonic() - began)
         if full:
             collection.drop()
         collection.ensure()
         if not n_changed and not n_gone:
-            return IndexReport(0, 0, 0)
-        read = with_content(files.join(wanted, "file_path", "left_semi"), config)
+            return IndexReport(0, 0, 0, seconds=time.monotonic() - began)
+        seen, done = spark.sparkContext.accumulator(0), threading.Event()
+        read = with_content(files.join(wanted, "file_path", "left_semi"), config, seen).persist(StorageLevel.DISK_ONLY)
         chunks = embedded_chunks(read, config, make).persist()
+        if progress:
+            threading.Thread(target=_told, args=(seen, n_changed, progress, done), daemon=True).start()
         try:
             n_chunks = chunks.count()
-            collection.replace_files(chunks, gone.unionByName(wanted) if stale == "drop" else gone, stale=stale)
+            got = read.select("file_path")
+            collection.replace_files(chunks, gone.unionByName(got) if stale == "drop" else gone, stale=stale)
+            unread = wanted.join(got, "file_path", "left_anti")
+            now = files.join(unread, "file_path", "left_anti").select("file_path", "last_modified")
+            if noted is not None:
+                now = now.unionByName(noted.join(unread, "file_path", "left_semi").select("file_path", "last_modified"))
+            ledger.write(now)
         finally:
+            done.set()
             chunks.unpersist()
-        ledger.write(files.select("file_path", "last_modified"))
-        return IndexReport(n_changed, n_gone, n_chunks)
+            read.unpersist()
+        return IndexReport(n_changed, n_gone, n_chunks, seconds=time.monotonic() - began)
     finally:
         changed.unpersist()

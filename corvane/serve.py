@@ -11,6 +11,7 @@ from urllib.parse import parse_qs, urlparse
 
 from .api import Engine
 from .functions.requests import RequestError, parse_ids
+from .sources.embedders import EmbedError
 
 PORT, MOST_BODY = 7700, 10 << 20
 
@@ -67,6 +68,8 @@ def respond(engine: Engine, method: str, target: str, body: Any) -> tuple[int, s
         return _json(404, {"success": False, "error": "not found"})
     except RequestError as e:
         return _json(e.status, {"success": False, "error": str(e)})
+    except EmbedError as e:
+        return _json(502, {"success": False, "error": str(e)})
     except Exception as e:  # noqa: BLE001 - a server tells the failure and goes on
         return _json(500, {"success": False, "error": str(e).split("\n")[0]})
 

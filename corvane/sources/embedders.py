@@ -23,6 +23,10 @@ PASSAGE, QUERY = "search_document: ", "search_query: "
 _TOKEN = re.compile(r"[a-z0-9_]+")
 
 
+class EmbedError(RuntimeError):
+    """A query could not be embedded."""
+
+
 class Embedder(Protocol):
     dim: int
 
@@ -56,19 +60,28 @@ class HashingEmbedder:
 
 
 class HttpEmbedder:
-    """An embedding server that answers {model, prompt} with {embedding}; failures become zero vectors."""
+    """An embedding server that answers {model, prompt} with {embedding}; passages that fail become zero vectors."""
 
     def __init__(self, url: str, model: str, dim: int, *, workers: int = 20, timeout: float = 30.0):
         self.url, self.model, self.dim, self.workers, self.timeout = url, model, dim, workers, timeout
 
-    def _one(self, text: str) -> list[float]:
+    def embed_query(self, text: str) -> list[float]:
+        """The embedding of one text; an EmbedError where the server fails or answers with something else."""
         body = json.dumps({"model": self.model, "prompt": text}).encode()
         request = urllib.request.Request(f"{self.url.rstrip('/')}/api/embeddings", body, {"Content-Type": "application/json"})
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                got = json.load(answer)["embedding"]
-            return got if len(got) == self.dim else [0.0] * self.dim
-        except (OSError, ValueError, KeyError, TypeError):
+                got = [float(x) for x in json.load(answer)["embedding"]]
+        except (OSError, ValueError, KeyError, TypeError) as e:
+            raise EmbedError(f"embedding failed: {type(e).__name__}: {e}") from e
+        if len(got) != self.dim:
+            raise EmbedError(f"embedding failed: {len(got)} numbers instead of {self.dim}")
+        return got
+
+    def _one(self, text: str) -> list[float]:
+        try:
+            return self.embed_query(text)
+        except EmbedError:
             return [0.0] * self.dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
@@ -109,4 +122,7 @@ def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name
 
 
 def embed_query(embedder: Embedder, query: str) -> list[float]:
+    """The embedding of a query; unlike a passage's, its failure is an error (EmbedError)."""
+    if hasattr(embedder, "embed_query"):
+        return embedder.embed_query(QUERY + query)
     return embedder.embed([QUERY + query])[0].tolist()

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,8 @@ from ..config import Config
 from ..functions.text import detect_language, detect_module, is_text_file
 from .ignore import ignored
 
-#: Listed paths of one task when contents are read.
-PATHS_PER_TASK = 2_000
+#: Largest file of which lines are read.
+MAX_BYTES = 25 * 1024 * 1024
 
 
 def list_paths(config: Config) -> Iterator[tuple[str, str]]:
@@ -59,8 +60,46 @@ def walk_files(spark: SparkSession, config: Config) -> DataFrame:
     return derive(keep_indexable(listed, patterns_of(config)))
 
 
-def with_content(files: DataFrame, config: Config) -> DataFrame:
-    """Add the content of each file, read by the executors; a file gone meanwhile is left out."""
+def inside_root(path: str, root: str) -> str | None:
+    """``path`` (relative, or absolute under ``root``) as a plain relative path; None if it leads out of the root."""
+    plain = os.path.relpath(os.path.normpath(os.path.join(root, path)), root).replace(os.sep, "/")
+    return None if plain == ".." or plain.startswith("../") else plain
+
+
+def read_named(spark: SparkSession, paths: list[str], config: Config) -> DataFrame:
+    """file_path, content and problem of a few named files, each looked at before it is read.
+
+    The problem is ``outside`` (where links resolve to), ``missing``, ``directory``, ``large`` or
+    ``unreadable``; then the content is null.
+    """
+    root = config.workspace_root
+
+    def read(path: str) -> tuple[str | None, str | None]:
+        at, home = os.path.realpath(os.path.join(root, path)), os.path.realpath(root)
+        if at != home and not at.startswith(home.rstrip(os.sep) + os.sep):
+            return None, "outside"
+        if not os.path.exists(at):
+            return None, "missing"
+        if not os.path.isfile(at):
+            return None, "directory"
+        if os.path.getsize(at) > MAX_BYTES:
+            return None, "large"
+        try:
+            return Path(at).read_text(encoding="utf-8", errors="replace"), None
+        except OSError:
+            return None, "unreadable"
+
+    def run(batches):
+        for batch in batches:
+            got = [read(p) for p in batch.column("file_path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["file_path", "content", "problem"])
+
+    named = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file_path string")
+    return named.mapInArrow(run, "file_path string, content string, problem string")
+
+
+def with_content(files: DataFrame, config: Config, seen: Accumulator | None = None) -> DataFrame:
+    """Add the content of each file, read by the executors; a file gone meanwhile is left out.  ``seen`` counts files."""
     root = config.workspace_root
 
     def read(batches):
@@ -72,6 +111,8 @@ def with_content(files: DataFrame, config: Config) -> DataFrame:
                     keep.append(k)
                 except OSError:
                     continue
+            if seen is not None:
+                seen.add(batch.num_rows)
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "content"])
 

@@ -1,59 +1,104 @@
-"""Versioned Parquet tables: an immutable folder for each version, and a pointer written last."""
+"""Versioned tables on a file system: nothing that a reader may have open is changed, and the newest complete version counts."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vector import cosine_to
+from ..operators.ivf import CELLS, PROBES, CellIndex, fit_cells, with_cells
 from ..schema import COLLECTION, LEDGER, STORED_CHARS
 
+#: Segments of a collection from which they are merged, and the share of rows written since the last merge from which they are.
+MOST_SEGMENTS, LOOSE_SHARE = 8, 0.25
+#: Rows from which a merged collection gets a cell index; smaller ones are searched exactly.
+INDEXED_ROWS = 50_000
 
-class VersionedTable:
-    """A table whose writes replace it whole; readers keep the version they opened."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+class Folder:
+    """A folder of a Hadoop file system, with numbered JSON notes that are each written once.
+
+    A note is written under another name and renamed, so it is there whole or not at all; the
+    one with the highest number counts, and a crash between two writes leaves the older one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self._fs_path(f"{self.path}/{name}")
 
+    def _names(self, name: str = "") -> list[str]:
+        at = self._at(name) if name else self._fs_path(self.path)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _notes(self) -> list[str]:
+        return [n for n in self._names() if n.startswith("note-")]
+
     def version(self) -> str | None:
-        if not self._fs.exists(self._at("CURRENT")):
+        notes = self._notes()
+        return notes[-1] if notes else None
+
+    def note(self) -> dict | None:
+        """What the newest version says of itself; None before the first write."""
+        name = self.version()
+        if name is None:
             return None
-        stream = self._fs.open(self._at("CURRENT"))
+        stream = self._fs.open(self._at(name))
         try:
-            return stream.readLine()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
-        """The current version; an empty frame before the first write."""
-        current = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{current}") if current else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame) -> None:
-        """Make ``df`` the current version; the one before it stays for its readers, older ones go."""
-        before, name = self.version(), f"v-{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/{name}")
-        staged = self._at(f"CURRENT-{uuid.uuid4().hex}")
+    def _write_note(self, told: dict) -> None:
+        last = self.version()
+        name = f"note-{int(last.split('-')[1]) + 1 if last else 1:012d}-{uuid.uuid4().hex}"
+        staged = self._at(f".{name}")
         stream = self._fs.create(staged, True)
-        stream.writeBytes(name + "\n")
+        stream.write(json.dumps(told).encode())
         stream.close()
-        self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(staged, self._at("CURRENT"))
-        for status in self._fs.listStatus(self._fs_path(self.path)):
-            if status.isDirectory() and status.getPath().getName() not in (name, before):
-                self._fs.delete(status.getPath(), True)
+        if not self._fs.rename(staged, self._at(name)):
+            raise OSError(f"{name} can't be written in {self.path}")
+
+    def _forget(self, keep: set[str], folders: tuple[str, ...]) -> None:
+        """Delete notes but the last two, and folders that none of these two names in ``keep``."""
+        for name in self._notes()[:-2]:
+            self._fs.delete(self._at(name), False)
+        for name in folders:
+            if name not in keep:
+                self._fs.delete(self._at(name), True)
 
     def drop(self) -> None:
         self._fs.delete(self._fs_path(self.path), True)
 
 
+class VersionedTable(Folder):
+    """A table whose writes replace it whole; readers keep the version they opened, and the one before the last stays for them."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        super().__init__(spark, path)
+        self.schema = schema
+
+    def read(self) -> DataFrame:
+        """The current version; an empty frame before the first write."""
+        told = self.note()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{told['folder']}") if told else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame) -> None:
+        before, name = self.note(), f"v-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/{name}")
+        self._write_note({"folder": name, "before": before["folder"] if before else None})
+        old = before["before"] if before else None
+        self._forget({name}, (old,) if old else ())
+
+
 def latest_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One row for each key: the last by ``order``, else any one."""
     if order is None:
@@ -71,34 +116,121 @@ def delete_paths(collection: DataFrame, paths: DataFrame) -> DataFrame:
     return collection.join(paths.select("file_path"), "file_path", "left_anti")
 
 
-class Collection(VersionedTable):
-    """Embedded chunks keyed by file_path and start_line."""
+class Collection(Folder):
+    """Embedded chunks keyed by file_path and start_line, as segments.
+
+    A write adds a segment of new rows and a list of what it replaces: whole files, or single
+    keys.  A row counts if no later segment replaces it.  From time to time the segments are
+    merged into one; a large one is then partitioned by the cells of an index, so that a search
+    reads the cells nearest to the query and whatever was written since.
+    """
 
     KEYS = ["file_path", "start_line"]
 
-    def __init__(self, spark: SparkSession, path: str, dim: int):
-        super().__init__(spark, path, COLLECTION)
-        self.dim = dim
+    def __init__(self, spark: SparkSession, path: str, dim: int, *, indexed_rows: int = INDEXED_ROWS):
+        super().__init__(spark, path)
+        self.dim, self.indexed_rows = dim, indexed_rows
+
+    # -- reading ----------------------------------------------------------------------
+
+    def _rows(self, told: dict) -> DataFrame:
+        """All live rows with their cell (-1 where there is none)."""
+        schema = T.StructType([*COLLECTION.fields, T.StructField("seg", T.IntegerType()), T.StructField("cell", T.IntegerType())])
+        segments, base = told["segments"], f"{self.path}/data"
+        if not segments:
+            return self.spark.createDataFrame([], schema).drop("seg")
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/seg={s}" for s in segments])
+        if len(segments) > 1:
+            gone = self.spark.read.option("basePath", f"{self.path}/gone").schema("file_path string, start_line int, seg int").parquet(*[f"{self.path}/gone/seg={s}" for s in segments[1:]])
+            files = gone.filter(F.col("start_line").isNull()).groupBy(F.col("file_path").alias("_path")).agg(F.max("seg").alias("_seg"))
+            keys = gone.filter(F.col("start_line").isNotNull()).groupBy(F.col("file_path").alias("_path"), F.col("start_line").alias("_line")).agg(F.max("seg").alias("_seg"))
+            rows = rows.join(files, (F.col("file_path") == F.col("_path")) & (F.col("seg") < F.col("_seg")), "left_anti")
+            if told.get("by_key"):
+                rows = rows.join(keys, (F.col("file_path") == F.col("_path")) & (F.col("start_line") == F.col("_line")) & (F.col("seg") < F.col("_seg")), "left_anti")
+        return rows.drop("seg")
+
+    def read(self) -> DataFrame:
+        """The current rows; an empty frame before the first write."""
+        told = self.note()
+        return self._rows(told).drop("cell") if told else self.spark.createDataFrame([], COLLECTION)
+
+    def candidates(self, query: list[float], probes: int = PROBES) -> DataFrame:
+        """The rows of the cells nearest to ``query``, and those without a cell; all rows where there is no index."""
+        told = self.note()
+        if not told or not told.get("centroids"):
+            return self.read()
+        near = CellIndex(np.array(told["centroids"])).nearest(query, probes)
+        return self._rows(told).filter(F.col("cell").isin([-1, *near])).drop("cell")
+
+    def recall(self, k: int = 10, *, queries: int = 50, probes: int = PROBES) -> float:
+        """The share of the ``k`` truly nearest rows that the index finds, over stored vectors with the smallest hashed ids as queries."""
+        asked = [r["embedding"] for r in self.read().orderBy(F.xxhash64("id"), "id").limit(queries).collect()]
+        found = total = 0
+        for q in asked:
+            best = [{r["id"] for r in rows.withColumn("s", cosine_to(q)(F.col("embedding"))).filter("s IS NOT NULL").orderBy(F.desc("s"), "id").limit(k).select("id").collect()}
+                    for rows in (self.read(), self.candidates(q, probes))]
+            found, total = found + len(best[0] & best[1]), total + len(best[0])
+        return found / total if total else 1.0
+
+    # -- writing ----------------------------------------------------------------------
 
     def ensure(self) -> None:
-        """Create the table empty if it is absent; an existing one must have vectors of this length."""
+        """Create the collection empty if it is absent; an existing one must have vectors of this length."""
         if self.version() is None:
-            self.write(self.spark.createDataFrame([], COLLECTION))
+            self._write_note({"segments": [], "rows": [], "before": []})
             return
         row = self.read().select(F.size("embedding").alias("n")).first()
         if row and row["n"] != self.dim:
             raise ValueError(f"the collection holds vectors of {row['n']} dimensions, not {self.dim}: index it anew")
 
+    def _put(self, rows: DataFrame, seg: int) -> int:
+        """Write a segment of rows that have a cell; the number of rows."""
+        path = f"{self.path}/data/seg={seg}"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in COLLECTION], F.col("cell").cast("int").alias("cell")).write.partitionBy("cell").parquet(path)
+        return self.spark.read.schema(COLLECTION).parquet(path).count()
+
     def replace_files(self, chunks: DataFrame, gone: DataFrame, *, stale: str = "drop") -> None:
-        """Write new chunks and forget the files in ``gone``; old chunks of changed files go unless ``stale`` is keep."""
-        bad = chunks.filter(F.size("embedding") != self.dim).limit(1).count()
-        if bad:
+        """Add new chunks and forget the files in ``gone``; old chunks of changed files go unless ``stale`` is keep."""
+        if chunks.filter(F.size("embedding") != self.dim).limit(1).count():
             raise ValueError(f"embeddings must have {self.dim} dimensions")
-        old = delete_paths(self.read(), gone)
-        if stale == "drop":
-            old = delete_paths(old, chunks.select("file_path").distinct())
-        cut = chunks.withColumn("content", F.substring("content", 1, STORED_CHARS))
-        self.write(upsert(old, latest_rows(cut, self.KEYS), self.KEYS))
+        told = self.note() or {"segments": [], "rows": [], "before": []}
+        new = latest_rows(chunks.withColumn("content", F.substring("content", 1, STORED_CHARS)), self.KEYS)
+        seg = max([0, *told["segments"], *told["before"]]) + 1
+        count = self._put(new.withColumn("cell", F.lit(-1)), seg)
+        whole = gone.select("file_path") if stale == "keep" else gone.select("file_path").unionByName(new.select("file_path"))
+        lines = F.lit(None).cast("int").alias("start_line")
+        out = whole.distinct().select("file_path", lines)
+        if stale == "keep":
+            out = out.unionByName(new.select("file_path", F.col("start_line").cast("int")))
+        out.write.parquet(f"{self.path}/gone/seg={seg}")
+        after = {"segments": [*told["segments"], seg], "rows": [*told["rows"], count], "by_key": bool(told.get("by_key")) or stale == "keep", "centroids": told.get("centroids"), "before": told["segments"]}
+        self._write_note(after)
+        loose = sum(after["rows"][1:])
+        if len(after["segments"]) > MOST_SEGMENTS or len(after["rows"]) > 1 and loose > LOOSE_SHARE * after["rows"][0] or len(after["rows"]) == 1 and count >= self.indexed_rows:
+            self.merge()
+        else:
+            self._clean(after)
+
+    def merge(self) -> None:
+        """Put all live rows into one segment; from ``indexed_rows`` on, into cells of an index that is fitted anew."""
+        told = self.note()
+        rows, seg = self._rows(told).drop("cell"), max([0, *told["segments"]]) + 1
+        centroids = None
+        if sum(told["rows"]) >= self.indexed_rows:
+            index = fit_cells(rows, CELLS)
+            if len(index.centroids):
+                centroids = index.centroids.tolist()
+                rows = with_cells(rows, index).repartition("cell")
+        count = self._put(rows if centroids else rows.withColumn("cell", F.lit(-1)), seg)
+        after = {"segments": [seg], "rows": [count], "by_key": False, "centroids": centroids, "before": told["segments"]}
+        self._write_note(after)
+        self._clean(after)
+
+    def _clean(self, told: dict) -> None:
+        """Forget what neither this version nor the one before it reads."""
+        keep = {f"seg={s}" for s in (*told["segments"], *told["before"])}
+        old = tuple(f"{kind}/{n}" for kind in ("data", "gone") for n in self._names(kind) if n not in keep)
+        self._forget(set(), old)
 
     def stats(self) -> dict[str, int]:
         return {"count": self.read().count()}

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.ignore import compile_patterns
+
 #: Fixed values, in milliseconds: quiet time before a run, and age at which a write has settled.
 DEBOUNCE_MS, SETTLE_MS = 1500, 500
 EVENTS = "path string, op string, ts timestamp"
 
 
-def snapshot(root: str, settle_ms: int = SETTLE_MS, now: float | None = None) -> dict[str, int]:
-    """mtime in ms of each visible file that has settled."""
+def snapshot(root: str, settle_ms: int = SETTLE_MS, now: float | None = None, dirs: Iterable[str] = ("",), patterns: Iterable[str] = ()) -> dict[str, int]:
+    """mtime in ms of each visible file under ``dirs`` that has settled and that no pattern ignores."""
     limit = ((time.time() if now is None else now) * 1000) - settle_ms
-    out = {}
-    for folder, below, names in os.walk(root):
-        below[:] = [d for d in below if not d.startswith(".")]
+    out, rules = {}, [(ignores, re.compile(rule)) for ignores, rule in compile_patterns(patterns)]
+
+    def unwanted(path: str) -> bool:
+        return next((ignores for ignores, rule in reversed(rules) if rule.match(path)), False)
+
+    for folder, below, names in (x for top in dirs for x in os.walk(os.path.join(root, top))):
+        inside = os.path.relpath(folder, root)
+        prefix = "" if inside == "." else inside.replace(os.sep, "/") + "/"
+        below[:] = [d for d in below if not d.startswith(".") and not unwanted(f"{prefix}{d}/.")]
+        names = [n for n in names if not unwanted(prefix + n)]
         for name in names:
             full = os.path.join(folder, name)
             try:
@@ -47,14 +58,14 @@ def events_between(before: dict[str, int], after: dict[str, int]) -> Iterator[tu
 class _Reader(SimpleDataSourceStreamReader):
     """Offsets hold the snapshot; the first one is taken as known, so it makes no events."""
 
-    def __init__(self, root: str, settle_ms: int):
-        self.root, self.settle_ms = root, settle_ms
+    def __init__(self, root: str, settle_ms: int, dirs: list[str], patterns: list[str]):
+        self.look = lambda: snapshot(root, settle_ms, dirs=dirs, patterns=patterns)
 
     def initialOffset(self) -> dict:
-        return {"at": 0, "files": snapshot(self.root, self.settle_ms)}
+        return {"at": 0, "files": self.look()}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = snapshot(self.root, self.settle_ms)
+        files = self.look()
         found = list(events_between(start["files"], files))
         if not found:
             return iter(()), start
@@ -69,7 +80,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
 
 class FileEvents(DataSource):
-    """``spark.readStream.format("file_events").option("path", root)``."""
+    """``spark.readStream.format("file_events").option("path", root)``; ``dirs`` and ``patterns`` are JSON lists."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,7 +90,8 @@ class FileEvents(DataSource):
         return EVENTS
 
     def simpleStreamReader(self, schema):
-        return _Reader(self.options["path"], int(self.options.get("settleMs", SETTLE_MS)))
+        dirs, patterns = (json.loads(self.options.get(k, d)) for k, d in (("dirs", '[""]'), ("patterns", "[]")))
+        return _Reader(self.options["path"], int(self.options.get("settleMs", SETTLE_MS)), dirs, patterns)
 
 
 def sessions(events: DataFrame, gap: str = f"{DEBOUNCE_MS} milliseconds", *, ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -88,17 +100,32 @@ def sessions(events: DataFrame, gap: str = f"{DEBOUNCE_MS} milliseconds", *, ts:
     return grouped.agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")).drop("w")
 
 
-def watch(spark: SparkSession, root: str, run: Callable[[], object], checkpoint: str, *, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
-    """Call ``run`` after each burst of events.  Batches don't overlap; events that come meanwhile wait as one.
+def quiet(look: Callable[[], dict[str, int]], gap_ms: int = DEBOUNCE_MS) -> None:
+    """Return when nothing has changed for ``gap_ms``."""
+    before = look()
+    while True:
+        time.sleep(gap_ms / 1000)
+        after = look()
+        if after == before:
+            return
+        before = after
+
+
+def watch(spark: SparkSession, root: str, run: Callable[[], object], checkpoint: str, *, dirs: Iterable[str] = ("",), patterns: Iterable[str] = (),
+          gap_ms: int = DEBOUNCE_MS, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
+    """Call ``run`` once after each burst of events, when the files have been quiet for ``gap_ms``.
 
-    A failed run is told to ``on_error`` and the stream goes on: nothing was noted, so the
-    next burst does the work again.
+    Only files under ``dirs`` that no pattern ignores make events.  Batches don't overlap;
+    events that come meanwhile wait as one.  A failed run is told to ``on_error`` and the
+    stream goes on: nothing was noted, so the next burst does the work again.
     """
     spark.dataSource.register(FileEvents)
+    dirs, patterns = list(dirs), list(patterns)
 
     def batch(df: DataFrame, _: int) -> None:
         if df.isEmpty():
             return
+        quiet(lambda: snapshot(root, 0, dirs=dirs, patterns=patterns), gap_ms)
         try:
             run()
         except Exception as e:  # noqa: BLE001
@@ -106,5 +133,5 @@ def watch(spark: SparkSession, root: str, run: Callable[[], object], checkpoint:
                 raise
             on_error(e)
 
-    stream = spark.readStream.format("file_events").option("path", root).load()
-    return stream.writeStream.trigger(processingTime=f"{DEBOUNCE_MS} milliseconds").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    stream = spark.readStream.format("file_events").option("path", root).option("dirs", json.dumps(dirs)).option("patterns", json.dumps(patterns)).load()
+    return stream.writeStream.trigger(processingTime=f"{SETTLE_MS} milliseconds").option("checkpointLocation", checkpoint).foreachBatch(batch).start()

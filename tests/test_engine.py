@@ -104,7 +104,13 @@ def test_batch_assignment_matches_registry(spark):
         r.put(*key)
     got = clips.assign(spark.createDataFrame(puts, "at int, file_path string, start_line int, end_line int"), ["at"]).collect()
     assert sorted(tuple(x) for x in got) == sorted(r.rows())
-    assert clips.evict(spark.createDataFrame(r.rows(), "id long, file_path string, start_line int, end_line int"), r.last, 10).count() == 10
+    for capacity in (7, 40, 1000):
+        for given in (puts, list({p[1:]: p for p in reversed(puts)}.values())[::-1]):
+            r = ClipRegistry(capacity)
+            for _, *key in sorted(given):
+                r.put(*key)
+            got = clips.fifo(spark.createDataFrame(given, "at int, file_path string, start_line int, end_line int"), ["at"], capacity)
+            assert sorted(map(tuple, got.collect())) == sorted(r.rows())  # also where keys come again after their eviction
 
 
 def test_config(tmp_path):
@@ -120,6 +126,7 @@ def test_config(tmp_path):
 def test_snapshots_make_events(tmp_path):
     (tmp_path / "a").write_text("1")
     now = time.time()
+    assert snapshot(str(tmp_path), 500, now + 5, patterns=["a"]) == snapshot(str(tmp_path), 500, now + 5, dirs=["b"]) == {}
     assert snapshot(str(tmp_path), 500, now - 5) == {} and list(snapshot(str(tmp_path), 500, now + 5)) == ["a"]
     assert list(events_between({"a": 1, "b": 1, "c": 1}, {"b": 2, "c": 1, "d": 1})) == [("a", "unlink"), ("b", "change"), ("d", "add")]
 
@@ -134,17 +141,144 @@ def test_watch_runs_after_a_change(spark, tmp_path):
         if len(runs) == 1:
             raise RuntimeError("first")
 
-    query = watch(spark, str(root), run, str(tmp_path / "check"), on_error=errors.append)
+    query = watch(spark, str(root), run, str(tmp_path / "check"), dirs=["src", "docs"], patterns=["*.map", "build/"], gap_ms=700, on_error=errors.append)
     try:
+        time.sleep(4)
+        (root / "src/build").mkdir(parents=True)
+        for name in ("outside.txt", "src/a.map", "src/build/b.txt", "src/.hidden"):
+            (root / name).write_text("no event")
+        time.sleep(4)
+        assert runs == []
         deadline = time.time() + 60
-        while time.time() < deadline and len(runs) < 2:
-            (root / f"new{len(runs)}").write_text("y")
-            time.sleep(1)
-        assert len(runs) >= 2 and len(errors) == 1 and query.exception() is None
+        for k in range(5):  # one burst
+            (root / f"src/new{k}").write_text("y")
+            time.sleep(0.3)
+        while time.time() < deadline and not runs:
+            time.sleep(0.2)
+        time.sleep(4)
+        assert len(runs) <= 2 and len(errors) == 1  # one run, and one for what the files told while it waited
+        before = len(runs)
+        (root / "src/later").write_text("z")
+        while time.time() < deadline and len(runs) == before:
+            time.sleep(0.2)
+        assert len(runs) > before and query.exception() is None
     finally:
         query.stop()
 
 
+def test_quiet_waits_for_the_last_change():
+    from corvane.streaming.watch import quiet
+
+    seen = iter([{"a": 1}, {"a": 2}, {"a": 3}, {"a": 3}])
+    quiet(lambda: next(seen), 1)
+    assert next(seen, None) is None
+
+
+def test_files_that_cannot_be_read_come_again(spark, workspace, tmp_path, monkeypatch):
+    from corvane.plans import index
+    from corvane.sources.files import derive
+
+    walk = index.walk_files
+    engine = Engine(spark, workspace)
+    extra = derive(spark.createDataFrame([("src/lost.ts", "2024-01-01T00:00:00.000Z")], "file_path string, last_modified string"))
+    monkeypatch.setattr(index, "walk_files", lambda *a: walk(*a).unionByName(extra))
+    told = []
+    assert engine.index(progress=lambda *x: told.append(x)).changed == 4 and engine.index().changed == 1
+    time.sleep(0.1)
+    assert told[-1] == (4, 4)
+    (tmp_path / "src/lost.ts").write_text("export const found = 'again and again';\n")
+    report = engine.index()
+    assert (report.changed, report.deleted) == (1, 0) and report.seconds > 0 and engine.index().changed == 0
+    assert "src/lost.ts" in {p for p, *_ in contents(engine)}
+    # unreadable once more: its chunks and its note stay
+    (tmp_path / "src/lost.ts").unlink()
+    extra2 = derive(spark.createDataFrame([("src/lost.ts", "2025-01-01T00:00:00.000Z")], "file_path string, last_modified string"))
+    monkeypatch.setattr(index, "walk_files", lambda *a: walk(*a).unionByName(extra2))
+    assert engine.index().changed == 1 and "src/lost.ts" in {p for p, *_ in contents(engine)}
+    monkeypatch.setattr(index, "walk_files", walk)
+    assert engine.index().deleted == 1 and "src/lost.ts" not in {p for p, *_ in contents(engine)}
+
+
+def test_reads_stay_in_the_root_and_look_before_they_read(spark, workspace, tmp_path):
+    engine = Engine(spark, workspace)
+    outside = tmp_path.parent / f"{tmp_path.name}-secret.txt"
+    outside.write_text("not yours\n")
+    (tmp_path / "src/link.txt").symlink_to(outside)
+    (tmp_path / "src/inner.txt").symlink_to(tmp_path / "src/c.txt")
+    with open(tmp_path / "src/huge.txt", "wb") as f:
+        f.truncate(26 << 20)
+    for path, status in (("src/link.txt", 403), (str(outside), 403), ("src/../../x", 403), ("src", 400), ("src/huge.txt", 413), ("src/none", 404), ("", 400)):
+        with pytest.raises(RequestError) as e:
+            engine.read_slice(path, 1, 2)
+        assert (path, e.value.status) == (path, status)
+    for path in ("src/c.txt", "src/../src/c.txt", str(tmp_path / "src/c.txt"), "./src//c.txt", "src/inner.txt"):
+        assert engine.read_slice(path, 1, 1)["content"] == "plain words"
+
+
+def test_a_query_that_cannot_be_embedded_is_an_error(spark, workspace):
+    from corvane.serve import respond
+    from corvane.sources.embedders import EmbedError, HttpEmbedder
+
+    engine = Engine(spark, workspace, lambda: HttpEmbedder("http://127.0.0.1:9", "m", 64, timeout=1))
+    engine.index()  # passages become zero vectors
+    with pytest.raises(EmbedError):
+        engine.search("x")
+    assert respond(engine, "POST", "/search", {"query": "x"})[0] == 502
+
+
+def chunk_rows(spark, rows):
+    from corvane.schema import COLLECTION
+
+    full = [(f"{p}:{n}", f"text {v}", p, "text", "m", "block", "", n, n + 1, "t", [float(v), 1.0, 0.5, 0.0]) for p, n, v in rows]
+    return spark.createDataFrame(full, COLLECTION)
+
+
+def test_collection_segments_match_a_plain_table(spark, tmp_path):
+    from corvane.sources.store import MOST_SEGMENTS, Collection
+
+    rnd, want = random.Random(4), {}
+    table = Collection(spark, str(tmp_path / "c"), 4)
+    table.ensure()
+    for step in range(12):
+        stale = "keep" if step % 4 == 3 else "drop"
+        gone = {f"f{rnd.randrange(9)}" for _ in range(rnd.randrange(2))}
+        changed = {f"f{rnd.randrange(9)}" for _ in range(rnd.randrange(3) if step else 9)}
+        new = {(p, n): step * 100 + n for p in changed for n in range(rnd.randrange(1, 5))}
+        want = {k: v for k, v in want.items() if k[0] not in gone and (stale == "keep" or k[0] not in changed)} | new
+        before = table.read()
+        table.replace_files(chunk_rows(spark, [(*k, v) for k, v in new.items()]), spark.createDataFrame([(g,) for g in gone], "file_path string"), stale=stale)
+        assert {(r["file_path"], r["start_line"]): int(r["embedding"][0]) for r in table.read().collect()} == want
+        before.count()  # a reader of the version before isn't disturbed
+        assert len(table.note()["segments"]) <= MOST_SEGMENTS
+    assert table.stats()["count"] == len(want)
+    (tmp_path / "c/.note-000000009999-crashed").write_text("{")  # a write that never came to its end
+    (tmp_path / "c/data/seg=9999").mkdir()
+    assert table.stats()["count"] == len(want)
+
+
+def test_large_collections_are_searched_by_cells(spark, tmp_path, capsys):
+    import numpy as np
+
+    from corvane.schema import COLLECTION
+    from corvane.sources.store import Collection
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 8)) * 3
+    x = centres[rnd.integers(0, 40, 900)] + 0.2 * rnd.normal(size=(900, 8))
+    rows = spark.createDataFrame([(f"i{k}", f"t{k}", f"f{k}", "text", "m", "block", "", 1, 2, "t", v.tolist()) for k, v in enumerate(x)], COLLECTION)
+    table = Collection(spark, str(tmp_path / "c"), 8, indexed_rows=500)
+    nothing = spark.createDataFrame([], "file_path string")
+    table.replace_files(rows, nothing)
+    assert len(table.note()["centroids"]) == 128 and table.recall(10, queries=15) >= 0.9
+    near = table.candidates(x[0].tolist())
+    assert 0 < near.count() < 450
+    near.explain("formatted")
+    assert "PartitionFilters" in capsys.readouterr().out
+    table.replace_files(rows.limit(3).withColumn("embedding", rows["embedding"]).selectExpr("concat(id, 'n') AS id", "content", "concat(file_path, 'n') AS file_path", *rows.columns[3:]), rows.filter("id = 'i0'").select("file_path"))
+    got = {r["id"] for r in table.candidates(x[0].tolist()).collect()}
+    assert "i0" not in got and len({i for i in got if i.endswith("n")}) == 3  # what was written since has no cell and is always read
+
+
 @pytest.mark.parametrize("bucket", [1, 60, 3600, 10**6])
 def test_bursts_match_session_windows(spark, bucket):
     from corvane.operators.bursts import bursts

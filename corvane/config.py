@@ -57,9 +57,10 @@ def load(start: str = ".", env: dict[str, str] | None = None) -> Config:
     if env.get("CORVANE_PORT"):
         values["port"] = int(env["CORVANE_PORT"])
     out = replace(Config(), **values)
-    base = (root / out.workspace_root).resolve()
-    placed = {n: str(base / getattr(out, n)) for n in ("collection_path", "ledger_path") if "://" not in getattr(out, n)}
-    return replace(out, workspace_root=str(base), **placed)
+    far = "://" in out.workspace_root
+    base = root if far else (root / out.workspace_root).resolve()
+    placed = {n: f"{out.workspace_root.rstrip('/')}/{getattr(out, n)}" if far else str(base / getattr(out, n)) for n in ("collection_path", "ledger_path") if "://" not in getattr(out, n)}
+    return replace(out, workspace_root=out.workspace_root if far else str(base), **placed)
 
 
 def write_default(root: str) -> Path:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +54,70 @@ def keep_indexable(paths: DataFrame, patterns: list[str]) -> DataFrame:
     return paths.filter(~ignored(F.col("file_path"), patterns) & is_text_file(F.col("file_path")))
 
 
+def stored(config: Config) -> bool:
+    """True for a workspace in a store, named by a path with a scheme; another one is a folder that driver and executors see alike."""
+    return "://" in config.workspace_root
+
+
+def _stored_paths(config: Config) -> Iterator[tuple[str, str]]:
+    """``list_paths`` of a store that Arrow knows."""
+    fs, base = pafs.FileSystem.from_uri(config.workspace_root.rstrip("/"))
+    for top in config.index_dirs:
+        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{top}", allow_not_found=True, recursive=True)):
+            path = info.path.removeprefix(f"{base}/")
+            if info.is_file and not any(part.startswith(".") for part in path.split("/")):
+                at = datetime.fromtimestamp((info.mtime_ns or 0) // 1_000_000 / 1000, timezone.utc)
+                yield path, at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+
+
+def _stored_reader(root: str) -> Callable[[str, int | None], tuple[str | None, str | None]]:
+    """(text, problem) of a path in a store, looked at before it is read."""
+    fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
+
+    def read(path: str, most: int | None = None) -> tuple[str | None, str | None]:
+        try:
+            info = fs.get_file_info(f"{base}/{path}")
+            if info.type == pafs.FileType.NotFound:
+                return None, "missing"
+            if not info.is_file:
+                return None, "directory"
+            if most is not None and info.size > most:
+                return None, "large"
+            with fs.open_input_file(info.path) as f:
+                return f.read().decode("utf-8", "replace"), None
+        except OSError:
+            return None, "unreadable"
+
+    return read
+
+
+def _folder_reader(root: str, *, inside: bool = True) -> Callable[[str, int | None], tuple[str | None, str | None]]:
+    """(text, problem) of a path in a folder; with ``inside``, ``outside`` where links lead out of it."""
+    home = os.path.realpath(root)
+
+    def read(path: str, most: int | None = None) -> tuple[str | None, str | None]:
+        at = os.path.realpath(os.path.join(root, path))
+        if inside and at != home and not at.startswith(home.rstrip(os.sep) + os.sep):
+            return None, "outside"
+        if not os.path.exists(at):
+            return None, "missing"
+        if not os.path.isfile(at):
+            return None, "directory"
+        try:
+            if most is not None and os.path.getsize(at) > most:
+                return None, "large"
+            return Path(at).read_text(encoding="utf-8", errors="replace"), None
+        except OSError:
+            return None, "unreadable"
+
+    return read
+
+
 def walk_files(spark: SparkSession, config: Config) -> DataFrame:
-    """file_path, last_modified, language and module of the workspace's text files (a driver-side listing)."""
+    """file_path, last_modified, language and module of the workspace's text files (a listing by the driver: paths only)."""
+    if stored(config):
+        listed = spark.createDataFrame(list(_stored_paths(config)), "file_path string, last_modified string")
+        return derive(keep_indexable(listed, list(config.exclude_patterns)))
     rows = list(list_paths(config))
     listed = spark.createDataFrame(rows, "file_path string, last_modified string")
     return derive(keep_indexable(listed, patterns_of(config)))
@@ -62,6 +125,8 @@ def walk_files(spark: SparkSession, config: Config) -> DataFrame:
 
 def inside_root(path: str, root: str) -> str | None:
     """``path`` (relative, or absolute under ``root``) as a plain relative path; None if it leads out of the root."""
+    if "://" in root:
+        path, root = path.removeprefix(root.rstrip("/") + "/"), "/_"
     plain = os.path.relpath(os.path.normpath(os.path.join(root, path)), root).replace(os.sep, "/")
     return None if plain == ".." or plain.startswith("../") else plain
 
@@ -72,26 +137,12 @@ def read_named(spark: SparkSession, paths: list[str], config: Config) -> DataFra
     The problem is ``outside`` (where links resolve to), ``missing``, ``directory``, ``large`` or
     ``unreadable``; then the content is null.
     """
-    root = config.workspace_root
-
-    def read(path: str) -> tuple[str | None, str | None]:
-        at, home = os.path.realpath(os.path.join(root, path)), os.path.realpath(root)
-        if at != home and not at.startswith(home.rstrip(os.sep) + os.sep):
-            return None, "outside"
-        if not os.path.exists(at):
-            return None, "missing"
-        if not os.path.isfile(at):
-            return None, "directory"
-        if os.path.getsize(at) > MAX_BYTES:
-            return None, "large"
-        try:
-            return Path(at).read_text(encoding="utf-8", errors="replace"), None
-        except OSError:
-            return None, "unreadable"
+    make, root = (_stored_reader if stored(config) else _folder_reader), config.workspace_root
 
     def run(batches):
+        read = make(root)
         for batch in batches:
-            got = [read(p) for p in batch.column("file_path").to_pylist()]
+            got = [read(p, MAX_BYTES) for p in batch.column("file_path").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=["file_path", "content", "problem"])
 
     named = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "file_path string")
@@ -100,21 +151,16 @@ def read_named(spark: SparkSession, paths: list[str], config: Config) -> DataFra
 
 def with_content(files: DataFrame, config: Config, seen: Accumulator | None = None) -> DataFrame:
     """Add the content of each file, read by the executors; a file gone meanwhile is left out.  ``seen`` counts files."""
-    root = config.workspace_root
+    far, root = stored(config), config.workspace_root
 
-    def read(batches):
+    def run(batches):
+        read = _stored_reader(root) if far else _folder_reader(root, inside=False)  # a link among the walked files is followed
         for batch in batches:
-            keep, texts = [], []
-            for k, path in enumerate(batch.column("file_path").to_pylist()):
-                try:
-                    texts.append(Path(root, path).read_text(encoding="utf-8", errors="replace"))
-                    keep.append(k)
-                except OSError:
-                    continue
+            texts = [read(p)[0] for p in batch.column("file_path").to_pylist()]
             if seen is not None:
                 seen.add(batch.num_rows)
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "content"])
+            part = batch.take(pa.array([k for k, t in enumerate(texts) if t is not None], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t for t in texts if t is not None], pa.string())], names=[*part.schema.names, "content"])
 
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.StringType())])
-    return files.mapInArrow(read, schema).select("file_path", "language", "module", "last_modified", "content")
+    return files.mapInArrow(run, schema).select("file_path", "language", "module", "last_modified", "content")

@@ -73,6 +73,25 @@ def test_index_search_read_clip(spark, workspace, tmp_path):
     assert engine.index().deleted == 1 and engine.index().deleted == 0
 
 
+def test_a_workspace_in_a_store(spark, workspace, tmp_path):
+    """By a path with a scheme everything is listed and read by Spark; the chunks are the same."""
+    local = Engine(spark, workspace)
+    local.index()
+    far = Engine(spark, Config(**{**workspace.__dict__, "workspace_root": f"file://{tmp_path}", "exclude_patterns": (*workspace.exclude_patterns, "gone.ts"),
+                                  "collection_path": str(tmp_path / ".d/c"), "ledger_path": str(tmp_path / ".d/l")}))
+    assert far.index().changed == 3 and contents(far) == contents(local) and far.index().changed == 0
+    assert far.read_slice("src/_a.ts", 1, 1)["content"] == "export function alpha() {"
+    for path, status in (("../x", 403), ("src/none.ts", 404)):
+        with pytest.raises(RequestError) as e:
+            far.read_slice(path, 1, 2)
+        assert e.value.status == status
+    (tmp_path / "src/c.txt").write_text("other words\n")
+    os.utime(tmp_path / "src/c.txt", (1, 1))
+    (tmp_path / "src/b.md").unlink()
+    report = far.index()
+    assert (report.changed, report.deleted) == (1, 1) and {p for p, *_ in contents(far)} == {"src/_a.ts", "src/c.txt"}
+
+
 def test_zero_vectors_are_stored_but_never_found(spark, workspace):
     engine = Engine(spark, workspace, lambda: TableEmbedder({}, 64))
     engine.index()

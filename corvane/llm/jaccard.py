@@ -29,7 +29,7 @@ COUNTED, HEAVY_DOCS = 2_000_000, 8
 #: Prefix entries held by a map task (and documents) and dealt to one reduce group.
 ENTRIES, HELD_DOCS, PER_GROUP = 600_000, 60_000, 600_000
 #: Shingles that one task verifies: a few tasks' worth of the whole, between these bounds; a group of few sets may hold PER_FEW.
-LEAST_TASK, PER_TASK, PER_FEW = 16_000, 4_000_000, 8_000_000
+LEAST_TASK, PER_TASK, PER_FEW = 16_000, 8_000_000, 8_000_000
 #: Of n shingles so many beyond the least prefix are looked at: n // EXTRA, 1 at least.
 EXTRA = 16
 #: Estimated bytes of a side that may be broadcast.
@@ -526,23 +526,26 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
     """
     spark = docs.sparkSession
     every = int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    per = int(np.clip(2 * every // int(spark.conf.get("spark.sql.shuffle.partitions")), min(LEAST_TASK, PER_TASK), PER_TASK))
+    fair = lambda parts: int(np.clip(every // parts, min(LEAST_TASK, PER_TASK), PER_TASK))
+    per = fair(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
+    # where blocks meet in pairs, so many blocks give each core a pair; more would only move more
+    per_pair = fair(max(1, int((2 * spark.sparkContext.defaultParallelism) ** 0.5)))
 
-    def wide(weight, count):
+    def wide(weight, count, per=per):
         """Blocks of so many shingles in so many sets: sets that are few stay together while PER_FEW holds them."""
         few = F.ceil(count / PIVOTS)
         return F.greatest(F.ceil(weight / max(PER_FEW, per)), F.least(F.ceil(weight / per), few), F.lit(1)).cast("int")
 
-    def banded(rows: DataFrame) -> DataFrame:
+    def banded(rows: DataFrame, per: int) -> DataFrame:
         """With the bands and blocks of each row's group."""
-        large = rows.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
+        large = rows.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
         octave = lambda x: F.floor(F.log2(x)).cast("int")
         bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
         out = rows.join(large, "comp", "left").withColumn("band", F.explode(bands))
-        sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1))).alias("blocks"), F.count(F.lit(1)).alias("count"))
+        sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("blocks"), F.count(F.lit(1)).alias("count"))
         return out.join(sizes, ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
 
-    first = stage(banded(members.withColumn("label", F.col("d1"))).withColumns({
+    first = stage(banded(members.withColumn("label", F.col("d1")), per).withColumns({
         "own": F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"),
         "pivot": F.coalesce(F.pmod(F.xxhash64("d1", F.lit(7)), F.lit(1 << 20)) * F.col("count") < F.lit(PIVOTS << 20), F.lit(False))}), "banded")
     everywhere = F.transform(_range("blocks"), lambda h: _key("own", h.cast("string")))
@@ -558,12 +561,12 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
     named = stage(split.join(roots, "d1", "left").withColumn("label", F.coalesce("root", "d1")).drop("root"), "labelled")
     cross = stage(_cross_entries(shared, named, groups, groups), "cross")
     closer = components(_candidate_edges(cross.repartition(groups, "b"), groups))
-    again = stage(banded(_grouped(named, closer)), "banded")
+    again = stage(banded(_grouped(named, closer), per_pair), "banded")
     unstage(found, cross)
     weights = again.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
     main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "c", "label")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("count"))
-    main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c")).alias("h"),
-                       wide(F.col("all") - F.col("top.w"), F.col("count") - F.col("top.c")).alias("k"), (F.col("count") > F.col("top.c")).alias("more"))
+    main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c"), per_pair).alias("h"),
+                       wide(F.col("all") - F.col("top.w"), F.col("count") - F.col("top.c"), per_pair).alias("k"), (F.col("count") > F.col("top.c")).alias("more"))
     main = main.filter("more").drop("more")  # where all are connected already, nothing is left to meet
     rest = again.join(main, ["comp", "band"]).withColumns({
         "in_major": F.col("label") == F.col("major"), "at_h": F.pmod(F.xxhash64("d1"), F.col("h")).cast("string"), "at_k": F.pmod(F.xxhash64("d1"), F.col("k")).cast("int")})

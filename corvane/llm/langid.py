@@ -70,34 +70,40 @@ def gram_counts(text: str, bits: int) -> tuple[np.ndarray, int]:
     return total, letters
 
 
-def gram_matrix(texts: list[str], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The grams of several texts at once: ((text, bucket) arrays for 1-, 2- and 3-grams, ascending by text), and letters by text.
+def gram_matrix(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The grams of several texts as rows of a sparse matrix: buckets of the 1-, 2- and 3-gram that end at each character, where each text begins, and letters by text.
 
-    Counted as in ``gram_counts``: the texts stand in one sequence with a space between, and
-    grams that would join two of them are left out.
+    Counted as in ``gram_counts``: the texts stand in one sequence with a space between, which
+    ends the text before.  Bucket ``1 << bits`` stands for no gram: a space alone, and the three
+    characters around a text's beginning.
     """
-    shift = np.uint32(32 - bits)
+    shift, none = np.uint32(32 - bits), 1 << bits
     raw = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64) + 1
-    row = np.repeat(np.arange(len(texts)), sizes)[:len(raw)]
     low = _letters()[raw]
     is_letter = low > 0
-    letters = np.bincount(row[is_letter], minlength=len(texts))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    seq = np.concatenate(([np.uint32(32)], np.where(is_letter, low, np.uint32(32))[keep], [np.uint32(32)]))
-    row = np.concatenate(([-1], np.where(is_letter, row, -1)[keep], [-1]))
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    first = np.minimum(edges, len(raw))
+    letters = np.diff(np.concatenate(([0], np.cumsum(is_letter, dtype=np.int32)))[first])
+    seq = np.full(int(keep.sum()) + 2, 32, np.uint32)
+    kept = low[keep]
+    seq[1:-1] = np.where(kept > 0, kept, np.uint32(32))
+    starts = 1 + np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))[first]
+    if is_letter[-1:].any():  # the last text ends with the closing space
+        starts[-1] += 1
+    starts = np.maximum.accumulate(starts)
     hashed = seq * _MIX[0]
-    h2 = hashed[1:] ^ (seq[:-1] * _MIX[1])
-    h3 = hashed[2:] ^ (seq[1:-1] * _MIX[1]) ^ (seq[:-2] * _MIX[2])
-    first, last = row[:-2], row[2:]
-    middle = np.where(row[1:-1] >= 0, row[1:-1], np.where(first == last, first, -1))
+    before = seq * _MIX[1]
+    pairs = hashed[1:] ^ before[:-1]
     out = []
-    for salt, h, of in ((1, hashed, row), (2, h2, np.maximum(row[1:], row[:-1])), (3, h3, middle)):
-        h = (h[of >= 0] + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)) * _MIX[2]
+    for salt, h in ((1, hashed), (2, np.concatenate(([0], pairs)).astype(np.uint32)), (3, np.concatenate(([0, 0], pairs[1:] ^ (seq[:-2] * _MIX[2]))).astype(np.uint32))):
+        h = (h + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)) * _MIX[2]
         h ^= h >> np.uint32(15)
-        out.append((of[of >= 0], (h * _MIX[0]) >> shift))
-    return out, letters
+        out.append(((h * _MIX[0]) >> shift).astype(np.int64))
+    out[0][seq == 32] = none
+    out[2][starts[:-1][letters > 0]] = none
+    return out, starts, letters
 
 
 @dataclass(frozen=True)
@@ -124,14 +130,21 @@ class LanguageModel:
         return self._told(self.log_prior + counts[hit].astype(np.float64) @ self.log_prob[hit], letters)
 
     def _product(self, texts: list[str]) -> list[tuple[str, float]]:
-        grams, letters = gram_matrix(texts, self.bits)
+        """Each text's row of the sparse matrix times the log-probabilities: rows are gathered by bucket and summed by text."""
+        grams, starts, letters = gram_matrix(texts, self.bits)
+        dense = np.vstack([self.log_prob, np.zeros((1, len(self.langs)), self.log_prob.dtype)])
         log = np.tile(self.log_prior.astype(np.float64), (len(texts), 1))
+        live = np.flatnonzero(letters)
         step = max(1, GATHERED // len(self.langs))
-        for row, bucket in grams:
-            for s in range(0, len(row), step):
-                part = row[s:s + step]
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                log[part[first]] += np.add.reduceat(self.log_prob[bucket[s:s + step]], first, axis=0, dtype=np.float64)
+        for s in range(1, len(grams[0]), step):
+            e = min(s + step, int(starts[-1]))
+            if e <= s:
+                break
+            sums = dense.take(grams[0][s:e], axis=0).astype(np.float64)
+            sums += dense.take(grams[1][s:e], axis=0)
+            sums += dense.take(grams[2][s:e], axis=0)
+            here = live[np.searchsorted(starts[live], s, side="right") - 1:np.searchsorted(starts[live], e)]
+            log[here] += np.add.reduceat(sums, np.maximum(starts[here] - s, 0), axis=0)
         return [self._told(log[k], int(letters[k])) for k in range(len(texts))]
 
     def score_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -20,6 +20,10 @@ from .sources.files import inside_root, read_named
 from .sources.store import Collection
 
 
+#: Names of a result's fields, and the columns they come from.
+FIELDS = (("id", "id"), ("filePath", "file_path"), ("symbolName", "symbol_name"), ("startLine", "start_line"), ("endLine", "end_line"), ("content", "content"))
+
+
 class Engine:
     """State of a session: the clip registry.  Everything else is in the collection."""
 
@@ -53,8 +57,7 @@ class Engine:
         rows = [r for r in rows if threshold is None or r["score"] >= threshold]
         for rank, r in enumerate(rows):
             r["rank"], r["id"] = rank, self.clips.put(r["file_path"], r["start_line"], r["end_line"])
-        keys = (("id", "id"), ("filePath", "file_path"), ("symbolName", "symbol_name"), ("startLine", "start_line"), ("endLine", "end_line"), ("content", "content"))
-        results = [{n: r[c] for n, c in keys} | {"symbolName": r["symbol_name"] or None, "score": round(r["score"], 4)}
+        results = [{n: r[c] for n, c in FIELDS} | {"symbolName": r["symbol_name"] or None, "score": round(r["score"], 4)}
                    | {f: r[ops.INCLUDE_COLUMNS[f]] for f in request.include} for r in rows]
         out: dict[str, Any] = {"query": query, "results": results, "count": len(rows), "topK": request.top_k, "clipStoreSize": len(self.clips), "filters": request.filters, "candidatesBeforeFilter": candidates}
         if request.min_score is not None:

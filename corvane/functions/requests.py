@@ -10,6 +10,22 @@ from typing import Any
 from ..schema import INCLUDE_FIELDS
 
 MAX_TOP_K, DEFAULT_DIFF, MAX_IDS = 100, 0.1, 500
+#: What a client is told of a bad request, part of the interface.
+MESSAGES = {
+    "query": "query is required and must be a string",
+    "top_k": "top_k must be an integer between 1 and 100",
+    "fraction": "{name} must be a finite number between 0 and 1 (inclusive)",
+    "include": "include must be an array of: {names}",
+    "format": "format must be 'markdown' or 'json'",
+    "exclusive": "min_score and min_score_diff are mutually exclusive",
+    "file_path": "filePath is required and must be a string",
+    "lines": "startLine and endLine are required and must be finite numbers (1-indexed, inclusive)",
+    "id": "id must be a positive integer",
+    "ids": "ids is required",
+    "id_list": "ids is required and must be an array of positive integers",
+    "most_ids": "at most {n} ids",
+    "id_or_ids": "provide either id or ids, not both and not neither",
+}
 
 
 class RequestError(ValueError):
@@ -47,7 +63,7 @@ def strict_top_k(x: Any) -> int:
     if x is None:
         return MAX_TOP_K
     if isinstance(x, bool) or not isinstance(x, int) or not 1 <= x <= MAX_TOP_K:
-        raise RequestError("top_k must be an integer between 1 and 100")
+        raise RequestError(MESSAGES["top_k"])
     return x
 
 
@@ -56,7 +72,7 @@ def _fraction(x: Any, name: str) -> float | None:
         return None
     n = _number(x)
     if not math.isfinite(n) or not 0 <= n <= 1:
-        raise RequestError(f"{name} must be a finite number between 0 and 1 (inclusive)")
+        raise RequestError(MESSAGES["fraction"].format(name=name))
     return n
 
 
@@ -64,7 +80,7 @@ def check_include(x: Any) -> tuple[str, ...]:
     if x is None:
         return ()
     if not isinstance(x, (list, tuple)) or any(f not in INCLUDE_FIELDS for f in x):
-        raise RequestError(f"include must be an array of: {', '.join(INCLUDE_FIELDS)}")
+        raise RequestError(MESSAGES["include"].format(names=", ".join(INCLUDE_FIELDS)))
     return tuple(dict.fromkeys(x))
 
 
@@ -72,7 +88,7 @@ def check_format(x: Any) -> str:
     if x is None or x == "":
         return "markdown"
     if x not in ("markdown", "json"):
-        raise RequestError("format must be 'markdown' or 'json'")
+        raise RequestError(MESSAGES["format"])
     return x
 
 
@@ -91,12 +107,12 @@ def parse_search(body: dict[str, Any], *, strict: bool = False) -> SearchRequest
     """Checked in order: query, format, include, min_score, exclusion, min_score_diff."""
     query = body.get("query")
     if not isinstance(query, str) or not query:
-        raise RequestError("query is required and must be a string")
+        raise RequestError(MESSAGES["query"])
     top_k = (strict_top_k if strict else coerce_top_k)(body.get("top_k"))
     shape, include = check_format(body.get("format")), check_include(body.get("include"))
     low = _fraction(body.get("min_score"), "min_score")
     if low is not None and body.get("min_score_diff") is not None:
-        raise RequestError("min_score and min_score_diff are mutually exclusive")
+        raise RequestError(MESSAGES["exclusive"])
     diff = _fraction(body.get("min_score_diff"), "min_score_diff")
     if diff is None and low is None:
         diff = DEFAULT_DIFF
@@ -107,7 +123,7 @@ def parse_search(body: dict[str, Any], *, strict: bool = False) -> SearchRequest
 def parse_id(raw: Any) -> int:
     text = str(raw)
     if not re.fullmatch(r"[0-9]+", text) or int(text) < 1:
-        raise RequestError("id must be a positive integer")
+        raise RequestError(MESSAGES["id"])
     return int(text)
 
 
@@ -116,7 +132,7 @@ def parse_ids(raw: Any, *, distinct: bool = False) -> list[int]:
     parts = raw if isinstance(raw, (list, tuple)) else [raw]
     ids = [parse_id(t.strip()) for p in parts for t in str(p).split(",") if t.strip()]
     if not ids:
-        raise RequestError("ids is required")
+        raise RequestError(MESSAGES["ids"])
     if len(ids) > MAX_IDS and not distinct:
-        raise RequestError(f"at most {MAX_IDS} ids")
+        raise RequestError(MESSAGES["most_ids"].format(n=MAX_IDS))
     return list(dict.fromkeys(ids)) if distinct else ids

@@ -10,7 +10,7 @@ from typing import IO, Any
 from urllib.parse import parse_qs, urlparse
 
 from .api import Engine
-from .functions.requests import RequestError, parse_ids
+from .functions.requests import MESSAGES, RequestError, parse_ids
 from .sources.embedders import EmbedError
 
 PORT, MOST_BODY = 7700, 10 << 20
@@ -31,9 +31,9 @@ def batch_payload(engine: Engine, ids: Any, *, distinct: bool = False) -> dict[s
 def read_payload(engine: Engine, body: dict[str, Any]) -> dict[str, Any]:
     start, end = body.get("startLine"), body.get("endLine")
     if any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in (start, end)):
-        raise RequestError("startLine and endLine are required and must be finite numbers (1-indexed, inclusive)")
+        raise RequestError(MESSAGES["lines"])
     if not isinstance(body.get("filePath"), str) or not body["filePath"]:
-        raise RequestError("filePath is required and must be a string")
+        raise RequestError(MESSAGES["file_path"])
     return _slice_fields(engine.read_slice(body["filePath"], start, end)) | {"rangeRequested": {"startLine": start, "endLine": end}}
 
 
@@ -63,7 +63,7 @@ def respond(engine: Engine, method: str, target: str, body: Any) -> tuple[int, s
         if route == ("POST", "/clips"):
             ids = body.get("ids")
             if not isinstance(ids, list) or any(isinstance(i, bool) or not isinstance(i, int) for i in ids):
-                raise RequestError("ids is required and must be an array of positive integers")
+                raise RequestError(MESSAGES["id_list"])
             return _json(200, {"success": True, "data": batch_payload(engine, ids)})
         return _json(404, {"success": False, "error": "not found"})
     except RequestError as e:
@@ -128,7 +128,7 @@ def call_tool(engine: Engine, name: str, args: dict[str, Any]) -> str:
         return json.dumps(read_payload(engine, args), indent=2)
     if name == "codebase_clip":
         if ("id" in args) == ("ids" in args):
-            raise RequestError("provide either id or ids, not both and not neither")
+            raise RequestError(MESSAGES["id_or_ids"])
         return json.dumps(batch_payload(engine, [args["id"]] if "id" in args else args["ids"], distinct=True), indent=2)
     if name == "codebase_stats":
         return json.dumps(engine.stats(), indent=2)

@@ -24,8 +24,8 @@ from .common import map_texts
 
 #: Longest word, in parts, for the scanned array.
 SHORT = 128
-#: Words, and texts between spaces, whose encoding a worker remembers; a memory is emptied when full.
-CACHE_WORDS = 200_000
+#: Words, and texts between spaces, whose encoding a worker remembers; the memory is emptied when full.
+CACHE_WORDS = 400_000
 #: Control characters at which Python's own split parts and the tokenizer doesn't.
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEVER = 1 << 30
@@ -99,9 +99,9 @@ def _byte_letters() -> list[str]:
 
 
 class WordBpe(dict):
-    """An encoder and decoder for word-end BPE files; as a dict it remembers texts between spaces.
+    """An encoder and decoder for word-end BPE files; as a dict it remembers texts between spaces, and the words in them.
 
-    Maps such a text, normalised, to (ids as little-endian uint32, decoded text).
+    Maps such a text or word, normalised, to (ids as little-endian uint32, decoded text).
     """
 
     def __init__(self, spec: str):
@@ -126,7 +126,6 @@ class WordBpe(dict):
         self.barrier = re.compile(f"([{marks}])")
         self.far = re.compile("[\u07fd-\U0010ffff]")  # one range is tested fast
         self.newer = re.compile(f"[{marks}{''.join(map(chr, self.lower))}]")
-        self.known: dict[str, tuple[bytes, str]] = {}
         self.split = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     # -- one word ---------------------------------------------------------------------
@@ -175,24 +174,23 @@ class WordBpe(dict):
                     heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        if (value := self.known.get(word)) is None:
-            ids = self.word_ids(word)
-            value = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            if len(word) <= SHORT:
-                self.known[word] = value
+    def _keep(self, text: str, value: tuple[bytes, str]) -> tuple[bytes, str]:
+        if len(text) <= SHORT:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[text] = value
         return value
 
+    def _word(self, word: str) -> tuple[bytes, str]:
+        ids = self.word_ids(word)
+        return self._keep(word, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
+
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        pairs = [p for p in map(self._word, self.words.findall(chunk)) if p[0]]
-        value = pairs[0] if len(pairs) == 1 else (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(chunk) <= SHORT:
-            self[chunk] = value
-        return value
+        words = self.words.findall(chunk)
+        if len(words) == 1:
+            return self.get(words[0]) or self._word(words[0]) if words[0] != chunk else self._word(chunk)
+        pairs = [p for w in words if (p := self.get(w) or self._word(w))[0]]
+        return self._keep(chunk, (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])))
 
     # -- whole texts --------------------------------------------------------------------
 
@@ -228,7 +226,8 @@ class WordBpe(dict):
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by spaces, as a tokenizer file without a decoder gives; unknown ids vanish."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 @lru_cache(2)

@@ -19,7 +19,7 @@ from .common import stage
 _PARTS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of a window whose postings are brought together, from the rarest.
-RAREST = 3
+RAREST = 2
 #: Estimated bytes of a side that is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 

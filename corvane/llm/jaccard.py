@@ -537,13 +537,17 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
         return F.greatest(F.ceil(weight / max(PER_FEW, per)), F.least(F.ceil(weight / per), few), F.lit(1)).cast("int")
 
     def banded(rows: DataFrame, per: int) -> DataFrame:
-        """With the bands and blocks of each row's group."""
+        """With the bands and blocks of each row's group.
+
+        Large groups hold more than ``per`` shingles each, so their few rows (every / per, times
+        the bands) are broadcast, and no group's members are gathered in one task.
+        """
         large = rows.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
         octave = lambda x: F.floor(F.log2(x)).cast("int")
         bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
-        out = rows.join(large, "comp", "left").withColumn("band", F.explode(bands))
+        out = rows.join(F.broadcast(large), "comp", "left").withColumn("band", F.explode(bands))
         sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("blocks"), F.count(F.lit(1)).alias("count"))
-        return out.join(sizes, ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
+        return out.join(F.broadcast(sizes), ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
 
     first = stage(banded(members.withColumn("label", F.col("d1")), per).withColumns({
         "own": F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"),
@@ -563,12 +567,14 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
     closer = components(_candidate_edges(cross.repartition(groups, "b"), groups))
     again = stage(banded(_grouped(named, closer), per_pair), "banded")
     unstage(found, cross)
-    weights = again.groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
+    weights = again.filter("blocks > 1").groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
     main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "c", "label")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("count"))
     main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c"), per_pair).alias("h"),
                        wide(F.col("all") - F.col("top.w"), F.col("count") - F.col("top.c"), per_pair).alias("k"), (F.col("count") > F.col("top.c")).alias("more"))
     main = main.filter("more").drop("more")  # where all are connected already, nothing is left to meet
-    rest = again.join(main, ["comp", "band"]).withColumns({
+    met = again.filter("blocks > 1").join(F.broadcast(main), ["comp", "band"])  # as few as large groups and bands
+    whole = again.filter("blocks = 1").withColumns({"major": F.col("label"), "h": F.lit(1), "k": F.lit(1)})
+    rest = whole.unionByName(met).withColumns({
         "in_major": F.col("label") == F.col("major"), "at_h": F.pmod(F.xxhash64("d1"), F.col("h")).cast("string"), "at_k": F.pmod(F.xxhash64("d1"), F.col("k")).cast("int")})
     with_rest = F.transform(_range("k"), lambda k: _key("main", F.col("at_h"), k.cast("string")))
     with_main = F.transform(_range("h"), lambda h: _key("main", h.cast("string"), F.col("at_k").cast("string")))

@@ -188,8 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **params)
 def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
-    Null and empty texts are scored from all-zero features; repeated rows stay; without
-    labels every score is the same.
+    Null and empty texts are scored from all-zero features; repeated rows stay, each scored;
+    without labels, or with one kind of label only, every score is the same; of labels of one
+    id the majority counts, and a tie is a 1; texts of any length are scored whole; an empty
+    table gives an empty one; other columns are ignored, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **params))
 

@@ -525,13 +525,13 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
     Where such a group is still large, what isn't in its largest component meets all blocks.
     """
     spark = docs.sparkSession
-    every = int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    fair = lambda parts: int(np.clip(every // parts, min(LEAST_TASK, PER_TASK), PER_TASK))
-    per = fair(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
-    # where blocks meet in pairs, so many blocks give each core a pair; more would only move more
-    per_pair = fair(max(1, int((2 * spark.sparkContext.defaultParallelism) ** 0.5)))
 
-    def wide(weight, count, per=per):
+    def share(rows: DataFrame, parts: int) -> int:
+        """Shingles in one of so many parts of ``rows``, within the bounds of a task."""
+        every = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        return int(np.clip(every // max(1, parts), min(LEAST_TASK, PER_TASK), PER_TASK))
+
+    def wide(weight, count, per: int):
         """Blocks of so many shingles in so many sets: sets that are few stay together while PER_FEW holds them."""
         few = F.ceil(count / PIVOTS)
         return F.greatest(F.ceil(weight / max(PER_FEW, per)), F.least(F.ceil(weight / per), few), F.lit(1)).cast("int")
@@ -549,6 +549,7 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
         sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("blocks"), F.count(F.lit(1)).alias("count"))
         return out.join(F.broadcast(sizes), ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
 
+    per = share(members, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     first = stage(banded(members.withColumn("label", F.col("d1")), per).withColumns({
         "own": F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"),
         "pivot": F.coalesce(F.pmod(F.xxhash64("d1", F.lit(7)), F.lit(1 << 20)) * F.col("count") < F.lit(PIVOTS << 20), F.lit(False))}), "banded")
@@ -565,8 +566,11 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
     named = stage(split.join(roots, "d1", "left").withColumn("label", F.coalesce("root", "d1")).drop("root"), "labelled")
     cross = stage(_cross_entries(shared, named, groups, groups), "cross")
     closer = components(_candidate_edges(cross.repartition(groups, "b"), groups))
-    again = stage(banded(_grouped(named, closer), per_pair), "banded")
-    unstage(found, cross)
+    left = stage(_grouped(named, closer), "left")
+    # where blocks meet in pairs, so many blocks of what is left give each core a pair; more would only move more
+    per_pair = share(left, int((2 * spark.sparkContext.defaultParallelism) ** 0.5))
+    again = stage(banded(left, per_pair), "banded")
+    unstage(found, closer, cross, left)
     weights = again.filter("blocks > 1").groupBy("comp", "band", "label").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"))
     main = weights.groupBy("comp", "band").agg(F.max(F.struct("w", "c", "label")).alias("top"), F.sum("w").alias("all"), F.sum("c").alias("count"))
     main = main.select("comp", "band", F.col("top.label").alias("major"), wide(F.col("top.w"), F.col("top.c"), per_pair).alias("h"),

@@ -540,14 +540,17 @@ def _links(docs: DataFrame, members: DataFrame, shared: DataFrame, groups: int)
         """With the bands and blocks of each row's group.
 
         Large groups hold more than ``per`` shingles each, so their few rows (every / per, times
-        the bands) are broadcast, and no group's members are gathered in one task.
+        the bands) are broadcast, and no group's members are gathered in one task.  A band in
+        which no set of the group is the smaller one of a pair is left out.
         """
         large = rows.groupBy("comp").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("parts")).filter(F.col("parts") > 1).select("comp", F.lit(True).alias("large"))
         octave = lambda x: F.floor(F.log2(x)).cast("int")
         bands = F.when(F.col("large"), F.sequence(octave(F.greatest(F.col("n") * 0.8 - 0.5, F.lit(0.5))), octave(F.col("n")))).otherwise(F.array(F.lit(-9)))
         out = rows.join(F.broadcast(large), "comp", "left").withColumn("band", F.explode(bands))
-        sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("blocks"), F.count(F.lit(1)).alias("count"))
-        return out.join(F.broadcast(sizes), ["comp", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
+        sizes = out.filter("large").groupBy("comp", "band").agg(wide(F.sum("n"), F.count(F.lit(1)), per).alias("blocks"), F.count(F.lit(1)).alias("count"),
+                                                                 F.max(octave(F.col("n")) == F.col("band")).alias("smaller"))
+        out = out.join(F.broadcast(sizes), ["comp", "band"], "left").filter(F.coalesce("smaller", F.lit(True)))
+        return out.withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large", "smaller")
 
     per = share(members, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     first = stage(banded(members.withColumn("label", F.col("d1")), per).withColumns({

@@ -114,10 +114,21 @@ starts AS (SELECT r, n, w, unnest(range(0, len(w) - n + 1)) AS s FROM lowered, s
 grams AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS win FROM starts),
 hits AS (SELECT g.r, g.s, g.n, b.item_id FROM grams g JOIN windows b ON g.n = b.n AND g.win = b.win),
 covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
-named AS (SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
+named AS (SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r),
+tokens AS (SELECT r, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM lowered),
+counts AS (SELECT t, count(*) AS n FROM tokens GROUP BY t),
+ranges AS (SELECT row_number() OVER () AS i, w FROM (SELECT DISTINCT item_id, w FROM items WHERE len(w) > 0)),
+spans AS (SELECT i, q, w[q + 1:q + 10] AS win FROM (SELECT i, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS q FROM ranges)),
+rated AS (
+  SELECT i, q, any_value(win) AS win, arg_min(t, (coalesce(n, 0), o)) AS t, min(coalesce(n, 0)) AS least
+  FROM (SELECT i, q, win, unnest(win) AS t, unnest(range(0, len(win))) AS o FROM spans) LEFT JOIN counts USING (t) GROUP BY i, q),
+close AS (
+  SELECT r, count(DISTINCT i) AS n_near
+  FROM (SELECT t, r, p, w[greatest(p - 14, 0) + 1:p + 15] AS ctx FROM tokens JOIN lowered USING (r) WHERE t IN (SELECT t FROM rated)) JOIN rated USING (t)
+  WHERE least > 0 AND list_has_all(ctx, win) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN close USING (r)
 """
 ORACLE_SQL["op3_jaccard"] = r"""
 WITH RECURSIVE cut AS (

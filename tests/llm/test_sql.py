@@ -18,7 +18,9 @@ def compared(spark, name, sf):
         if os.path.exists(f"{sf}/{table}.parquet"):
             db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet{'/*.parquet' if os.path.isdir(f'{sf}/{table}.parquet') else ''}')")
     want = db.sql(queries.oracle_sql()[name])
-    got = queries.queries()[name](spark, sf).select(*want.columns)
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    got = got.select(*want.columns)
     return sorted(map(str, (tuple(r) for r in got.collect()))), sorted(map(str, want.fetchall()))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, html_text, jaccard, langid, quality, secrets, suffixes, urls
+from . import ann, bpe, decontam, html_text, jaccard, langid, quality, recompress, secrets, suffixes, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -64,6 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_neighbours": op9_neighbours,
         "op10_secrets": op10_secrets,
+        "op12_word_repeats": op12_word_repeats,
     }
 
 
@@ -161,6 +166,17 @@ SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+ORACLE_SQL["op12_word_repeats"] = r"""
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT r, doc_id, k, array_to_string(w[k + 1:k + 13], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(0, len(w) - 12)) AS k FROM cut)),
+owners AS (SELECT win, min(doc_id) AS owner FROM places GROUP BY win),
+hits AS (SELECT r, k FROM places JOIN owners USING (win) WHERE doc_id > owner),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(k, k + 13)) AS p FROM hits)),
+kept AS (
+  SELECT r, count(g.p) AS n, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE g.p IS NULL), '') AS t
+  FROM (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM cut) LEFT JOIN gone g USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM cut LEFT JOIN kept USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, html_text, jaccard, langid, quality, recompress, secrets, suffixes, urls
+from . import ann, bpe, decontam, html_text, jaccard, langid, quality, ranked, recompress, secrets, suffixes, urls
 from .common import table
 
 #: (host, path, verdict)
@@ -64,6 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_neighbours": op9_neighbours,
         "op10_secrets": op10_secrets,
+        "op11_ranked": op11_ranked,
         "op12_word_repeats": op12_word_repeats,
     }
 
@@ -166,6 +171,24 @@ SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+ORACLE_SQL["op11_ranked"] = r"""
+WITH tokens AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+asked AS (
+  SELECT DISTINCT i, item_id, t FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))),
+sizes AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM tokens GROUP BY r),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+postings AS (SELECT t, r, count(*) AS tf FROM tokens WHERE t IN (SELECT t FROM asked) GROUP BY t, r),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY t),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // l)))))::BIGINT AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t) JOIN sizes USING (r), totals GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
 ORACLE_SQL["op12_word_repeats"] = r"""
 WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 places AS (SELECT r, doc_id, k, array_to_string(w[k + 1:k + 13], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(0, len(w) - 12)) AS k FROM cut)),

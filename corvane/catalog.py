@@ -160,7 +160,7 @@ def q_to_index(spark, sf_dir):
 # -- chunks -----------------------------------------------------------------------------------
 
 
-def _walk_sql(source: str, keys: str, text: str, name: str = "walk") -> str:
+def walk_sql(source: str, keys: str, text: str, name: str = "walk") -> str:
     """Windows of lines of each text of ``source``: keys, s (lines before), e (end) and body."""
     return f"""{name}_lines AS (SELECT {keys}, string_split({text}, chr(10)) AS ls FROM {source}),
 {name}_sums AS (
@@ -174,7 +174,7 @@ def _walk_sql(source: str, keys: str, text: str, name: str = "walk") -> str:
            WHERE regexp_matches(array_to_string(ls[s + 1:e], chr(10)), '\\S'))"""
 
 
-_CHUNKS = f"WITH RECURSIVE {_walk_sql('documents', 'doc_id', 'text')}"
+_CHUNKS = f"WITH RECURSIVE {walk_sql('documents', 'doc_id', 'text')}"
 
 
 def _chunked(spark: SparkSession, sf_dir: str, files: DataFrame, language: str) -> DataFrame:
@@ -195,7 +195,7 @@ def q_chunk_ids(spark, sf_dir):
     return _files(spark, sf_dir).select("file_path", hash_id(F.col("file_path"), F.col("doc_id") + 1).alias("id"), tokens(F.col("content")).alias("n_tokens"))
 
 
-_SECTIONS = MARKDOWN + """,
+SECTIONS = MARKDOWN + """,
 rows AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS nr FROM md),
 marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,3}\\s+.') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nr) AS section FROM rows),
 found AS (SELECT doc_id, section, arg_min(line, nr) AS head, min(nr) AS start_line, max(nr) AS end_line, string_agg(line, chr(10) ORDER BY nr) AS text FROM marked GROUP BY ALL),
@@ -205,14 +205,14 @@ sect AS (
 kept AS (SELECT *, ceil(length(body) / 4.0)::INT AS n_tokens FROM sect WHERE ceil(length(body) / 4.0) > 30)"""
 
 
-@query(f"WITH {_SECTIONS} SELECT doc_id, section::BIGINT AS section, title, start_line, end_line, n_tokens, md5(body) AS digest FROM kept")
+@query(f"WITH {SECTIONS} SELECT doc_id, section::BIGINT AS section, title, start_line, end_line, n_tokens, md5(body) AS digest FROM kept")
 def q_markdown_sections(spark, sf_dir):
     out = section_rows(_markdown_files(spark, sf_dir), "doc_id")
     return out.select("doc_id", "section", "title", "start_line", "end_line", "n_tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH RECURSIVE {_SECTIONS}, {_walk_sql('kept', 'doc_id, title, start_line', 'body', 'part')},
-bare AS (SELECT * FROM md WHERE doc_id NOT IN (SELECT doc_id FROM kept)), {_walk_sql('bare', 'doc_id', 'content', 'whole')}
+@query(f"""WITH RECURSIVE {SECTIONS}, {walk_sql('kept', 'doc_id, title, start_line', 'body', 'part')},
+bare AS (SELECT * FROM md WHERE doc_id NOT IN (SELECT doc_id FROM kept)), {walk_sql('bare', 'doc_id', 'content', 'whole')}
 SELECT doc_id, 'section' AS chunk_type, title AS symbol_name, start_line + s AS start_line, start_line + e - 1 AS end_line, md5(body) AS digest FROM part
 UNION ALL SELECT doc_id, 'block', '', s + 1, e, md5(body) FROM whole""")
 def q_chunk_markdown(spark, sf_dir):
@@ -220,9 +220,9 @@ def q_chunk_markdown(spark, sf_dir):
     return out.select("doc_id", "chunk_type", "symbol_name", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH RECURSIVE {_SECTIONS}, {_walk_sql('kept', 'doc_id, title, start_line', 'body', 'part')},
-bare AS (SELECT * FROM md WHERE doc_id NOT IN (SELECT doc_id FROM kept)), {_walk_sql('bare', 'doc_id', 'content', 'whole')},
-plain AS (SELECT * FROM md WHERE file_path NOT LIKE '%.md'), {_walk_sql('plain', 'doc_id', 'content', 'rest')},
+@query(f"""WITH RECURSIVE {SECTIONS}, {walk_sql('kept', 'doc_id, title, start_line', 'body', 'part')},
+bare AS (SELECT * FROM md WHERE doc_id NOT IN (SELECT doc_id FROM kept)), {walk_sql('bare', 'doc_id', 'content', 'whole')},
+plain AS (SELECT * FROM md WHERE file_path NOT LIKE '%.md'), {walk_sql('plain', 'doc_id', 'content', 'rest')},
 chunks AS (
   SELECT doc_id, 'section' AS chunk_type, title AS symbol_name, start_line + s AS start_line, start_line + e - 1 AS end_line, body FROM part WHERE doc_id NOT IN (SELECT doc_id FROM plain)
   UNION ALL SELECT doc_id, 'block', '', s + 1, e, body FROM whole WHERE doc_id NOT IN (SELECT doc_id FROM plain)
@@ -245,7 +245,7 @@ def q_collection_stats(spark, sf_dir):
 # -- embeddings and search ----------------------------------------------------------------
 
 
-def _hash_sql(source: str, key: str, text: str, name: str = "hashed") -> str:
+def hash_sql(source: str, key: str, text: str, name: str = "hashed") -> str:
     """key and v, the DIM values of each text's hashed embedding before it is normalised."""
     return f"""{name}_tokens AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS t FROM {source}),
 {name}_places AS (SELECT {key}, ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIM} AS k, CASE WHEN ('0x' || substr(md5(t), 8, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS g FROM {name}_tokens),
@@ -253,7 +253,7 @@ def _hash_sql(source: str, key: str, text: str, name: str = "hashed") -> str:
 {name} AS (SELECT {key}, k, g / sqrt(sum(g * g) OVER (PARTITION BY {key})) AS v FROM {name}_sums WHERE g <> 0)"""
 
 
-@query(f"""WITH cut AS (SELECT doc_id, 'search_document: ' || substr(text, 1, 3500) AS text FROM documents), {_hash_sql('cut', 'doc_id', 'text')}
+@query(f"""WITH cut AS (SELECT doc_id, 'search_document: ' || substr(text, 1, 3500) AS text FROM documents), {hash_sql('cut', 'doc_id', 'text')}
 SELECT doc_id, k::INT AS k, round(v, 4) AS v FROM hashed""")
 def q_embed_hash(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -376,10 +376,10 @@ def q_json_payload(spark, sf_dir):
     return render.json_results(search.lean(_hits(spark, sf_dir), ("chunkType", "module", "language")))
 
 
-@query(f"""WITH RECURSIVE {_walk_sql('documents', 'doc_id', 'text')},
+@query(f"""WITH RECURSIVE {walk_sql('documents', 'doc_id', 'text')},
 named AS (SELECT doc_id || ':' || (s + 1) AS key, doc_id, s + 1 AS start_line, e AS end_line, 'search_document: ' || substr(body, 1, 3500) AS text FROM walk),
-{_hash_sql('named', 'key', 'text', 'passage')},
-asked AS (SELECT 'q' AS key, 'search_query: {PROBE}' AS text), {_hash_sql('asked', 'key', 'text', 'probe')},
+{hash_sql('named', 'key', 'text', 'passage')},
+asked AS (SELECT 'q' AS key, 'search_query: {PROBE}' AS text), {hash_sql('asked', 'key', 'text', 'probe')},
 scored AS (SELECT p.key, sum(p.v * q.v) AS score FROM passage p JOIN probe q ON p.k = q.k GROUP BY p.key),
 top AS (SELECT doc_id, start_line, end_line, coalesce(score, 0) AS score FROM named LEFT JOIN scored USING (key) ORDER BY round(coalesce(score, 0), 5) DESC, key LIMIT 100)
 SELECT doc_id, start_line, end_line, round(score, 4) AS score FROM top WHERE score >= greatest((SELECT max(score) FROM top) - 0.1, 0)""")

@@ -40,22 +40,22 @@ def top_k(collection: DataFrame, query: list[float], k: int, *, key: str = "id",
     return scored(collection, query, fast=fast).orderBy(F.desc("score"), key).limit(int(k))
 
 
-def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str = "id") -> DataFrame:
+def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str = "id", places: int | None = None) -> DataFrame:
     """query_id, rank, score and the collection's columns but the vector, of the k best rows for each query (query_id, embedding).
 
     The queries are broadcast in blocks of about MAX_BATCH by hashed id, so that the rows of an
     id stay together.  A task scores a batch of rows by one matrix product and keeps each
     query's k best of it, and those that tie with them; ranks are cut within each task before
-    rows are exchanged.
+    rows are exchanged.  Scores are compared as rounded to ``places``, if given.
     """
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_query"))
     n = -(-asked.count() // MAX_BATCH)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))
     blocks = [asked.filter(block == i) for i in range(n)] if n > 1 else [asked]
-    return reduce(DataFrame.unionByName, [_ranked(collection, some, k, key) for some in blocks])
+    return reduce(DataFrame.unionByName, [_ranked(collection, some, k, key, places) for some in blocks])
 
 
-def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str, places: int | None) -> DataFrame:
     rows = [(r["query_id"], r["_query"]) for r in asked.collect() if r["_query"] is not None]  # MAX_BATCH vectors, about
     by_size: dict[int, tuple[list[int], np.ndarray]] = {}
     for dim in {len(v) for _, v in rows}:
@@ -65,7 +65,7 @@ def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFr
         live = np.flatnonzero(length > 0)
         by_size[dim] = [at[i] for i in live], m[live] / length[live, None]
     shared = collection.sparkSession.sparkContext.broadcast(by_size)
-    kept = [c for c in collection.columns if c != "embedding"]
+    kept, slack = [c for c in collection.columns if c != "embedding"], SLACK if places is None else SLACK + 10.0 ** -places
 
     def score(batches):
         for batch in batches:
@@ -79,7 +79,7 @@ def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFr
                 unit = m[length > 0] / length[length > 0, None]
                 for s in range(0, len(names), SCORED):
                     part = asked_for[s:s + SCORED] @ unit.T
-                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - SLACK if part.shape[1] > k else np.full(len(part), -np.inf)
+                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - slack if part.shape[1] > k else np.full(len(part), -np.inf)
                     q, at = np.nonzero(part >= least[:, None])
                     where.append(live[at])
                     which.append(np.array(names[s:s + SCORED])[q])
@@ -91,7 +91,10 @@ def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str) -> DataFr
     schema = T.StructType([*[collection.schema[c] for c in kept], T.StructField("_q", T.LongType()), T.StructField("score", T.DoubleType())])
     names = collection.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.LongType()), asked.schema["query_id"]]))
     order = Window.partitionBy("_q").orderBy(F.desc("score"), key)
-    found = collection.mapInArrow(score, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = collection.mapInArrow(score, schema)
+    if places is not None:
+        found = found.withColumn("score", F.round("score", places))
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.join(F.broadcast(names), "_q").drop("_q")
 
 

@@ -103,17 +103,18 @@ def passage(content: Column) -> Column:
     return F.concat(F.lit(PASSAGE), F.substring(content, 1, EMBEDDED_CHARS))
 
 
-def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding") -> DataFrame:
-    """Add the embedding of ``text``; the embedder is made once in each task."""
+def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding", *, double: bool = False) -> DataFrame:
+    """Add the embedding of ``text``, in single precision unless ``double``; the embedder is made once in each task."""
+    element, number = (T.DoubleType(), np.float64) if double else (T.FloatType(), np.float32)
     staged = df.withColumn("_text", text)
     kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.FloatType()))])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(element))])
 
     def run(batches):
         embedder = make()
         for batch in batches:
-            got = embedder.embed([t or "" for t in batch.column("_text").to_pylist()]).astype(np.float32)
-            flat = pa.array(got.ravel(), pa.float32())
+            got = embedder.embed([t or "" for t in batch.column("_text").to_pylist()]).astype(number)
+            flat = pa.array(got.ravel())
             ends = pa.array(np.arange(len(got) + 1, dtype=np.int32) * embedder.dim)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, flat)], names=[*kept, name])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.requests import RequestError, SearchRequest, parse_id, parse_ids, parse_search
@@ -15,7 +16,7 @@ from .operators.render import markdown
 from .operators.slices import read_clips, read_slices, tally
 from .plans.index import IndexReport, run_index
 from .schema import CLIPS
-from .sources.embedders import Embedder, HashingEmbedder, HttpEmbedder, embed_query
+from .sources.embedders import QUERY, Embedder, HashingEmbedder, HttpEmbedder, embed_column, embed_query
 from .sources.files import inside_root, read_named
 from .sources.store import Collection
 
@@ -74,6 +75,11 @@ class Engine:
             out["markdown"] = shown.first()["markdown"]
         return out
 
+    def search_all(self, queries: DataFrame, k: int = 100, *, exact: bool = False) -> DataFrame:
+        """query_id, rank, score and the hit's columns for each query text (query_id, text), in one plan; nothing comes to the driver."""
+        asked = embed_column(queries.select("query_id", F.concat(F.lit(QUERY), "text").alias("text")), F.col("text"), self.make_embedder)
+        return self.collection.search_batch(asked.select("query_id", "embedding"), k, exact=exact)
+
     # -- reads ------------------------------------------------------------------------
 
     def _files(self, paths: list[str]) -> DataFrame:
@@ -124,7 +130,7 @@ class Engine:
         out.append(("embedder", vector.shape[1] == self.config.embedding_dimensions and bool(vector.any()), self.config.embedding_model))
         note = self.collection.note()
         out.append(("collection", note is not None, self.config.collection_path))
-        if note and note.get("centroids"):
+        if (index := self.collection.index_of(note)) is not None:
             recall = self.collection.recall()
-            out.append(("index", recall >= 0.9, f"recall@10 {recall:.3f} in {len(note['centroids'])} cells"))
+            out.append(("index", recall >= 0.9, f"recall@10 {recall:.3f}, {index.probes} of {len(index.centroids)} cells visited"))
         return out

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import random
 import re
+import time
 import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -31,7 +34,7 @@ class Embedder(Protocol):
     dim: int
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        """One row for each text; a zero row where a text can't be embedded."""
+        """One row for each text; zeros where a text has nothing to embed, NaN where it could not be embedded."""
 
 
 class HashingEmbedder:
@@ -60,13 +63,23 @@ class HashingEmbedder:
 
 
 class HttpEmbedder:
-    """An embedding server that answers {model, prompt} with {embedding}; passages that fail become zero vectors."""
+    """An embedding server that answers {model, prompt} with {embedding}; a text is tried ``tries`` times, with growing pauses."""
 
-    def __init__(self, url: str, model: str, dim: int, *, workers: int = 20, timeout: float = 30.0):
-        self.url, self.model, self.dim, self.workers, self.timeout = url, model, dim, workers, timeout
+    def __init__(self, url: str, model: str, dim: int, *, workers: int = 20, timeout: float = 30.0, tries: int = 3, pause: float = 0.5):
+        self.url, self.model, self.dim, self.workers, self.timeout, self.tries, self.pause = url, model, dim, workers, timeout, tries, pause
 
     def embed_query(self, text: str) -> list[float]:
-        """The embedding of one text; an EmbedError where the server fails or answers with something else."""
+        """The embedding of one text; an EmbedError where the server fails or answers with something else, time after time."""
+        for k in range(self.tries):
+            try:
+                return self._ask(text)
+            except EmbedError:
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(self.pause * 2 ** k * (0.5 + random.random()))
+        raise EmbedError("embedding failed: no tries")
+
+    def _ask(self, text: str) -> list[float]:
         body = json.dumps({"model": self.model, "prompt": text}).encode()
         request = urllib.request.Request(f"{self.url.rstrip('/')}/api/embeddings", body, {"Content-Type": "application/json"})
         try:
@@ -82,7 +95,7 @@ class HttpEmbedder:
         try:
             return self.embed_query(text)
         except EmbedError:
-            return [0.0] * self.dim
+            return [math.nan] * self.dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
         with ThreadPoolExecutor(self.workers) as pool:
@@ -103,21 +116,28 @@ def passage(content: Column) -> Column:
     return F.concat(F.lit(PASSAGE), F.substring(content, 1, EMBEDDED_CHARS))
 
 
-def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding", *, double: bool = False) -> DataFrame:
-    """Add the embedding of ``text``, in single precision unless ``double``; the embedder is made once in each task."""
+def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding", *, double: bool = False, failed: str | None = None) -> DataFrame:
+    """Add the embedding of ``text``, in single precision unless ``double``; the embedder is made once in each task.
+
+    A text that could not be embedded gets a zero vector; the boolean column ``failed``, if
+    named, tells which.
+    """
     element, number = (T.DoubleType(), np.float64) if double else (T.FloatType(), np.float32)
     staged = df.withColumn("_text", text)
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(element))])
+    kept = [c for c in df.columns if c not in (name, failed)]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(element))] + ([T.StructField(failed, T.BooleanType())] if failed else []))
 
     def run(batches):
         embedder = make()
         for batch in batches:
             got = embedder.embed([t or "" for t in batch.column("_text").to_pylist()]).astype(number)
+            lost = ~np.isfinite(got).all(axis=1)
+            got[lost] = 0
             flat = pa.array(got.ravel())
             ends = pa.array(np.arange(len(got) + 1, dtype=np.int32) * embedder.dim)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, flat)], names=[*kept, name])
+            told = [pa.array(lost)] if failed else []
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(ends, flat), *told], names=schema.names)
 
     return staged.mapInArrow(run, schema)
 

@@ -141,6 +141,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc % F.lit(5) == 0, F.lit(True))
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column is called so (Spark doesn't tell case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: Iterable[str]) -> list[Column]:
+    """The columns of these names, whatever is in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField],
               keep: Iterable[str] | None = None) -> DataFrame:
     """Append the columns ``fields`` that ``fn`` makes of each Arrow batch.
@@ -149,8 +165,11 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fie
     clashes with a new one gives way to it.
     """
     bound_batches(df.sparkSession)
-    new = [f.name for f in fields]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    new, columns = [f.name for f in fields], df.columns
+    plain = [c if c.isidentifier() else p for c, p in zip(columns, unused(columns, *[f"_plain{i}" for i in range(len(columns))]), strict=True)]  # mapInArrow can't read names with dots
+    names = dict(zip(plain, columns, strict=True))
+    df = df.toDF(*plain)
+    kept = [p for p, c in names.items() if c not in new and (keep is None or c in keep)]
     schema = T.StructType([df.schema[c] for c in kept] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,4 +177,4 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fie
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(arrays + fn(batch), names=kept + new)
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(lean(run), schema).toDF(*[names[c] for c in kept], *new)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, lean_group, release, shuffle_width, stage, unstage
+from .common import bound_batches, lean, lean_group, release, shuffle_width, stage, unstage, unused
 from .graph import Forest, components
 from .shingles import mix, shingle_sets
 
@@ -636,6 +636,6 @@ def link(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; rows with its id, or without any, stay."""
-    found = link(docs)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found, (name,) = link(docs), unused(docs.columns, "_kept")
+    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, held_out, map_texts
+from .common import bound_batches, held_out, map_texts, quoted, unused
 
 UNDETERMINED = "und"
 #: Code points per scoring slice: bounds memory for very long texts.
@@ -238,5 +238,6 @@ def identify(docs: DataFrame, **params) -> DataFrame:
 def keep_identified(docs: DataFrame, *, min_score: float = 0.5, **params) -> DataFrame:
     """The documents whose language is determined with posterior ``min_score`` or more."""
     columns = docs.columns
-    out = annotate(docs, fit(docs, **params), ("_found_lang", "_found_score"))
-    return out.filter((F.col("_found_lang") != UNDETERMINED) & (F.col("_found_score") >= min_score)).select(*columns)
+    lang, score = unused(columns, "_found_lang", "_found_score")
+    out = annotate(docs, fit(docs, **params), (lang, score))
+    return out.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*quoted(columns))

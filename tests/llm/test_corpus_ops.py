@@ -602,11 +602,13 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     rows += [rows[3], rows[4], (None, "null id the of and"), (None, None), (30, "")]
     for name, given, bench in (("none", [], [(1, "a b c")]), ("odd", rows, [])):
         sf = f"{tmp_path}/{name}"
-        docs = documents(spark, given or rows).withColumns({"_k": F.lit("x"), "tokens": F.lit(1), "ids": F.lit("y")})
+        docs = documents(spark, given or rows).withColumns({"_k": F.lit("x"), "tokens": F.lit(1), "ids": F.lit("y"), "_kept": F.lit(5), "_Kept_": F.lit(6), "_found_lang": F.lit(7).cast("long"), "_found_score": F.lit("q"), "a.b": F.lit(8)})
         (docs if given else docs.limit(0)).write.parquet(f"{sf}/documents.parquet")
         spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
         read = spark.read.parquet(f"{sf}/documents.parquet")
         for _, step in pipeline.STAGES[:-1]:
-            assert step(spark, read, sf).columns == read.columns
+            after = step(spark, read, sf)
+            assert after.columns == read.columns
+            assert all((r["_k"], r["tokens"], r["_kept"], r["_found_lang"], r["_found_score"], r["a.b"]) == ("x", 1, 5, 7, "q", 8) for r in after.collect())
         out = pipeline.run(spark, sf).collect()
         assert sorted(str(r["doc_id"]) for r in out) == sorted([str(r[0]) for r in rows[:22]] + ["None"] if given else [])

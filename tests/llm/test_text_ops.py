@@ -1,6 +1,7 @@
 """Language ID, quality, BPE and secrets: brute force, held-out accuracy, edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -343,3 +344,57 @@ def test_urls_of_any_length_and_no_rules(spark):
     rules = spark.sql("SELECT * FROM VALUES ('com', '/x', 'block') AS t(host, path, verdict)")
     assert sorted((r["verdict"], len(r["path"])) for r in urls.judge(pages, rules).collect()) == [("allow", 0), ("block", 200_001)]
     assert {r["verdict"] for r in urls.judge(pages, rules.filter("false")).collect()} == {"allow"} and urls.judge(pages.filter("false"), rules).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('pwd = x["a"]', []),
+    ("pwd = load(x)", []),
+    ('pwd = ["hunter22x9","abcdefg123"]', ["hunter22x9", "abcdefg123"]),
+    ('"pwd": [\n  "hunter22x9",\n  "abcdefg123"\n]', ["hunter22x9", "abcdefg123"]),
+    ('export PWD="/usr/local/bin"', []),
+    ('dbPwd = c ? "hunter22x9" : "other99zz"', ["hunter22x9", "other99zz"]),
+    ('pwd = "hunter22x9" if c else "other99zz"', ["hunter22x9", "other99zz"]),
+    ('pwd = os.environ.get("X") or "hunter22x9"', ["hunter22x9"]),
+    ('c := Config{Pwd: "hunter22x9", Name: "bob"}', ["hunter22x9"]),
+    ("a1=hunter22x9\na2=a1+a1\npwd=a2", ["hunter22x9"]),
+    ("DB_PWD=Xk29+vQ77Lm/z81", ["Xk29+vQ77Lm/z81"]),
+])
+def test_literals_of_lists_choices_and_defaults(text, want):
+    assert [text[s:e] for s, e in secrets.named_spans(text)] == want
+
+
+@pytest.mark.parametrize(("text", "n"), [
+    ("a1 = 'hunter22x9'\n" + "\n".join(f"a{k + 1}=a{k}+a{k}" for k in range(1, 60)) + "\npwd = a60", 1),
+    ("s = ''\n" + "s = s + 'a7Zq'\n" * 20_000 + "pwd = s", 20_001),
+    ("pwd = ''\n" + "pwd = pwd + 'a7Zq'\n" * 10_000, 10_001),
+    ("\n".join(f"a{k} = " + " + ".join([f"a{k + 1}"] * 20) for k in range(60)) + "\na60 = 'hunter22x9'\npwd = a0", 0),
+    ("\n".join(f"a{k} = a{k + 1}" for k in range(3000)) + "\na3000 = 'hunter22x9'\npwd = a0", 0),
+    ("pwd = a0\n" + "\n".join(f"a{k} = a{k + 1}" for k in range(3000)) + "\na3000 = 'hunter22x9'", 1),
+    ("pwd = a0\n" + "\n".join(f"a{k} = a{k + 1} + a{k + 2}" for k in range(80)) + "\na80 = 'hunter22x9'\na81 = 'x'", 2),
+    ("pwd " + "a." * 100_000, 0),
+    ("pwd = a + b\na = b\nb = a\n" * 500, 0),
+])
+def test_hostile_constants_take_time_in_proportion(text, n):
+    """Values share what they are joined from, and a name further on is worked out once."""
+    import time
+
+    began = time.perf_counter()
+    found = secrets.named_spans(text)
+    assert time.perf_counter() - began < 6  # a second or so
+    if n:
+        assert len(found) in (n, n - 1)  # an empty literal has a place, too
+    secrets.redact(text)
+
+
+def test_a_joined_value_scores_as_its_text():
+    rnd = random.Random(3)
+    for _ in range(200):
+        parts = ["".join(rnd.choice("abcXYZ019 \n<>${}%x") for _ in range(rnd.randrange(0, 40))) for _ in range(rnd.randrange(1, 5))]
+        joined = secrets.Value.literal((0, 0, parts[0]))
+        for p in parts[1:]:
+            joined = joined + secrets.Value.literal((0, 0, p))
+        text = "".join(parts)
+        n, whole = len(text), secrets.literal_score(text)
+        assert joined.score() == pytest.approx(whole)
+        if whole:
+            assert whole == pytest.approx(min(1.0, 0.3 - sum(text.count(c) / n * math.log2(text.count(c) / n) for c in set(text)) / 5))

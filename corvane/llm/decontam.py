@@ -31,12 +31,17 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
-    """item (a key of the row), item_id, q (place in the item) and win: each run of ``width`` words, or a shorter item whole."""
+    """item (a key of the row), item_id, q (place in the item) and win: each run of ``width`` words, or a shorter item whole.
+
+    A run that an item repeats is there once, at its first place: where it occurs in a document
+    doesn't depend on that, and an item of few words over and over is few windows.
+    """
     keyed = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", words_of(F.col("text")).alias("w"))
     items = keyed.filter(F.size("w") > 0).dropDuplicates(["item", "item_id", "w"])
     last = F.greatest(F.size("w") - width, F.lit(0))
-    return items.select("item", "item_id", F.explode(F.sequence(F.lit(0), last)).alias("q"), "w").select(
+    every = items.select("item", "item_id", F.explode(F.sequence(F.lit(0), last)).alias("q"), "w").select(
         "item", "item_id", "q", F.slice("w", F.col("q") + 1, F.lit(width)).alias("win"))
+    return every.groupBy("item", "item_id", "win").agg(F.min("q").alias("q"))
 
 
 def _small(df: DataFrame, weight: Column) -> tuple[DataFrame, bool]:
@@ -64,15 +69,24 @@ def rarest_terms(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The index: term, document and pos of the terms (term, lead); where a term leads a window also ctx, the ``reach`` words on each side, with the term at ``at``."""
-    terms, small = _small(terms, _term_bytes())
-    tokens = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), words_of(F.col("text")).alias("_w")).select(
-        "doc_id", "_k", "_w", F.posexplode_outer("_w").alias("pos", "term"))
+    shown, small = _small(terms, _term_bytes())
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), words_of(F.col("text")).alias("_w"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
-    ctx = F.slice("_w", low + 1, F.col("pos") - low + reach + 1)
-    at = (F.col("pos") - low).alias("at")
+    ctx, at = F.slice("_w", low + 1, F.col("pos") - low + reach + 1), (F.col("pos") - low).alias("at")
     if small:  # the neighbourhood is cut out only where a term is kept
-        return tokens.join(terms, "term").select("term", "lead", "doc_id", "_k", "pos", F.when(F.col("lead"), ctx).alias("ctx"), at)
-    return tokens.select("term", "doc_id", "_k", "pos", ctx.alias("ctx"), at).join(terms, "term").withColumn("ctx", F.when(F.col("lead"), F.col("ctx")))
+        tokens = words.select("doc_id", "_k", "_w", F.posexplode_outer("_w").alias("pos", "term"))
+        return tokens.join(shown, "term").select("term", "lead", "doc_id", "_k", "pos", F.when(F.col("lead"), ctx).alias("ctx"), at)
+    # bare postings move, those of other terms only where even digests of the terms are too many to be told to all tasks
+    tokens = words.select("doc_id", "_k", F.posexplode_outer("_w").alias("pos", "term"))
+    digests, told = _small(terms.select(F.xxhash64("term").alias("digest")).distinct(), F.lit(32))
+    if told:
+        tokens = tokens.join(digests, F.xxhash64("term") == F.col("digest"), "left_semi")
+    found = stage(tokens.join(terms, "term"), "bare-postings")
+    leads = found.filter("lead").groupBy("doc_id", "_k").agg(F.collect_set(F.struct("pos", "term")).alias("leads"))  # of one document
+    cut = leads.alias("l").join(words.dropDuplicates(["doc_id", "_k"]).alias("w"), _same_row("l", "w")).select("l.doc_id", "l._k", "_w", F.explode("leads").alias("p")).select(
+        F.col("p.term").alias("term"), F.lit(True).alias("lead"), "doc_id", "_k", F.col("p.pos").alias("pos"), "_w")
+    rest = found.filter(~F.col("lead")).select("term", "lead", "doc_id", "_k", "pos", F.lit(None).cast("array<string>").alias("ctx"), F.lit(0).alias("at"))
+    return cut.select("term", "lead", "doc_id", "_k", "pos", ctx.alias("ctx"), at).unionByName(rest)
 
 
 def _same_row(left: str, right: str) -> Column:
@@ -100,17 +114,10 @@ def _phrases(index: DataFrame, rare: DataFrame) -> DataFrame:
 
 def _near(index: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
     """doc_id, _k, pos, item, item_id: postings of a window's rarest term with all its words within ``slop`` more than its width on either side."""
-    want = F.struct("item", "item_id", "win", F.col("rare")["term"].alias("rare"))
-    by_term = rare.withColumn("term", F.col("rare")[0]["term"]).groupBy("term").agg(F.collect_list(want).alias("wants"))
-    wants, _ = _small(stage(by_term, "wants"), F.size("wants") * 160)
-    joined = index.filter("lead").join(wants, "term")
-
-    def near(want: Column) -> Column:
-        rarer = F.forall(want["rare"], lambda t: F.array_contains(F.col("ctx"), t))  # the cheap test first
-        return rarer & (F.size(F.array_except(want["win"], F.col("ctx"))) == 0)
-
-    found = joined.select("doc_id", "_k", "pos", F.filter("wants", near).alias("found")).filter(F.size("found") > 0)
-    return found.select("doc_id", "_k", "pos", F.explode("found").alias("f")).select("doc_id", "_k", "pos", "f.item", "f.item_id").distinct()
+    wants, _ = _small(rare.select("item", "item_id", "win", F.col("rare")[0]["term"].alias("term"), F.transform("rare", lambda r: r["term"]).alias("rarer")), F.octet_length(F.array_join("win", " ")) + 160)
+    rarer = F.forall("rarer", lambda t: F.array_contains(F.col("ctx"), t))  # the cheap test first
+    joined = index.filter("lead").join(wants, "term").filter(rarer).filter(F.size(F.array_except("win", "ctx")) == 0)
+    return joined.select("doc_id", "_k", "pos", "item", "item_id").distinct()
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -358,6 +358,21 @@ def test_decontamination_where_joins_shuffle(spark, monkeypatch):
     assert sorted((str(r[0]), *r[1:6]) for r in got.collect()) == brute_hits(rows, items)
 
 
+@pytest.mark.parametrize("bytes_", [32 << 20, 0])
+def test_repetitive_items(spark, monkeypatch, bytes_):
+    """An item of one word over and over is one window, so it costs what that window costs."""
+    import time
+
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", bytes_)
+    rows = [(k, "la " * (300 if k % 2 else 1000) + f"w{k}") for k in range(50)] + [(60, "la lo " * 200)]
+    items = [(1, "la " * 400), (2, "la lo " * 150), (3, "la " * 12 + "lo la")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.windows_of(bench, 10).count() == 1 + 2 + 3
+    began = time.perf_counter()
+    got = sorted((str(r[0]), *r[1:6]) for r in decontam.decontaminate(docs, bench).collect())
+    assert got == brute_hits(rows, items) and time.perf_counter() - began < 60
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x gamma y alpha z beta w"), (2, "alpha beta"), (3, "alpha one two three four five six gamma beta")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")

@@ -627,3 +627,63 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
             assert all((r["_k"], r["tokens"], r["_kept"], r["_found_lang"], r["_found_score"], r["a.b"]) == ("x", 1, 5, 7, "q", 8) for r in after.collect())
         out = pipeline.run(spark, sf).collect()
         assert sorted(str(r["doc_id"]) for r in out) == sorted([str(r[0]) for r in rows[:22]] + ["None"] if given else [])
+
+
+def plain_pages(rnd, n=30):
+    """Pages whose classes say nothing: a menu, a notice that takes turns, what varies, reader comments, a last line; (page, main text, text without words)."""
+    menu = "".join(f"<li>{w}</li>" for w in ("Start", "Maps", "Help"))
+    turns = [f"Buy {w} now" for w in ("tea", "rice", "oats", "figs")]
+    out = []
+    for k in range(n):
+        body = [prose(rnd, 25) for _ in range(3)]
+        said = [prose(rnd, 6) for _ in range(2)]
+        out.append((f"<body><div class=a1><ul>{menu}</ul></div><div class=a2>{rnd.choice(turns)}</div><div class=a3><h1>T{k}</h1>{''.join(f'<p>{p}</p>' for p in body)}</div>"
+                    f"<div class=comments>{''.join(f'<p>{s}</p>' for s in said)}</div><div class=a4>All rights kept</div></body>", "\n".join([f"T{k}", *body]), said))
+    return out
+
+
+def test_the_wrapper_decides_where_words_say_nothing(spark, monkeypatch):
+    pages = plain_pages(random.Random(31))
+    rows = [(k, f"http://h.org/{k}", page) for k, (page, _, _) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(frame).collect()}
+    assert got == {k: text for k, (_, text, _) in enumerate(pages)}
+    alone = {k: html_text.extract(page) for k, _, page in rows}
+    assert all("Maps" in alone[k] and "Buy" in alone[k] and alone[k] != got[k] for k in alone)  # without a wrapper all of them change
+    # without the list of words all but the comments, which vary like content, is as before
+    wrapper = frozenset(html_text.induce_wrappers(frame).first()["template"])
+    monkeypatch.setattr(html_text, "USE_WORDS", False)
+    html_text._look.cache_clear()
+    assert [html_text.extract(page, wrapper) for _, _, page in rows] == ["\n".join([text, *said]) for _, text, said in pages]
+    html_text._look.cache_clear()
+
+
+def test_slots_beside_an_article_take_turns(spark, monkeypatch):
+    """Menus and advertisements from a pool go by their turns alone, without tags or words."""
+    rnd = random.Random(32)
+    pool = [prose(rnd, 5) for _ in range(9)]
+    texts = [prose(rnd, 30) for _ in range(40)]
+    rows = [(k, f"http://h.org/{k}", f"<nav><ul><li>{rnd.choice(pool)}</li><li>{rnd.choice(pool)}</li></ul></nav><div class=ad>{rnd.choice(pool)}</div><article><p>{t}</p></article><footer>{rnd.choice(pool)}</footer>")
+            for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrapper = frozenset(html_text.induce_wrappers(frame).first()["template"])
+    monkeypatch.setattr(html_text, "USE_WORDS", False)
+    monkeypatch.setattr(html_text, "_TAGS", frozenset())
+    html_text._look.cache_clear()
+    assert [html_text.extract(page, wrapper) for _, _, page in rows] == texts
+    html_text._look.cache_clear()
+
+
+@pytest.mark.parametrize("page", ["<font><p>x</p>" * 10_000, "<b></i>" * 20_000, "<b>" * 30_000 + "<p>x" * 3000, "<ul><li>" * 5000, "<table><tr><td>" * 3000, "<p><span>" * 10_000])
+def test_unclosed_tags_take_time_in_proportion(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.Page(page)
+    assert time.perf_counter() - began < 4
+
+
+def test_comments_beside_a_short_article():
+    comments = '<div class="comments">' + "<p>a much longer text of a reader</p>" * 3 + "</div>"
+    assert html_text.extract(f"<article><p>short</p>{comments}</article>") == "short"
+    assert html_text.extract('<article class="post comments-open"><div class="comments-open"><p>all of it</p></div></article>') == "all of it"

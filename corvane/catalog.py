@@ -401,7 +401,7 @@ def q_semantic_search_e2e(spark, sf_dir):
     """Documents to chunks to embeddings to the best hundred, cut at 0.1 below the best."""
     chunks = _chunked(spark, sf_dir, _files(spark, sf_dir), "text").withColumn("key", F.concat_ws(":", "doc_id", "start_line"))
     rows = embed_column(chunks, passage(F.col("content")), lambda: HashingEmbedder(DIM))
-    scored = search.scored(rows, embed_query(HashingEmbedder(DIM), PROBE))
+    scored = search.scored(rows, embed_query(HashingEmbedder(DIM), PROBE), fast=True)
     top = scored.orderBy(F.desc(F.round("score", 5)), "key").limit(100)  # single-precision vectors tie at five places
     return search.cut_min_score_diff(top, 0.1).select("doc_id", "start_line", "end_line", F.round("score", 4).alias("score"))
 

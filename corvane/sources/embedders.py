@@ -11,6 +11,7 @@ import time
 import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -43,21 +44,28 @@ class HashingEmbedder:
     It is lexical: texts are near when they share words.
     """
 
+    #: Words whose places one embedder remembers; beyond it it begins anew.
+    WORDS = 1 << 20
+
     def __init__(self, dim: int = 768):
         self.dim = dim
+        self._places: dict[str, int] = {}
 
-    def _place(self, token: str) -> tuple[int, float]:
+    def _place(self, token: str) -> int:
+        """Twice the bucket, and 1 more for a negative sign."""
         digest = hashlib.md5(token.encode()).hexdigest()
-        return int(digest[:7], 16) % self.dim, 1.0 if int(digest[7], 16) % 2 == 0 else -1.0
+        return int(digest[:7], 16) % self.dim * 2 + int(digest[7], 16) % 2
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out, known = np.zeros((len(texts), self.dim)), {}
-        for row, text in zip(out, texts, strict=True):
-            for token in _TOKEN.findall(text.lower()):
-                if token not in known:
-                    known[token] = self._place(token)
-                k, sign = known[token]
-                row[k] += sign
+        places, found = self._places, [_TOKEN.findall(t.lower()) for t in texts]
+        if len(places) > self.WORDS:
+            places.clear()
+        for token in set().union(*found) - places.keys():
+            places[token] = self._place(token)
+        sizes = np.array([len(f) for f in found], np.int64)
+        code = np.fromiter(map(places.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        at = np.repeat(np.arange(len(texts)), sizes) * self.dim + (code >> 1)
+        out = np.bincount(at, 1.0 - 2.0 * (code & 1), len(texts) * self.dim).astype(float).reshape(len(texts), self.dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
@@ -13,6 +14,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import Config
 from ..functions.text import detect_language, detect_module, is_text_file
@@ -20,22 +22,108 @@ from .ignore import ignored
 
 #: Largest file of which lines are read.
 MAX_BYTES = 25 * 1024 * 1024
+#: Folders from which a listing is dealt, and the most levels that the driver goes down to find them.
+PARTS, LEVELS = 64, 4
 
 
-def list_paths(config: Config) -> Iterator[tuple[str, str]]:
-    """(relative path, mtime) of each plain file under the index directories; names with a dot in front stay hidden.
+def _stamp(ns: int) -> str:
+    """A time in nanoseconds as ISO text in UTC, to the millisecond."""
+    at = datetime.fromtimestamp(ns // 1_000_000 / 1000, timezone.utc)
+    return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
 
-    A missing directory is skipped; overlapping directories list a file once for each.
+
+def _look(root: str) -> Callable[[str], tuple[list[str], list[tuple[str, str]]]]:
+    """A function of a folder (relative to ``root``): its visible subfolders, and its visible plain files with their mtimes; nothing for a missing one."""
+    if "://" in root:
+        fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
+
+        def far(folder: str) -> tuple[list[str], list[tuple[str, str]]]:
+            folders, files = [], []
+            for info in fs.get_file_info(pafs.FileSelector(f"{base}/{folder}", allow_not_found=True)):
+                path = info.path.removeprefix(f"{base}/")
+                if info.base_name.startswith("."):
+                    continue
+                if info.is_file:
+                    files.append((path, _stamp(info.mtime_ns or 0)))
+                elif info.type == pafs.FileType.Directory:
+                    folders.append(path)
+            return folders, files
+
+        return far
+
+    def near(folder: str) -> tuple[list[str], list[tuple[str, str]]]:
+        folders, files = [], []
+        try:
+            with os.scandir(os.path.join(root, folder)) as found:
+                for x in found:
+                    path = os.path.relpath(x.path, root).replace(os.sep, "/")
+                    if x.name.startswith("."):
+                        continue
+                    if x.is_dir(follow_symlinks=False):
+                        folders.append(path)
+                    elif x.is_file():
+                        files.append((path, _stamp(x.stat().st_mtime_ns)))
+        except (FileNotFoundError, NotADirectoryError, PermissionError):
+            pass
+        return folders, files
+
+    return near
+
+
+class _Part(InputPartition):
+    """A folder to list, with what lies below it unless it is ``flat``."""
+
+    def __init__(self, folder: str, flat: bool):
+        self.folder, self.flat = folder, flat
+
+
+class _Listing(DataSourceReader):
+    def __init__(self, root: str, dirs: list[str], parts: int):
+        self.root, self.dirs, self.parts = root, dirs, parts
+
+    def partitions(self) -> list[_Part]:
+        """Folders to walk, some levels below the index directories; the driver sees folders only, and no more of them than it needs."""
+        look, deep, flat = _look(self.root), list(self.dirs), []
+        for _ in range(LEVELS):
+            if not deep or len(deep) >= self.parts:
+                break
+            flat += deep
+            deep = [f for folder in deep for f in look(folder)[0]]
+        return [_Part(f, True) for f in flat] + [_Part(f, False) for f in deep]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        look, open_, held = _look(self.root), [partition.folder], []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.string()) for i in range(2)], names=["file_path", "last_modified"])
+
+        while open_:
+            folders, files = look(open_.pop())
+            open_ += [] if partition.flat else folders
+            held += files
+            if len(held) > 10_000:
+                yield told()
+                held.clear()
+        yield told()
+
+
+class WorkspaceFiles(DataSource):
+    """``spark.read.format("workspace_files").option("path", root)``: file_path and last_modified of the visible plain files below the folders ``dirs`` (a JSON list).
+
+    Tasks list folders side by side; names with a dot in front stay hidden, a missing folder is
+    skipped, and folders that overlap list a file once for each.  The root is a folder that all
+    see alike, or a path with a scheme that Arrow knows.
     """
-    root = Path(config.workspace_root)
-    for top in config.index_dirs:
-        for folder, subfolders, names in os.walk(root / top):
-            subfolders[:] = sorted(d for d in subfolders if not d.startswith("."))
-            for name in sorted(names):
-                full = os.path.join(folder, name)
-                if not name.startswith(".") and os.path.isfile(full):
-                    at = datetime.fromtimestamp(os.stat(full).st_mtime_ns // 1_000_000 / 1000, timezone.utc)
-                    yield os.path.relpath(full, root).replace(os.sep, "/"), at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
+
+    @classmethod
+    def name(cls) -> str:
+        return "workspace_files"
+
+    def schema(self) -> str:
+        return "file_path string, last_modified string"
+
+    def reader(self, schema) -> _Listing:
+        return _Listing(self.options["path"], json.loads(self.options.get("dirs", '[""]')), int(self.options.get("parts", PARTS)))
 
 
 def patterns_of(config: Config) -> list[str]:
@@ -59,17 +147,6 @@ def stored(config: Config) -> bool:
     return "://" in config.workspace_root
 
 
-def _stored_paths(config: Config) -> Iterator[tuple[str, str]]:
-    """``list_paths`` of a store that Arrow knows."""
-    fs, base = pafs.FileSystem.from_uri(config.workspace_root.rstrip("/"))
-    for top in config.index_dirs:
-        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{top}", allow_not_found=True, recursive=True)):
-            path = info.path.removeprefix(f"{base}/")
-            if info.is_file and not any(part.startswith(".") for part in path.split("/")):
-                at = datetime.fromtimestamp((info.mtime_ns or 0) // 1_000_000 / 1000, timezone.utc)
-                yield path, at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
-
-
 def _stored_reader(root: str) -> Callable[[str, int | None], tuple[str | None, str | None]]:
     """(text, problem) of a path in a store, looked at before it is read."""
     fs, base = pafs.FileSystem.from_uri(root.rstrip("/"))
@@ -114,13 +191,10 @@ def _folder_reader(root: str, *, inside: bool = True) -> Callable[[str, int | No
 
 
 def walk_files(spark: SparkSession, config: Config) -> DataFrame:
-    """file_path, last_modified, language and module of the workspace's text files (a listing by the driver: paths only)."""
-    if stored(config):
-        listed = spark.createDataFrame(list(_stored_paths(config)), "file_path string, last_modified string")
-        return derive(keep_indexable(listed, list(config.exclude_patterns)))
-    rows = list(list_paths(config))
-    listed = spark.createDataFrame(rows, "file_path string, last_modified string")
-    return derive(keep_indexable(listed, patterns_of(config)))
+    """file_path, last_modified, language and module of the workspace's text files, listed by tasks."""
+    spark.dataSource.register(WorkspaceFiles)
+    listed = spark.read.format("workspace_files").option("path", config.workspace_root).option("dirs", json.dumps(list(config.index_dirs))).load()
+    return derive(keep_indexable(listed, list(config.exclude_patterns) if stored(config) else patterns_of(config)))
 
 
 def inside_root(path: str, root: str) -> str | None:

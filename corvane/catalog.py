@@ -237,6 +237,22 @@ def q_chunk_files(spark, sf_dir):
     return chunk.chunk_files(files.withColumns({"language": detect_language(F.col("file_path")), "module": detect_module(F.col("file_path"))}))
 
 
+@query(f"""WITH RECURSIVE code AS (
+  SELECT doc_id, 'export function f' || doc_id || '() {{' || chr(10) || '// ' || replace(text, chr(10), chr(10) || '// ') || chr(10) || '}}' AS body FROM documents),
+large AS (SELECT * FROM code WHERE length(body) > 3200), {walk_sql('large', 'doc_id', 'body', 'part')},
+chunks AS (
+  SELECT doc_id, 'function' AS chunk_type, 'f' || doc_id AS symbol_name, 3 + s AS start_line, 2 + e AS end_line, body FROM part
+  UNION ALL SELECT doc_id, 'function', 'f' || doc_id, 3, 2 + len(string_split(body, chr(10))), body FROM code WHERE length(body) <= 3200
+  UNION ALL SELECT doc_id, 'variable', 'v' || doc_id, 4 + len(string_split(body, chr(10))), 4 + len(string_split(body, chr(10))), 'export const v' || doc_id || ' = 1;' FROM code)
+SELECT doc_id, chunk_type, symbol_name, start_line::INT AS start_line, end_line::INT AS end_line, md5(body) AS digest FROM chunks""")
+def q_chunk_code(spark, sf_dir):
+    """Every document as a source file: an import, a function whose body comments its text, and an exported constant."""
+    name = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("import x from 'y';\n\nexport function f"), name, F.lit("() {\n// "), F.replace("content", F.lit("\n"), F.lit("\n// ")), F.lit("\n}\n\nexport const v"), name, F.lit(" = 1;\n"))
+    out = _chunked(spark, sf_dir, _files(spark, sf_dir).withColumn("content", body), "typescript")
+    return out.select("doc_id", "chunk_type", "symbol_name", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query(f"{_CHUNKS} SELECT count(*) AS count FROM walk")
 def q_collection_stats(spark, sf_dir):
     return _chunked(spark, sf_dir, _files(spark, sf_dir), "text").agg(F.count(F.lit(1)).alias("count"))
@@ -400,7 +416,7 @@ SELECT doc_id, start_line, end_line, round(score, 4) AS score FROM top WHERE sco
 def q_semantic_search_e2e(spark, sf_dir):
     """Documents to chunks to embeddings to the best hundred, cut at 0.1 below the best."""
     chunks = _chunked(spark, sf_dir, _files(spark, sf_dir), "text").withColumn("key", F.concat_ws(":", "doc_id", "start_line"))
-    rows = embed_column(chunks, passage(F.col("content")), lambda: HashingEmbedder(DIM))
+    rows = embed_column(chunks, passage(F.col("content")), lambda: HashingEmbedder(DIM), keep=("key", "doc_id", "start_line", "end_line"))
     scored = search.scored(rows, embed_query(HashingEmbedder(DIM), PROBE), fast=True)
     top = scored.orderBy(F.desc(F.round("score", 5)), "key").limit(100)  # single-precision vectors tie at five places
     return search.cut_min_score_diff(top, 0.1).select("doc_id", "start_line", "end_line", F.round("score", 4).alias("score"))

@@ -31,6 +31,7 @@ class Config:
     max_chunk_tokens: int = 800
     chunk_overlap_lines: int = 5
     indexed_rows: int = 50_000
+    cache_embeddings: bool = False
     port: int = 7700
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators.chunk import chunk_files
 from ..operators.diff import changes, to_delete, to_index
-from ..sources.embedders import Embedder, embed_column, passage
+from ..sources.embedders import Embedder, EmbeddingCache, embed_column, passage
 from ..sources.files import walk_files, with_content
 from ..sources.store import TRIES, Collection, Conflict, Ledger
 
@@ -34,8 +35,15 @@ class IndexReport:
 
 
 def embedded_chunks(files: DataFrame, config: Config, make: Callable[[], Embedder]) -> DataFrame:
-    """Chunks of ``files`` (with content) with their embeddings, and failed where there is none: two Python stages, no exchange."""
+    """Chunks of ``files`` (with content) with their embeddings, and failed where there is none: two Python stages, no exchange.
+
+    With an embedding server, or where the settings say so, texts that were embedded before are
+    looked up, and the chunks are made a second time for it.
+    """
     chunks = chunk_files(files, config.max_chunk_tokens, config.chunk_overlap_lines)
+    if config.cache_embeddings or config.embedder_url:
+        name = re.sub(r"[^A-Za-z0-9._-]", "_", config.embedding_model)
+        return EmbeddingCache(files.sparkSession, f"{config.collection_path}-embeddings/{name}-{config.embedding_dimensions}").embedded(chunks, passage(F.col("content")), make)
     return embed_column(chunks, passage(F.col("content")), make, failed="failed")
 
 

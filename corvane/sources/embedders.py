@@ -9,17 +9,19 @@ import random
 import re
 import time
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vector import zero_vector
 from ..schema import EMBEDDED_CHARS
 
 #: What an embedder sees before a passage and before a query.
@@ -124,15 +126,16 @@ def passage(content: Column) -> Column:
     return F.concat(F.lit(PASSAGE), F.substring(content, 1, EMBEDDED_CHARS))
 
 
-def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding", *, double: bool = False, failed: str | None = None) -> DataFrame:
+def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name: str = "embedding", *, double: bool = False, failed: str | None = None,
+                 keep: Iterable[str] | None = None) -> DataFrame:
     """Add the embedding of ``text``, in single precision unless ``double``; the embedder is made once in each task.
 
     A text that could not be embedded gets a zero vector; the boolean column ``failed``, if
-    named, tells which.
+    named, tells which.  ``keep`` names the other columns of the result (all by default).
     """
     element, number = (T.DoubleType(), np.float64) if double else (T.FloatType(), np.float32)
-    staged = df.withColumn("_text", text)
-    kept = [c for c in df.columns if c not in (name, failed)]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (name, failed)]
+    staged = df.withColumn("_text", text).select(*kept, "_text")
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(element))] + ([T.StructField(failed, T.BooleanType())] if failed else []))
 
     def run(batches):
@@ -150,6 +153,38 @@ def embed_column(df: DataFrame, text: Column, make: Callable[[], Embedder], name
     return staged.mapInArrow(run, schema)
 
 
+class EmbeddingCache:
+    """Embeddings by the digest of the text they are of, a Parquet table partitioned by the digest's first byte; a text is embedded once.
+
+    Rows are only ever added, each run's when its texts are embedded.  A run that crashes leaves
+    what it had written, which the next one uses; two runs at once may both add a text.
+    """
+
+    SCHEMA = "digest string, embedding array<float>, shard string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def embedded(self, df: DataFrame, text: Column, make: Callable[[], Embedder], *, failed: str = "failed") -> DataFrame:
+        """``df`` with the embedding of ``text``, and ``failed`` where there is none; texts that aren't known yet are embedded and added now."""
+        digest = F.sha2(text, 256)
+        keyed = df.withColumns({"digest": digest, "shard": F.substring(digest, 1, 2)})
+        asked = keyed.withColumn("text", text).select("digest", "shard", "text").dropDuplicates(["digest"])
+        new = embed_column(asked.join(self.read().select("digest", "shard"), ["shard", "digest"], "left_anti"), F.col("text"), make, failed="lost", keep=("digest", "shard"))
+        new.filter(~F.col("lost")).select("digest", "embedding", "shard").hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
+        known = self.read().join(asked.select("digest", "shard"), ["shard", "digest"], "left_semi").dropDuplicates(["digest"])
+        return keyed.join(known, ["shard", "digest"], "left").drop("shard", "digest").withColumn(failed, F.col("embedding").isNull()).withColumn(
+            "embedding", F.coalesce("embedding", zero_vector(make().dim)))
+
+
 def embed_query(embedder: Embedder, query: str) -> list[float]:
     """The embedding of a query; unlike a passage's, its failure is an error (EmbedError)."""
     if hasattr(embedder, "embed_query"):

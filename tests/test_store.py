@@ -225,6 +225,39 @@ def test_passages_that_failed_come_again(spark, config, tmp_path):
     assert engine.index().changed == 1 and engine.index().changed == 0
 
 
+class Noting(Partly):
+    """Notes each text that it is asked for."""
+
+    def embed(self, texts):
+        with open(self.path + "-asked", "a") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        return super().embed(texts)
+
+
+def test_a_text_is_embedded_once(spark, config, tmp_path):
+    bad, cached = tmp_path / "bad", Config(**{**config.__dict__, "cache_embeddings": True})
+    bad.write_text("cherry")
+    (tmp_path / "src/same.txt").write_text("apple pear")
+    engine, plain = Engine(spark, cached, lambda: Noting(16, str(bad))), Engine(spark, Config(**{**config.__dict__, "collection_path": f"{config.collection_path}2", "ledger_path": f"{config.ledger_path}2"}))
+
+    def asked():
+        with open(f"{bad}-asked") as f:
+            return sorted(line.strip().removeprefix("search_document: ") for line in f)
+
+    report = engine.index()
+    assert (report.changed, report.failed) == (4, 1) and asked() == ["apple pear", "banana plum", "cherry fig"]
+    bad.write_text("")
+    assert engine.index().failed == 0 and asked().count("cherry fig") == 2  # the one that failed comes again
+    before = asked()
+    (tmp_path / "src/a.txt").rename(tmp_path / "src/moved.txt")
+    os.utime(tmp_path / "src/b.txt", (5, 5))
+    report = engine.index()
+    assert (report.changed, report.deleted) == (2, 1) and engine.index(full=True).chunks == 4 and asked() == before
+    plain.index()
+    rows = [sorted((r["file_path"], r["content"], tuple(r["embedding"])) for r in e.collection.read().collect()) for e in (engine, plain)]
+    assert rows[0] == rows[1]
+
+
 def test_a_server_that_fails_at_first_is_asked_again():
     import json
     import threading

@@ -34,6 +34,8 @@ _NEVER = 1 << 30
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The version of Unicode that the tables below complete.
+UNICODE = "15.1.0"
 _PLAIN = ("unk_token", "continuing_subword_prefix", "dropout")
 #: Where the tokenizer library's Unicode tables are ahead of Python's 15.1.  Its letters and numbers are those of
 #: version 16, its lower case is that of version 17 (code points, the last of a range, lower case of the first), and its
@@ -59,7 +61,9 @@ def _lower_table() -> dict[int, int]:
 
 @lru_cache(1)
 def unicode_classes() -> dict[str, str]:
-    r"""The inside of the classes \p{L}, \p{N} and \s, as the tokenizer library has them."""
+    r"""The inside of the classes \p{L}, \p{N} and \s, as the tokenizer library has them; an error under a Python that knows other characters."""
+    if unicodedata.unidata_version != UNICODE:
+        raise RuntimeError(f"the tables here complete Unicode {UNICODE}, but this Python has {unicodedata.unidata_version}")
     ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]

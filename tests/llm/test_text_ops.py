@@ -398,3 +398,11 @@ def test_a_joined_value_scores_as_its_text():
         assert joined.score() == pytest.approx(whole)
         if whole:
             assert whole == pytest.approx(min(1.0, 0.3 - sum(text.count(c) / n * math.log2(text.count(c) / n) for c in set(text)) / 5))
+
+
+def test_another_unicode_is_refused(monkeypatch):
+    bpe.unicode_classes.cache_clear()
+    monkeypatch.setattr(bpe, "UNICODE", "1.1")
+    with pytest.raises(RuntimeError, match="Unicode"):
+        bpe.unicode_classes()
+    bpe.unicode_classes.cache_clear()

@@ -510,6 +510,17 @@ def q_clip_fifo(spark, sf_dir):
     return clips.fifo(puts, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
+@query("""WITH numbered AS (
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS nr, count(*) OVER () AS every, l_orderkey || '/' || l_partkey || '/' || l_suppkey AS file_path,
+         l_linenumber AS start_line, l_linenumber AS end_line FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem))
+SELECT CASE WHEN every > 10000 THEN nr + every ELSE nr END AS id, file_path, start_line, end_line FROM numbered WHERE nr > every - 10000""")
+def q_clip_fifo_again(spark, sf_dir):
+    """Every line item puts a clip, and then every one again: where there are more than the store holds, each was evicted meanwhile and gets a new id."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    puts = _table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("round"), *keys, F.concat_ws("/", *keys[:3]).alias("file_path"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
+    return clips.fifo(puts, ["round", *keys])
+
+
 _CLIPS = FILES + """,
 held AS (SELECT doc_id * 2 AS id, file_path, 1 AS start_line, 3 AS end_line, string_split(content, chr(10)) AS ls FROM files),
 asked AS (SELECT doc_id AS pos, doc_id AS id FROM documents),

@@ -45,9 +45,9 @@ class ClipRegistry:
 
 
 def first_seen(puts: DataFrame, order: list[str]) -> DataFrame:
-    """One row for each key at its first place in ``order``; combined within tasks before rows are exchanged."""
+    """One row for each key at its first place in ``order``, and the number of its puts; combined within tasks before rows are exchanged."""
     at = F.min(F.struct(*order)).alias("_at")
-    return puts.groupBy(*KEY).agg(at).select(*KEY, *[F.col(f"_at.{c}").alias(f"_{c}") for c in order])
+    return puts.groupBy(*KEY).agg(at, F.count(F.lit(1)).alias("_puts")).select(*KEY, *[F.col(f"_at.{c}").alias(f"_{c}") for c in order], "_puts")
 
 
 def number(rows: DataFrame, order: list[str], after: int = 0, parts: int = 64) -> DataFrame:
@@ -98,8 +98,8 @@ def fifo(puts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
     its eviction gets a new id; then the puts are replayed one after the other.
     """
     fresh = first_seen(puts, order)
-    counted = fresh.agg(F.count(F.lit(1))).first()[0]
-    if counted > capacity and puts.count() > counted:
+    counted, every = fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum("_puts"), F.lit(0))).first()
+    if counted > capacity and every > counted:
         return _replayed(puts, order, capacity)
     last = [f"_{c}" for c in order]
     young = fresh.orderBy(*[F.desc(c) for c in last]).limit(capacity)

@@ -58,12 +58,13 @@ def current(spark: SparkSession, out: str) -> DataFrame:
 
 
 def refresh_chunks(spark: SparkSession, documents: str, out: str, checkpoint: str, *, extension: str = ".md", dimensions: int = 64,
-                   max_tokens: int = 800, overlap: int = 5, files_per_batch: int = 1000) -> dict[str, Any]:
+                   max_tokens: int = 800, overlap: int = 5, files_per_batch: int = 1000, writers: int = 16) -> dict[str, Any]:
     """Take the documents that came since the last run into ``documents`` (a folder, or a pattern of files or folders); the numbers of batches, documents read, and files and chunks written.
 
     A document that comes again with other content replaces the one before; of two in one batch
     the one with the larger digest counts, as nothing tells which is newer.  Documents without
-    an id or a text are left out.
+    an id or a text are left out.  A module, however large, is written by ``writers`` tasks a
+    batch (streams run without adaptive plans, which would split it).
     """
     told = {"batches": 0, "documents": 0, "files": 0, "chunks": 0}
 
@@ -81,7 +82,8 @@ def refresh_chunks(spark: SparkSession, documents: str, out: str, checkpoint: st
         rows = {}
         for name, frame, by in (("chunks", embedded, ["batch", "module"]), ("files", new.select("file_path", "digest"), ["batch"])):  # the files last: they make the chunks current
             path = f"{out}/{name}"
-            frame.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+            dealt = frame.repartition(*[F.col(c) for c in by[1:]], F.pmod(F.xxhash64("file_path"), F.lit(writers)))
+            dealt.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
             rows[name] = _table(spark, path, CHUNKS if name == "chunks" else FILES).filter(F.col("batch") == number).count()
         read = batch.count()
         log.info("batch %d: read %d documents, wrote %d files and %d chunks", number, read, rows["files"], rows["chunks"])

@@ -11,12 +11,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.vector import matrix
-from .search import SCORED, SLACK, top_k, top_k_batch
+from .search import meet, top_k, top_k_batch
 
 #: Cells of the first level, and the fewest that a query visits.
 CELLS, PROBES = 128, 16
@@ -24,8 +23,6 @@ CELLS, PROBES = 128, 16
 CELL_ROWS, SAMPLE, LEAST = 20_000, 20_000, 8
 #: Queries that tune the index, neighbours of each, and the share of these that the visited cells must hold.
 HELD, NEIGHBOURS, TARGET = 200, 20, 0.95
-#: Rows, and queries, of one group of a batched search.
-GROUP_ROWS, GROUP_QUERIES = 50_000, 4_096
 
 
 @dataclass(frozen=True)
@@ -174,38 +171,6 @@ def search_cells_batch(table: DataFrame, index: CellIndex, queries: DataFrame, k
     are fetched for the hits alone.
     """
     visits = _visits(queries, index, index.probes if probes is None else probes)
-    asked = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("_queries"))
-    held = table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_rows"))
-    groups = F.broadcast(held.join(asked, "cell"))  # a row a cell
-    left = table.select(*keys, "embedding", "cell").join(groups, "cell").select(
-        *keys, "embedding", "cell", F.pmod(F.xxhash64(*keys), F.col("_rows")).cast("int").alias("_r"), F.explode(F.sequence(F.lit(0), F.col("_queries") - 1)).alias("_q"))
-    right = visits.join(groups, "cell").select(
-        "query_id", "_query", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(F.xxhash64("query_id"), F.col("_queries")).cast("int").alias("_q"))
-    schema = T.StructType([queries.schema["query_id"], *[table.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
-    dim = index.centroids.shape[1]
-
-    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ok, m = matrix(rows.column("embedding"), dim)
-        _, q = matrix(asked.column("_query"), dim)
-        length = np.linalg.norm(m, axis=1)
-        live = np.flatnonzero(ok)[length > 0]
-        unit = m[length > 0] / length[length > 0, None]
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        where, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for s in range(0, len(q) if len(live) else 0, SCORED):
-            part = q[s:s + SCORED] @ unit.T
-            least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - SLACK if part.shape[1] > k else np.full(len(part), -np.inf)
-            a, b = np.nonzero(part >= least[:, None])
-            where.append(live[b])
-            which.append(a + s)
-            scores.append(part[a, b])
-        at = rows.select(list(keys)).take(pa.array(np.concatenate(where)))
-        ids = asked.select(["query_id"]).take(pa.array(np.concatenate(which)))
-        return pa.Table.from_arrays([*ids.columns, *at.columns, pa.chunked_array([pa.array(np.concatenate(scores))])], names=["query_id", *keys, "score"])
-
-    by = ("cell", "_r", "_q")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    hits = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hits = meet(table, visits, k, keys)
     rest = [c for c in table.columns if c not in ("embedding", "cell", *keys)]
     return table.select(*keys, *rest).join(hits, list(keys)) if rest else hits

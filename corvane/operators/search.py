@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +13,9 @@ from ..schema import HIT_COLUMNS
 
 #: Names of the optional fields of a lean result.
 INCLUDE_COLUMNS = {"chunkType": "chunk_type", "module": "module", "language": "language"}
-#: Queries scored against a collection in one broadcast, about.
+#: Queries that are broadcast at most; rows, and queries, of one group where more are asked.
 MAX_BATCH = 10_000
+GROUP_ROWS, GROUP_QUERIES = 50_000, 4_096
 #: Queries scored at once within a task; scores nearer than SLACK to a task's last may tie with it.
 SCORED, SLACK = 512, 1e-9
 
@@ -43,16 +42,65 @@ def top_k(collection: DataFrame, query: list[float], k: int, *, key: str = "id",
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str = "id", places: int | None = None) -> DataFrame:
     """query_id, rank, score and the collection's columns but the vector, of the k best rows for each query (query_id, embedding).
 
-    The queries are broadcast in blocks of about MAX_BATCH by hashed id, so that the rows of an
-    id stay together.  A task scores a batch of rows by one matrix product and keeps each
-    query's k best of it, and those that tie with them; ranks are cut within each task before
-    rows are exchanged.  Scores are compared as rounded to ``places``, if given.
+    Up to MAX_BATCH queries are broadcast.  A task scores a batch of rows by one matrix product
+    and keeps each query's k best of it, and those that tie with them; ranks are cut within
+    each task before rows are exchanged.  More queries stay where they are: blocks of them meet
+    blocks of rows (``meet``), and an id names one query.  Scores are compared as rounded to
+    ``places``, if given.
     """
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_query"))
-    n = -(-asked.count() // MAX_BATCH)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    blocks = [asked.filter(block == i) for i in range(n)] if n > 1 else [asked]
-    return reduce(DataFrame.unionByName, [_ranked(collection, some, k, key, places) for some in blocks])
+    if asked.count() <= MAX_BATCH:
+        return _ranked(collection, asked, k, key, places)
+    live = F.exists("_query", lambda x: x != 0) & F.forall("_query", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = [c for c in collection.columns if c not in ("embedding", key)]
+    rows = collection.withColumn("cell", F.size("embedding"))  # those of one length meet
+    hits = meet(rows, asked.filter(live).withColumn("cell", F.size("_query")), k, (key,), places=places)
+    return collection.select(key, *kept).join(hits, key) if kept else hits
+
+
+def meet(table: DataFrame, visits: DataFrame, k: int, keys: tuple[str, ...], *, places: int | None = None) -> DataFrame:
+    """query_id, the columns ``keys``, score and rank of the k best rows of ``table`` (keys, embedding, cell) for each query of ``visits`` (query_id, _query, cell), of those in its cells.
+
+    ``keys`` name a row and break ties.  A large cell is dealt to several groups, and so are
+    many queries of one cell, so no group grows with the data; a group scores by matrix
+    products and tells each query's k best.
+    """
+    asked = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("_queries"))
+    held = table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_rows"))
+    groups = F.broadcast(held.join(asked, "cell"))  # a row a cell
+    left = table.select(*keys, "embedding", "cell").join(groups, "cell").select(
+        *keys, "embedding", "cell", F.pmod(F.xxhash64(*keys), F.col("_rows")).cast("int").alias("_r"), F.explode(F.sequence(F.lit(0), F.col("_queries") - 1)).alias("_q"))
+    right = visits.join(groups, "cell").select(
+        "query_id", "_query", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(F.xxhash64("query_id"), F.col("_queries")).cast("int").alias("_q"))
+    schema = T.StructType([visits.schema["query_id"], *[table.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
+    slack = SLACK if places is None else SLACK + 10.0 ** -places
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        dim = len(asked.column("_query")[0]) if asked.num_rows else 0
+        ok, m = matrix(rows.column("embedding"), dim)
+        _, q = matrix(asked.column("_query"), dim)
+        length = np.linalg.norm(m, axis=1)
+        live = np.flatnonzero(ok)[length > 0]
+        unit = m[length > 0] / length[length > 0, None]
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        where, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for s in range(0, len(q) if len(live) else 0, SCORED):
+            part = q[s:s + SCORED] @ unit.T
+            least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - slack if part.shape[1] > k else np.full(len(part), -np.inf)
+            a, b = np.nonzero(part >= least[:, None])
+            where.append(live[b])
+            which.append(a + s)
+            scores.append(part[a, b])
+        at = rows.select(list(keys)).take(pa.array(np.concatenate(where)))
+        ids = asked.select(["query_id"]).take(pa.array(np.concatenate(which)))
+        return pa.Table.from_arrays([*ids.columns, *at.columns, pa.chunked_array([pa.array(np.concatenate(scores))])], names=["query_id", *keys, "score"])
+
+    by = ("cell", "_r", "_q")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, schema)
+    if places is not None:
+        found = found.withColumn("score", F.round("score", places))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str, places: int | None) -> DataFrame:

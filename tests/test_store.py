@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.api import Engine
 from corvane.config import Config
-from corvane.operators import ivf
+from corvane.operators import ivf, search
 from corvane.schema import COLLECTION
 from corvane.sources import store
 from corvane.sources.embedders import HashingEmbedder
@@ -297,8 +297,8 @@ def vectors(spark, x):
 
 
 def test_batched_cells_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ivf, "GROUP_ROWS", 40)
-    monkeypatch.setattr(ivf, "GROUP_QUERIES", 7)
+    monkeypatch.setattr(search, "GROUP_ROWS", 40)
+    monkeypatch.setattr(search, "GROUP_QUERIES", 7)
     rnd = np.random.default_rng(2)
     x = np.concatenate([rnd.normal(size=(200, 6)), np.repeat(rnd.normal(size=(1, 6)), 60, axis=0), np.zeros((2, 6))])  # a cell of equal vectors
     rows = vectors(spark, x)
@@ -318,6 +318,23 @@ def test_batched_cells_equal_brute_force(spark, monkeypatch):
     assert "CartesianProduct" not in (plan := ivf.search_cells_batch(placed, index, asked, 5)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("places", [None, 2])
+def test_more_queries_than_a_broadcast_takes(spark, monkeypatch, places):
+    monkeypatch.setattr(search, "GROUP_ROWS", 30)
+    monkeypatch.setattr(search, "GROUP_QUERIES", 9)
+    rnd = np.random.default_rng(12)
+    rows = vectors(spark, np.concatenate([rnd.normal(size=(120, 5)), np.zeros((2, 5))])).unionByName(vectors(spark, rnd.normal(size=(3, 2))).withColumn("id", F.concat(F.lit("s"), "id")))
+    asked = rows.select(F.col("id").alias("query_id"), "embedding").unionByName(
+        spark.createDataFrame([("null", None), ("nan", [float("nan")] * 5), ("lone", [1.0])], "query_id string, embedding array<float>"))
+
+    def got():
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 7), r["content"]) for r in search.top_k_batch(rows, asked, 4, places=places).collect() if r["query_id"] != "nan")
+
+    broadcast = got()
+    monkeypatch.setattr(search, "MAX_BATCH", 10)
+    assert got() == broadcast and len(broadcast) == 120 * 4 + 3 * 3
+
+
 def test_the_index_visits_what_its_recall_needs(spark):
     rnd = np.random.default_rng(7)
     rows = vectors(spark, rnd.normal(size=(1500, 12)))  # no structure: many cells are needed

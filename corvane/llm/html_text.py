@@ -15,10 +15,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,8 +38,10 @@ MOST = 0.5
 #: A slot takes turns if its texts are at most this share of the places that it has on pages, each text counted once a page;
 #: the second share holds where most pages have an article or main part, so that little is content outside of it.
 TURNS, TURNS_BESIDE = 0.5, 0.9
-#: Pairs of siblings that are matched at once; longer runs are aligned by what is equal in both first.
-PAIRS = 4096
+#: Pairs of nodes from which runs of siblings are matched in arrays, and cells of the table that are kept at once; the match is the same.
+PAIRS, ROWS_CELLS = 4096, 1 << 20
+#: What the same text weighs in a match of pages: more texts that stay count before more nodes, however long the page.
+TOLD = 1 << 16
 #: Most bytes of references that are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
@@ -234,55 +236,31 @@ class Page:
 
 
 def sealed(tree: list) -> tuple:
-    """(label, key of text, children, number of nodes, hash of all that) of a folded tree."""
+    """(label, key of text, children, number of nodes, hash of all that, number of nodes with text) of a folded tree."""
     kids = [sealed(k) for k in tree[2]]
-    return tree[0], tree[1], kids, 1 + sum(k[3] for k in kids), hash((tree[0], tree[1], *[k[4] for k in kids]))
-
-
-def _chain(places: list[int]) -> list[int]:
-    """Indices of a longest rising subsequence."""
-    ends, heads, before = [], [], []
-    for i, p in enumerate(places):
-        k = bisect_left(ends, p)
-        before.append(heads[k - 1] if k else -1)
-        ends[k:k + 1], heads[k:k + 1] = [p], [i]
-    out, i = [], heads[-1] if heads else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
-
-
-def _anchored(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of equal trees in two runs of siblings, in order: the k-th of a kind with the k-th."""
-    def named(run: list[tuple]) -> list[tuple[int, int]]:
-        seen: dict[int, int] = {}
-        out = []
-        for x in run:
-            seen[x[4]] = k = seen.get(x[4], -1) + 1
-            out.append((x[4], k))
-        return out
-
-    at = {name: j for j, name in enumerate(named(b))}
-    both = [(i, at[name]) for i, name in enumerate(named(a)) if name in at]
-    return [both[k] for k in _chain([j for _, j in both])]
+    return tree[0], tree[1], kids, 1 + sum(k[3] for k in kids), hash((tree[0], tree[1], *[k[4] for k in kids])), (tree[1] != "") + sum(k[5] for k in kids)
 
 
-def match_trees(a: tuple, b: tuple) -> tuple[int, list]:
+def match_trees(a: tuple, b: tuple, told: int = 1) -> tuple[int, list]:
     """Simple tree matching of sealed trees: the weight of the best order-keeping match, and a nested list of the keys of its equal texts.
 
-    A pair of nodes weighs 1, and as much again if both have the same text.
+    A pair of nodes weighs 1, and ``told`` more if both have the same text.
     """
     if a[0] != b[0]:
         return 0, []
     if a[4] == b[4]:
-        return 2 * a[3], [a]
+        return _whole(a, told), [a]
     same = a[1] == b[1] != ""
-    weight, inner = _match_runs(a[2], b[2]) if a[2] and b[2] else (0, [])
-    return weight + 1 + same, [a[1], inner] if same else inner
+    weight, inner = _match_runs(a[2], b[2], told) if a[2] and b[2] else (0, [])
+    return weight + 1 + same * told, [a[1], inner] if same else inner
 
 
-def _match_runs(a: list[tuple], b: list[tuple]) -> tuple[int, list]:
+def _whole(x: tuple, told: int) -> int:
+    """The weight of a tree with its equal."""
+    return 2 * x[3] + (told - 1) * x[5]
+
+
+def _match_runs(a: list[tuple], b: list[tuple], told: int) -> tuple[int, list]:
     weight, found = 0, []
     lead, n = 0, min(len(a), len(b))
     while lead < n and a[lead][4] == b[lead][4]:
@@ -292,30 +270,16 @@ def _match_runs(a: list[tuple], b: list[tuple]) -> tuple[int, list]:
         tail += 1
     if lead or tail:
         kept = a[:lead] + a[len(a) - tail:]
-        weight, found = 2 * sum(x[3] for x in kept), kept
+        weight, found = sum(_whole(x, told) for x in kept), kept
         a, b = a[lead:len(a) - tail], b[lead:len(b) - tail]
     if not a or not b:
         return weight, found
-    if (nodes := sum(x[3] for x in a) * sum(y[3] for y in b)) > PAIRS:
-        pairs = _anchored(a, b)
-        if pairs:
-            ends = zip([(-1, -1), *pairs], [*pairs, (len(a), len(b))])
-            parts = [_match_runs(a[i + 1:k], b[j + 1:m]) for (i, j), (k, m) in ends if i + 1 < k and j + 1 < m]
-            return (weight + 2 * sum(a[i][3] for i, _ in pairs) + sum(w for w, _ in parts), [found, [a[i] for i, _ in pairs], [f for _, f in parts]])
-        if len(a) * len(b) > PAIRS or len(a) * len(b) > 256 and nodes > 64 * PAIRS:  # nothing whole is equal: the k-th of a label with the k-th
-            at: dict[tuple[str, int], int] = {}
-            seen: Counter[str] = Counter()
-            for j, y in enumerate(b):
-                at[y[0], seen[y[0]]] = j
-                seen[y[0]] += 1
-            seen.clear()
-            both = []
-            for i, x in enumerate(a):
-                if (j := at.get((x[0], seen[x[0]]))) is not None:
-                    both.append((i, j))
-                seen[x[0]] += 1
-            parts = [match_trees(a[both[k][0]], b[both[k][1]]) for k in _chain([j for _, j in both])]
-            return weight + sum(w for w, _ in parts), [found, [f for _, f in parts]]
+    if len(a) == len(b) == 1:
+        w, inner = match_trees(a[0], b[0], told)
+        return weight + w, [found, inner]
+    if sum(x[3] for x in a) * sum(y[3] for y in b) > PAIRS:
+        parts = [match_trees(a[i], b[j], told) for i, j in _best_pairs(a, b, told)]
+        return weight + sum(w for w, _ in parts), [found, [f for _, f in parts]]
     above = [(0, None)] * (len(b) + 1)  # weight and a linked list of what is matched so far
     for x in a:
         row, last, leaf = [(0, None)], (0, None), not x[2]
@@ -323,9 +287,9 @@ def _match_runs(a: list[tuple], b: list[tuple]) -> tuple[int, list]:
             best = above[j + 1] if above[j + 1][0] >= last[0] else last
             if x[0] == y[0]:
                 if leaf and not y[2]:
-                    w, inner = (2, [x[1]]) if x[4] == y[4] else (1, None)
+                    w, inner = (_whole(x, told), [x[1]]) if x[4] == y[4] else (1, None)
                 else:
-                    w, inner = match_trees(x, y)
+                    w, inner = match_trees(x, y, told)
                 if above[j][0] + w > best[0]:
                     best = above[j][0] + w, ((inner, above[j][1]) if inner else above[j][1])
             row.append(best)
@@ -338,6 +302,96 @@ def _match_runs(a: list[tuple], b: list[tuple]) -> tuple[int, list]:
     return weight + size, found
 
 
+class _Levels:
+    """A run of siblings by depth: each level's nodes in order as arrays, so that a tree is weighed against all nodes of a level at once."""
+
+    def __init__(self, run: list[tuple], told: int):
+        self.told = told
+        self.levels: list[tuple] = []
+        while run:
+            kids = [k for y in run for k in y[2]]
+            counts = np.array([len(y[2]) for y in run])
+            labels: dict[str, list[int]] = {}
+            for j, y in enumerate(run):
+                labels.setdefault(y[0], []).append(j)
+            ends = np.cumsum(counts)
+            full = counts > 0
+            self.levels.append((
+                {label: np.array(at) for label, at in labels.items()}, np.array([hash(y[1]) if y[1] else 0 for y in run]), np.array([y[4] for y in run]),
+                np.array([_whole(y, told) for y in run]), full, (ends - counts)[full], ends[full] - 1, np.repeat(np.arange(len(run)), counts) * (1 << 40)))
+            run = kids
+
+    def weights(self, x: tuple, depth: int = 0) -> np.ndarray | None:
+        """The weight of tree ``x`` with each node of the level; None where none has its label."""
+        labels, texts, hashes, whole, full, first, last, apart = self.levels[depth]
+        at = labels.get(x[0])
+        if at is None:
+            return None
+        out = np.zeros(len(texts), np.int64)
+        out[at] = 1 + self.told * (texts[at] == hash(x[1])) if x[1] else 1
+        if x[2] and len(apart):
+            above = apart.copy()  # a multiple of 2 ** 40 for each run of siblings keeps running maxima within it
+            for k in x[2]:
+                w = self.weights(k, depth + 1)
+                if w is not None:
+                    above = _next_row(above, w, first, apart)
+            inner = np.zeros(len(texts), np.int64)
+            inner[full] = above[last] - apart[last]
+            out[at] += inner[at]
+        same = hashes == x[4]
+        if same.any():
+            out[same] = whole[same]
+        return out
+
+
+def _next_row(above: np.ndarray, w: np.ndarray, first: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The next row of the table of best weights, for runs of siblings side by side that begin at ``first``."""
+    taken = np.empty_like(above)
+    taken[1:] = above[:-1]
+    taken[first] = apart[first]
+    taken += w
+    np.maximum(taken, above, out=taken)
+    return np.maximum.accumulate(taken, out=taken)
+
+
+def _best_pairs(a: list[tuple], b: list[tuple], told: int) -> list[tuple[int, int]]:
+    """Indices of the pairs of the best order-keeping match of two runs of siblings of any length, with the table's rows in arrays.
+
+    Rows are kept at the starts of blocks and made again within the block that is traced back,
+    so memory grows with the root of the table's height.
+    """
+    right, n = _Levels(b, told), len(b)
+    first, apart = np.zeros(1, np.int64), np.zeros(n, np.int64)
+    step = max(1, ROWS_CELLS // n, round(len(a) ** 0.5))
+
+    def rows(above: np.ndarray, part: list[tuple]) -> list[np.ndarray]:
+        out = [above]
+        for x in part:
+            w = right.weights(x)
+            out.append(out[-1] if w is None else _next_row(out[-1], w, first, apart))
+        return out
+
+    starts, block = [apart], []
+    for s in range(0, len(a), step):
+        block = rows(starts[-1], a[s:s + step])
+        starts.append(block[-1])
+    out, j = [], n - 1
+    for s in reversed(range(0, len(a), step)):
+        if s + step < len(a):
+            block = rows(starts[s // step], a[s:s + step])
+        i = len(block) - 1
+        while i and j >= 0:
+            here = block[i][j]
+            if block[i - 1][j] == here:
+                i -= 1
+            elif j and block[i][j - 1] == here:
+                j -= 1
+            else:
+                out.append((s + i - 1, j))
+                i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def equal_texts(found: list) -> set[str]:
     """The keys in what match_trees found: keys, whole trees, and lists of them."""
     out, left = set(), [found]
@@ -390,7 +444,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
                         held.clear()
                     held[ref] = sealed(json.loads(ref))
                 page, digest = Page(source), xxhash.xxh3_64_intdigest(source) >> 1
-                same = equal_texts(match_trees(sealed(page.folded()), held[ref])[1])
+                same = equal_texts(match_trees(sealed(page.folded()), held[ref], TOLD)[1])
                 out.append((host, "", digest))
                 out += [(host, key, digest) for key in same]
                 varying = [b for b in page.blocks if page.key(b[0], page.texts[b[0]]) not in same] if len(page.marks) > 1 else []

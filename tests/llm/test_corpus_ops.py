@@ -544,6 +544,22 @@ def test_tree_matching_against_a_naive_matcher(monkeypatch):
             assert html_text.match_trees(*sides)[0] == best
 
 
+def test_long_runs_are_matched_as_well_as_short_ones(monkeypatch):
+    """Weight and equal texts of runs of any length are those of the best match, however many rows of the table are kept."""
+    rnd = random.Random(5)
+    for _ in range(12):
+        sides = [html_text.sealed(["body", "", [[rnd.choice(["p", "div"]), rnd.choice("abcdef"), [["b", rnd.choice("xyz"), []] for _ in range(rnd.randrange(3))]] for _ in range(rnd.randrange(40, 120))]]) for _ in range(2)]
+        for told in ((), (html_text.TOLD,)):
+            said = []
+            for pairs, cells in ((1 << 40, 1), (html_text.PAIRS, html_text.ROWS_CELLS), (0, 1)):
+                with monkeypatch.context() as m:
+                    m.setattr(html_text, "PAIRS", pairs)
+                    m.setattr(html_text, "ROWS_CELLS", cells)
+                    weight, found = html_text.match_trees(*sides, *told)
+                said.append((weight, html_text.equal_texts(found)))
+            assert said[0] == said[1] == said[2]
+
+
 def test_few_pages_give_up_only_what_surrounds_the_text(spark):
     def page(k):
         return f"<body><div class='top'>My site about things</div><div class='body'>{''.join(f'<p>Page {k} says line {i} of it</p>' for i in range(5))}</div><div>All rights</div>"

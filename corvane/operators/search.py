@@ -16,8 +16,8 @@ INCLUDE_COLUMNS = {"chunkType": "chunk_type", "module": "module", "language": "l
 #: Queries that are broadcast at most; rows, and queries, of one group where more are asked.
 MAX_BATCH = 10_000
 GROUP_ROWS, GROUP_QUERIES = 50_000, 4_096
-#: Queries scored at once within a task; scores nearer than SLACK to a task's last may tie with it.
-SCORED, SLACK = 512, 1e-9
+#: Queries, and scores of all rows with them, that a task makes at once; scores nearer than SLACK to a task's last may tie with it.
+SCORED, CELLS, SLACK = 512, 1 << 20, 1e-9
 
 
 def pre_filter(collection: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -58,6 +58,11 @@ def top_k_batch(collection: DataFrame, queries: DataFrame, k: int, *, key: str =
     return collection.select(key, *kept).join(hits, key) if kept else hits
 
 
+def _at_once(rows: int) -> int:
+    """Queries that are scored at once against so many rows."""
+    return max(1, min(SCORED, CELLS // max(rows, 1)))
+
+
 def meet(table: DataFrame, visits: DataFrame, k: int, keys: tuple[str, ...], *, places: int | None = None) -> DataFrame:
     """query_id, the columns ``keys``, score and rank of the k best rows of ``table`` (keys, embedding, cell) for each query of ``visits`` (query_id, _query, cell), of those in its cells.
 
@@ -84,8 +89,9 @@ def meet(table: DataFrame, visits: DataFrame, k: int, keys: tuple[str, ...], *,
         unit = m[length > 0] / length[length > 0, None]
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         where, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for s in range(0, len(q) if len(live) else 0, SCORED):
-            part = q[s:s + SCORED] @ unit.T
+        step = _at_once(len(live))
+        for s in range(0, len(q) if len(live) else 0, step):
+            part = q[s:s + step] @ unit.T
             least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - slack if part.shape[1] > k else np.full(len(part), -np.inf)
             a, b = np.nonzero(part >= least[:, None])
             where.append(live[b])
@@ -117,7 +123,6 @@ def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str, places: i
 
     def score(batches):
         for batch in batches:
-            where, which, scores = [], [], []
             for dim, (names, asked_for) in shared.value.items():
                 ok, m = matrix(batch.column("embedding"), dim)
                 length = np.linalg.norm(m, axis=1)
@@ -125,16 +130,13 @@ def _ranked(collection: DataFrame, asked: DataFrame, k: int, key: str, places: i
                 if not len(live) or not names:
                     continue
                 unit = m[length > 0] / length[length > 0, None]
-                for s in range(0, len(names), SCORED):
-                    part = asked_for[s:s + SCORED] @ unit.T
+                step = _at_once(len(live))
+                for s in range(0, len(names), step):
+                    part = asked_for[s:s + step] @ unit.T
                     least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - slack if part.shape[1] > k else np.full(len(part), -np.inf)
                     q, at = np.nonzero(part >= least[:, None])
-                    where.append(live[at])
-                    which.append(np.array(names[s:s + SCORED])[q])
-                    scores.append(part[q, at])
-            if where:
-                some = batch.select(kept).take(pa.array(np.concatenate(where)))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(which), pa.int64()), pa.array(np.concatenate(scores), pa.float64())], names=[*kept, "_q", "score"])
+                    some = batch.select(kept).take(pa.array(live[at]))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.array(names[s:s + step])[q], pa.int64()), pa.array(part[q, at], pa.float64())], names=[*kept, "_q", "score"])
 
     schema = T.StructType([*[collection.schema[c] for c in kept], T.StructField("_q", T.LongType()), T.StructField("score", T.DoubleType())])
     names = collection.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.LongType()), asked.schema["query_id"]]))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, lean_group, release, shuffle_width, stage, unstage
-from .shingles import chunks, mix, powers, text_buffer
+from .common import bound_batches, hold_pages, lean, lean_group, release, shuffle_width, stage, unstage
+from .shingles import chunks, mix, mix_into, powers, text_buffer
 
 #: Bytes of a repeat; of an anchor's key; bytes that may stand before an anchor in a repeat.
 NEED, KMER = 50, 28
@@ -54,22 +54,29 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if n < NEED:
         return np.zeros(0, np.int64)
     x = data.astype(np.uint64)
-    small = x[:n - TMER + 1].copy()
+    least, other = x[:n - TMER + 1].copy(), x[:n - TMER + 1]  # two buffers take turns: fresh pages cost more than the sums
     for k in range(1, TMER):
-        small = (small << np.uint64(8)) | x[k:n - TMER + 1 + k]
-    least = (mix(small) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(small), dtype=np.uint64)
-    span, width = 1, NEED - TMER + 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if rest := width - span:
-        least = np.minimum(least[:-rest], least[rest:])
-    start = np.arange(n - NEED + 1)
-    place = start + ((least & np.uint64(0xFFFFFFFF)).astype(np.int64) - start) % (LEFT + 1)
+        least <<= np.uint64(8)
+        least |= x[k:n - TMER + 1 + k]
+    mix_into(least, other)
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
+    width, spans = NEED - TMER + 1, []
+    while (1 << len(spans) + 1) <= width:
+        spans.append(1 << len(spans))
+    for span in (*spans, width - (1 << len(spans))):
+        if span:
+            least, other = np.minimum(least[:-span], least[span:], out=other[:len(least) - span]), least
+    start = np.arange(n - NEED + 1, dtype=np.uint32)
+    place = least.astype(np.uint32)  # its low half: where the least one begins
+    place -= start
+    place -= (place > LEFT) * np.uint32(LEFT + 1)  # modulo LEFT + 1, of less than twice that
+    place += start
+    del x, least, other, start
     crossing = np.zeros(n + 1, np.int32)
     np.add.at(crossing, np.maximum(bounds[:-1], bounds[1:] - NEED + 1), 1)
     np.add.at(crossing, bounds[1:], -1)
-    inside = np.cumsum(crossing)[:n - NEED + 1] == 0
+    inside = np.cumsum(crossing, dtype=np.int32)[:n - NEED + 1] == 0
     mark = np.zeros(n, bool)
     mark[place[inside]] = True
     return np.flatnonzero(mark)
@@ -112,7 +119,7 @@ def _cut(part: np.ndarray, rows: np.ndarray):
 
 def _deal(part: np.ndarray, columns: list[np.ndarray]):
     """(part, its rows column by column) for each part, in order; columns apart compress well."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # 16 bits are sorted by radix
     part, columns = part[order], [c[order] for c in columns]
     first = _groups(part)
     for s, e in zip(first, [*first[1:], len(part)]):
@@ -154,13 +161,14 @@ def _text_pieces(batch: pa.RecordBatch):
 def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """b, n, data: the anchors (document and offset) whose key occurs in two documents or more, by bucket of the document; b -1: a hot key and its places."""
     def deal(batches):
+        hold_pages()
         keys, rows, offs, owners = [], [], [], []
 
         def flush():
             named = np.array(owners, np.uint64)
             packed, off = np.concatenate(keys), np.concatenate(offs)
             packed = (packed << np.uint64(16)) | np.concatenate(rows).astype(np.uint64)
-            order = np.argsort(packed, kind="stable")
+            order = np.argsort(packed)  # the order of a document's own places is of no account
             packed, off = packed[order], off[order]
             key, own = packed >> np.uint64(16), named[(packed & np.uint64(0xFFFF)).astype(np.int64)]
             first = _groups(key)
@@ -209,6 +217,7 @@ def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     def meet(pdf):
         import pandas as pd
 
+        hold_pages()
         out, parts = [], []
         for settled, blob in zip(pdf["settled"], pdf["data"], strict=True):
             if settled:
@@ -219,14 +228,12 @@ def _shared_places(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
                 parts.append(((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1], *_of_owned(columns[2:])))
         if parts:
             key, own, off = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((own, key))
+            order = np.argsort(key)
             key, own, off = key[order], own[order], off[order]
             first = _groups(key)
             sizes = np.diff(np.append(first, len(key)))
-            new = np.ones(len(key), bool)
-            new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
             known = (off & _KNOWN) > 0
-            shared = (np.add.reduceat(new, first) > 1) | (np.add.reduceat(known, first) > 0)
+            shared = (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)) | np.logical_or.reduceat(known, first)
             keep = np.repeat(shared, sizes) & ~known
             out += [(b, 0, x) for b, x in _deal(bucket_of(own[keep], buckets), _owned(own[keep], off[keep]))]
             places = np.add.reduceat(np.where(known, off & ~_KNOWN, 1).astype(np.int64), first)
@@ -269,6 +276,27 @@ def _words(columns: np.ndarray) -> list[np.ndarray]:
     return list(padded.view(">u8").astype(np.uint64).T)
 
 
+def _sorted(keys: list[np.ndarray]) -> np.ndarray:
+    """The order by all keys, the most significant first: by one key at a time, and then only what ties in it."""
+    order = np.argsort(keys[0])
+    tie = np.arange(len(order))  # places of the order that still tie, and the first place of each one's group
+    group = np.zeros(len(order), np.int64)
+    for last, key in zip(keys, keys[1:]):
+        now = last[order[tie]]
+        fresh = np.ones(len(tie), bool)
+        fresh[1:] = (now[1:] != now[:-1]) | (group[1:] != group[:-1])
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(tie)))
+        group = np.repeat(tie[first], size)
+        many = np.repeat(size > 1, size)
+        tie, group = tie[many], group[many]
+        if not len(tie):
+            break
+        rows = order[tie]
+        order[tie] = rows[np.lexsort((key[rows], group))]
+    return order
+
+
 def _pack_run(right: np.ndarray, left: np.ndarray, la: np.ndarray, ra: np.ndarray, place: np.ndarray) -> bytes:
     """A sorted run, its suffixes front-coded: shared length, then only the bytes that differ."""
     n = len(right)
@@ -287,13 +315,13 @@ def _unpack_run(blob: bytes):
     at += n * LEFT
     place = np.frombuffer(blob, _PLACE, n, at)
     at += n * _PLACE.itemsize
-    values, value, lengths = [], 0, shared.tolist()
-    for k in lengths:
-        gap = 8 * (NEED - k)
-        value = ((value >> gap) << gap) | int.from_bytes(blob[at:at + NEED - k], "big")
-        at += NEED - k
-        values.append(value)
-    return values, lengths, left, la, ra, place
+    # a byte is that of the last suffix so far which shares less than what stands before it
+    begin = at + np.cumsum(NEED - shared.astype(np.int64)) - NEED
+    row, data, suffixes = np.arange(n), np.frombuffer(blob, np.uint8), np.empty((n, NEED), np.uint8)
+    for k in range(NEED):
+        suffixes[:, k] = data[begin[np.maximum.accumulate(np.where(shared <= k, row, 0))] + k]
+    whole, number = suffixes.tobytes(), int.from_bytes
+    return [number(whole[s:s + NEED]) for s in range(0, n * NEED, NEED)], shared.tolist(), left, la, ra, place
 
 
 def merge_runs(runs: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
@@ -401,12 +429,13 @@ def _runs(docs: DataFrame, places: DataFrame, parts: int, hot_keys: np.ndarray)
             text = context[row[:, None], (LEFT - o)[:, None] + np.arange(NEED)]
             at = place[row]
             at["off"] -= o.astype(np.uint32)
-            order = np.lexsort((at["id"], *reversed(_words(text))))
+            order = _sorted([*_words(text), at["id"]])
             text, at = text[order], at[order]
             none = np.zeros(len(at), np.uint8)
             yield from told((hashed(text) % np.uint64(parts)).astype(np.int32), text, np.zeros((len(at), LEFT), np.uint8), none, none + np.uint8(NEED), at)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        hold_pages()
         out: list[tuple[int, bool, bytes]] = []
         blobs = [x.as_buffer() for x in right.column("data")]
         if left.num_rows and blobs:
@@ -434,7 +463,7 @@ def _runs(docs: DataFrame, places: DataFrame, parts: int, hot_keys: np.ndarray)
                 at = (start + off)[cut, None] + span
                 ok = (span >= -la[cut, None]) & (span < ra[cut, None])
                 context[cut] = np.where(ok, data[np.clip(at, 0, len(data) - 1)], 0)
-            order = np.lexsort((off, place["id"], ra, la, *reversed(_words(context[:, :LEFT])), *reversed(_words(context[:, LEFT:]))))
+            order = _sorted([*_words(context[:, LEFT:]), *_words(context[:, :LEFT]), la, ra, place["id"], off])
             context, place, row, off, la, ra = context[order], place[order], row[order], off[order], la[order], ra[order]
             same = np.zeros(len(place), bool)
             same[1:] = (context[1:] == context[:-1]).all(axis=1) & (la[1:] == la[:-1]) & (ra[1:] == ra[:-1])
@@ -505,6 +534,7 @@ def _spans(runs: DataFrame, buckets: int) -> DataFrame:
     def work(pdf):
         import pandas as pd
 
+        hold_pages()
         out = []
         for run, blob in zip(pdf["run"], pdf["data"], strict=True):
             if not run:
@@ -540,9 +570,11 @@ def _kept(docs: DataFrame, spans: DataFrame) -> DataFrame:
         removed: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if blobs:
             every = np.concatenate(blobs)
-            names, row = np.unique(every[["id", "crc"]], return_inverse=True)
-            r, s, e = _union(row, every["s"], every["e"])
-            keys = names.tolist()
+            every = every[np.lexsort((every["crc"], every["id"]))]
+            new = np.ones(len(every), bool)
+            new[1:] = (every["id"][1:] != every["id"][:-1]) | (every["crc"][1:] != every["crc"][:-1])
+            r, s, e = _union(np.cumsum(new) - 1, every["s"], every["e"])
+            keys = every[new][["id", "crc"]].tolist()
             for k, a, b in zip(r.tolist(), s.tolist(), e.tolist(), strict=True):
                 removed.setdefault(tuple(keys[k]), []).append((a, b))
         rows = []

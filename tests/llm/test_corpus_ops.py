@@ -218,6 +218,41 @@ def test_repeats_of_one_short_string_in_many_documents(spark, monkeypatch):
     assert repeat_rows(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
 
 
+def test_anchors_take_few_passes_and_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(3).integers(97, 101, 1 << 18).astype(np.uint8)
+    bounds = np.array([0, 30, 90, 5000, len(data)])
+    small = sum((data[k:len(data) - 4 + k].astype(np.uint64) << np.uint64(8 * (4 - k)) for k in range(5)), np.zeros(len(data) - 4, np.uint64))
+    least = (shingles.mix(small) >> np.uint64(32)).tolist()
+    want = set()
+    for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
+        for s in range(lo, min(hi, 6000) - suffixes.NEED + 1):
+            want.add(s + (min(range(46), key=lambda k: (least[s + k], k))) % 23)
+    suffixes.anchors(data, bounds)
+    tracemalloc.start()
+    got = suffixes.anchors(data, bounds)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    inside = [a for a in got.tolist() if a < 5900]
+    assert inside == sorted(a for a in want if a < 5900)
+    assert most < 36 * len(data), most / len(data)
+
+
+def test_order_by_many_keys_and_front_coded_runs():
+    rng = np.random.default_rng(4)
+    keys = [rng.integers(0, n, 3000).astype(np.uint64) for n in (3, 2, 9, 4, 50)]
+    keys[-1] = np.arange(3000, dtype=np.uint64)[::-1]
+    assert suffixes._sorted(keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    assert suffixes._sorted([np.zeros(0, np.uint64)] * 2).tolist() == []
+    right = rng.integers(97, 99, (500, suffixes.NEED)).astype(np.uint8)
+    right[100:140] = right[100]
+    right = right[np.lexsort(right.T[::-1])]
+    other = np.zeros(500, np.uint8)
+    values, shared, *_ = suffixes._unpack_run(suffixes._pack_run(right, np.zeros((500, suffixes.LEFT), np.uint8), other, other, np.zeros(500, suffixes._PLACE)))
+    assert values == [int.from_bytes(r.tobytes(), "big") for r in right] and shared.count(suffixes.NEED) >= 39
+
+
 def test_merged_order_decides_repeats(spark, monkeypatch):
     rows = list(enumerate(texts(7, 25)))
     docs = documents(spark, rows)

@@ -24,8 +24,8 @@ from .common import map_texts
 
 #: Longest word, in parts, for the scanned array.
 SHORT = 128
-#: Words, and texts between spaces, whose encoding a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Words, and texts between spaces, that a generation remembers; a task remembers two, the one that fills and the one before.
+CACHE_WORDS = 100_000
 #: Control characters at which Python's own split parts and the tokenizer doesn't.
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
 _NEVER = 1 << 30
@@ -110,6 +110,7 @@ class WordBpe(dict):
 
     def __init__(self, spec: str):
         super().__init__()
+        self.before: dict[str, tuple[bytes, str]] = {}
         data = json.loads(spec)
         model = data["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -181,15 +182,25 @@ class WordBpe(dict):
     def _keep(self, text: str, value: tuple[bytes, str]) -> tuple[bytes, str]:
         if len(text) <= SHORT:
             if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[text] = value
         return value
 
+    def forget(self) -> None:
+        """Remember no word any more: a worker that has nothing to do shares its executor's memory with others."""
+        self.clear()
+        self.before = {}
+
     def _word(self, word: str) -> tuple[bytes, str]:
+        if known := self.before.get(word):
+            return self._keep(word, known)
         ids = self.word_ids(word)
         return self._keep(word, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
 
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
+        if known := self.before.get(chunk):
+            return self._keep(chunk, known)
         words = self.words.findall(chunk)
         if len(words) == 1:
             return self.get(words[0]) or self._word(words[0]) if words[0] != chunk else self._word(chunk)
@@ -236,7 +247,7 @@ class WordBpe(dict):
 
 @lru_cache(2)
 def _loaded(spec: str) -> WordBpe:
-    """The model of a file's text; it stays in the worker, and so do the words it knows."""
+    """The model of a file's text; it stays in the worker, the words it remembers go with the task."""
     return WordBpe(spec)
 
 
@@ -271,4 +282,4 @@ def encode_documents(docs: DataFrame, spec_path: str, *, with_ids: bool = False)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return map_texts(docs.select("doc_id", "text"), run, fields, keep=["doc_id"])
+    return map_texts(docs.select("doc_id", "text"), run, fields, keep=["doc_id"], after=lambda: _loaded(spec.value).forget())

@@ -1,5 +1,6 @@
 """Language ID, quality, BPE and secrets: brute force, held-out accuracy, edge cases."""
 
+import gc
 import hashlib
 import math
 import random
@@ -7,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +173,27 @@ def test_bpe_digests(spark, pair):
     assert got[2]["n_tokens"] == 0 and got[2]["ids"] == [] and got[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_words_are_forgotten_with_the_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} again w{k % 7}") for k in range(50)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        n = [sum(len(m) + len(getattr(m, "before", ())) for m in gc.get_objects() if type(m).__name__ == "WordBpe") for _ in batches]
+        yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64())})
+
+    assert bpe.encode_documents(docs, _spec()).count() == 50
+    rows = spark.range(0, 8, numPartitions=8).mapInArrow(held, "n long").collect()
+    assert rows and not any(r["n"] for r in rows)
+    with open(_spec(), encoding="utf-8") as f:
+        plain = bpe.WordBpe(f.read())
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    with open(_spec(), encoding="utf-8") as f:
+        small = bpe.WordBpe(f.read())
+    for k in range(200):
+        text = f"some words x{k % 9}, y{k % 4} come again, z{k}"
+        assert small.encode_both(text) == (b"".join(plain._word(w)[0] for c in text.split() for w in plain.words.findall(c)), plain.encode_both(text)[1])
+        assert len(small) <= 5 and len(small.before) <= 5
+
+
 def brute_secrets(text):
     found = []
     for k, (pattern, group, least) in enumerate(((r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24))):

@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.batches import small_batches
 from corvane.operators.chunk import chunk_files
 from corvane.sources.embedders import HashingEmbedder, embed_column, passage
 
@@ -83,7 +84,8 @@ def refresh_chunks(spark: SparkSession, documents: str, out: str, checkpoint: st
         for name, frame, by in (("chunks", embedded, ["batch", "module"]), ("files", new.select("file_path", "digest"), ["batch"])):  # the files last: they make the chunks current
             path = f"{out}/{name}"
             dealt = frame.repartition(*[F.col(c) for c in by[1:]], F.pmod(F.xxhash64("file_path"), F.lit(writers)))
-            dealt.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+            with small_batches(spark):
+                dealt.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
             rows[name] = _table(spark, path, CHUNKS if name == "chunks" else FILES).filter(F.col("batch") == number).count()
         read = batch.count()
         log.info("batch %d: read %d documents, wrote %d files and %d chunks", number, read, rows["files"], rows["chunks"])

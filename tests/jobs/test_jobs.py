@@ -46,6 +46,24 @@ def places(tmp_path):
     return f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
 
 
+def test_refresh_hands_workers_small_batches(spark, places, monkeypatch):
+    put(spark, places[0], [doc(k, f"{k} " + "word " * 2400) for k in range(4000)])
+    plain, before = refresh.chunk_files, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def probed(files, *args):
+        def first_rows(batches):
+            for batch in batches:
+                if batch.nbytes > 6 << 20:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch.slice(0, 1)
+
+        return plain(files.coalesce(1).mapInArrow(first_rows, files.schema), *args)
+
+    monkeypatch.setattr(refresh, "chunk_files", probed)
+    assert refresh.refresh_chunks(spark, *places)["documents"] == 4000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_refresh_takes_only_what_is_new(spark, places):
     first = [doc(1, "# A\n" + "apple pear " * 30), doc(2, "plain words"), doc(3, "x" * 5000 + "\ny", None), doc(4, "", ""), doc(None, "no id"), doc(5, None)]
     put(spark, places[0], first)

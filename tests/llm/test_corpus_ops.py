@@ -98,6 +98,62 @@ def test_jaccard_splits_a_group_of_near_copies(spark, monkeypatch):
     assert linked_rows(jaccard.link(documents(spark, rows))) == brute_link(rows)
 
 
+def quoting(rnd, families, size=60):
+    """Families of near copies whose every text quotes a passage of the family before, so that one chain of shared shingles holds all."""
+    rows, last = [], prose(rnd, 20)
+    for f in range(families):
+        base = [f"f{f}{w}" for w in prose(rnd, size).split()]
+        for k in range(3):
+            words = list(base)
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(size)] = f"v{f}{rnd.randrange(99)}"
+            rows.append((1000 * f + k, " ".join(words) + " " + last))
+        last = " ".join(base[:20])
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{}, {"FEW": 2, "PER_PART": 400, "LIGHT": 4, "HELD_PAIRS": 50, "SMALL_BYTES": 5}, {"FEW": 0, "LIGHT": 2}])
+def test_jaccard_parts_a_chain_of_quoting_texts(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = quoting(random.Random(23), 50)
+    rows += rows[:2] + [(None, rows[5][1]), (7, rows[9][1]), (7, "another text of an id")]
+    met, verified = [], jaccard._linked_in_groups
+    monkeypatch.setattr(jaccard, "_linked_in_groups", lambda docs, placed: met.append(placed.select("d1", F.explode("keys").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]) or verified(docs, placed))
+    assert linked_rows(jaccard.link(documents(spark, rows))) == brute_link(rows)
+    if not settings:
+        assert met[0] <= 9  # no group of the trees holds much more than a family; the chain holds all 50
+
+
+def test_jaccard_fetches_few_texts_beside_those_asked_for(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(spark.createDataFrame([(None, "null")], "doc_id long, text string"))
+    ids = spark.createDataFrame([(k * 7,) for k in range(500)] + [(None,)], "first long")
+    got = [r["doc_id"] for r in jaccard._asked(docs, ids, 501).collect()]
+    assert {None, *range(0, 3500, 7)} <= set(got) and len(got) == len(set(got)) < 3000
+
+
+def test_pairs_bound_what_sets_share(monkeypatch):
+    """Light tokens of a pair and the heavy ones of either bound what it shares, and what may link is linked where all is light."""
+    rnd = np.random.default_rng(5)
+    for light, held in ((3, 20), (64, 4_000_000)):
+        monkeypatch.setattr(jaccard, "LIGHT", light)
+        monkeypatch.setattr(jaccard, "HELD_PAIRS", held)
+        base = [rnd.integers(0, 1 << 63, 30, dtype=np.uint64) for _ in range(4)]
+        sets = sorted((np.unique(np.concatenate([b[rnd.integers(0, 6):], rnd.integers(0, 1 << 63, rnd.integers(0, 9), dtype=np.uint64), base[0][:5]])) for b in base for _ in range(9)), key=len)
+        n = np.array([len(s) for s in sets])
+        a, b, common, heavy = jaccard.pairs_of(n, np.repeat(np.arange(len(sets)), n), np.concatenate(sets))
+        told = {(x, y): c for x, y, c in zip(a.tolist(), b.tolist(), common.tolist(), strict=True)}
+        assert len(told) == len(a)
+        for y in range(len(sets)):
+            for x in range(y):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if jaccard.linked(both, n[x], n[y]):
+                    assert both <= told.get((x, y), 0) + min(heavy[x], heavy[y])
+                    assert jaccard._may_link(told.get((x, y), 0), min(heavy[x], heavy[y]), n[x] + n[y])
+                if light == 64 and (x, y) in told:
+                    assert told[x, y] == both and not heavy[x]
+
+
 def test_size_codes_bound_sizes():
     n = np.unique(np.concatenate([np.arange(1, 5000), (1.013 ** np.arange(1, 1600)).astype(np.int64)]))
     n = n[n < 1 << 30]
